@@ -110,3 +110,12 @@ def rank_of(sorted_values: Column, key, x: Column) -> Column:
         )
 
     return F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(F.size(sorted_values) + F.lit(2.0))).cast("int") + 1), start, halve, lambda acc: acc["lo"])
+
+
+def pieces_of(batches, rows: int = 512, size: int = 4_000_000):
+    """Arrow batches cut into slices of at most ``rows`` rows and about ``size`` bytes."""
+    for batch in batches:
+        if batch.num_rows:
+            step = max(1, min(rows, int(size * batch.num_rows / max(1, batch.nbytes))))
+            for at in range(0, batch.num_rows, step):
+                yield batch.slice(at, step)

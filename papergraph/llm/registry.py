@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_frequency, mixing, secrets
+from . import jpeg, langid, line_frequency, mixing, packing, secrets, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_hyperdimensional_language": langid.op1_hyperdimensional_language,
         "op2_linked_secrets": secrets.op2_linked_secrets,
+        "op3_jpeg_payload": jpeg.op3_jpeg_payload,
+        "op4_counterfactual_toxicity": toxicity.op4_counterfactual_toxicity,
+        "op6_hierarchical_packing": packing.op6_hierarchical_packing,
         "op8_pareto_mix": mixing.op8_pareto_mix,
         "op9_line_frequency": line_frequency.op9_line_frequency,
     }
