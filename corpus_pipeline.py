@@ -1,10 +1,62 @@
-"""Corpus pipeline: five stages, each the whole work of one operator."""
+"""Corpus pipeline: toxic documents go, one of each near-duplicate group stays,
+secrets are masked, sources are mixed to their targets, and the mix is packed.
+
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of
+``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from papergraph.llm import common, mixing, near_dedup, packing, secrets, toxicity
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns as op4 does."""
+    labels = common.table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    return toxicity.drop_toxic(docs, model)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (5-word shingles, 0.8) the smallest id stays."""
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every reported span is masked; no document goes."""
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document comes out as often as the mix takes it."""
+    others = tuple(c for c in docs.columns if c != "doc_id")
+    mixed = mixing.mix_sources(docs, keep=others)
+    return mixed.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their place in sequences of 2048 tokens."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("near_dedup", near_dedup_stage),
+    ("secrets", secrets_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: The first stage is a fitted classifier, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet and read again."""
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

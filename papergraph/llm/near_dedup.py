@@ -290,5 +290,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, least_ma
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document (id) of each component; rows without an id stay."""
+    found = near_duplicates(docs, percent, width, id_col=id_col, text_col=text_col)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+
+
 def op10_minhash_postings(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=3)

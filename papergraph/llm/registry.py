@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jpeg, langid, line_frequency, mixing, packing, secrets, toxicity
+from . import jpeg, langid, line_frequency, markov, mixing, near_dedup, packing, secrets, toxicity
 
 
 def queries() -> dict:
@@ -12,8 +12,10 @@ def queries() -> dict:
         "op3_jpeg_payload": jpeg.op3_jpeg_payload,
         "op4_counterfactual_toxicity": toxicity.op4_counterfactual_toxicity,
         "op6_hierarchical_packing": packing.op6_hierarchical_packing,
+        "op7_hidden_markov": markov.op7_hidden_markov,
         "op8_pareto_mix": mixing.op8_pareto_mix,
         "op9_line_frequency": line_frequency.op9_line_frequency,
+        "op10_minhash_postings": near_dedup.op10_minhash_postings,
     }
 
 

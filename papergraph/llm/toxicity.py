@@ -191,6 +191,17 @@ def score_texts(docs: DataFrame, model: Model, limit: float = 0.7, text_col: str
     return docs.select(*others, text_col).mapInArrow(run, out.schema)
 
 
+def drop_toxic(docs: DataFrame, model: Model, limit: float = 0.7, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that score ``limit`` or more."""
+
+    def run(batches):
+        for batch in pieces_of(batches):
+            clean = [model.score(features(t)) < limit for t in batch.column(text_col).to_pylist()]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     return remainder(doc_id, 3) == 1
 
