@@ -2,9 +2,9 @@
 
 
 def _modules():
-    from papergraph.plans import layout
+    from papergraph.plans import layout, papers, readers
 
-    return (layout,)
+    return layout, papers, readers
 
 
 def queries() -> dict:
