@@ -100,8 +100,11 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", reach: int = 200) -> D
 
 def span_list(scan: Column, kinds: tuple[str, ...]) -> Column:
     """The spans of these kinds, sorted by start and then kind: structs start, k, end."""
-    every = F.concat(*[F.transform(scan[k], lambda x, i=KINDS.index(k): record(start=x["start"], k=F.lit(i), end=x["end"])) for k in kinds])
-    return F.sort_array(every)
+
+    def marked(kind: str) -> Column:
+        return F.transform(scan[kind], lambda x: record(start=x["start"], k=F.lit(KINDS.index(kind)), end=x["end"]))
+
+    return F.sort_array(F.concat(*map(marked, kinds)))
 
 
 def span_text(spans: Column) -> Column:
