@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import jpeg, langid, line_frequency, markov, mixing, near_dedup, packing, secrets, toxicity
+from .sql import SQL
 
 
 def queries() -> dict:
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
