@@ -36,7 +36,7 @@ SKETCH_BITS = 16
 #: Lists up to this length are paired; longer ones go in blocks of this many documents.
 SHORT_LIST, BLOCK = 32, 256
 #: Buckets of the broadcast filter that spares texts a shuffle.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 
 _rng = np.random.default_rng(10)
 _SCALE = _rng.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -45,9 +45,10 @@ _MIX = _rng.integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(text: str | None, width: int = 3) -> np.ndarray:
+def shingles(text: str | bytes | None, width: int = 3) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the ``width``-word shingles, A-Z lower-cased."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    data = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+    words = data.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     hashed = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
@@ -62,6 +63,16 @@ def shingles(text: str | None, width: int = 3) -> np.ndarray:
     return np.unique(out)
 
 
+def packed(text: str) -> bytes:
+    """The text as it travels: its length, then compressed bytes."""
+    data = text.encode("utf-8", "surrogatepass")
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
 def signature(shingle_set: np.ndarray) -> np.ndarray:
     """Minimum of each hash function, as 32-bit integers."""
     low = np.full(COORDINATES, 2**64 - 1, np.uint64)
@@ -152,8 +163,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
             keep = []
             for a, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "ta", "tb")), strict=True):
                 if a != last:
-                    last, own = a, shingles(ta, width)
-                other = shingles(tb, width)
+                    last, own = a, shingles(unpacked(ta), width)
+                other = shingles(unpacked(tb), width)
                 common = len(own) + len(other) - len(np.union1d(own, other))
                 keep.append(bool(_near(common, len(own), len(other), percent)))
             yield batch.select(["a", "b"]).filter(pa.array(keep))
@@ -196,7 +207,7 @@ def _links_of(group: pa.Table, percent: int, width: int) -> tuple[list, list]:
     out: tuple[list, list] = ([], [])
     if len(set(roots)) < 2:
         return out
-    sets = [shingles(t, width) for t in group.column("text").to_pylist()]
+    sets = [shingles(unpacked(t), width) for t in group.column("text").to_pylist()]
     size = np.array([len(s) for s in sets])
     block = np.array(block)
     left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
@@ -224,30 +235,34 @@ def _links_of(group: pa.Table, percent: int, width: int) -> tuple[list, list]:
     return out
 
 
-def _bucket_of(doc_id: Column, mark: Column) -> Column:
-    return F.pmod(F.xxhash64(doc_id, mark), F.lit(BUCKETS))
+def _maybe_in(rows: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
+    """``rows`` whose key may be in ``wanted``: a broadcast set of at most BUCKETS numbers,
+    built without a shuffle of ``rows``, that keeps most others out of the join to come."""
+    bucket = F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")
+    some = wanted.select(bucket.alias("bucket")).distinct()
+    return rows.withColumn("bucket", bucket).join(F.broadcast(some), "bucket", "left_semi").drop("bucket")
 
 
 def class_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """cls, text for the classes wanted (cls, doc_id, mark).
+    """cls, text (packed) for the classes wanted (cls, doc_id, mark); repeated rows repeat it."""
+
+    def run(batches):
+        for batch in pieces_of(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(packed, batch.column(2).to_pylist()), pa.binary())], ["doc_id", "mark", "text"])
 
-    A broadcast set of at most BUCKETS numbers keeps most other texts from the
-    shuffle; the join then decides.
-    """
     d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    some = wanted.select(_bucket_of(F.col("doc_id"), F.col("mark")).alias("bucket")).distinct()
-    d = d.withColumn("bucket", _bucket_of(F.col("doc_id"), F.col("mark"))).join(F.broadcast(some), "bucket", "left_semi")
+    d = _maybe_in(d, wanted, "doc_id", "mark").select("doc_id", "mark", "text")
+    d = d.mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, mark long, text binary")
     w = wanted.withColumnsRenamed({"doc_id": "w_id", "mark": "w_mark"})
-    found = d.join(w, (d["mark"] == w["w_mark"]) & d["doc_id"].eqNullSafe(w["w_id"]))
-    return found.select("cls", "text").dropDuplicates(["cls"])
+    return d.join(w, (d["mark"] == w["w_mark"]) & d["doc_id"].eqNullSafe(w["w_id"])).select("cls", "text")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, least_matches: int = LEAST_MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept.
 
     Documents are linked if 100 * common shingles >= ``percent`` * all of both.
-    ``least_matches`` of COORDINATES suits a percent of 80 and more: at 80 a link
-    is missed with probability 1e-6, at 85 with 1e-7.
+    ``least_matches`` of COORDINATES suits a percent of 80 and more: a pair at 80 is
+    missed with probability 7e-6, one at 85 with 5e-8 (binomial tails).
     """
     signed = stored(signed_documents(docs, id_col, text_col, width), "signed")
     first = F.min(F.struct("doc_id", "mark"))
@@ -269,6 +284,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, least_ma
     split = placed.where("n > 2").groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
     open_ = stored(placed.join(split, "token"), "open")
 
+    texts = _maybe_in(texts, open_, "cls")
+
     short = open_.where(F.col("n") <= SHORT_LIST)
     x, y = short.select("token", F.col("cls").alias("a"), F.col("root").alias("ra"), "hub"), short.select("token", F.col("cls").alias("b"), F.col("root").alias("rb"))
     pairs = x.join(y, "token").where("a < b and ra != rb and a != hub").select("a", "b").distinct()
