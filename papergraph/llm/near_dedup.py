@@ -124,7 +124,7 @@ def frequency_sketch(classes: DataFrame) -> np.ndarray:
 
 
 def prefix_postings(classes: DataFrame, sketch: np.ndarray, least_matches: int) -> DataFrame:
-    """token, cls: each class under its rarest coordinate-value pairs.
+    """token, cls, n_shingles: each class under its rarest coordinate-value pairs.
 
     The sketch only ranks the pairs; any ranking loses nothing.
     """
@@ -137,9 +137,9 @@ def prefix_postings(classes: DataFrame, sketch: np.ndarray, least_matches: int)
                 tokens = _tokens(batch)
                 best = np.sort((rank[_bucket(tokens)] << 37) | tokens, axis=1)[:, :length] & ((1 << 37) - 1)
                 who = pa.array(np.repeat(np.arange(batch.num_rows), length))
-                yield pa.RecordBatch.from_arrays([pa.array(best.ravel()), batch.column("cls").take(who)], ["token", "cls"])
+                yield pa.RecordBatch.from_arrays([pa.array(best.ravel()), batch.column("cls").take(who), batch.column("n_shingles").take(who)], ["token", "cls", "n_shingles"])
 
-    return classes.select("cls", "sig").mapInArrow(run, "token long, cls binary")
+    return classes.select("cls", "n_shingles", "sig").mapInArrow(run, "token long, cls binary, n_shingles long")
 
 
 def enough_matches(pairs: DataFrame, classes: DataFrame, least_matches: int) -> DataFrame:
@@ -266,35 +266,41 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, least_ma
     """
     signed = stored(signed_documents(docs, id_col, text_col, width), "signed")
     first = F.min(F.struct("doc_id", "mark"))
-    classes = signed.where(F.col("cls").isNotNull()).groupBy("cls").agg(first.alias("first"), F.min("doc_id").alias("least_id"), F.min("sig").alias("sig"))
-    classes = stored(classes.select("cls", "first.doc_id", "first.mark", "least_id", "sig"), "classes")
+    classes = signed.where(F.col("cls").isNotNull()).groupBy("cls").agg(first.alias("first"), F.min("doc_id").alias("least_id"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"))
+    classes = stored(classes.select("cls", "first.doc_id", "first.mark", "least_id", "n_shingles", "sig"), "classes")
+    # sets of too different a size can't be near, so such pairs go before anything else is read
+    alike = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
+    def texts_of(wanted: DataFrame, name: str) -> DataFrame:
+        """Only classes of pairs that passed the count of matches, or of long lists, need a text."""
+        return stored(class_texts(docs, wanted.distinct().join(classes.select("cls", "doc_id", "mark"), "cls"), id_col, text_col), name)
+
+    ends = lambda pairs: pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
     postings = prefix_postings(classes, frequency_sketch(classes), least_matches)
-    lists = postings.groupBy("token").agg(F.min("cls").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    live = stored(postings.join(lists, "token"), "postings")
-    wanted = live.select("cls").distinct().join(classes.select("cls", "doc_id", "mark"), "cls")
-    texts = stored(class_texts(docs, wanted, id_col, text_col), "texts")
+    lists = postings.groupBy("token").agg(F.min(F.struct("cls", "n_shingles")).alias("hub"), F.count("*").alias("n")).where("n > 1")
+    live = stored(postings.join(lists.select("token", F.col("hub.cls").alias("hub"), F.col("hub.n_shingles").alias("hub_n"), "n"), "token"), "postings")
 
-    star = live.where("cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
-    links = stored(confirmed(enough_matches(star, classes, least_matches), texts, percent, width), "links")
+    star = live.where("cls != hub").where(alike(F.col("n_shingles"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
+    star = stored(enough_matches(star, classes, least_matches), "star")
+    links = stored(confirmed(star, texts_of(ends(star), "star-texts"), percent, width), "links")
     roots = components(links, "first")
 
-    placed = live.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    placed = stored(placed, "placed")
-    split = placed.where("n > 2").groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
+    placed = live.where("n > 2").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    placed = stored(placed.drop("hub_n"), "placed")
+    split = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
     open_ = stored(placed.join(split, "token"), "open")
 
-    texts = _maybe_in(texts, open_, "cls")
-
     short = open_.where(F.col("n") <= SHORT_LIST)
-    x, y = short.select("token", F.col("cls").alias("a"), F.col("root").alias("ra"), "hub"), short.select("token", F.col("cls").alias("b"), F.col("root").alias("rb"))
-    pairs = x.join(y, "token").where("a < b and ra != rb and a != hub").select("a", "b").distinct()
-    more = confirmed(enough_matches(pairs, classes, least_matches), texts, percent, width)
+    x, y = (short.select("token", F.col("cls").alias(c), F.col("root").alias(f"r{c}"), F.col("n_shingles").alias(f"n{c}"), F.col("hub").alias(f"h{c}")) for c in ("a", "b"))
+    pairs = x.join(y, "token").where("a < b and ra != rb and a != ha").where(alike(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+    pairs = stored(enough_matches(pairs, classes, least_matches), "pairs")
 
     long = open_.where(F.col("n") > SHORT_LIST)
     families = components(long.select(F.col("hub").alias("a"), F.col("cls").alias("b")), "families").withColumnsRenamed({"node": "cls", "root": "family"})
-    members = long.select("cls", "root").distinct().join(families, "cls")
-    more = stored(more.unionByName(block_links(members, texts, percent, width)), "more-links")
+    members = stored(long.select("cls", "root").distinct().join(families, "cls"), "members")
+
+    texts = texts_of(ends(pairs).unionByName(members.select("cls")), "other-texts")
+    more = stored(confirmed(pairs, texts, percent, width).unionByName(block_links(members, texts, percent, width)), "more-links")
 
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "second")
