@@ -78,13 +78,20 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(total, -500, 500))))
 
 
-def _matrix(rows: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of the features that are among ``keys``."""
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
-    at = np.minimum(np.searchsorted(keys, flat), max(0, len(keys) - 1))
-    hit = keys[at] == flat if len(keys) else np.zeros(len(flat), bool)
-    return row[hit], at[hit]
+def _matrix(rows: list[np.ndarray], keys: np.ndarray, step: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of the features that are among ``keys``, some rows at a time."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for lo in range(0, len(rows) if len(keys) else 0, step):
+        part = rows[lo : lo + step]
+        flat = np.concatenate(part)
+        at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
+        hit = keys[at] == flat
+        found.append((np.repeat(np.arange(lo, lo + len(part)), [len(r) for r in part])[hit], at[hit]))
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
+def _counted(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(np.concatenate([np.zeros(0, np.uint32), *rows]), return_counts=True)
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, others: list[tuple[int, np.ndarray]], share: float | None = None, l1: float = 1e-4, swap: float = 1.0, rounds: int = 400, most_keys: int = 20_000) -> Model:
@@ -101,10 +108,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, others: list[tuple[int, np.n
     if y.min() == y.max():
         p = (y.sum() + 0.5) / (n + 1)
         return Model(none, np.zeros(0), float(np.log(p / (1 - p))))
-    flat = np.concatenate(rows)
-    keys, at = np.unique(flat, return_inverse=True)
-    weight = np.repeat(y, [len(r) for r in rows])
-    seen, toxic = np.bincount(at, minlength=len(keys)), np.bincount(at, weights=weight, minlength=len(keys))
+    keys, seen = _counted(rows)
+    some, times = _counted([r for r, label in zip(rows, y, strict=True) if label])
+    toxic = np.zeros(len(keys))
+    toxic[np.searchsorted(keys, some)] = times
     expected = seen * y.mean()
     strange = (toxic - expected) ** 2 / np.maximum(expected * (1 - y.mean()), 1e-9)
     strange[seen < 3] = 0
@@ -171,11 +178,13 @@ def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_other
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary()), pa.array(other, pa.binary())], ["y", "own", "other"])
 
     texts = docs.select("doc_id", text_col).join(F.broadcast(chosen), "doc_id").select("y", text_col)
-    found = texts.mapInArrow(run, "y int, own binary, other binary").orderBy("y", "own").limit(most_toxic + most_other).toArrow()
+    found = texts.mapInArrow(run, "y int, own binary, other binary").limit(most_toxic + most_other).toArrow()
+    taken = sorted(zip(found.column("y").to_pylist(), found.column("own").to_pylist(), found.column("other").to_pylist(), strict=True), key=lambda x: x[:2])
+    del found
     as_array = lambda x: np.frombuffer(x, np.uint32)
-    rows = [as_array(x) for x in found.column("own").to_pylist()]
-    others = [(k, as_array(x)) for k, x in enumerate(found.column("other").to_pylist()) if x is not None]
-    return fit(rows, np.array(found.column("y").to_pylist(), np.float64), others, (toxic or 0) / total if total else None, **options)
+    rows = [as_array(x) for _, x, _ in taken]
+    others = [(k, as_array(x)) for k, (_, _, x) in enumerate(taken) if x is not None]
+    return fit(rows, np.array([t for t, _, _ in taken], np.float64), others, (toxic or 0) / total if total else None, **options)
 
 
 def score_texts(docs: DataFrame, model: Model, limit: float = 0.7, text_col: str = "text") -> DataFrame:
