@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jpeg, langid, line_frequency, markov, mixing, near_dedup, packing, secrets, toxicity
+from . import jpeg, langid, line_frequency, markov, mixing, near_dedup, packing, secrets, toxicity, unit_dedup
 from .sql import SQL
 
 
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op2_linked_secrets": secrets.op2_linked_secrets,
         "op3_jpeg_payload": jpeg.op3_jpeg_payload,
         "op4_counterfactual_toxicity": toxicity.op4_counterfactual_toxicity,
+        "op5_line_dedup": unit_dedup.op5_line_dedup,
         "op6_hierarchical_packing": packing.op6_hierarchical_packing,
         "op7_hidden_markov": markov.op7_hidden_markov,
         "op8_pareto_mix": mixing.op8_pareto_mix,
