@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_of, remainder, table
+from .common import pieces_of, remainder, stored, table
 
 #: Kinds of identity groups; a term is swapped for the next one of its kind.
 IDENTITY_TERMS = (
@@ -78,74 +78,118 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(total, -500, 500))))
 
 
-def _matrix(rows: list[np.ndarray], keys: np.ndarray, step: int = 500) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of the features that are among ``keys``, some rows at a time."""
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for lo in range(0, len(rows) if len(keys) else 0, step):
-        part = rows[lo : lo + step]
-        flat = np.concatenate(part)
-        at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
-        hit = keys[at] == flat
-        found.append((np.repeat(np.arange(lo, lo + len(part)), [len(r) for r in part])[hit], at[hit]))
-    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+@dataclass
+class Rows:
+    """Feature numbers of many texts, end to end; products take some texts at a time to stay small."""
+
+    columns: np.ndarray
+    ends: np.ndarray
+    step: int = 500
+
+    @classmethod
+    def of(cls, texts: list[np.ndarray]) -> Rows:
+        return cls(np.concatenate([np.zeros(0, np.uint8), *texts]), np.cumsum([0, *map(len, texts)]))
+
+    def _parts(self):
+        for lo in range(0, len(self.ends) - 1, self.step):
+            ends = self.ends[lo : lo + self.step + 1]
+            yield slice(lo, lo + len(ends) - 1), self.columns[ends[0] : ends[-1]], ends - ends[0]
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """For each text the sum of its features' weights."""
+        out = np.zeros(len(self.ends) - 1)
+        for here, columns, ends in self._parts():
+            out[here] = np.diff(np.concatenate([[0.0], np.cumsum(w[columns])])[ends])
+        return out
+
+    def back(self, e: np.ndarray, width: int) -> np.ndarray:
+        """For each feature the sum of ``e`` over the texts that have it."""
+        out = np.zeros(width)
+        for here, columns, ends in self._parts():
+            out += np.bincount(columns, weights=np.repeat(e[here], np.diff(ends)), minlength=width)
+        return out
+
+
+def _class_counts(rows: list[np.ndarray], labels) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, in how many rows each is, and in how many of label 1."""
+    counted = lambda some: np.unique(np.concatenate([np.zeros(0, np.uint32), *some]), return_counts=True)
+    keys, seen = counted(rows)
+    some, times = counted([r for r, label in zip(rows, labels, strict=True) if label])
+    toxic = np.zeros(len(keys), np.int64)
+    toxic[np.searchsorted(keys, some)] = times
+    return keys, seen, toxic
+
+
+def _strangeness(seen, toxic, share: float):
+    """How far the count among label 1 is from its expectation, of numbers or columns alike."""
+    return (toxic - seen * share) ** 2 / (seen * (share * (1 - share)))
+
+
+#: A feature takes part if seen as often as this, and as strange as this.
+LEAST_SEEN, LEAST_STRANGE = 3, 4
+MOST_KEYS = 20_000
+
 
+def _places(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Numbers of the features that are among ``keys``, in the smallest type that holds them."""
+    kind = np.min_scalar_type(len(keys))
+    if not len(keys):
+        return np.zeros(0, kind)
+    at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+    return at[keys[at] == found].astype(kind)
 
-def _counted(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate([np.zeros(0, np.uint32), *rows]), return_counts=True)
 
+def _change(keys: np.ndarray, own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the features gained and lost by swapping."""
+    a, b = _places(keys, own), _places(keys, other)
+    return np.setdiff1d(b, a, assume_unique=True), np.setdiff1d(a, b, assume_unique=True)
+
+
+def _one_class(y_sum: int, n: int) -> Model:
+    """What is known without both labels: nothing, or a smoothed share."""
+    p = (y_sum + 0.5) / (n + 1) if n else 0.5
+    return Model(np.zeros(0, np.uint32), np.zeros(0), float(np.log(p / (1 - p))))
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, others: list[tuple[int, np.ndarray]], share: float | None = None, most_keys: int = MOST_KEYS, **options) -> Model:
+    """Fit on feature arrays; ``others`` has (row, features of the swapped text)."""
+    y, n = labels.astype(np.float64), len(rows)
+    if n == 0 or y.min() == y.max():
+        return _one_class(y.sum(), n)
+    keys, seen, toxic = _class_counts(rows, labels)
+    strange = _strangeness(seen, toxic, y.mean())
+    strange[seen < LEAST_SEEN] = 0
+    keep = np.sort(np.argsort(-strange, kind="stable")[:most_keys])
+    keys = keys[keep[strange[keep] > LEAST_STRANGE]]
+    changes = [_change(keys, rows[k], x) for k, x in others]
+    return _solved(keys, Rows.of([_places(keys, r) for r in rows]), y, Rows.of([x for x, _ in changes]), Rows.of([x for _, x in changes]), share, **options)
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, others: list[tuple[int, np.ndarray]], share: float | None = None, l1: float = 1e-4, swap: float = 1.0, rounds: int = 400, most_keys: int = 20_000) -> Model:
-    """Fit on feature arrays; ``others`` has (row, features of the swapped text).
 
-    Minimises the mean log loss + ``l1`` * sum |w| + ``swap`` * the mean squared
+def _solved(keys: np.ndarray, rows: Rows, y: np.ndarray, gained: Rows, lost: Rows, share: float | None, l1: float = 1e-4, swap: float = 1.0, rounds: int = 400) -> Model:
+    """Minimises the mean log loss + ``l1`` * sum |w| + ``swap`` * the mean squared
     change of the linear score under swapping, by accelerated proximal steps.
     ``share`` is the share of label 1 that the intercept is set for.
     """
-    y, n = labels.astype(np.float64), len(rows)
-    none = np.zeros(0, np.uint32)
-    if n == 0:
-        return Model(none, np.zeros(0), 0.0)
-    if y.min() == y.max():
-        p = (y.sum() + 0.5) / (n + 1)
-        return Model(none, np.zeros(0), float(np.log(p / (1 - p))))
-    keys, seen = _counted(rows)
-    some, times = _counted([r for r, label in zip(rows, y, strict=True) if label])
-    toxic = np.zeros(len(keys))
-    toxic[np.searchsorted(keys, some)] = times
-    expected = seen * y.mean()
-    strange = (toxic - expected) ** 2 / np.maximum(expected * (1 - y.mean()), 1e-9)
-    strange[seen < 3] = 0
-    keep = np.sort(np.argsort(-strange, kind="stable")[:most_keys])
-    keys = keys[keep[strange[keep] > 4]]
-    r, c = _matrix(rows, keys)
-    which = np.array([k for k, _ in others], np.int64)
-    r2, c2 = _matrix([x for _, x in others], keys)
-    r1, c1 = _matrix([rows[k] for k in which], keys)
-    dr, dc, dv = np.concatenate([r1, r2]), np.concatenate([c1, c2]), np.concatenate([-np.ones(len(r1)), np.ones(len(r2))])
-    m = max(1, len(others))
-
-    def gradient(w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
-        z = np.bincount(r, weights=w[c], minlength=n) + b
-        e = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / n
-        change = np.bincount(dr, weights=w[dc] * dv, minlength=m)
-        g = np.bincount(c, weights=e[r], minlength=len(w)) + 2 * swap / m * np.bincount(dc, weights=change[dr] * dv, minlength=len(w))
-        return g, float(e.sum())
+    n, m, width = len(y), max(1, len(gained.ends) - 1), len(keys)
 
-    w, b, step, momentum = np.zeros(len(keys)), float(np.log(y.mean() / (1 - y.mean()))), 1.0, 1.0
-    v, vb = w, b
+    def loss(w: np.ndarray, b: float) -> tuple[float, np.ndarray, np.ndarray]:
+        z, change = rows.times(w) + b, gained.times(w) - lost.times(w)
+        return np.mean(np.logaddexp(0, z) - y * z) + swap / m * (change**2).sum(), z, change
 
-    def loss(w, b):
-        z = np.bincount(r, weights=w[c], minlength=n) + b
-        return np.mean(np.logaddexp(0, z) - y * z) + swap / m * (np.bincount(dr, weights=w[dc] * dv, minlength=m) ** 2).sum()
+    def gradient(z: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, float]:
+        e = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / n
+        return rows.back(e, width) + 2 * swap / m * (gained.back(change, width) - lost.back(change, width)), float(e.sum())
 
+    w, b, step, momentum = np.zeros(width), float(np.log(y.mean() / (1 - y.mean()))), 1.0, 1.0
+    v, vb = w, b
     for _ in range(rounds):
-        g, gb = gradient(v, vb)
-        here = loss(v, vb)
+        here, z, change = loss(v, vb)
+        g, gb = gradient(z, change)
         while True:  # the step shrinks until the quadratic bound holds
             t = v - step * g
             new, nb = np.sign(t) * np.maximum(np.abs(t) - step * l1, 0), vb - step * gb
             d, db = new - v, nb - vb
-            if step < 1e-6 or loss(new, nb) <= here + g @ d + gb * db + (d @ d + db * db) / (2 * step) + 1e-12:
+            if step < 1e-6 or loss(new, nb)[0] <= here + g @ d + gb * db + (d @ d + db * db) / (2 * step) + 1e-12:
                 break
             step /= 2
         following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
@@ -158,33 +202,55 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, others: list[tuple[int, np.n
     return Model(keys[used], w[used], float(b))
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_other: int = 8000, label_col: str = "toxic", text_col: str = "text", kinds=IDENTITY_TERMS, **options) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_other: int = 8000, label_col: str = "toxic", text_col: str = "text", kinds=IDENTITY_TERMS, most_keys: int = MOST_KEYS, **options) -> Model:
     """A model from the texts whose ids ``labels`` (doc_id, ``label_col``) marks.
 
-    Features are computed on the executors; what comes to the driver is bounded
-    by the two row limits.
+    Features are found, counted and chosen on the executors; to the driver come
+    only the chosen ones, as small numbers, of the rows within the two limits.
+    An id with several texts is learned from once.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull())
     known = known.groupBy("doc_id").agg(F.max(F.col(label_col).cast("int")).alias("y"))
     total, toxic = known.agg(F.count("*"), F.sum("y")).first()
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("y = 1").orderBy(*order).limit(most_toxic).unionByName(known.where("y = 0").orderBy(*order).limit(most_other))
+    as_array = lambda x: np.frombuffer(x, np.uint32)
+    binary = lambda arrays: pa.array([None if x is None else x.tobytes() for x in arrays], pa.binary())
 
-    def run(batches):
+    def find(batches):
         for batch in pieces_of(batches):
-            texts = batch.column(1).to_pylist()
-            own = [features(t).tobytes() for t in texts]
-            other = [None if s is None else features(s).tobytes() for s in (swapped(t, kinds) for t in texts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary()), pa.array(other, pa.binary())], ["y", "own", "other"])
-
-    texts = docs.select("doc_id", text_col).join(F.broadcast(chosen), "doc_id").select("y", text_col)
-    found = texts.mapInArrow(run, "y int, own binary, other binary").limit(most_toxic + most_other).toArrow()
-    taken = sorted(zip(found.column("y").to_pylist(), found.column("own").to_pylist(), found.column("other").to_pylist(), strict=True), key=lambda x: x[:2])
-    del found
-    as_array = lambda x: np.frombuffer(x, np.uint32)
-    rows = [as_array(x) for _, x, _ in taken]
-    others = [(k, as_array(x)) for k, (_, _, x) in enumerate(taken) if x is not None]
-    return fit(rows, np.array([t for t, _, _ in taken], np.float64), others, (toxic or 0) / total if total else None, **options)
+            texts = batch.column(2).to_pylist()
+            other = (swapped(t, kinds) for t in texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), binary(map(features, texts)), binary(None if s is None else features(s) for s in other)], ["doc_id", "y", "own", "other"])
+
+    def count(batches):
+        for batch in pieces_of(batches):
+            counts = _class_counts([as_array(x) for x in batch.column("own").to_pylist()], batch.column("y").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in counts], ["key", "seen", "toxic"])
+
+    texts = docs.select("doc_id", text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", text_col)
+    found = texts.mapInArrow(find, f"doc_id {dict(docs.dtypes)['doc_id']}, y int, own binary, other binary")
+    found = stored(found.groupBy("doc_id").agg(F.min(F.struct("y", "own", "other")).alias("row")).select("row.*"), "features")
+    n, ones = found.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if ones in (0, n):
+        return _one_class(ones, n)
+    tallied = found.mapInArrow(count, "key long, seen long, toxic long").groupBy("key").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic"))
+    strange = tallied.where(F.col("seen") >= LEAST_SEEN).select("key", _strangeness(F.col("seen"), F.col("toxic"), ones / n).alias("strange"))
+    best = strange.where(F.col("strange") > LEAST_STRANGE).orderBy(F.desc("strange"), "key").limit(most_keys).select("key")
+    keys = np.sort(best.toArrow().column("key").to_numpy().astype(np.uint32))
+
+    def code(batches):
+        for batch in pieces_of(batches):
+            own, other = ([None if x is None else as_array(x) for x in batch.column(c).to_pylist()] for c in ("own", "other"))
+            changes = [(None, None) if y is None else _change(keys, x, y) for x, y in zip(own, other, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), binary(_places(keys, x) for x in own), binary(x for x, _ in changes), binary(x for _, x in changes)], ["y", "own", "gained", "lost"])
+
+    coded = found.mapInArrow(code, "y int, own binary, gained binary, lost binary").toArrow()
+    taken = sorted(zip(*(coded.column(c).to_pylist() for c in ("y", "own", "gained", "lost")), strict=True), key=lambda x: (x[0], x[1], x[2] or b"", x[3] or b""))
+    del coded
+    kind = np.min_scalar_type(len(keys))
+    as_rows = lambda k: Rows.of([np.frombuffer(x[k], kind) for x in taken if x[k] is not None])
+    return _solved(keys, as_rows(1), np.array([x[0] for x in taken], np.float64), as_rows(2), as_rows(3), toxic / total, **options)
 
 
 def score_texts(docs: DataFrame, model: Model, limit: float = 0.7, text_col: str = "text") -> DataFrame:
