@@ -6,9 +6,11 @@ hidden states emit classes; a class gives its words by their training counts:
 
     p(text) = p(classes | HMM) * product of (c + 0.1) / (mass of the word's class)
 
-Baum-Welch runs over all training texts, cut into segments that advance
-together: each task sums its expected counts, the sums over tasks give the next
-parameters. Scoring is the scaled forward recursion over whole texts.
+Every round of Baum-Welch runs over all training texts, until one gains too
+little likelihood. Texts are cut into segments of SEGMENT words that advance
+together; a later segment starts from a distribution of its own, not from the
+state before it. Each task sums its expected counts, the sums over tasks give the
+next parameters. Scoring is the scaled forward recursion over whole texts.
 
 Texts are read once and kept as units: some thousand texts with one sorted list
 of their distinct words. Each unit sends a distinct word once to be counted and
@@ -172,9 +174,11 @@ def unit_sequences(row: dict, train_only: bool) -> tuple[np.ndarray, np.ndarray]
 
 
 def expected_counts(seq: np.ndarray, lengths: np.ndarray, chain: Chain, segment: int = SEGMENT) -> dict[str, np.ndarray]:
-    """Forward-backward over segments of at most ``segment`` words, all in step."""
+    """Forward-backward over segments of at most ``segment`` words, all in step.
+
+    ``fit`` is the segments' log-likelihood under ``chain``."""
     k = len(chain.first)
-    out = {"first": np.zeros(k), "inside": np.zeros(k), "step": np.zeros((k, k)), "emit": np.zeros((CLASSES, k))}
+    out = {"first": np.zeros(k), "inside": np.zeros(k), "step": np.zeros((k, k)), "emit": np.zeros((CLASSES, k)), "fit": np.zeros(1)}
     if not len(seq):
         return out
     cuts = -(-lengths // segment)
@@ -195,6 +199,7 @@ def expected_counts(seq: np.ndarray, lengths: np.ndarray, chain: Chain, segment:
         a = a / z
         alphas.append(a)
         norms.append(z)
+    out["fit"] += np.log(np.concatenate(norms), dtype=np.float64).sum()
     beta = np.ones((0, k), np.float32)
     for t in range(len(live) - 1, -1, -1):
         n, later = live[t], len(beta)
@@ -229,8 +234,10 @@ def starting_chain(share: np.ndarray, states: int, seed: int) -> Chain:
     return Chain(even, even, 0.8 * np.eye(states) + 0.2 / states, emit / emit.sum(axis=0))
 
 
-def baum_welch_round(units: DataFrame, chain: Chain, share: np.ndarray) -> Chain:
-    """One round over every training text: expected counts by task, then their sums."""
+def baum_welch_round(units: DataFrame, chain: Chain, share: np.ndarray) -> tuple[Chain, float]:
+    """One round over every training text: expected counts by task, then their sums.
+
+    Returns the next parameters and the log-likelihood under ``chain``."""
     k = len(chain.first)
 
     def run(batches):
@@ -240,33 +247,29 @@ def baum_welch_round(units: DataFrame, chain: Chain, share: np.ndarray) -> Chain
                 got = expected_counts(*unit_sequences(row, True), chain)
                 total = got if total is None else {c: total[c] + got[c] for c in got}
         if total is not None:
-            stack = np.vstack([total["emit"], total["step"], total["first"][None], total["inside"][None]])
+            stack = np.vstack([total["emit"], total["step"], total["first"][None], total["inside"][None], np.resize(total["fit"], (1, k))])
             stack = np.rint(stack * FRACTION).astype(np.int64)
             some = np.flatnonzero(stack.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(stack[some, s]) for s in range(k))], ["at", *(f"s{s}" for s in range(k))])
 
     kind = "at long, " + ", ".join(f"s{s} long" for s in range(k))
     sums = units.select("lengths", "held", "words", "tokens").mapInArrow(run, kind).groupBy("at").agg(*[F.sum(f"s{s}") for s in range(k)])
-    stack = np.zeros((CLASSES + k + 2, k))
-    for r in sums.toLocalIterator():
-        stack[r[0]] = r[1:]
+    stack = np.zeros((CLASSES + k + 3, k))
+    at, *found = (c.to_numpy() for c in sums.toArrow().columns)  # a row a class at most
+    stack[at] = np.column_stack(found)
     stack /= FRACTION
-    return maximised({"emit": stack[:CLASSES], "step": stack[CLASSES:-2], "first": stack[-2], "inside": stack[-1]}, share)
+    return maximised({"emit": stack[:CLASSES], "step": stack[CLASSES:-3], "first": stack[-3], "inside": stack[-2]}, share), stack[-1, 0]
 
 
-def train_chain(units: DataFrame, share: np.ndarray, states: int = STATES, warm: int = 15, rounds: int = 2, seed: int = 7, sample_words: int = 200_000) -> Chain:
-    """Baum-Welch: ``warm`` rounds on the first ``sample_words`` words of one unit, only
-    to set out from, then ``rounds`` over the whole training part."""
-    chain = starting_chain(share, states, seed)
-    first = units.orderBy("unit").limit(1).select("lengths", "held", "words", "tokens").toArrow().to_pylist()
-    for row in first:
-        seq, lengths = unit_sequences(row, True)
-        lengths = lengths[: int(np.searchsorted(np.cumsum(lengths), sample_words)) + 1]
-        for _ in range(warm if len(lengths) else 0):
-            chain = maximised(expected_counts(seq[: lengths.sum()], lengths, chain), share)
-    for _ in range(rounds):
-        chain = baum_welch_round(units, chain, share)
-    return chain
+def train_chain(units: DataFrame, share: np.ndarray, n_words: float, states: int = STATES, tolerance: float = 1e-3, seed: int = 7) -> Chain:
+    """Baum-Welch over the whole training part, until a round gains at most ``tolerance``
+    nats of log-likelihood a word (ends count as words)."""
+    chain, before = starting_chain(share, states, seed), -np.inf
+    while True:
+        chain, fit = baum_welch_round(units, chain, share)
+        if fit - before <= tolerance * n_words:
+            return chain
+        before = fit
 
 
 def log_likelihoods(seq: np.ndarray, lengths: np.ndarray, chain: Chain) -> np.ndarray:
@@ -335,7 +338,7 @@ def hidden_markov_scores(docs: DataFrame, held_col: str = "held_out", id_col: st
     texts = units.select("held").mapInArrow(trained_texts, "n long").agg(F.sum("n")).first()[0] or 0
     number[END], kinds[END] = texts, min(1, texts)
     share = (number + 0.5) / (number.sum() + 0.5 * CLASSES)
-    chain = train_chain(units, share, **training)
+    chain = train_chain(units, share, float(number.sum()), **training)
     return score_units(units, counted, chain, kinds, number, dict(docs.dtypes)[id_col])
 
 

@@ -265,6 +265,22 @@ def test_forward_recursion_sums_over_paths():
         before = likelihood
 
 
+def test_every_markov_round_reads_the_whole_training_part(spark):
+    rng = np.random.default_rng(5)
+    kinds = [[f"{a}{b}" for a in x for b in "aeiou"] for x in ("bcdfg", "klmnp")]
+    rows = [(i, " ".join(rng.choice(kinds[i // 150], 40)), False) for i in range(300)]
+    one_way, other_way = ([r[1] for r in sorted(markov.hidden_markov_scores(spark.createDataFrame(x, "doc_id long, text string, held_out boolean").coalesce(1).repartitionByRange(2, F.col("doc_id") * sign)).select("doc_id", "score").collect())] for x, sign in ((rows, 1), (rows[::-1], -1)))
+    assert one_way == pytest.approx(other_way, abs=0.01)  # whichever kind lies in the first unit
+    # held-out texts alone in the first unit do not keep the states even
+    held = spark.createDataFrame([(i, t, i < 150) for i, t, _ in rows], "doc_id long, text string, held_out boolean").repartitionByRange(2, "doc_id")
+    units = held.select("doc_id", "text", "held_out").transform(lambda d: markov.make_units(d, "doc_id", "text", "held_out")).persist()
+    share, n = np.full(markov.CLASSES, 1 / markov.CLASSES), 150 * 41
+    chain = markov.train_chain(units, share, n)
+    after, fit = markov.baum_welch_round(units, chain, share)
+    assert markov.baum_welch_round(units, after, share)[1] - fit <= 2e-3 * n
+    units.unpersist()
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert line_frequency.line_frequency_rules(empty).count() == 0
