@@ -146,7 +146,9 @@ def streamed_thread_summaries(spark, sf_dir):
     """Thread counters kept by a streaming aggregation over the conversations."""
     import uuid
 
-    name = f"threads_{uuid.uuid4().hex}"
+    from papergraph.llm.common import shared_dir
+
+    folder = f"{shared_dir(spark)}/streams/threads-{uuid.uuid4().hex}"
     path = f"{sf_dir}/conversations.parquet"
     table = spark.read.parquet(path)
     single = table.inputFiles()[:1] and table.inputFiles()[0].endswith("/conversations.parquet")  # a file, not a folder
@@ -154,9 +156,15 @@ def streamed_thread_summaries(spark, sf_dir):
     stream = reader.option("pathGlobFilter", "conversations.parquet").parquet(sf_dir) if single else reader.parquet(path)
     stamp = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn") * 60 + F.col("conv_id"))
     messages = stream.select(F.col("conv_id").alias("chat_id"), "role", stamp.alias("ts"))
-    query = jobs.stream_thread_summaries(messages).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    summaries = jobs.stream_thread_summaries(messages)
+    spark.createDataFrame([], summaries.schema).write.parquet(f"{folder}/table")  # stays if no batch comes
+
+    def batch(rows, number):
+        rows.write.mode("overwrite").parquet(f"{folder}/table")
+
+    query = summaries.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name).select("chat_id", "question_count", F.unix_timestamp("updated_at").alias("updated_s"))
+    return spark.read.schema(summaries.schema).parquet(f"{folder}/table").select("chat_id", "question_count", F.unix_timestamp("updated_at").alias("updated_s"))
 
 
 def finished_sections(spark, sf_dir):

@@ -296,6 +296,21 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert nodes.where("doc_id = 1").count() == 5 and spark.read.parquet(str(tmp_path / "out/edges")).count() == 4
 
 
+def test_streamed_summaries_lie_in_the_shared_folder(spark, tmp_path):
+    from papergraph.llm.common import shared_dir
+    from papergraph.plans import readers
+
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", "x") for c in range(40) for t in range(c % 5 + 1)]
+    data = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    for name, part, want in (("some", data, [(c, c % 5 // 2 + 1, 1_700_000_000 + c % 5 * 60 + c) for c in range(40)]), ("none", data.limit(0), [])):
+        part.repartition(3).write.parquet(str(tmp_path / name / "conversations.parquet"))
+        got = readers.streamed_thread_summaries(spark, str(tmp_path / name))
+        assert sorted(map(tuple, got.collect())) == want
+        files = got.inputFiles()
+        assert files and all(f.replace("file:///", "/").startswith(shared_dir(spark).replace("file://", "") + "/streams/") for f in files)
+        assert spark.read.text(files[0].rsplit("/table/", 1)[0] + "/checkpoint/offsets").count() > 0
+
+
 def test_entry_imports():
     import __spark_entry__ as e
 
