@@ -4,10 +4,18 @@ Lines are normalised and hashed; equal digests are grouped over the whole
 corpus; of each group the occurrence of the earliest rank (id, then place) stays
 and the others are removed, told by their offsets in the original text.
 
+Lines of fewer than ``least_words`` words join the same grouping in two ways. In a
+run of them, from each line the fewest lines that have ``least_words`` words are
+hashed, forwards and backwards, so that a repeated passage of short lines is found
+from its first line to its last. A run that has fewer words is hashed with the long
+line on either side of it, so that a repeated passage keeps no holes. Spans that
+overlap are joined.
+
 Defined cases: a null text has no units; null ids rank first; rows equal in id
 and text are one document, whose units share their rank and so stay or go
-alike; lines of fewer than ``least_words`` words are never removed; an empty
-table gives an empty result; columns that are not named are not read.
+alike; a run of short lines with fewer than ``least_words`` words stays unless it
+lies between two long lines that are repeated with it; an empty table gives an
+empty result; columns that are not named are not read.
 """
 
 from __future__ import annotations
@@ -15,26 +23,74 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, record, running, stored, table, word_array
+from .common import let, rank_of, record, running, stored, table, word_array
+
+
+def short_units(every: Column, least_words: int) -> Column:
+    """Units of lines (structs start, end, words) that have too few words alone.
+
+    Structs start, end, words, link; ``link`` marks a short run between long lines.
+    """
+    n = F.transform(every, lambda u: F.size(u["words"]).cast("bigint"))
+    add = lambda a, b: a + b
+
+    def joined(i: Column, j: Column, link: bool) -> Column:
+        words = F.flatten(F.transform(F.slice(every, i + 1, j - i + 1), lambda u: u["words"]))
+        return record(start=F.get(every, i)["start"], end=F.get(every, j)["end"], words=words, link=F.lit(link))
+
+    def found(n: Column, upto: Column, longs: Column) -> Column:
+        before = F.transform(upto, lambda c, i: c - F.get(n, i))
+        lines = F.sequence(F.lit(0), F.size(n) - 1)
+        short = lambda i: (F.get(n, i) > 0) & (F.get(n, i) < least_words)
+        inside = lambda i, j: (i >= 0) & (j < F.size(n)) & (F.get(longs, i) == F.get(longs, j)) & short(i)
+
+        def placed(before: Column) -> Column:
+            starts = F.filter(lines, short)
+            ahead = F.transform(starts, lambda i: record(i=i, j=rank_of(upto, lambda x: x, F.get(before, i) + (least_words - 1))))
+            back = F.transform(starts, lambda j: record(i=rank_of(before, lambda x: x, F.get(upto, j) - least_words) - 1, j=j))
+            runs = F.filter(F.array_distinct(F.concat(ahead, back)), lambda w: inside(w["i"], w["j"]))
+            long = F.filter(lines, lambda i: F.get(n, i) >= least_words)
+            gaps = let(long, lambda x: F.filter(F.transform(x, lambda i, k: record(i=i, j=F.get(x, k + 1))), lambda w: w["j"].isNotNull() & (F.get(before, w["j"]) - F.get(upto, w["i"])).between(1, least_words - 1)))
+            return F.concat(F.transform(runs, lambda w: joined(w["i"], w["j"], False)), F.transform(gaps, lambda w: joined(w["i"], w["j"], True)))
+
+        return let(before, placed)
+
+    longs = lambda n: running(F.transform(n, lambda x: F.when(x >= least_words, 1).otherwise(0).cast("bigint")), add, F.lit(0))
+    none = F.array().cast("array<struct<start:bigint,end:bigint,words:array<string>,link:boolean>>")
+    found_in = let(n, lambda n: let(running(n, add, F.lit(0)), lambda upto: let(longs(n), lambda x: found(n, upto, x))))
+    return F.when(F.exists(every, lambda u: F.size(u["words"]).between(1, least_words - 1)), found_in).otherwise(none)
 
 
 def units(text: Column, least_words: int) -> Column:
-    """The lines of enough words: start, end (code points), digest of the normal form (two hashes)."""
+    """Start, end (code points), digest of the normal form (two hashes) and link of every unit."""
     lines = F.split(text, "\n", -1)
 
     def placed(x: Column) -> Column:
         ends = running(F.transform(x, lambda s: (F.length(s) + 1).cast("bigint")), lambda a, b: a + b, F.lit(0))
         words = F.transform(x, lambda s: word_array(F.lower(s)))
         every = let(ends, lambda e: let(words, lambda w: F.transform(x, lambda s, i: record(start=F.get(e, i) - 1 - F.length(s), end=F.get(e, i) - 1, words=F.get(w, i)))))
-        long = F.filter(every, lambda u: F.size(u["words"]) >= least_words)
-        return F.transform(long, lambda u: record(start=u["start"], end=u["end"], d1=F.xxhash64(u["words"]), d2=F.xxhash64(F.lit(5), u["words"])))
+        long = lambda v: F.transform(F.filter(v, lambda u: F.size(u["words"]) >= least_words), lambda u: record(start=u["start"], end=u["end"], words=u["words"], link=F.lit(False)))
+        both = let(every, lambda v: F.concat(long(v), short_units(v, least_words)))
+        return F.transform(both, lambda u: record(start=u["start"], end=u["end"], d1=F.xxhash64(u["words"]), d2=F.xxhash64(F.lit(5), u["words"]), link=u["link"]))
 
     return let(lines, placed)
 
 
+def without_overlaps(spans: Column) -> Column:
+    """Sorted spans (start, end) with those that overlap joined."""
+
+    def merged(s: Column, upto: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["start"] >= F.get(upto, i - 1)))
+        return let(heads, lambda h: F.transform(h, lambda i, k: record(start=F.get(s, i)["start"], end=F.get(upto, F.coalesce(F.get(h, k + 1), F.size(s)) - 1))))
+
+    joined = let(spans, lambda s: let(running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b), F.lit(0)), lambda upto: merged(s, upto)))
+    return F.when(F.size(spans) < 2, spans).otherwise(joined)
+
+
 def repeated_units(docs: DataFrame, least_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_units, n_removed, removed_chars, removed (start:end, comma-joined).
 
+    n_units counts long lines and units within short runs; n_removed counts spans.
     The text is read once; only digests and places move. The earliest place of a
     digest is a minimum, summed up before the shuffle, so a very common line is
     no hot group; singles never meet their document again.
@@ -47,12 +103,12 @@ def repeated_units(docs: DataFrame, least_words: int = 10, id_col: str = "doc_id
     met = rows.where("d1 is not null").join(first, ["d1", "d2"])
     later = met.where(~place.eqNullSafe(F.col("first"))).select("doc_id", "same", "start", "end")
     # counts ride on a document's first row; later units are added as rows of their own
-    own = rows.groupBy("doc_id", "same").agg(F.count("d1").alias("n"), F.count_if(F.coalesce("at", F.lit(0)) == 0).alias("copies"))
+    own = rows.groupBy("doc_id", "same").agg(F.count_if(~F.col("link")).alias("n"), F.count_if(F.coalesce("at", F.lit(0)) == 0).alias("copies"))
     gone = later.groupBy("doc_id", "same").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
     gone = gone.withColumnsRenamed({"doc_id": "g_id", "same": "g_same"})
     out = own.join(gone, own["same"].eqNullSafe(gone["g_same"]) & own["doc_id"].eqNullSafe(gone["g_id"]), "left")
     spans = F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>"))
-    out = out.withColumn("spans", spans).select(
+    out = out.withColumn("spans", without_overlaps(spans)).select(
         "doc_id", (F.col("n") / F.col("copies")).cast("long").alias("n_units"), F.size("spans").cast("long").alias("n_removed"),
         F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"]).alias("removed_chars"),
         F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("removed"),

@@ -22,3 +22,53 @@ def test_lines_stay_where_they_rank_first(spark):
         want[i] = (n, len(gone), ",".join(gone))
     assert sorted((r["doc_id"], r["n_units"], r["n_removed"], r["removed"]) for r in got) == sorted((i, *want[i]) for i in [*texts, 4])
     assert repeated_units(df.limit(0)).count() == 0
+
+
+def removed_texts(spark, texts):
+    got = repeated_units(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()
+    spans = {r["doc_id"]: [tuple(map(int, x.split(":"))) for x in filter(None, r["removed"].split(","))] for r in got}
+    assert all(r["n_removed"] == len(spans[r["doc_id"]]) and r["removed_chars"] == sum(b - a for a, b in spans[r["doc_id"]]) for r in got)
+    return [[texts[i][a:b] for a, b in spans[i]] for i in range(len(texts))]
+
+
+def test_passages_of_short_lines_are_removed_whole(spark):
+    verse = "\n".join(f"é verse {k} of\n\nthe song" if k % 3 else f"v{k}" for k in range(20))
+    long = [" ".join(f"{c}{k}" for k in range(12)) for c in "ab"]
+    mixed = f"{long[0]}\nshort one\n{long[1]}"
+    got = removed_texts(spark, [f"an intro\n{verse}\nan end", f"{long[0]}\n{verse}\nother end", mixed, f"start\n{mixed}\nend", "few\nwords", "few\nwords"])
+    assert got == [[], [verse], [long[0]], [mixed], [], []]
+
+
+def test_short_runs_against_a_plain_version(spark):
+    import random
+
+    rng = random.Random(4)
+    texts = ["\n".join(rng.choice(["", "a", "b c", "d e f g", "h i j k l m n", "o p q r s t u v w x"]) for _ in range(rng.randrange(1, 40))) for _ in range(30)]
+    first, units = {}, []
+    for i, t in enumerate(texts):
+        lines, at, mine = t.split("\n"), 0, set()
+        place = [(at := at + len(x) + 1) - len(x) - 1 for x in lines]
+        w = [x.split() for x in lines]
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                n, part = sum(map(len, w[a : b + 1])), range(a, b + 1)
+                all_short = all(len(w[k]) < 10 for k in part) and w[a] and w[b] and n >= 10
+                link = b > a and min(len(w[a]), len(w[b])) >= 10 and 0 < n - len(w[a]) - len(w[b]) < 10 and all(len(w[k]) < 10 for k in part[1:-1])
+                # the fewest lines from a on, or the fewest up to b
+                fewest = n - len(w[b]) < 10 or n - len(w[a]) < 10
+                if (all_short and fewest) or (a == b and n >= 10) or link:
+                    mine.add((place[a], place[b] + len(lines[b]), tuple(x for k in part for x in w[k])))
+        units.append(mine)
+        for s, _, key in sorted(mine):
+            first.setdefault(key, (i, s))
+    want = []
+    for i, t in enumerate(texts):
+        gone = []
+        for s, e, key in sorted(units[i]):
+            if first[key] != (i, s):
+                if gone and s < gone[-1][1]:
+                    gone[-1][1] = max(e, gone[-1][1])
+                else:
+                    gone.append([s, e])
+        want.append([t[a:b] for a, b in gone])
+    assert removed_texts(spark, texts) == want and sum(map(len, want)) > 20
