@@ -1,7 +1,7 @@
 """Secret scans with multipart credential linking.
 
 Certain spans (assignments, access identifiers, long hex) are reported as they
-are. Weak candidates - account names, token-like strings, short assigned values,
+are. Weak candidates - account names, token-like strings of any length from 20, short assigned values,
 endpoints - are reported only if a complementary part lies in their interval: at
 most ``reach`` code points away and in the same scope (a block without blank
 line). The interval join runs inside a document's row over sorted arrays, by
@@ -66,7 +66,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", reach: int = 200) -> D
         "access": matches(text, ACCESS),
         "hex": matches(text, HEX),
         "name": matches(text, NAME),
-        "opaque": F.filter(matches(text, OPAQUE), lambda x: (F.length(x["text"]) <= 64) & x["text"].rlike("[0-9]") & x["text"].rlike("[a-z]") & x["text"].rlike("[A-Z]")),
+        "opaque": F.filter(matches(text, OPAQUE), lambda x: x["text"].rlike("[0-9]") & x["text"].rlike("[a-z]") & x["text"].rlike("[A-Z]")),
         "endpoint": matches(text, ENDPOINT),
     }
 

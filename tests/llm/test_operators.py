@@ -58,6 +58,13 @@ def test_secrets_links_complements_only(spark):
     assert masked[0] == "[SECRET] then [SECRET]" and masked[1] == "user=bob alone" and masked[5] == "[SECRET] [SECRET]"
 
 
+def test_long_keys_link_like_short_ones(spark):
+    key = "aB3/" * 22  # 88 characters
+    rows = spark.createDataFrame([(0, f"https://x.org/a {key}"), (1, f"{key} alone"), (2, f"account: bob {key}")], "doc_id int, text string")
+    masked = {r[0]: r[1] for r in secrets.redact(rows).select("doc_id", "text").collect()}
+    assert masked == {0: "[SECRET] [SECRET]", 1: f"{key} alone", 2: "[SECRET] [SECRET]"}
+
+
 def test_line_frequency_counts(spark, texts):
     df = make(spark, texts)
     got = line_frequency.line_frequency_rules(df, least_docs=2).collect()
