@@ -7,6 +7,7 @@ one input row, so nothing is shuffled.
 
 from __future__ import annotations
 
+import re
 from html import escape
 from html.parser import HTMLParser
 
@@ -15,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StringType
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 UNSAFE = {"script", "style", "link", "base", "iframe"}
@@ -30,7 +30,15 @@ TITLED = ("ltx_subsubsection", *NEAR)
 #: Elements whose whole text is kept; others would make the output quadratic in depth.
 TEXTUAL = {"p", "math", "title", "figcaption", "mi", "mo", "h1", "h2", "h3", "h4", "h5", "h6"}
 TEXT_CLASSES = ("ltx_title", "ltx_tag", "ltx_caption", "ltx_p", "ltx_authors")
-COLUMNS = "pos int, end_pos int, parent_pos int, tag string, id string, classes array<string>, href string, alttext string, src string, text string, inner_html string, section_anchor string, section_label string, para_pos int, hidden boolean"
+COLUMNS = "pos int, end_pos int, parent_pos int, tag string, id string, classes array<string>, href string, alttext string, src string, text string, inner_html string, section_anchor string, section_label string, para_pos int, hidden boolean, parts struct<tag:string,alttext:string,equation_html:string,symbols:array<string>,figcaption:string,caption:string,title:string,para:string>"
+#: The sorts of inner elements that labels and excerpts of an object need, as (name, test).
+SORTS = (
+    ("tag", lambda n: "ltx_tag" in n.classes), ("math", lambda n: n.tag == "math"), ("figcaption", lambda n: n.tag == "figcaption"),
+    ("caption", lambda n: "ltx_caption" in n.classes), ("title", lambda n: "ltx_title" in n.classes), ("para", lambda n: "ltx_p" in n.classes),
+)
+EQUATION_ID = re.compile(r"(^|\.)E\d[^.]*$")
+#: Longer markup of a theorem is left out.
+MOST_HTML = 8000
 
 
 class Node:
@@ -38,7 +46,9 @@ class Node:
 
     def __init__(self, pos, parent, tag, attrs):
         self.pos, self.end, self.parent, self.tag = pos, pos, parent, tag
-        self.attrs = {k: v or "" for k, v in reversed(attrs)}
+        self.attrs: dict[str, str] = {}
+        for k, v in attrs:
+            self.attrs.setdefault(k, v or "")
         self.classes = self.attrs.get("class", "").split()
         self.children: list = []
         own = tag in UNSAFE or "ltx_authors" in self.classes
@@ -118,46 +128,82 @@ def text_of(node: Node, shown_only: bool = False) -> str:
 
 
 def markup(node, change=None) -> str:
-    """The element as HTML; ``change(node)`` gives its attributes, or None to drop it."""
-    if isinstance(node, str):
-        return escape(node, quote=False)
-    attrs = node.attrs if change is None else change(node)
-    if attrs is None:
-        return ""
-    if isinstance(attrs, str):
-        return attrs
-    inner = "".join(markup(c, change) for c in node.children)
-    if not node.tag:
-        return inner
-    opening = node.tag + "".join(f' {k}="{escape(v)}"' for k, v in attrs.items())
-    return f"<{opening}>" if node.tag in VOID else f"<{opening}>{inner}</{node.tag}>"
-
+    """The element as HTML; ``change(node)`` gives its attributes, or None to drop it, or other HTML.
 
-def _first(node: Node, test):
-    todo = list(reversed(node.children))
+    Elements wait on a list, not on the interpreter's stack, however deep they are nested.
+    """
+    out: list[str] = []
+    todo: list = [node]
     while todo:
         x = todo.pop()
-        if isinstance(x, Node):
-            if test(x) and not x.hidden:
-                return x
-            todo.extend(reversed(x.children))
-    return None
-
-
-def _own_label(node: Node) -> str | None:
+        if isinstance(x, tuple):  # an end tag
+            out.append(x[0])
+        elif isinstance(x, str):
+            out.append(escape(x, quote=False))
+        elif isinstance(attrs := x.attrs if change is None else change(x), str):
+            out.append(attrs)
+        elif attrs is not None:
+            if x.tag:
+                out.append("<" + x.tag + "".join(f' {k}="{escape(v)}"' for k, v in attrs.items()) + ">")
+            if x.tag not in VOID:
+                todo.append((f"</{x.tag}>" if x.tag else "",))
+                todo.extend(reversed(x.children))
+    return "".join(out)
+
+
+def first_inside(tree: Tree) -> list[list[int]]:
+    """For each element the places of its first shown descendants of each of SORTS; -1 where
+    there is none.
+
+    Elements are seen last to first, so that what an element hands to its parent is
+    overwritten by whatever comes earlier.
+    """
+    none = [-1] * len(SORTS)
+    found = [none.copy() for _ in tree.nodes]
+    for n in reversed(tree.nodes):
+        up = found[n.parent.pos] if n.parent.pos >= 0 else none.copy()
+        for k, (_, test) in enumerate(SORTS):
+            if not n.hidden and test(n):
+                up[k] = n.pos
+            elif found[n.pos][k] >= 0:
+                up[k] = found[n.pos][k]
+    return found
+
+
+def _own_label(tree: Tree, found: list[list[int]], n: Node) -> str | None:
     """The label of a titled section; None if it has no title."""
-    title = _first(node, lambda n: "ltx_title" in n.classes)
-    if title is None:
+    tag, title = (next(k for k, (name, _) in enumerate(SORTS) if name == x) for x in ("tag", "title"))
+    title_at = found[n.pos][title]
+    if title_at < 0:
         return None
-    tag = _first(title, lambda n: "ltx_tag" in n.classes)
-    if tag is None:
-        return text_of(title)[:60]
-    t = text_of(tag)[:40].rstrip(". ")
+    tag_at = found[title_at][tag]
+    if tag_at < 0:
+        return text_of(tree.nodes[title_at])[:60]
+    t = text_of(tree.nodes[tag_at])[:40].rstrip(". ")
     return t if t.lower().startswith(("appendix", "§")) else f"§{t}"
 
 
+def _symbols(tree: Tree, n: Node, longest: int = 3, most: int = 16) -> list[str]:
+    """Distinct short identifiers and operators inside an element, in order."""
+    marks = (text_of(x, True) for x in tree.nodes[n.pos + 1 : n.end + 1] if x.tag in ("mi", "mo") and not x.hidden)
+    return list(dict.fromkeys(t for t in marks if 0 < len(t) <= longest))[:most]
+
+
+def _parts(tree: Tree, n: Node, found: list[int]) -> dict:
+    """What an element's first inner elements say; null where there is none."""
+    at = {name: tree.nodes[p] for (name, _), p in zip(SORTS, found, strict=True) if p >= 0}
+    text = lambda name, most: text_of(at[name], True)[:most] if name in at else None
+    equation = n.has(("ltx_equation",)) or EQUATION_ID.search(n.attrs["id"])
+    return {
+        "tag": text("tag", 60), "alttext": at["math"].attrs.get("alttext", "") if "math" in at else None,
+        "equation_html": markup(at.get("math", n)) if equation else None, "symbols": _symbols(tree, n) if equation else None,
+        "figcaption": text("figcaption", 500), "caption": text("caption", 500), "title": text("title", 200), "para": text("para", 300),
+    }
+
+
 def rows_of(html: str) -> list[dict]:
     tree = Tree(html)
+    found = first_inside(tree)
     top = tree.article()
     first, last = (0, len(tree.nodes) - 1) if top is tree.root else (top.pos, top.end)
     near: dict[int, str] = {}
@@ -167,18 +213,19 @@ def rows_of(html: str) -> list[dict]:
     for n in tree.nodes[first : last + 1] if tree.nodes else []:
         up = n.parent.pos if n.parent else -1
         section, named, p = near.get(up, ""), label.get(up, ""), para.get(up)
-        own = _own_label(n) if n.has(TITLED) else None
+        own = _own_label(tree, found, n) if n.has(TITLED) else None
         label[n.pos] = named if own is None else own
         near[n.pos] = n.attrs["id"] if n.attrs.get("id") and n.has(NEAR) else section
         para[n.pos] = n.pos if "ltx_p" in n.classes or (n.tag == "p" and (p is None or "ltx_p" not in tree.nodes[p].classes)) else p
-        whole = n.attrs.get("id") or n.tag in TEXTUAL or any(c in n.classes for c in TEXT_CLASSES)
-        keep_html = n.has(("ltx_theorem",))
-        inner = "".join(markup(c) for c in n.children) if keep_html else ""
+        named_by_id = bool(n.attrs.get("id"))
+        whole = named_by_id or n.tag in TEXTUAL or any(c in n.classes for c in TEXT_CLASSES)
+        inner = "".join(markup(c) for c in n.children) if n.has(("ltx_theorem",)) else ""
         out.append({
             "pos": n.pos, "end_pos": n.end, "parent_pos": up, "tag": n.tag, "id": n.attrs.get("id", ""), "classes": n.classes,
             "href": n.attrs.get("href", ""), "alttext": n.attrs.get("alttext", ""), "src": n.attrs.get("src", ""),
-            "text": text_of(n, not n.hidden) if whole else "", "inner_html": inner if len(inner) <= 8000 else "",
+            "text": text_of(n, not n.hidden) if whole else "", "inner_html": inner if len(inner) <= MOST_HTML else "",
             "section_anchor": section, "section_label": label[n.pos], "para_pos": p, "hidden": n.hidden,
+            "parts": _parts(tree, n, found[n.pos]) if named_by_id and not n.hidden else None,
         })
     return out
 
@@ -191,9 +238,8 @@ def dom_flatten(papers: DataFrame, html_col: str = "html") -> DataFrame:
     """
     kind = dict(papers.dtypes)["doc_id"]
     schema = f"doc_id {kind}, {COLUMNS}, error string"
-    names = ["doc_id", *[c.split()[0] for c in COLUMNS.split(", ")], "error"]
     struct = papers.sparkSession.createDataFrame([], schema).schema
-
+    names = struct.names
     arrow = to_arrow_schema(struct)
 
     def run(batches):
@@ -239,16 +285,23 @@ def annotated(html: str, kinds: dict[str, str], byline: str = "", prefix: str =
 
 
 def annotate_html(papers: DataFrame, targets: DataFrame) -> DataFrame:
-    """doc_id, html: without unsafe elements and handlers, the byline (if given) in place of
-    the author block, links and targets stamped with anchor and kind, images rewritten.
+    """doc_id, html, error: without unsafe elements and handlers, the byline (if given) in place
+    of the author block, links and targets stamped with anchor and kind, images rewritten.
 
-    ``papers``: doc_id, html, byline, asset_prefix.
+    ``papers``: doc_id, html, byline, asset_prefix. A page that can't be read has an error
+    and no html; it does not end the job.
     """
     kinds = targets.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("anchor", "kind"))).alias("kinds"))
 
-    @F.pandas_udf(StringType())
-    def clean(html: pd.Series, kind: pd.Series, byline: pd.Series, prefix: pd.Series) -> pd.Series:
-        return pd.Series([annotated(h, dict(k) if k is not None else {}, b or "", p or "") for h, k, b, p in zip(html, kind, byline, prefix, strict=True)])
+    def cleaned(html, kind, byline, prefix) -> tuple[str | None, str | None]:
+        try:
+            return annotated(html, dict(kind) if kind is not None else {}, byline or "", prefix or ""), None
+        except Exception as e:
+            return None, f"{type(e).__name__}: {e}"
+
+    @F.pandas_udf("html string, error string")
+    def clean(html: pd.Series, kind: pd.Series, byline: pd.Series, prefix: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([cleaned(*x) for x in zip(html, kind, byline, prefix, strict=True)], columns=["html", "error"], dtype=object)
 
     joined = papers.join(kinds, "doc_id", "left")
-    return joined.select("doc_id", clean("html", "kinds", "byline", "asset_prefix").alias("html"))
+    return joined.select("doc_id", clean("html", "kinds", "byline", "asset_prefix").alias("c")).select("doc_id", "c.html", "c.error")

@@ -47,21 +47,6 @@ def internal_links(dom: DataFrame) -> DataFrame:
     return links.select("doc_id", "pos", "section_anchor", F.substring("href", 2, 100000).alias("anchor"))
 
 
-def _with_parts(dom: DataFrame, elements: DataFrame) -> DataFrame:
-    """``elements`` with the first descendant of each sort that labels and excerpts need.
-
-    One range join within a document finds them all.
-    """
-    has = lambda c: F.array_contains("classes", c)
-    sorts = {"tag_in": has("ltx_tag"), "math_in": F.col("tag") == "math", "fig_in": F.col("tag") == "figcaption", "caption_in": has("ltx_caption"), "title_in": has("ltx_title"), "p_in": has("ltx_p")}
-    inner = _shown(dom).select("doc_id", F.col("pos").alias("in_pos"), F.struct(F.col("text").alias("t"), "alttext").alias("x"), *[test.alias(name) for name, test in sorts.items()])
-    inner = inner.where(" or ".join(sorts))
-    e = elements.select("doc_id", F.col("pos").alias("at"), "end_pos")
-    hits = e.join(inner, "doc_id").where("in_pos > at and in_pos <= end_pos")
-    best = hits.groupBy("doc_id", F.col("at").alias("pos")).agg(*[F.min_by("x", F.when(F.col(name), F.col("in_pos"))).alias(name) for name in sorts])
-    return elements.join(best, ["doc_id", "pos"], "left")
-
-
 def object_label(kind: Column, tag: Column) -> Column:
     """Label from an object's tag, with the kind's word unless it has it; empty without a tag."""
     t = F.regexp_replace(F.substring(or_empty(tag), 1, 60), "[: ]+$", "")
@@ -75,7 +60,8 @@ def targets(dom: DataFrame) -> DataFrame:
     """Objects that can be resolved: linked ones in order of their first link, then notable ones.
 
     doc_id, ord, anchor, kind, label, excerpt, excerpt_html, section_label; one row an anchor,
-    the first element of an id; objects without any excerpt go.
+    the first element of an id; objects without any excerpt go. What stands inside an object
+    comes with its row from the parse, so only links are joined.
     """
     shown = _shown(dom)
     top = Window.partitionBy("doc_id")
@@ -87,22 +73,21 @@ def targets(dom: DataFrame) -> DataFrame:
     chosen = ids.join(linked, ["doc_id", "id"], "left").withColumn("rank", rank).where("link_pos is not null or rank is not null")
     chosen = chosen.withColumn("kind", classify(F.col("classes"), F.col("id")))
     order = Window.partitionBy("doc_id").orderBy(F.col("link_pos").asc_nulls_last(), "rank", "pos")
-    chosen = chosen.withColumn("ord", F.row_number().over(order)).select("doc_id", "ord", "pos", "end_pos", "id", "kind", "text", "inner_html", "section_label")
+    chosen = chosen.withColumn("ord", F.row_number().over(order)).select("doc_id", "ord", "id", "kind", "text", "inner_html", "section_label", "parts.*")
 
-    chosen = _with_parts(dom, chosen)
     kind, cut = F.col("kind"), lambda c, n: F.substring(or_empty(F.col(c)), 1, n)
-    title, para = cut("title_in.t", 200), cut("p_in.t", 300)
-    section = F.when(F.col("p_in").isNull(), title).when(title == "", para).otherwise(F.concat(title, F.lit(" — "), para))
-    caption = filled(F.substring(F.coalesce("fig_in.t", "caption_in.t", F.lit("")), 1, 500), cut("text", 300))
+    title, para = or_empty(F.col("title")), or_empty(F.col("para"))
+    section = F.when(F.col("para").isNull(), title).when(title == "", para).otherwise(F.concat(title, F.lit(" — "), para))
+    caption = filled(F.coalesce("figcaption", "caption", F.lit("")), cut("text", 300))
     excerpt = (
-        F.when(kind == "citation", cut("text", 600)).when(kind == "equation", filled(F.col("math_in.alttext"), cut("text", 300))).when(kind.isin("figure", "table"), caption)
+        F.when(kind == "citation", cut("text", 600)).when(kind == "equation", filled(F.col("alttext"), cut("text", 300))).when(kind.isin("figure", "table"), caption)
         .when(kind == "theorem", cut("text", 1000)).when(kind == "footnote", cut("text", 600)).otherwise(section)
     )
-    label = object_label(kind, F.col("tag_in.t"))
+    label = object_label(kind, F.col("tag"))
     label = filled(label, F.when(kind == "section", title).otherwise(F.lit("")), F.col("id"))
     out = chosen.select(
         "doc_id", "ord", F.col("id").alias("anchor"), "kind", label.alias("label"), or_empty(excerpt).alias("excerpt"),
-        F.when(kind == "theorem", F.col("inner_html")).when(kind == "equation", or_empty(F.col("math_in.alttext"))).otherwise("").alias("excerpt_html"),
+        F.when(kind == "theorem", F.col("inner_html")).when(kind == "equation", or_empty(F.col("equation_html"))).otherwise("").alias("excerpt_html"),
         F.when(kind == "citation", "References").otherwise(F.col("section_label")).alias("section_label"),
     )
     return out.where("excerpt != '' or excerpt_html != ''")

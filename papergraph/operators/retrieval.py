@@ -60,18 +60,13 @@ def selection_context(selections: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def equation_context(equations: DataFrame, dom: DataFrame) -> DataFrame:
-    """``equations`` (request_id, doc_id, anchor) with latex, context and symbols of the element."""
-    shown = dom.where("not hidden and error is null")
-    at = shown.where("id != ''").groupBy("doc_id", F.col("id").alias("anchor")).agg(F.min(F.struct("pos", "end_pos", "section_anchor")).alias("e"))
-    e = equations.join(at, ["doc_id", "anchor"]).select("request_id", "doc_id", "anchor", "e.*")
-    inner = shown.where("tag in ('math', 'mi', 'mo')").select("doc_id", F.col("pos").alias("in_pos"), "tag", "alttext", F.col("text").alias("t"))
-    hits = e.join(inner, "doc_id").where("in_pos >= pos and in_pos <= end_pos")
-    latex = hits.groupBy("request_id").agg(F.min_by("alttext", F.when(F.col("tag") == "math", F.col("in_pos"))).alias("latex"))
-    each = hits.where("tag != 'math' and t != '' and length(t) <= 3").groupBy("request_id", "t").agg(F.min("in_pos").alias("first"))
-    symbols = each.groupBy("request_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("first", "t")))["t"], 1, 16).alias("symbols"))
-    sections = shown.where("id != ''").groupBy("doc_id", F.col("id").alias("section_anchor")).agg(F.min_by("text", "pos").alias("context"))
-    out = e.join(latex, "request_id", "left").join(symbols, "request_id", "left").join(sections, ["doc_id", "section_anchor"], "left")
-    return out.select("request_id", "doc_id", "anchor", or_empty(F.col("latex")).alias("latex"), F.substring(or_empty(F.col("context")), 1, 1500).alias("context"), F.coalesce("symbols", F.array().cast("array<string>")).alias("symbols"))
+    """``equations`` (request_id, doc_id, anchor) with latex, context (of the section around it)
+    and symbols, all from rows of the parse: two joins on ids, none over places."""
+    named = dom.where("not hidden and error is null and id != ''")
+    one = named.groupBy("doc_id", F.col("id").alias("anchor")).agg(F.min_by(F.struct("section_anchor", "parts.alttext", "parts.symbols"), "pos").alias("e"))
+    text = named.groupBy("doc_id", F.col("id").alias("section_anchor")).agg(F.min_by(F.substring("text", 1, 1500), "pos").alias("context"))
+    found = equations.join(one, ["doc_id", "anchor"]).select("request_id", "doc_id", "anchor", "e.*").join(text, ["doc_id", "section_anchor"], "left")
+    return found.select("request_id", "doc_id", "anchor", or_empty(F.col("alttext")).alias("latex"), or_empty(F.col("context")).alias("context"), F.coalesce("symbols", F.array().cast("array<string>")).alias("symbols"))
 
 
 def notation_sheet(nodes: DataFrame, visible: DataFrame | None = None) -> DataFrame:
