@@ -6,11 +6,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papergraph.functions.text import filled, or_empty, strip
+from papergraph.functions.text import collapse, filled, or_empty, strip
 from papergraph.operators.retrieval import retrieve_selections, symbol_excerpts
 
-# The reply that means "can't tell", and the output limits by kind.
+# The reply that means "can't tell", the marks of a point, and the output limits by kind.
 ABSTAIN = "NEEDS_MORE_CONTEXT"
+STATUSES = ("hit", "partial", "miss")
 LIMITS = {"resolve": 400, "equation": 500, "symbol": 80, "checkpoint": 600, "chat": 900}
 ABSTAIN_MESSAGE = "The text around this does not settle it; an earlier section may."
 RATE_MESSAGE = "The model is rate-limited right now; try again in a minute."
@@ -22,10 +23,15 @@ SYSTEM = {
     "checkpoint": "Judge the recall against two or three key points of the section: lines 'POINT hit|partial|miss: ...', then 'FEEDBACK: ...'.",
     "chat": "Answer the reader about the anchored paragraph, briefly.",
 }
-QUOTES = '"""'
+END = "\n>>>\n\n"
 
 
-def bullet_lines(items: Column, empty: str = "(none resolved nearby)") -> Column:
+def quoted(name: str) -> str:
+    """The line that opens a quoted part of a prompt; END closes it."""
+    return f"{name}:\n<<<\n"
+
+
+def bullet_lines(items: Column, empty: str = "- nothing") -> Column:
     few = F.slice(items, 1, 12)
     return F.when(F.coalesce(F.size(items), F.lit(0)) <= 0, empty).otherwise(F.array_join(F.transform(few, lambda d: F.concat(F.lit("- "), d)), "\n"))
 
@@ -36,15 +42,15 @@ def _text(*parts) -> Column:
 
 def build_prompts(rows: DataFrame, kind: str) -> DataFrame:
     """``rows`` with kind, system, prompt and max_tokens."""
-    c, title = F.col, ('Paper: "', F.col("title"), '"\n')
+    c, head = F.col, ("From the paper titled ", F.col("title"), ".\n\n")
     if kind == "resolve":
-        prompt = _text(*title, "Section: ", filled(c("section"), F.lit("unknown")), f"\n\nParagraph the reader is in:\n{QUOTES}\n", strip(c("paragraph")), f"\n{QUOTES}\n\nNearby resolved references:\n", bullet_lines(c("dependencies")), '\n\nThe reader highlighted: "', strip(c("selection")), '"\n\nExplain the highlighted span.')
+        prompt = _text(*head, quoted("Paragraph"), strip(c("paragraph")), END, "It belongs to section: ", filled(c("section"), F.lit("not known")), "\nObjects near it:\n", bullet_lines(c("dependencies")), "\n\n", quoted("What the reader marked"), strip(c("selection")), END, "Task: say what the marked span means here.")
     elif kind == "equation":
-        prompt = _text(*title, "\nEquation (LaTeX):\n", strip(c("latex")), f"\n\nSurrounding context:\n{QUOTES}\n", strip(c("context")), f"\n{QUOTES}\n\nSymbols in play:\n", bullet_lines(c("symbols")), "\n\nExplain this equation.")
+        prompt = _text(*head, quoted("LaTeX of an equation"), strip(c("latex")), END, quoted("Text around it"), strip(c("context")), END, "Its symbols:\n", bullet_lines(c("symbols")), "\n\nTask: say what the equation states.")
     elif kind == "symbol":
-        prompt = _text(*title, "\nSymbol: ", c("label"), f"\n\nExcerpts where it appears:\n{QUOTES}\n", F.array_join("excerpts", "\n"), f"\n{QUOTES}\n\nWhat does ", c("label"), " denote?")
+        prompt = _text(*head, quoted("Places where the symbol stands"), F.array_join("excerpts", "\n"), END, "Task: say what this symbol stands for: ", c("label"))
     elif kind == "checkpoint":
-        prompt = _text(*title, "Section ", c("section_label"), f" text:\n{QUOTES}\n", strip(c("text")), f"\n{QUOTES}\n\n", 'The reader\'s recall, from memory: "', filled(strip(c("answer")), F.lit("(the reader chose to just see the key points)")), '"\n\nAssess whether it landed.')
+        prompt = _text(*head, quoted("Section"), strip(c("text")), END, "It is headed: ", c("section_label"), "\n\n", quoted("What the reader recalls"), filled(strip(c("answer")), F.lit("(nothing; show the points)")), END, "Task: compare the two.")
     else:
         raise ValueError(f"no prompt kind {kind}")
     return rows.withColumns({"kind": F.lit(kind), "system": F.lit(SYSTEM[kind]), "prompt": prompt, "max_tokens": F.lit(LIMITS[kind])})
@@ -150,9 +156,13 @@ def parse_checkpoints(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Points (reply_id, ord, status, point) and feedback (reply_id, feedback) of raw replies."""
     lines = replies.select("reply_id", F.posexplode(F.split(or_empty(F.col("raw")), r"\R")).alias("at", "line"))
     lines = lines.withColumn("line", strip(F.regexp_replace(strip(F.col("line")), "^`+", "")))
-    point, mark = r"(?i)^POINT\s+(hit|partial|miss)\s*:\s*(.+)$", r"(?i)^FEEDBACK:"
-    points = lines.where(F.col("line").rlike(point)).select("reply_id", F.col("at").alias("ord"), F.lower(F.regexp_extract("line", point, 1)).alias("status"), strip(F.regexp_extract("line", point, 2)).alias("point"))
-    said = lines.groupBy("reply_id").agg(F.max_by(strip(F.substring("line", 10, 1 << 30)), F.when(F.col("line").rlike(mark), F.col("at"))).alias("said"), F.count_if(F.col("line").rlike(point)).alias("n"))
+    # a point is headed POINT and its status, feedback FEEDBACK; what follows the colon counts
+    head, rest = F.split(F.lower(collapse(F.substring_index("line", ":", 1))), " "), strip(F.get(F.split("line", ":", 2), F.lit(1)))
+    status = F.get(head, F.lit(1))
+    is_point = (F.size(head) == 2) & (F.get(head, F.lit(0)) == "point") & status.isin(*STATUSES) & (or_empty(rest) != "")
+    points = lines.where(is_point).select("reply_id", F.col("at").alias("ord"), status.alias("status"), rest.alias("point"))
+    is_feedback = F.upper("line").startswith("FEEDBACK:")
+    said = lines.groupBy("reply_id").agg(F.max_by(rest, F.when(is_feedback, F.col("at"))).alias("said"), F.count_if(is_point).alias("n"))
     out = replies.join(said, "reply_id")
     feedback = F.when((or_empty(F.col("said")) == "") & (F.col("n") == 0), F.substring(strip(F.col("raw")), 1, 400)).otherwise(or_empty(F.col("said")))
     return points, out.select("reply_id", feedback.alias("feedback"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papergraph.functions.text import filled, or_empty, strip
-from papergraph.operators.generation import bullet_lines
+from papergraph.operators.generation import END, bullet_lines, quoted
 from papergraph.sources.landed import first_per_key
 
 KEY = ["doc_id", "selection", "section_anchor"]
@@ -38,20 +38,23 @@ def thread_summaries(chats: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def newest_threads(summaries: DataFrame) -> DataFrame:
-    return summaries.sortWithinPartitions("doc_id", F.desc("updated_at"))
+    """``summaries`` with ``place`` in their document: newest first, ties by the later thread;
+    a document's threads come together and in that order."""
+    order = Window.partitionBy("doc_id").orderBy(F.col("updated_at").desc_nulls_last(), F.desc("chat_id"))
+    return summaries.withColumn("place", F.row_number().over(order))
 
 
 def thread_prompts(chats: DataFrame, history: DataFrame, docs: DataFrame, assistant: str = "Assistant") -> DataFrame:
     """chat_id, prompt: header, paragraph, highlight, dependencies, transcript, open turn."""
     rows = chats.join(history, "chat_id", "left").join(docs.select("doc_id", "title"), "doc_id")
     c = F.col
-    lines = F.transform(F.coalesce(c("messages"), F.array().cast("array<struct<role:string,content:string>>")), lambda m: F.concat(F.when(m["role"] == "user", "Reader: ").otherwise(f"{assistant}: "), strip(m["content"]), F.lit("\n")))
-    quotes = '"""'
+    said = lambda m: F.concat(F.when(m["role"] == "user", "> ").otherwise(f"{assistant} > "), strip(m["content"]), F.lit("\n"))
+    turns = F.array_join(F.transform(F.coalesce(c("messages"), F.array().cast("array<struct<role:string,content:string>>")), said), "")
+    part = lambda name, text: F.when(text == "", "").otherwise(F.concat(F.lit(quoted(name)), text, F.lit(END)))
+    nearby = F.when(F.coalesce(F.size("dependencies"), F.lit(0)) > 0, bullet_lines(c("dependencies"))).otherwise("")
     prompt = F.concat(
-        F.lit('Paper: "'), or_empty(c("title")), F.lit('"\nSection: '), filled(c("section_label"), F.lit("unknown")),
-        F.lit(f"\n\nAnchored paragraph:\n{quotes}\n"), strip(c("paragraph")), F.lit(f"\n{quotes}\n\n"),
-        F.when(strip(c("selection")) == "", "").otherwise(F.concat(F.lit('The reader first highlighted: "'), strip(c("selection")), F.lit('"\n\n'))),
-        F.when(F.coalesce(F.size("dependencies"), F.lit(0)) <= 0, "").otherwise(F.concat(F.lit("Nearby resolved references:\n"), bullet_lines(c("dependencies")), F.lit("\n\n"))),
-        F.lit("Conversation so far:\n"), F.array_join(lines, ""), F.lit(f"{assistant}:"),
+        F.lit("A reader's thread on the paper titled "), or_empty(c("title")), F.lit(", section "), filled(c("section_label"), F.lit("not known")), F.lit(".\n\n"),
+        F.lit(quoted("Paragraph")), strip(c("paragraph")), F.lit(END), part("What the reader marked first", strip(c("selection"))), part("Objects near it", nearby),
+        F.lit("Turns (the reader's start with >):\n"), turns, F.lit(f"{assistant} >"),
     )
     return rows.select("chat_id", prompt.alias("prompt"))
