@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papergraph.functions.text import collapse, filled, strip
+from papergraph.sources.shared import stored
 
 
 def read_corpus(spark: SparkSession, path: str, kind: str = "html") -> DataFrame:
@@ -44,22 +47,31 @@ def pick_main_source(files: DataFrame) -> DataFrame:
 def inline_inputs(files: DataFrame, main: DataFrame, depth: int = 5) -> DataFrame:
     r"""doc_id, tex: ``\input`` and ``\include`` replaced by the files they name, ``depth``
     times at most, then every ``.bbl`` file. Unknown, blank and ``#`` names stay as typed.
+
+    Only papers in which the last round found a file go on, and rounds end with them.
     """
     command = r"\\(?:input|include)\{([^}]*)\}"
     named = files.select("doc_id", F.col("path").alias("name"), F.concat(F.lit("\n"), "text", F.lit("\n")).alias("insert"))
-    now = main.select("doc_id", F.col("text").alias("tex"))
-    for _ in range(depth):
-        plain = now.where(~F.col("tex").rlike(command))
+    now, done = main.select("doc_id", F.col("text").alias("tex"), F.lit(True).alias("more")), []
+    for turn in range(depth):
+        again = F.col("more") & F.col("tex").rlike(command)
+        done.append(now.where(~again))
+        live = now.where(again)
+        if turn and live.isEmpty():
+            break
         gaps, whole, names = F.split("tex", command, -1), F.regexp_extract_all("tex", F.lit(command), F.lit(0)), F.regexp_extract_all("tex", F.lit(command), F.lit(1))
-        pieces = F.transform(gaps, lambda g, i: F.struct(g.alias("gap"), F.get(whole, i).alias("typed"), strip(F.get(names, i)).alias("name")))
-        rows = now.where(F.col("tex").rlike(command)).select("doc_id", F.posexplode(pieces).alias("at", "p")).select("doc_id", "at", "p.*")
+        pieces = F.transform(gaps, lambda g, i: F.struct(g.alias("gap"), F.get(whole, i).alias("typed"), strip(F.get(names, i)).alias("name")))  # noqa: B023
+        rows = live.select("doc_id", F.posexplode(pieces).alias("at", "p")).select("doc_id", "at", "p.*")
         asked = F.when((F.col("name") == "") | F.col("name").startswith("#"), F.lit(None)).when(F.col("name").rlike(r"\.[A-Za-z]+$"), F.col("name")).otherwise(F.concat("name", F.lit(".tex")))
         found = rows.withColumn("name", asked).join(named, ["doc_id", "name"], "left")
         piece = F.concat("gap", F.coalesce("insert", "typed", F.lit("")))
-        joined = found.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("at", piece.alias("t"))))["t"], "").alias("tex"))
-        now = plain.unionByName(joined)
+        joined = found.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("at", piece.alias("t"))))["t"], "").alias("tex"), F.max(F.col("insert").isNotNull()).alias("more"))
+        now = stored(joined, "inlined")
+    else:
+        done.append(now)
+    every = reduce(DataFrame.unionByName, done).drop("more")
     bbl = files.where(F.col("path").endswith(".bbl")).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("path", "text")))["text"], "\n").alias("bbl"))
-    return now.join(bbl, "doc_id", "left").select("doc_id", F.when(F.col("bbl").isNull(), F.col("tex")).otherwise(F.concat("tex", F.lit("\n"), "bbl")).alias("tex"))
+    return every.join(bbl, "doc_id", "left").select("doc_id", F.when(F.col("bbl").isNull(), F.col("tex")).otherwise(F.concat("tex", F.lit("\n"), "bbl")).alias("tex"))
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str, buckets: int = 64) -> None:
