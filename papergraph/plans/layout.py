@@ -198,12 +198,13 @@ def main_sources(spark, sf_dir):
 
 
 def inlined_sources(spark, sf_dir):
-    """Trees whose main file inputs one file a line, the next from inside the last."""
-    li = derived.lines(spark, sf_dir).where("i < 4").withColumn("line", F.regexp_replace("line", r"[^A-Za-z ]", ""))
+    """Trees whose main file inputs every fourth line's file, and each file the next line's."""
+    li = derived.lines(spark, sf_dir).withColumn("line", F.regexp_replace("line", r"[^A-Za-z ]", ""))
     n = li.groupBy("doc_id").agg(F.max("i").alias("n"))
-    more = F.when(F.col("i") < F.col("n"), F.concat(F.lit("\\input{f"), F.col("i") + 1, F.lit("}"))).otherwise("\\include{missing}")
+    more = F.when((F.col("i") < F.col("n")) & (F.col("i") % 4 < 3), F.concat(F.lit("\\input{f"), F.col("i") + 1, F.lit("}"))).otherwise("")
     files = li.join(n, "doc_id").select("doc_id", F.concat(F.lit("f"), "i", F.lit(".tex")).alias("path"), F.concat("line", more).alias("text"))
-    main = n.select("doc_id", F.lit("main.tex").alias("path"), F.lit("A \\input{f0} B").alias("text"))
+    starts = F.transform(F.sequence(F.lit(0), F.col("n"), F.lit(4)), lambda k: F.concat(F.lit("\\input{f"), k, F.lit("}")))
+    main = n.select("doc_id", F.lit("main.tex").alias("path"), F.concat(F.lit("A "), F.array_join(starts, ""), F.lit(" \\include{missing} B")).alias("text"))
     return landed.inline_inputs(files, main).select("doc_id", F.md5("tex").alias("tex_md5"))
 
 
@@ -243,6 +244,22 @@ SELECT o_orderkey, CASE o_orderkey % 7 WHEN 1 THEN new || 'v2' WHEN 4 THEN 'hep-
 a AS (SELECT user_id AS doc_key, CASE WHEN status IS NULL THEN 'create' WHEN status <> 'ready' THEN 'retry' WHEN user_id % 5 = 0 THEN 'refresh' END AS action FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN d USING (user_id)) SELECT * FROM a WHERE action IS NOT NULL""",
     "library_listing": """SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN lang END, ''), nullif(CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END, ''), 'key-' || doc_id) AS title FROM documents ORDER BY n_chars DESC NULLS LAST, doc_id DESC LIMIT 100""",
     "cascade_delete": """WITH g AS (SELECT doc_id FROM labels WHERE toxic = 1) SELECT 'documents' AS name, count(*) AS n, sum(doc_id)::BIGINT AS id_sum FROM documents WHERE doc_id NOT IN (FROM g) UNION ALL SELECT 'labels', count(*), sum(doc_id)::BIGINT FROM labels WHERE doc_id NOT IN (FROM g)""",
-    "inlined_sources": f"""WITH {LINES}, f AS (SELECT doc_id, i, regexp_replace(line, '[^A-Za-z ]', '', 'g') AS line FROM l WHERE i < 4), a AS (SELECT doc_id, list(line ORDER BY i) AS x FROM f GROUP BY doc_id)
-SELECT doc_id, md5('A ' || chr(10) || array_to_string(x, chr(10)) || '\\include{{missing}}' || repeat(chr(10), len(x)::INT) || ' B') AS tex_md5 FROM a""",
+    "inlined_sources": f"""WITH {LINES}, c AS (SELECT doc_id, i // 4 AS c, string_agg(chr(10) || regexp_replace(line, '[^A-Za-z ]', '', 'g'), '' ORDER BY i) || repeat(chr(10), count(*)::INT) AS x FROM l GROUP BY ALL)
+SELECT doc_id, md5('A ' || string_agg(x, '' ORDER BY c) || ' \\include{{missing}} B') AS tex_md5 FROM c GROUP BY doc_id""",
+    "main_sources": f"""WITH {LINES} SELECT doc_id, 'main.tex' AS path, {len(derived.TEX_HEAD) + len(derived.TEX_TAIL)} + sum(length({derived.TEX_PART}))::BIGINT AS n_chars FROM l GROUP BY doc_id""",
+    "layout_assembled": f"""WITH {LINES}, k AS (SELECT doc_id, i // 8 AS block, i, trim(regexp_replace(regexp_replace(line, '\\s+', ' ', 'g'), '^ | $', '', 'g')) AS t FROM l WHERE i % 5 <> 4),
+d AS (SELECT doc_id, block, list(trim(regexp_replace(t, '-+$', '') || CASE WHEN i % 2 = 0 THEN '-' ELSE '' END) ORDER BY i) AS x FROM k GROUP BY ALL)
+SELECT doc_id, block, md5(trim(list_reduce(x, lambda a, b: CASE WHEN a[-1:] = '-' AND b <> '' THEN a[:-2] || b WHEN a <> '' THEN a || ' ' || b ELSE b END))) AS text_md5, 10.0::DOUBLE AS size FROM d""",
+    "rendered_articles": f"""WITH {SEGMENTS}, heads AS (SELECT doc_id, no, lower(trim(text)) IN ('references', 'bibliography', 'works cited') AS refs FROM s WHERE heading), body AS (SELECT doc_id, no, count(*) AS n FROM s WHERE NOT heading AND (no > 0 OR op = 1) GROUP BY ALL),
+x AS (SELECT coalesce(h.doc_id, b.doc_id) AS doc_id, coalesce(n, 0) AS n FROM heads h FULL JOIN body b ON h.doc_id = b.doc_id AND h.no = b.no WHERE NOT coalesce(refs, FALSE))
+SELECT ti.doc_id, count(x.doc_id) AS n_sections, coalesce(sum(x.n), 0)::BIGINT AS n_paragraphs FROM ti LEFT JOIN x USING (doc_id) GROUP BY ti.doc_id""",
+    "layout_bylines": f"""WITH {SEGMENTS}, f AS (SELECT doc_id, pos, regexp_replace(text, '(^|[^\\pL\\pN_])and([^\\pL\\pN_]|$)', '\\1,\\2', 'g') AS text FROM s WHERE no = 0 AND op = 0 AND NOT heading
+  AND NOT (regexp_matches(lower(text), '{'|'.join(layout.NOTICE_WORDS)}') OR (words > 12 AND trim(text) LIKE '%.')) AND words <= 40 AND trim(regexp_replace(text, '\\S+@\\S+', '', 'g')) <> ''),
+q AS (SELECT doc_id, pos, unnest(range(len(a))) AS nth, unnest(a) AS part FROM (SELECT doc_id, pos, regexp_split_to_array(text, '[,;&]') AS a FROM f)),
+v AS (SELECT doc_id, pos, nth, list_filter(regexp_split_to_array(part, '\\s+'), lambda x: x <> '') AS w FROM q),
+e AS (SELECT *, list_position(list_transform(w, lambda x: contains(x, '@') OR NOT regexp_matches(x, '^\\p{{Lu}}') OR regexp_matches(lower(trim(x, '{layout.NAME_EDGE}')), '{'|'.join(layout.AFFILIATION_WORDS)}')), TRUE) AS stop FROM v),
+n AS (SELECT doc_id, pos, nth, list_transform(w[:CASE WHEN coalesce(stop, 0) > 0 THEN least(stop - 1, 4) ELSE 4 END], lambda x: trim(x, '{layout.NAME_EDGE}')) AS n FROM e),
+g AS (SELECT doc_id, array_to_string(n, ' ') AS name, min({{'p': pos, 'n': nth}}) AS place FROM n WHERE len(list_filter(n, lambda x: length(x) > 1)) > 0 GROUP BY ALL),
+j AS (SELECT doc_id, string_agg(name, ', ' ORDER BY place) AS b FROM g GROUP BY doc_id)
+SELECT doc_id, CASE WHEN length(b) > 220 THEN regexp_replace(left(b, 220), ',[^,]*$', '') || '…' ELSE b END AS byline FROM j""",
 }

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from papergraph.operators import dom as D
 from papergraph.operators import graph, html_graph, latex
 from papergraph.plans import derived
+from papergraph.plans.derived import TEX_HEAD, TEX_PART, TEX_TAIL
 from papergraph.plans.layout import LINES
 from papergraph.sources import landed
+from papergraph.sources.shared import shared_dir, stored
 
 
 def elements(spark, sf_dir):
-    return D.dom_flatten(derived.html(spark, sf_dir))
+    """Elements of the derived papers, parsed once and stored."""
+    return stored(D.dom_flatten(derived.html(spark, sf_dir)), "elements")
+
+
+def object_elements(spark, sf_dir):
+    return stored(D.dom_flatten(derived.object_html(spark, sf_dir)), "elements")
 
 
 def scans(spark, sf_dir):
@@ -21,7 +30,7 @@ def scans(spark, sf_dir):
 
 def paper_graph(spark, sf_dir):
     """Nodes and edges of the derived papers: targets, then symbols."""
-    dom = elements(spark, sf_dir).persist()
+    dom = elements(spark, sf_dir)
     found = html_graph.targets(dom)
     nodes = graph.target_nodes(found)
     tex = scans(spark, sf_dir)
@@ -69,7 +78,7 @@ def html_targets(spark, sf_dir):
 
 
 def html_occurrences(spark, sf_dir):
-    dom = elements(spark, sf_dir).persist()
+    dom = elements(spark, sf_dir)
     return html_graph.occurrences(dom, html_graph.targets(dom)).select("doc_id", "section_anchor", "target_anchor", "kind")
 
 
@@ -79,11 +88,48 @@ def math_blobs(spark, sf_dir):
 
 def enclosing_sections(spark, sf_dir):
     """Elements whose section the parser's stack and the interval join name alike."""
-    dom = elements(spark, sf_dir).persist()
+    dom = elements(spark, sf_dir)
     both = dom.select("doc_id", "pos", "section_anchor").join(html_graph.enclosing_sections_by_join(dom).withColumnRenamed("section_anchor", "joined"), ["doc_id", "pos"])
     return both.groupBy("doc_id").agg(F.count_if(F.col("section_anchor") != F.col("joined")).alias("n_different"))
 
 
+def object_targets(spark, sf_dir):
+    """Equations, figures, tables, theorems, footnotes, references and sections as targets."""
+    t = html_graph.targets(object_elements(spark, sf_dir))
+    return t.select("doc_id", F.col("ord").cast("long").alias("ord"), "anchor", "kind", "label", F.md5("excerpt").alias("excerpt_md5"), F.md5("excerpt_html").alias("html_md5"), "section_label")
+
+
+def object_occurrences(spark, sf_dir):
+    dom = object_elements(spark, sf_dir)
+    return html_graph.occurrences(dom, html_graph.targets(dom)).select("doc_id", "section_anchor", "target_anchor", "kind")
+
+
+def object_assets(spark, sf_dir):
+    """Local images of the papers with objects; absolute addresses are left out."""
+    return html_graph.asset_manifest(object_elements(spark, sf_dir), "/assets")
+
+
+def object_pages(spark, sf_dir):
+    """The whole cleaned page of every paper with objects, with its byline."""
+    papers = stored(derived.object_html(spark, sf_dir).withColumn("byline", F.concat(F.lit("By "), "doc_id")), "papers")
+    out = D.annotate_html(papers, html_graph.targets(D.dom_flatten(papers)))
+    return out.select("doc_id", F.md5("html").alias("html_md5"), "error")
+
+
+def object_headers(spark, sf_dir):
+    """Titles and authors, every second paper with a byline from elsewhere."""
+    bylines = derived.table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", F.concat(F.lit("By "), "doc_id").alias("byline"))
+    return html_graph.document_header(object_elements(spark, sf_dir), bylines)
+
+
+def object_edges(spark, sf_dir):
+    """Edges between the objects of each paper, with the nodes' numbers."""
+    dom = object_elements(spark, sf_dir)
+    found = html_graph.targets(dom)
+    e = graph.resolve_edges(html_graph.occurrences(dom, found), graph.target_nodes(found))
+    return e.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum("source_node_ord").alias("sources"), F.sum("target_node_ord").alias("targets"))
+
+
 def image_assets(spark, sf_dir):
     return html_graph.asset_manifest(elements(spark, sf_dir), "/assets")
 
@@ -122,7 +168,8 @@ def tex_symbols(spark, sf_dir):
 
 def graph_nodes(spark, sf_dir):
     _, nodes, _ = paper_graph(spark, sf_dir)
-    return nodes.select("doc_id", "node_ord", "kind", "label", "html_anchor", F.coalesce("data.definition_status", F.lit("")).alias("status"))
+    sections = F.array_join(F.coalesce("data.sections", F.array().cast("array<string>")), ",")
+    return nodes.select("doc_id", "node_ord", "kind", "label", "html_anchor", F.coalesce("data.definition_status", F.lit("")).alias("status"), sections.alias("sections"))
 
 
 def graph_edges(spark, sf_dir):
@@ -143,6 +190,36 @@ def exported_graphs(spark, sf_dir):
     return j.select("doc_id", F.get_json_object("json", "$.source").alias("source"), size("$.nodes").alias("n_nodes"), size("$.edges").alias("n_edges"))
 
 
+def written_graphs(spark, sf_dir):
+    """Graphs written, then every seventh document replaced whole; nodes and edges as read back."""
+    path = f"{shared_dir(spark)}/graphs/{uuid.uuid4().hex}"
+    found, nodes = derived.edge_tables(spark, sf_dir)
+    landed.write_graph(nodes, found, path)
+    some = F.col("doc_id") % 7 == 0
+    landed.write_graph(nodes.where(some & (F.col("node_ord") % 2 == 0)).withColumn("kind", F.lit("replaced")), found.where(some & (F.col("target_anchor") < "P5")), path)
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    n = read("nodes").groupBy("kind").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+    e = read("edges").groupBy(F.concat(F.lit("edge:"), "kind").alias("kind")).agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+    return n.unionByName(e)
+
+
+def landed_papers(spark, sf_dir):
+    """Papers landed as JSON and read back."""
+    path = f"{shared_dir(spark)}/landed/{uuid.uuid4().hex}"
+    derived.tex(spark, sf_dir).write.json(path)
+    back = landed.read_corpus(spark, path, "json")
+    return back.select("doc_id", F.length("text").cast("long").alias("n_chars"))
+
+
+def landed_metadata(spark, sf_dir):
+    """Entries of an Atom feed written from the documents and read back."""
+    path = f"{shared_dir(spark)}/landed/{uuid.uuid4().hex}"
+    docs, name = derived.table(spark, sf_dir, "documents"), lambda x: F.struct(F.concat(F.lit(f" {x} "), "doc_id", F.lit(" ")).alias("name"))
+    entries = docs.select(F.concat(F.lit("http://archive.example/abs/"), "doc_id", F.lit("v2")).alias("id"), F.concat(F.lit("  Title\n  of "), "doc_id").alias("title"), F.array(name("Ann"), name("Bo")).alias("author"))
+    entries.write.format("xml").option("rootTag", "feed").option("rowTag", "entry").save(path)
+    return landed.read_metadata(spark, path)
+
+
 def edges_at_volume(spark, sf_dir):
     """Edges of every order's document; a tenth of the anchors has no node."""
     found, nodes = derived.edge_tables(spark, sf_dir)
@@ -155,13 +232,50 @@ def node_counts_at_volume(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    html_elements, page_elements, cleaned_pages, annotated_papers, document_headers, html_targets, html_occurrences, math_blobs, enclosing_sections, image_assets, tex_labels, tex_refs, tex_cite_keys,
-    tex_bibliography, tex_macros, tex_theorems, tex_section_titles, tex_symbols, graph_nodes, graph_edges, graph_counts, exported_graphs, edges_at_volume, node_counts_at_volume,
+    html_elements, page_elements, cleaned_pages, annotated_papers, document_headers, html_targets, html_occurrences, math_blobs, enclosing_sections, image_assets, object_targets, object_occurrences, object_assets, object_pages, object_headers, object_edges, tex_labels, tex_refs, tex_cite_keys,
+    tex_bibliography, tex_macros, tex_theorems, tex_section_titles, tex_symbols, graph_nodes, graph_edges, graph_counts, exported_graphs, written_graphs, landed_papers, landed_metadata, edges_at_volume, node_counts_at_volume,
 )}
 
 N = f"WITH {LINES}, n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id)"
 PARA = r"trim(regexp_replace(line || CASE WHEN i > 0 THEN ' see' ELSE '' END, '\s+', ' ', 'g'))"
+LETTER = "substr('CDEFGHKLMNPQ', (doc_id % 12 + 1)::INT, 1)"
+FLAT = r"trim(regexp_replace(line, '\s+', ' ', 'g'))"
+_above, _cited = "(CASE WHEN i > 0 AND i % 6 <> 1 THEN ' above' ELSE '' END)", "(CASE WHEN i % 4 <> 0 THEN ' cited' ELSE '' END)"
+OBJECT_PARA = rf"trim(regexp_replace(line || {_above} || {_cited}, '\s+', ' ', 'g'))"
+ESCAPED = "replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+OBJECT_ANCHOR = "CASE {0} % 6 WHEN 1 THEN 'S' || {0} || '.E1' WHEN 2 THEN 'S' || {0} || '.F1' WHEN 3 THEN 'S' || {0} || '.T1' WHEN 4 THEN 'Thm' || {0} WHEN 5 THEN 'footnote' || {0} END"
+#: o: links (i, slot, anchor), t: targets in order, of the papers with objects.
+OBJECTS = f"""WITH {LINES}, docs AS (SELECT DISTINCT doc_id FROM l),
+o AS (SELECT doc_id, i, 0 AS slot, {OBJECT_ANCHOR.format("(i - 1)")} AS anchor FROM l WHERE i > 0 AND i % 6 <> 1 UNION ALL SELECT doc_id, i, 1, 'bib.bib' || (i % 3 + 1) FROM l WHERE i % 4 <> 0),
+f AS (SELECT doc_id, anchor, min(i * 2 + slot) AS place FROM o GROUP BY ALL),
+x AS (SELECT doc_id, i, 'S' || i AS anchor, 'section' AS kind, 5 AS rank, '§' || i AS label, i || ' Part ' || i || ' — ' || left({OBJECT_PARA}, 300) AS excerpt, '' AS html, '§' || i AS section_label FROM l
+ UNION ALL SELECT doc_id, i, {OBJECT_ANCHOR.format("i")}, ['equation', 'figure', 'table', 'theorem', 'footnote'][(i % 6)::INT], CASE WHEN i % 6 < 5 THEN i % 6 - 1 END, ['Eq. (' || i || ')', 'Figure ' || i, 'Table ' || i, 'Lemma ' || i, 'Footnote ' || i][(i % 6)::INT],
+  ['y_{{' || i || '}} = z', left(trim('Figure ' || i || ': ' || {FLAT}), 500), left(trim('Table ' || i || ': ' || {FLAT}), 500), left(trim('Lemma ' || i || ' ' || {FLAT}), 1000), left(trim(i || ' ' || {FLAT}), 600)][(i % 6)::INT],
+  CASE i % 6 WHEN 1 THEN '<math alttext="y_{{' || i || '}} = z"><mi>y</mi><mo>=</mo><mi>y</mi></math>' WHEN 4 THEN '<span class="ltx_tag">Lemma ' || i || '</span><p class="ltx_p">' || {ESCAPED} || '</p>' ELSE '' END, '§' || i FROM l WHERE i % 6 > 0
+ UNION ALL SELECT doc_id, k, 'bib.bib' || k, 'citation', 4, '[' || k || ']', '[' || k || '] Source ' || k || '.', '', 'References' FROM docs, range(1, 4) b(k)),
+t AS (SELECT x.*, row_number() OVER (PARTITION BY x.doc_id ORDER BY place NULLS LAST, rank, i) AS ord FROM x LEFT JOIN f USING (doc_id, anchor) WHERE place IS NOT NULL OR rank IS NOT NULL)"""
+_STAMP = """(' data-anchor="' || {0} || '" data-anchor-kind="' || {1} || '"')"""
+_OWN = _STAMP.format(OBJECT_ANCHOR.format("i"), "['equation', 'figure', 'table', 'theorem', 'footnote'][(i % 6)::INT]")
+_BODY = f"""CASE i % 6 WHEN 1 THEN '<table id="S' || i || '.E1" class="ltx_equation"' || {_OWN} || '><tr><td><math alttext="y_{{' || i || '}} = z"><mi>y</mi><mo>=</mo><mi>y</mi></math></td><td><span class="ltx_tag">(' || i || ')</span></td></tr></table>'
+ WHEN 2 THEN '<figure id="S' || i || '.F1" class="ltx_figure"' || {_OWN} || '><img src="/assets/' || doc_id || '/f' || i || '.png" loading="lazy"><figcaption class="ltx_caption"><span class="ltx_tag">Figure ' || i || ': </span>' || {ESCAPED} || '</figcaption></figure>'
+ WHEN 3 THEN '<figure id="S' || i || '.T1" class="ltx_table"' || {_OWN} || '><img src="https://example.org/' || i || '.png"><span class="ltx_caption"><span class="ltx_tag">Table ' || i || ':</span> ' || {ESCAPED} || '</span></figure>'
+ WHEN 4 THEN '<div id="Thm' || i || '" class="ltx_theorem"' || {_OWN} || '><span class="ltx_tag">Lemma ' || i || '</span><p class="ltx_p">' || {ESCAPED} || '</p></div>'
+ WHEN 5 THEN '<span id="footnote' || i || '" class="ltx_note"' || CASE WHEN i + 1 < n THEN {_OWN} ELSE '' END || '><sup class="ltx_tag">' || i || '</sup> ' || {ESCAPED} || '</span>' ELSE '' END"""
+_LINKS = f"""CASE WHEN i > 0 AND i % 6 <> 1 THEN ' <a href="#' || {OBJECT_ANCHOR.format("(i - 1)")} || '"' || {_STAMP.format(OBJECT_ANCHOR.format("(i - 1)"), "['equation', 'figure', 'table', 'theorem', 'footnote'][((i - 1) % 6)::INT]")} || '>above</a>' ELSE '' END
+ || CASE WHEN i % 4 <> 0 THEN ' <a href="#bib.bib' || (i % 3 + 1) || '"' || {_STAMP.format("'bib.bib' || (i % 3 + 1)", "'citation'")} || '>cited</a>' ELSE '' END"""
+_ITEMS = "".join(f'<li id="bib.bib{k}" class="ltx_bibitem" data-anchor="bib.bib{k}" data-anchor-kind="citation"><span class="ltx_tag">[{k}]</span> Source {k}.</li>' for k in (1, 2, 3))
 SQL = {
+    "object_targets": OBJECTS + " SELECT doc_id, ord, anchor, kind, label, md5(excerpt) AS excerpt_md5, md5(CASE WHEN kind = 'theorem' AND length(html) > 8000 THEN '' ELSE html END) AS html_md5, section_label FROM t",
+    "object_occurrences": OBJECTS + " SELECT doc_id, 'S' || i AS section_anchor, anchor AS target_anchor, CASE WHEN slot = 1 THEN 'cites' ELSE 'references' END AS kind FROM o",
+    "object_assets": f"WITH {LINES} SELECT doc_id, 'f' || i || '.png' AS path, '/assets/f' || i || '.png' AS served_url FROM l WHERE i % 6 = 2",
+    "object_pages": N + f""" SELECT doc_id, md5('<article><h1 class="ltx_title ltx_title_document">Objects of ' || doc_id || '</h1><div class="ltx_authors">By ' || doc_id || '</div>' || string_agg('<section id="S' || i || '" class="ltx_section"' || {_STAMP.format("'S' || i", "'section'")} || '><h2 class="ltx_title"><span class="ltx_tag">' || i || '</span> Part ' || i || '</h2><p class="ltx_p">' || {ESCAPED} || {_LINKS} || '</p>' || {_BODY} || '</section>', chr(10) ORDER BY i) || '<ul>{_ITEMS}</ul></article>') AS html_md5, NULL::VARCHAR AS error FROM l JOIN n USING (doc_id) GROUP BY doc_id""",
+    "object_headers": "SELECT doc_id, 'Objects of ' || doc_id AS title, CASE WHEN doc_id % 2 = 0 THEN 'By ' ELSE 'Writer ' END || doc_id AS authors FROM documents WHERE text IS NOT NULL",
+    "object_edges": OBJECTS + " SELECT o.doc_id, CASE WHEN slot = 1 THEN 'cites' ELSE 'references' END AS kind, count(*) AS n, sum(s.ord)::BIGINT AS sources, sum(t.ord)::BIGINT AS targets FROM o JOIN t ON t.doc_id = o.doc_id AND t.anchor = o.anchor JOIN t s ON s.doc_id = o.doc_id AND s.anchor = 'S' || o.i GROUP BY ALL",
+    "written_graphs": """WITH k AS (SELECT l_orderkey AS d, l_partkey AS k FROM lineitem UNION SELECT l_orderkey, l_suppkey FROM lineitem), n AS (SELECT * FROM k WHERE k % 10 <> 0),
+w AS (SELECT CASE WHEN d % 7 = 0 THEN 'replaced' WHEN k % 3 = 0 THEN 'citation' ELSE 'equation' END AS kind, d FROM n WHERE d % 7 <> 0 OR k % 2 = 0), e AS (SELECT l_orderkey AS d FROM lineitem WHERE l_orderkey % 7 <> 0 OR 'P' || l_partkey < 'P5' OR l_orderkey NOT IN (SELECT d FROM n WHERE k % 2 = 0 UNION SELECT l_orderkey FROM lineitem WHERE 'P' || l_partkey < 'P5'))
+SELECT kind, count(*) AS n, sum(d)::BIGINT AS ids FROM (SELECT * FROM w UNION ALL SELECT CASE WHEN k % 3 = 0 THEN 'citation' ELSE 'equation' END, d FROM n WHERE d % 7 = 0 AND d NOT IN (SELECT d FROM n WHERE k % 2 = 0 UNION SELECT l_orderkey FROM lineitem WHERE 'P' || l_partkey < 'P5')) GROUP BY kind UNION ALL SELECT 'edge:references', count(*), sum(d)::BIGINT FROM e""",
+    "landed_papers": f"WITH {LINES} SELECT doc_id, {len(TEX_HEAD) + len(TEX_TAIL)} + sum(length({TEX_PART}))::BIGINT AS n_chars FROM l GROUP BY doc_id",
+    "landed_metadata": "SELECT doc_id::VARCHAR AS doc_key, 'Title of ' || doc_id AS title, 'Ann ' || doc_id || ', Bo ' || doc_id AS authors FROM documents",
     "html_elements": N + """, t AS (SELECT doc_id, unnest([{'t': 'article', 'n': 1}, {'t': 'h1', 'n': 1}, {'t': 'section', 'n': n}, {'t': 'h2', 'n': n}, {'t': 'span', 'n': n}, {'t': 'p', 'n': n}, {'t': 'math', 'n': n}, {'t': 'a', 'n': n - 1}, {'t': 'img', 'n': (n + 3) // 4}]) AS x FROM n) SELECT doc_id, x.t AS tag, x.n AS n FROM t WHERE x.n > 0""",
     "cleaned_pages": "SELECT page_id AS doc_id, FALSE AS unsafe FROM pages",
     "annotated_papers": N + " SELECT doc_id, 2 * n - 1 AS n_stamps, (n + 3) // 4 AS n_images, 0::BIGINT AS n_handlers, 0::BIGINT AS n_scripts FROM n",
@@ -175,11 +289,12 @@ SQL = {
     "tex_refs": f"WITH {LINES} SELECT doc_id, i AS ord, 'eq:' || i AS ref FROM l",
     "tex_cite_keys": f"WITH {LINES} SELECT doc_id, key, count(*) AS n FROM (SELECT doc_id, unnest(['k' || (i % 7), 'k7']) AS key FROM l) GROUP BY ALL",
     "tex_bibliography": "SELECT doc_id, 'k' || k AS key, 'Entry ' || k || '. Journal ' || k || '.' AS text FROM documents, range(7) t(k) WHERE text IS NOT NULL",
-    "tex_macros": r"SELECT doc_id, unnest([1, 2, 3])::BIGINT AS ord, unnest(['R', 'attn', 'softmax']) AS name, unnest(['\mathbb{R}', '\mathrm{A}(#1)', 'softmax']) AS body FROM documents WHERE text IS NOT NULL",
+    "tex_macros": r"SELECT doc_id, unnest([1, 2, 3])::BIGINT AS ord, unnest(['set' || x, 'pair', 'best']) AS name, unnest(['\mathcal{' || x || '}', '\hat{#1}, {#2}', 'best']) AS body FROM (SELECT doc_id, "
+    + LETTER + " AS x FROM documents WHERE text IS NOT NULL)",
     "tex_theorems": f"WITH {LINES} SELECT doc_id, i // 5 + 1 AS ord, 'lemma' AS kind, 'T' || i AS title, 'lem:' || i AS label, 'Claim ' || i || ' holds.' AS statement FROM l WHERE i % 5 = 0",
     "tex_section_titles": f"WITH {LINES} SELECT doc_id, i AS ord, 'section' AS level, 'Part ' || i AS title, 'sec:' || i AS label FROM l",
     "tex_symbols": N + r" SELECT doc_id, '\alpha' AS token, n, 1::BIGINT AS ord FROM n WHERE n >= 3",
-    "graph_nodes": N + r""" SELECT doc_id, i + 1 AS node_ord, 'section' AS kind, '§' || i AS label, 'S' || i AS html_anchor, '' AS status FROM l UNION ALL SELECT doc_id, n + 1, 'symbol', '\mathbb{R}', '', 'unresolved' FROM n UNION ALL SELECT doc_id, n + 2, 'symbol', '\alpha', '', 'unresolved' FROM n WHERE n >= 3""",
+    "graph_nodes": N + r""" SELECT doc_id, i + 1 AS node_ord, 'section' AS kind, '§' || i AS label, 'S' || i AS html_anchor, '' AS status, '' AS sections FROM l UNION ALL SELECT doc_id, n + 1, 'symbol', '\mathcal{' || """ + LETTER + r""" || '}', '', 'unresolved', '' FROM n UNION ALL SELECT doc_id, n + 2, 'symbol', '\alpha', '', 'unresolved', '' FROM n WHERE n >= 3""",
     "graph_edges": f"WITH {LINES} SELECT doc_id, 'S' || i AS source_anchor, 'S' || (i - 1) AS target_anchor, 'references' AS kind, i + 1 AS source_node_ord, i AS target_node_ord FROM l WHERE i > 0",
     "graph_counts": N + """, t AS (SELECT doc_id, unnest([{'w': 'node:section', 'n': n}, {'w': 'edges', 'n': n - 1}, {'w': 'node:symbol', 'n': CASE WHEN n >= 3 THEN 2 ELSE 1 END}]) AS x FROM n), d AS (SELECT doc_id, x.w AS what, x.n AS n FROM t WHERE x.n > 0) SELECT * FROM d UNION ALL SELECT NULL, what, sum(n)::BIGINT FROM d GROUP BY what""",
     "exported_graphs": N + " SELECT doc_id, source, coalesce(n + CASE WHEN n >= 3 THEN 2 ELSE 1 END, 0)::INT AS n_nodes, coalesce(n - 1, 0)::INT AS n_edges FROM documents LEFT JOIN n USING (doc_id)",

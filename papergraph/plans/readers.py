@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from papergraph.operators import dom as D
 from papergraph.operators import generation, graph, html_graph, retrieval, threads
 from papergraph.plans import derived
 from papergraph.plans.layout import LINES
-from papergraph.plans.papers import N, PARA, elements
+from papergraph.plans.papers import N, OBJECT_PARA, PARA, elements, object_elements
+from papergraph.sources.shared import shared_dir, stored
 from papergraph.streaming import jobs
 
 
 def _papers(spark, sf_dir):
-    """Elements and section nodes of the derived papers, with one symbol each."""
+    """Elements and section nodes of the derived papers, with one symbol each; parsed once."""
     dom = elements(spark, sf_dir)
     nodes = graph.target_nodes(html_graph.targets(dom))
     symbols = dom.where("tag = 'math'").groupBy("doc_id").agg(F.count("*").alias("count")).select("doc_id", F.lit("x_0").alias("token"), "count", F.lit(1).alias("ord"))
@@ -21,11 +25,11 @@ def _papers(spark, sf_dir):
 
 
 def _requests(spark, sf_dir):
-    """Every third section by its label, in other words and case, and an unknown phrase."""
+    """A request a line: its section by its label, in other words and case, or an unknown phrase."""
     i = F.col("i")
     asked = F.when(i % 2 == 0, F.concat(F.lit(" (§"), i, F.lit("). "))).otherwise(F.concat(F.lit("phrase "), i))
-    return derived.lines(spark, sf_dir).where("i % 3 = 0").select(
-        (F.col("doc_id") * 100000 + i).alias("request_id"), "doc_id", asked.alias("selection"), F.lit("A paragraph.").alias("paragraph"), F.lit("").alias("section"), F.array(F.lit("§1")).alias("dependencies"), F.concat(F.lit("S"), i).alias("anchor")
+    return derived.lines(spark, sf_dir).select(
+        F.concat_ws(":", "doc_id", "i").alias("request_id"), "doc_id", asked.alias("selection"), F.lit("A paragraph.").alias("paragraph"), F.lit("").alias("section"), F.array(F.lit("§1")).alias("dependencies"), F.concat(F.lit("S"), i).alias("anchor")
     )
 
 
@@ -59,7 +63,7 @@ def selection_contexts(spark, sf_dir):
     _, nodes, _ = _papers(spark, sf_dir)
     i = F.regexp_extract("anchor", r"(\d+)", 1).cast("int")
     asked = _requests(spark, sf_dir).select("request_id", "doc_id", "selection", "paragraph", F.col("anchor").alias("section_anchor"), F.array(F.concat(F.lit("S"), i - 1), F.col("anchor"), F.lit("nowhere")).alias("anchors"))
-    return retrieval.selection_context(asked, nodes).select("request_id", "section", F.size("dependencies").alias("n_dependencies"))
+    return retrieval.selection_context(asked, nodes).select("request_id", "section", F.md5(F.array_join("dependencies", "|")).alias("dependencies_md5"))
 
 
 def equation_contexts(spark, sf_dir):
@@ -67,11 +71,30 @@ def equation_contexts(spark, sf_dir):
     return retrieval.equation_context(_requests(spark, sf_dir).select("request_id", "doc_id", "anchor"), dom).select("request_id", "latex")
 
 
+def object_equation_contexts(spark, sf_dir):
+    """Every equation's LaTeX, section text and symbols, and the prompt made of them."""
+    dom = object_elements(spark, sf_dir)
+    asked = derived.lines(spark, sf_dir).where("i % 6 = 1").select(F.concat_ws(":", "doc_id", "i").alias("request_id"), "doc_id", F.concat(F.lit("S"), "i", F.lit(".E1")).alias("anchor"))
+    found = retrieval.equation_context(asked, dom)
+    prompts = generation.build_prompts(found.join(_titles(spark, sf_dir), "doc_id"), "equation")
+    return prompts.select("request_id", "latex", F.md5("context").alias("context_md5"), F.array_join("symbols", ",").alias("symbols"), F.md5("prompt").alias("prompt_md5"))
+
+
 def symbol_paragraphs(spark, sf_dir):
-    """Paragraphs in which x_1 stands: x_1, x_10 to x_19 and so on, four at most."""
+    """Paragraphs in which x_1 stands: x_1, x_10 to x_19 and so on, four at most, and the prompt made of them."""
     dom, _, _ = _papers(spark, sf_dir)
     asked = dom.select("doc_id").distinct().select("doc_id", F.lit("x_1").alias("label"))
-    return retrieval.symbol_excerpts(asked, dom).select("doc_id", F.substring(F.get("excerpts", F.lit(0)), 1, 60).alias("first"))
+    found = retrieval.symbol_excerpts(asked, dom)
+    prompts = generation.build_prompts(found.join(_titles(spark, sf_dir), "doc_id"), "symbol")
+    return prompts.select("doc_id", F.size("excerpts").alias("n"), F.md5("prompt").alias("prompt_md5"))
+
+
+def checkpoint_prompts(spark, sf_dir):
+    """Prompts about every section, with a recall for every second one."""
+    dom, _, _ = _papers(spark, sf_dir)
+    asked = _requests(spark, sf_dir).withColumn("section_label", F.concat(F.lit("§"), F.substring("anchor", 2, 9))).withColumn("answer", F.when(F.col("selection").startswith("phrase"), F.col("selection")).otherwise(F.lit(" ")))
+    rows = retrieval.section_text(asked.select("request_id", "doc_id", "anchor", "section_label", "answer"), dom)
+    return generation.build_prompts(rows.join(_titles(spark, sf_dir), "doc_id"), "checkpoint").select("request_id", F.md5("prompt").alias("prompt_md5"), "max_tokens")
 
 
 def notation(spark, sf_dir):
@@ -104,11 +127,15 @@ def checkpoint_feedback(spark, sf_dir):
 
 
 def decoded_streams(spark, sf_dir):
-    """Replies streamed a line at a time, ended after the fifth."""
+    """Replies streamed a line at a time, with broken lines and comments in between, the end
+    mark after the last one and a line that comes too late."""
     li = derived.lines(spark, sf_dir)
     body = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("line").alias("content")).alias("delta"))).alias("choices")))
-    line = F.when(F.col("i") == 5, "data: [DONE]").when(F.col("i") == 2, "data: {broken").when(F.col("i") == 3, ": comment").otherwise(F.concat(F.lit("data: "), body))
-    return generation.decode_reply_stream(li.select(F.col("doc_id").alias("reply_id"), F.col("i").alias("pos"), line.alias("line"))).select("reply_id", F.md5("reply").alias("reply_md5"))
+    more = F.when(F.col("i") % 3 == 0, "data: {broken").when(F.col("i") % 3 == 1, ": comment").otherwise('data: {"choices": []}')
+    row = lambda at, line: F.struct(at.cast("long").alias("pos"), line.alias("line"))
+    sent = li.select("doc_id", F.explode(F.array(row(F.col("i") * 2, F.concat(F.lit("data: "), body)), row(F.col("i") * 2 + 1, more))).alias("x")).select("doc_id", "x.*")
+    end = li.groupBy("doc_id").agg((F.max("i") * 2 + 2).alias("end")).select("doc_id", F.explode(F.array(row(F.col("end"), F.lit("data: [DONE]")), row(F.col("end") + 1, F.lit('data: {"choices": [{"delta": {"content": "late"}}]}')))).alias("x")).select("doc_id", "x.*")
+    return generation.decode_reply_stream(sent.unionByName(end).withColumnRenamed("doc_id", "reply_id")).select("reply_id", F.md5("reply").alias("reply_md5"))
 
 
 def replies_postprocessed(spark, sf_dir):
@@ -134,6 +161,12 @@ def thread_prompt_texts(spark, sf_dir):
     return threads.thread_prompts(chats, threads.thread_history(messages), docs).select("chat_id", F.md5("prompt").alias("prompt_md5"))
 
 
+def newest_thread_places(spark, sf_dir):
+    """Threads of each document, newest first."""
+    chats, messages, _ = derived.chats(spark, sf_dir)
+    return threads.newest_threads(threads.thread_summaries(chats, messages)).select("doc_id", "chat_id", F.col("place").cast("long").alias("place"))
+
+
 def reopened_threads(spark, sf_dir):
     """Requests for every thread twice; a third of the threads exist, a document is unknown."""
     chats, _, docs = derived.chats(spark, sf_dir)
@@ -142,21 +175,28 @@ def reopened_threads(spark, sf_dir):
     return out.groupBy("created").agg(F.count("*").alias("n"))
 
 
-def streamed_thread_summaries(spark, sf_dir):
-    """Thread counters kept by a streaming aggregation over the conversations."""
-    import uuid
-
-    from papergraph.llm.common import shared_dir
-
-    folder = f"{shared_dir(spark)}/streams/threads-{uuid.uuid4().hex}"
-    path = f"{sf_dir}/conversations.parquet"
+def _stream(spark, sf_dir, name):
+    """A table as a stream, whether it is a file or a folder."""
+    path = f"{sf_dir}/{name}.parquet"
     table = spark.read.parquet(path)
-    single = table.inputFiles()[:1] and table.inputFiles()[0].endswith("/conversations.parquet")  # a file, not a folder
+    single = table.inputFiles()[:1] and table.inputFiles()[0].endswith(f"/{name}.parquet")
     reader = spark.readStream.schema(table.schema)
-    stream = reader.option("pathGlobFilter", "conversations.parquet").parquet(sf_dir) if single else reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir) if single else reader.parquet(path)
+
+
+def _folder(spark, name):
+    return f"{shared_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
+
+
+def _messages(spark, sf_dir):
     stamp = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn") * 60 + F.col("conv_id"))
-    messages = stream.select(F.col("conv_id").alias("chat_id"), "role", stamp.alias("ts"))
-    summaries = jobs.stream_thread_summaries(messages)
+    return _stream(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chat_id"), "turn", "role", F.col("text").alias("content"), stamp.alias("ts"))
+
+
+def streamed_thread_summaries(spark, sf_dir):
+    """Thread counters kept by a streaming aggregation over the conversations."""
+    folder = _folder(spark, "threads")
+    summaries = jobs.stream_thread_summaries(_messages(spark, sf_dir).select("chat_id", "role", "ts"))
     spark.createDataFrame([], summaries.schema).write.parquet(f"{folder}/table")  # stays if no batch comes
 
     def batch(rows, number):
@@ -167,6 +207,39 @@ def streamed_thread_summaries(spark, sf_dir):
     return spark.read.schema(summaries.schema).parquet(f"{folder}/table").select("chat_id", "question_count", F.unix_timestamp("updated_at").alias("updated_s"))
 
 
+def streamed_thread_history(spark, sf_dir):
+    """Every turn with its number and the questions so far, kept by a stateful operator."""
+    folder, key = _folder(spark, "history"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, jobs.STATE_STORE)  # the operator needs it; a query keeps what it starts with
+    try:
+        turns = jobs.stream_thread_history(_messages(spark, sf_dir))
+        query = turns.writeStream.format("parquet").option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(turns.schema).parquet(f"{folder}/table").select("chat_id", "turn", "role", F.md5("content").alias("content_md5"), "question_count")
+
+
+def streamed_ingest(spark, sf_dir):
+    """Documents ingested as they come, twice; the second run finds every key ready. Nodes by document."""
+    folder = _folder(spark, "ingest")
+
+    def build(papers):
+        li = papers.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+        dom = stored(D.dom_flatten(derived.html_of(li)), "ingested")
+        found = html_graph.targets(dom)
+        nodes = graph.target_nodes(found)
+        return nodes, graph.resolve_edges(html_graph.occurrences(dom, found), nodes)
+
+    for run in range(2):
+        landing = _stream(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.concat(F.lit("key-"), "doc_id").alias("doc_key"), "text")
+        jobs.stream_ingest(landing, folder, f"{folder}/checkpoint-{run}", build).awaitTermination()
+    nodes = spark.read.parquet(f"{folder}/nodes").groupBy("doc_id").agg(F.count("*").alias("n_nodes"))
+    edges = spark.read.parquet(f"{folder}/edges").groupBy("doc_id").agg(F.count("*").alias("n_edges"))
+    return nodes.join(edges, "doc_id", "left").select("doc_id", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
+
+
 def finished_sections(spark, sf_dir):
     e = derived.table(spark, sf_dir, "events")
     events = e.select(F.col("user_id").alias("session"), (F.col("event_id") % 10).alias("doc_id"), F.col("event_type").alias("anchor"), "ts")
@@ -174,30 +247,50 @@ def finished_sections(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    retrieved_selections, resolved_requests, resolve_prompts, section_texts, selection_contexts, equation_contexts, symbol_paragraphs, notation, defined_symbols, checkpoint_points, checkpoint_feedback,
-    decoded_streams, replies_postprocessed, thread_list, thread_histories, thread_prompt_texts, reopened_threads, streamed_thread_summaries, finished_sections,
+    retrieved_selections, resolved_requests, resolve_prompts, section_texts, selection_contexts, equation_contexts, symbol_paragraphs, notation, defined_symbols, object_equation_contexts, checkpoint_prompts, checkpoint_points, checkpoint_feedback,
+    decoded_streams, replies_postprocessed, thread_list, thread_histories, thread_prompt_texts, newest_thread_places, reopened_threads, streamed_thread_summaries, streamed_thread_history, streamed_ingest, finished_sections,
 )}
 
-Q = f"WITH {LINES}, r AS (SELECT *, doc_id * 100000 + i AS request_id FROM l WHERE i % 3 = 0)"
+Q = f"WITH {LINES}, r AS (SELECT *, doc_id || ':' || i AS request_id FROM l)"
+
+
+def _prompt(*parts: str) -> str:
+    """SQL of a prompt's hash; NL stands for a line's end in plain parts, SQL terms come in braces."""
+    terms = (p[1:-1] if p.startswith("{") else "'" + p.replace("'", "''").replace("NL", "' || chr(10) || '") + "'" for p in parts)
+    return f"md5({' || '.join(terms)})"
+
+
+OPEN, END = "NL<<<NL", "NL>>>NLNL"
+HEAD = ("From the paper titled Paper ", "{doc_id}", ".NLNL")
+SECTION_TEXT = f"left(trim(i || ' Part ' || i || ' ' || {PARA}), 6000)"
 CLEAN = "regexp_replace(line, '[^A-Za-z]+', '', 'g')"
 CHAT = """c AS (SELECT conv_id, arg_min(text, turn) AS f FROM conversations GROUP BY conv_id)"""
 STRIP = r"regexp_replace(regexp_replace({0}, '^\s+', ''), '\s+$', '')"
 SQL = {
     "retrieved_selections": f"{Q} SELECT request_id, '§' || i AS label, 'S' || i AS anchor, '§' || i AS section_label FROM r WHERE i % 2 = 0",
     "resolved_requests": f"{Q} SELECT CASE WHEN i % 2 = 0 THEN 'retrieved' ELSE 'generated' END AS mode, count(*) AS n FROM r GROUP BY 1",
-    "resolve_prompts": Q + """ SELECT request_id, md5('Paper: "Paper ' || doc_id || '"' || chr(10) || 'Section: unknown' || chr(10) || chr(10) || 'Paragraph the reader is in:' || chr(10) || '\"\"\"' || chr(10) || 'A paragraph.' || chr(10) || '\"\"\"' || chr(10) || chr(10) || 'Nearby resolved references:' || chr(10) || '- §1' || chr(10) || chr(10) || 'The reader highlighted: "' || CASE WHEN i % 2 = 0 THEN '(§' || i || ').' ELSE 'phrase ' || i END || '"' || chr(10) || chr(10) || 'Explain the highlighted span.') AS prompt_md5, 400 AS max_tokens FROM r""",
-    "section_texts": f"{Q} SELECT request_id, md5(left(trim(i || ' Part ' || i || ' ' || {PARA}), 6000)) AS text_md5 FROM r",
-    "selection_contexts": f"{Q} SELECT request_id, '§' || i AS section, CASE WHEN i > 0 THEN 2 ELSE 1 END::INT AS n_dependencies FROM r",
+    "resolve_prompts": Q + " SELECT request_id, " + _prompt(*HEAD, f"Paragraph:{OPEN}A paragraph.{END}It belongs to section: not knownNLObjects near it:NL- §1NLNLWhat the reader marked:{OPEN}", "{CASE WHEN i % 2 = 0 THEN '(§' || i || ').' ELSE 'phrase ' || i END}", f"{END}Task: say what the marked span means here.") + " AS prompt_md5, 400 AS max_tokens FROM r",
+    "checkpoint_prompts": Q + " SELECT request_id, " + _prompt(*HEAD, f"Section:{OPEN}", "{" + SECTION_TEXT + "}", f"{END}It is headed: §", "{i}", f"NLNLWhat the reader recalls:{OPEN}", "{CASE WHEN i % 2 = 0 THEN '(nothing; show the points)' ELSE 'phrase ' || i END}", f"{END}Task: compare the two.") + " AS prompt_md5, 600 AS max_tokens FROM r",
+    "object_equation_contexts": f"WITH {LINES}, c AS (SELECT *, doc_id || ':' || i AS request_id, left(i || ' Part ' || i || ' ' || {OBJECT_PARA} || ' y = y (' || i || ')', 1500) AS context FROM l WHERE i % 6 = 1)"
+    + " SELECT request_id, 'y_{' || i || '} = z' AS latex, md5(context) AS context_md5, 'y,=' AS symbols, " + _prompt(*HEAD, f"LaTeX of an equation:{OPEN}y_{{", "{i}", f"}} = z{END}Text around it:{OPEN}", "{trim(context)}", f"{END}Its symbols:NL- yNL- =NLNLTask: say what the equation states.") + " AS prompt_md5 FROM c",
+    "symbol_paragraphs": f"WITH {LINES}, h AS (SELECT doc_id, i, {PARA} AS t FROM l WHERE starts_with('x_' || i, 'x_1')), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, left(t, 80) ORDER BY i) AS n FROM h), k AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM o WHERE n = 1 AND t <> ''),"
+    + " g AS (SELECT doc_id, count(*)::INT AS n, string_agg(left(t, 400), chr(10) ORDER BY n) AS x FROM k WHERE n <= 4 GROUP BY doc_id) SELECT doc_id, n, " + _prompt(*HEAD, f"Places where the symbol stands:{OPEN}", "{x}", f"{END}Task: say what this symbol stands for: x_1") + " AS prompt_md5 FROM g",
+    "defined_symbols": f"WITH {LINES}, h AS (SELECT doc_id, max(({PARA} <> '')::INT) AS found FROM l WHERE starts_with('x_' || i, 'x_0') GROUP BY doc_id) SELECT doc_id, CASE WHEN found = 1 THEN 'grounded' ELSE 'undefined' END AS status, CASE WHEN found = 1 THEN 'Task: say what this symbol stands for: x_0' ELSE '' END AS excerpt FROM h",
+    "section_texts": f"{Q} SELECT request_id, md5({SECTION_TEXT}) AS text_md5 FROM r",
+    "selection_contexts": f"{Q}, e AS (SELECT doc_id, i, '§' || i || ': ' || left(i || ' Part ' || i || ' — ' || left({PARA}, 300), 120) AS e FROM l) SELECT request_id, '§' || r.i AS section, md5(CASE WHEN b.e IS NULL THEN '' ELSE b.e || '|' END || a.e) AS dependencies_md5 FROM r JOIN e a USING (doc_id, i) LEFT JOIN e b ON b.doc_id = r.doc_id AND b.i = r.i - 1",
     "equation_contexts": f"{Q} SELECT request_id, 'x_{{' || i || '}}' AS latex FROM r",
     "notation": N + " SELECT doc_id, 'x_0' AS label, 1::BIGINT AS place, n FROM n",
     "checkpoint_points": f"WITH {LINES} SELECT doc_id AS reply_id, i AS ord, ['hit', 'partial', 'miss'][i % 3 + 1] AS status, {CLEAN} AS point FROM l WHERE i % 4 <> 3 AND {CLEAN} <> ''",
     "checkpoint_feedback": f"WITH {LINES}, t AS (SELECT doc_id, arg_max(CASE WHEN i % 4 = 3 AND {CLEAN} <> '' THEN {CLEAN} END, i) AS f, count(*) FILTER (i % 4 <> 3 AND {CLEAN} <> '') AS n, string_agg('noise', chr(10)) AS raw FROM l GROUP BY doc_id) SELECT doc_id AS reply_id, CASE WHEN f IS NULL AND n = 0 THEN left(raw, 400) ELSE coalesce(f, '') END AS feedback FROM t",
-    "decoded_streams": f"WITH {LINES} SELECT doc_id AS reply_id, md5(coalesce(string_agg(line, '' ORDER BY i) FILTER (i < 5 AND i NOT IN (2, 3)), '')) AS reply_md5 FROM l GROUP BY doc_id",
+    "decoded_streams": f"WITH {LINES} SELECT doc_id AS reply_id, md5(string_agg(line, '' ORDER BY i)) AS reply_md5 FROM l GROUP BY doc_id",
     "replies_postprocessed": "SELECT CASE WHEN doc_id % 5 >= 3 THEN 'error' WHEN doc_id % 5 = 0 THEN 'abstained' ELSE 'generated' END AS mode, count(*) AS n, count(DISTINCT CASE WHEN doc_id % 5 >= 3 THEN (doc_id % 5)::VARCHAR WHEN doc_id % 5 = 0 THEN '' ELSE lang END) AS n_contents FROM documents GROUP BY 1",
     "thread_list": "SELECT conv_id AS chat_id, conv_id % 50 AS doc_id, '§' || (conv_id % 5) AS section_label, count(*) FILTER (role = 'user') AS question_count, max(1700000000 + turn * 60 + conv_id) AS updated_s FROM conversations GROUP BY conv_id",
     "thread_histories": "SELECT conv_id AS chat_id, md5(string_agg(role || ':' || text, '|' ORDER BY turn, role, text)) AS history_md5 FROM conversations GROUP BY conv_id",
-    "thread_prompt_texts": "WITH " + CHAT + f""", t AS (SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'Reader: ' ELSE 'Assistant: ' END || {STRIP.format("text")} || chr(10), '' ORDER BY turn, role, text) AS x FROM conversations GROUP BY conv_id)
-SELECT conv_id AS chat_id, md5('Paper: "Paper ' || (conv_id % 50) || '"' || chr(10) || 'Section: §' || (conv_id % 5) || chr(10) || chr(10) || 'Anchored paragraph:' || chr(10) || '\"\"\"' || chr(10) || {STRIP.format("left(f, 200)")} || chr(10) || '\"\"\"' || chr(10) || chr(10) || 'The reader first highlighted: "' || {STRIP.format("left(f, 40)")} || '"' || chr(10) || chr(10) || 'Nearby resolved references:' || chr(10) || '- Eq. (1)' || chr(10) || '- [2]' || chr(10) || chr(10) || 'Conversation so far:' || chr(10) || x || 'Assistant:') AS prompt_md5 FROM c JOIN t USING (conv_id)""",
+    "thread_prompt_texts": "WITH " + CHAT + f""", t AS (SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN '> ' ELSE 'Assistant > ' END || {STRIP.format("text")} || chr(10), '' ORDER BY turn, role, text) AS x FROM conversations GROUP BY conv_id)
+SELECT conv_id AS chat_id, """ + _prompt("A reader's thread on the paper titled Paper ", "{(conv_id % 50)}", ", section §", "{(conv_id % 5)}", f".NLNLParagraph:{OPEN}", "{" + STRIP.format("left(f, 200)") + "}", END, "{CASE WHEN " + STRIP.format("left(f, 40)") + " = '' THEN '' ELSE 'What the reader marked first:' || chr(10) || '<<<' || chr(10) || " + STRIP.format("left(f, 40)") + " || chr(10) || '>>>' || chr(10) || chr(10) END}", f"Objects near it:{OPEN}- Eq. (1)NL- [2]{END}Turns (the reader's start with >):NL", "{x}", "Assistant >") + " AS prompt_md5 FROM c JOIN t USING (conv_id)",
+    "newest_thread_places": "WITH s AS (SELECT conv_id, max(1700000000 + turn * 60 + conv_id) AS u FROM conversations GROUP BY conv_id) SELECT conv_id % 50 AS doc_id, conv_id AS chat_id, row_number() OVER (PARTITION BY conv_id % 50 ORDER BY u DESC, conv_id DESC) AS place FROM s",
+    "streamed_thread_history": "WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations) SELECT conv_id AS chat_id, n AS turn, role, md5(text) AS content_md5, (sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS question_count FROM t",
+    "streamed_ingest": N + " SELECT doc_id, n AS n_nodes, n - 1 AS n_edges FROM n",
     "reopened_threads": "WITH " + CHAT + """, k AS (SELECT conv_id, conv_id % 50 AS d, left(f, 40) AS s, conv_id % 5 AS a FROM c), e AS (SELECT * FROM k WHERE conv_id % 3 = 0)
 SELECT FALSE AS created, count(*) AS n FROM e WHERE d <> 7 HAVING count(*) > 0 UNION ALL SELECT TRUE, count(*) FROM (SELECT DISTINCT d, s, a FROM k WHERE d <> 7 EXCEPT SELECT d, s, a FROM e) HAVING count(*) > 0""",
     "streamed_thread_summaries": "SELECT conv_id AS chat_id, count(*) FILTER (role = 'user') AS question_count, max(1700000000 + turn * 60 + conv_id) AS updated_s FROM conversations GROUP BY conv_id",
