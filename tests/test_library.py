@@ -10,40 +10,37 @@ from papergraph.operators import admission, citations, dom, generation, graph, h
 from papergraph.sources import landed
 from papergraph.streaming import jobs
 
-PAPER = """<html><body><article class="ltx_document"><h1 class="ltx_title ltx_title_document">A Sample Paper</h1>
-<div class="ltx_authors">Ada Lovelace</div>
-<section id="S1" class="ltx_section"><h2 class="ltx_title"><span class="ltx_tag">1 </span>Introduction</h2>
-<p class="ltx_p">See <a href="#S2.E1">(1)</a> and <a href="#bib.bib1">[1]</a>.</p><script>alert("</p>")</script></section>
-<section id="S2" class="ltx_section"><h2 class="ltx_title"><span class="ltx_tag">2 </span>Method</h2>
-<table id="S2.E1" class="ltx_equation"><tr><td><math alttext="A = QK^{T} / \\sqrt{d_{k}}"><mi>A</mi><mo>=</mo></math></td><td><span class="ltx_tag">(1)</span></td></tr></table>
-<figure id="S2.F1" class="ltx_figure"><img src="x1.png" onload="x()"><figcaption class="ltx_caption"><span class="ltx_tag">Figure 1: </span>A plot</figcaption></figure></section>
-<ul><li id="bib.bib1" class="ltx_bibitem"><span class="ltx_tag">[1]</span> A. Author. A reference. 2020.</li></ul></article></body></html>"""
-
-TEX = r"""\documentclass{article}
-\newcommand{\R}{\mathbb{R}}
-\newcommand{\attn}[1]{\mathrm{Attn}(#1)}
-\DeclareMathOperator{\softmax}{softmax}
-\newtheorem{lem}{Lemma}
+#: A short paper on tides, with each kind of object once.
+PAPER = """<html><head><style>p{}</style></head><body><article><h1 class="ltx_title ltx_title_document">Tides in
+ Narrow Straits</h1><div class="ltx_authors">Noor van Dijk <a href="#H">x</a></div>
+<section class="ltx_section" id="H"><h2 class="ltx_title"><span class="ltx_tag">1.</span> Height</h2>
+<p class="ltx_p">By <a href="#H.E4">eq</a>, <a href="#lag">that lemma</a> and <a href="#bib.darwin">Darwin</a>; not <a href="#gone">this</a>.</p>
+<div class="ltx_equation" id="H.E4"><math alttext="h_{0}=\\frac{g}{c}"><mi>h</mi><mo>=</mo><mi>g</mi><mi>gravity</mi></math><span class="ltx_tag">(4)</span></div>
+<script>if (a < b) { document.write("</p>"); }</script></section>
+<section class="ltx_section" id="F"><h2 class="ltx_title">Flow</h2>
+<div class="ltx_theorem" id="lag"><h6 class="ltx_title"><span class="ltx_tag">Lemma 9</span></h6><p class="ltx_p" onclick="go()">The lag <math alttext="\\tau_{s}"></math> grows.</p></div>
+<figure class="ltx_figure" id="F.F2"><img src="map.svg" onerror="y()"><img src="https://tides.example/a.png"><figcaption class="ltx_caption"><span class="ltx_tag">Figure 2: </span>The strait.</figcaption></figure></section>
+<ol><li class="ltx_bibitem" id="bib.darwin"><span class="ltx_tag">[D98]</span> G. Darwin. The Tides. 1898.</li></ol></article></body></html>"""
+
+TEX = r"""% a draft
+\documentclass{report}
+\newcommand*{\lag}{\hat{\tau}}
+\renewcommand \mean [2] {\mathbf{#1}_{#2}}
+\DeclareMathOperator*{\argmin}{arg\,min}
+\newtheorem{note}[lag]{Useful Remark}
 \begin{document}
-\section{Introduction}
-\label{sec:intro}
-We study attention. % a comment with \cite{ignored}
-Values are 5\% of $A \in \R^{n \times n}$; see \ref{sec:method} and \cite{one2017,two2015}.
-\section{Method}
-\label{sec:method}
-Given $d_k$, scale by $\sqrt{d_k}$:
-\begin{equation}
-\label{eq:attn}
-A = \softmax(\frac{QK^T}{\sqrt{d_{k}}})
-\end{equation}
-By Lemma~\ref{lem:lip}, $W^Q$ and $W^Q$ and $W^Q$. Also $\alpha$, $\alpha$, $\alpha$.
-\begin{lem}[Stability]
-\label{lem:lip}
-The mapping $A \mapsto AV$ is 1-Lipschitz.
-\end{lem}
-\begin{thebibliography}{9}
-\bibitem{one2017} One et al. \emph{All you need}. 2017.
-\bibitem{two2015} Two et al. Translation. 2015.
+\section*{Height {\em above} zero}\label{s:height}
+Of the water 30\% moves, as \citep[p.~4]{darwin, kelvin} say; see \autoref{s:flow,e:rise}. % \cite{nobody}
+\begin{align*}\label{e:rise} h_{0} &= \gamma^{2} + M_2 \end{align*}
+\[ h_{0} + M_2 \] and \( h_0 - M_2 \) but $x$ and $\gamma^2$, $\gamma^2$.
+\subsection{Flow \textbf{now}}
+\label{s:flow}
+\begin{note}[Lag]\label{n:lag}
+The lag $\lag$ is \emph{never} negative.
+\end{note}
+\begin{thebibliography}{2}
+\bibitem[Dar]{darwin} G. Darwin, {\it The Tides}, 1898.
+\bibitem{kelvin} Lord Kelvin, Harmonic analysis.
 \end{thebibliography}
 \end{document}
 """
@@ -80,22 +77,40 @@ def test_text_functions(spark):
 
 def test_html_graph(spark, elements):
     header = html_graph.document_header(elements).first()
-    assert (header["title"], header["authors"]) == ("A Sample Paper", "Ada Lovelace")
-    targets = {r["anchor"]: r for r in html_graph.targets(elements).collect()}
-    assert targets["S2.E1"]["kind"] == "equation" and "A = QK^{T}" in targets["S2.E1"]["excerpt"] and targets["S2.E1"]["label"] == "Eq. (1)"
-    assert (targets["bib.bib1"]["kind"], targets["bib.bib1"]["section_label"]) == ("citation", "References")
-    assert (targets["S2.F1"]["kind"], targets["S2.F1"]["label"]) == ("figure", "Figure 1")
-    assert targets["S1"]["label"] == "§1"
-    occurrences = html_graph.occurrences(elements, html_graph.targets(elements))
-    assert rows(occurrences, "section_anchor", "target_anchor", "kind") == [("S1", "S2.E1", "references"), ("S1", "bib.bib1", "cites")]
-    assert rows(html_graph.math_by_section(elements), "section_anchor", "blob") == [("S2", r"A=QK^T/\sqrtd_k")]
-    assert rows(html_graph.asset_manifest(elements, "/a"), "path", "served_url") == [("x1.png", "/a/x1.png")]
+    assert (header["title"], header["authors"]) == ("Tides in Narrow Straits", "Noor van Dijk x")
+    found = html_graph.targets(elements)
+    targets = {r["anchor"]: r for r in found.collect()}
+    assert sorted(targets, key=lambda k: targets[k]["ord"]) == ["H.E4", "lag", "bib.darwin", "F.F2", "H", "F"]
+    assert [(targets[k]["kind"], targets[k]["label"], targets[k]["section_label"]) for k in targets] == [
+        ("equation", "Eq. (4)", "§1"), ("theorem", "Lemma 9", "Flow"), ("citation", "[D98]", "References"), ("figure", "Figure 2", "Flow"), ("section", "§1.", "§1"), ("section", "§Lemma 9", "Flow"),
+    ]
+    assert targets["H.E4"]["excerpt"] == r"h_{0}=\frac{g}{c}" and targets["H.E4"]["excerpt_html"].startswith('<math alttext="h_{0}=') and targets["H.E4"]["excerpt_html"].endswith("<mi>gravity</mi></math>")
+    assert targets["lag"]["excerpt"] == "Lemma 9 The lag grows." and '<p class="ltx_p" onclick="go()">' in targets["lag"]["excerpt_html"]
+    assert targets["F.F2"]["excerpt"] == "Figure 2: The strait." and targets["F"]["excerpt"] == "Flow — The lag grows."
+    assert rows(html_graph.occurrences(elements, found), "pos", "section_anchor", "target_anchor", "kind")[0][1:] == ("H", "H.E4", "references")
+    assert sorted(r[1:] for r in rows(html_graph.occurrences(elements, found), "section_anchor", "target_anchor", "kind")) == [("H.E4", "references"), ("bib.darwin", "cites"), ("lag", "references")]
+    assert rows(html_graph.math_by_section(elements), "section_anchor", "blob") == [("F", r"\tau_s"), ("H", r"h_0=\fracgc")]
+    assert rows(html_graph.asset_manifest(elements, "/a"), "path", "served_url") == [("map.svg", "/a/map.svg")]
     both = elements.select("pos", "section_anchor").join(html_graph.enclosing_sections_by_join(elements).withColumnRenamed("section_anchor", "j"), "pos")
     assert both.where("section_anchor != j").count() == 0
-    paper = spark.createDataFrame([(1, PAPER, "A. L.", "/a")], "doc_id long, html string, byline string, asset_prefix string")
-    html = dom.annotate_html(paper, html_graph.targets(elements)).first()["html"]
-    assert 'data-anchor="S2.E1" data-anchor-kind="equation"' in html and "<script" not in html and "onload" not in html
-    assert 'src="/a/x1.png"' in html and '<div class="ltx_authors">A. L.</div>' in html and "Ada" not in html
+    asked = spark.createDataFrame([(1, 1, "H.E4"), (2, 1, "none")], "request_id long, doc_id long, anchor string")
+    context = retrieval.equation_context(asked, elements).collect()
+    assert [(r["latex"], r["symbols"]) for r in context] == [(r"h_{0}=\frac{g}{c}", ["h", "=", "g"])] and context[0]["context"].startswith("1. Height By eq")
+    paper = spark.createDataFrame([(1, PAPER, "N. van Dijk & Co", "/a")], "doc_id long, html string, byline string, asset_prefix string")
+    out = dom.annotate_html(paper, found).first()
+    html = out["html"]
+    assert out["error"] is None and not any(x in html for x in ("<script", "<style", "onclick", "onerror", "Noor"))
+    assert '<a href="#lag" data-anchor="lag" data-anchor-kind="theorem">that lemma</a>' in html and '<a href="#gone">this</a>' in html
+    assert '<img src="/a/map.svg" loading="lazy"><img src="https://tides.example/a.png">' in html and '<div class="ltx_authors">N. van Dijk &amp; Co</div>' in html
+
+
+def test_deep_nesting_ends_no_job(spark):
+    deep = [("<div>" * 5000) + "core" + "</div>" * 5000, "<b>" * 5000 + "x", '<section id="s" class="ltx_theorem"><p class="ltx_p">' + "<i>" * 3000]
+    papers = spark.createDataFrame([(i, h, None, None) for i, h in enumerate(deep)], "doc_id long, html string, byline string, asset_prefix string")
+    got = dom.dom_flatten(papers)
+    assert rows(got.where("error is null").groupBy("doc_id").count(), "doc_id", "count") == [(0, 5000), (1, 5000), (2, 3002)]
+    out = dom.annotate_html(papers, html_graph.targets(got)).collect()
+    assert [r["error"] for r in out] == [None] * 3 and {len(r["html"]) for r in out if r["doc_id"] == 0} == {5000 * 11 + 4}
 
 
 def test_dom_tolerates_broken_markup(spark):
@@ -107,65 +122,83 @@ def test_dom_tolerates_broken_markup(spark):
 
 
 def test_latex_scans(source):
-    assert dict(rows(latex.labels(source), "label", "kind")) == {"sec:intro": "document", "sec:method": "document", "eq:attn": "equation", "lem:lip": "lem"}
-    assert [r[1] for r in rows(latex.refs(source), "ord", "ref")] == ["sec:method", "lem:lip"]
-    assert [r[1] for r in rows(latex.cite_keys(source), "ord", "key")] == ["one2017", "two2015"]
-    assert rows(latex.bibliography(source), "key", "text")[0] == ("one2017", "One et al. All you need. 2017.")
-    assert dict(rows(latex.macros(source), "name", "body")) == {"R": r"\mathbb{R}", "attn": r"\mathrm{Attn}(#1)", "softmax": "softmax"}
-    assert rows(latex.theorems(source), "kind", "title", "label") == [("lemma", "Stability", "lem:lip")]
-    assert "1-Lipschitz" in latex.theorems(source).first()["statement"]
-    assert [r[1:] for r in rows(latex.tex_sections(source), "ord", "title", "label")] == [("Introduction", "sec:intro"), ("Method", "sec:method")]
-    assert {"d_k", r"\alpha", "W^Q"} <= {r[0] for r in rows(latex.symbols(source), "token")}
+    assert dict(rows(latex.labels(source), "label", "kind")) == {"s:height": "document", "e:rise": "align*", "s:flow": "document", "n:lag": "note"}
+    assert [r[1] for r in rows(latex.refs(source), "ord", "ref")] == ["s:flow", "e:rise"]
+    assert [r[1] for r in rows(latex.cite_keys(source), "ord", "key")] == ["darwin", "kelvin"]
+    assert rows(latex.bibliography(source), "ord", "key", "text") == [(0, "darwin", "G. Darwin, The Tides, 1898."), (1, "kelvin", "Lord Kelvin, Harmonic analysis.")]
+    assert [r[1:] for r in rows(latex.macros(source), "ord", "name", "body")] == [("lag", r"\hat{\tau}"), ("mean", r"\mathbf{#1}_{#2}"), ("argmin", r"arg\,min")]
+    assert rows(latex.theorems(source), "kind", "title", "label", "statement") == [("remark", "Lag", "n:lag", r"The lag $ $ is never negative.")]
+    assert [r[1:] for r in rows(latex.tex_sections(source), "ord", "level", "title", "label")] == [("section", "Height above zero", "s:height"), ("subsection", "Flow now", "s:flow")]
+    assert rows(latex.symbols(source), "ord", "token", "count") == [(1, "h_0", 3), (2, r"\gamma^2", 3), (3, "M_2", 3)]
+    assert rows(latex.symbols(source, least=1, most=1), "ord", "token") == [(1, "h_0")]
 
 
 def test_graph_merge(spark, elements):
-    macros = spark.createDataFrame([(1, 1, "R", r"\mathbb{R}"), (1, 2, "todo", r"\textcolor{red}{[[#1]]}"), (1, 3, "kq", "q")], "doc_id long, ord int, name string, body string")
-    symbols = spark.createDataFrame([(1, "d_k", 5, 1)], "doc_id long, token string, count long, ord int")
+    macros = spark.createDataFrame([(1, 1, "lag", r"\hat{\tau}"), (1, 2, "mean", r"\mathbf{#1}_{#2}"), (1, 3, "plain", "q")], "doc_id long, ord int, name string, body string")
+    symbols = spark.createDataFrame([(1, "h_0", 5, 1)], "doc_id long, token string, count long, ord int")
     nodes = graph.symbol_nodes(macros, symbols, html_graph.math_by_section(elements))
     got = {r["label"]: r for r in nodes.collect()}
-    assert set(got) == {r"\mathbb{R}", "d_k"} and got["d_k"]["excerpt"] == "" and got["d_k"]["data"]["definition_status"] == "unresolved"
-    assert got["d_k"]["data"]["sections"] == ["S2"] and got["d_k"]["data"]["count"] == 5
+    assert set(got) == {r"\hat{\tau}", "h_0"} and got["h_0"]["excerpt"] == "" and got["h_0"]["data"]["definition_status"] == "unresolved"
+    assert got["h_0"]["data"]["sections"] == ["H"] and got["h_0"]["data"]["count"] == 5
     targets = html_graph.targets(elements)
     all_nodes = graph.target_nodes(targets)
     edges = graph.resolve_edges(html_graph.occurrences(elements, targets), all_nodes)
     assert {r[0] for r in rows(edges, "kind")} == {"references", "cites"}
-    loose = spark.createDataFrame([(1, "", "S2.E1", "references"), (1, "S9", "S2.E1", "references"), (1, "S1", "nowhere", "references")], "doc_id long, section_anchor string, target_anchor string, kind string")
+    loose = spark.createDataFrame([(1, "", "H.E4", "references"), (1, "S9", "H.E4", "references"), (1, "H", "nowhere", "references")], "doc_id long, section_anchor string, target_anchor string, kind string")
     assert [r["source_node_ord"] == r["target_node_ord"] for r in graph.resolve_edges(loose, all_nodes).collect()] == [True, True]
     docs = spark.createDataFrame([(1, "k")], "doc_id long, doc_key string")
     assert '"edges":[{' in landed.export_graph_json(docs, all_nodes, edges).first()["json"]
 
 
+#: A page of a report: text, size, bold.
+REPORT = (
+    ("On the Keeping of Bees", 20.0, False), ("Permission to copy is granted.", 9.0, False), ("Mira Okafor, T. Lund and Ana Sousa", 10.5, False), ("University of Hives, mira@hive.example", 9.0, False),
+    ("1. Queens", 13.0, True), ("A hive has one queen [2], which earlier work [1–3; 9] and others [3, 7] take for granted.", 10.0, False), ("SWARMING", 10.0, True), ("They leave in May [2] when the weather is fair.", 10.0, False),
+    ("Works cited", 13.0, True), ("[1] K. Frisch. Dancing bees.", 10.0, False), ("[2] L. Huber. The queen. [3] E. Aristotle.", 10.0, False),
+)
+
+
 def page(spark):
-    body = [("A Study of Widgets", 22.0, False), ("Jane Doe", 11.0, False), ("University of Somewhere", 10.0, False), ("jane@example.com", 10.0, False), ("1 Introduction", 14.0, True), ("Widgets matter, as [1] and [2, 3] show in detail here.", 11.0, False), ("2 Method", 14.0, True), ("We build on [1] and some further thoughts of others.", 11.0, False), ("References", 14.0, True), ("[1] A. On widgets. 2001.", 11.0, False), ("[2] B. More widgets. 2002.", 11.0, False), ("[3] C. Even more. 2003.", 11.0, False)]
-    data = [(1, 0, k, "text", 72.0, 60.0 + 40 * k, 300.0, 70.0 + 40 * k, t, s, b, 612.0) for k, (t, s, b) in enumerate(body)]
+    data = [(1, 0, k, "text", 60.0, 50.0 + 30 * k, 280.0, 62.0 + 30 * k, t, size, bold, 600.0) for k, (t, size, bold) in enumerate(REPORT)]
     return spark.createDataFrame(data, "doc_id long, page int, seq int, kind string, x0 double, y double, x1 double, y1 double, text string, size double, bold boolean, page_width double")
 
 
 def test_layout_to_article(spark):
     blocks = layout.reading_order(page(spark))
     titles = layout.pick_title(blocks, layout.body_size(blocks))
-    assert titles.first()["title"] == "A Study of Widgets"
+    assert titles.first()["title"] == "On the Keeping of Bees"
+    meta = spark.createDataFrame([(1, " Bees "), (2, "x")], "doc_id long, meta_title string")
+    assert layout.pick_title(blocks.where("size < 11"), layout.body_size(blocks), meta).first()["title"] == "Bees"
     sections, content, front = layout.segment(blocks, titles)
-    assert [r[1:] for r in rows(sections, "section_no", "anchor", "heading", "label")] == [("S1", "Introduction", "§1"), ("S2", "Method", "§2"), ("S3", "References", "References")]
+    assert [r[1:] for r in rows(sections, "section_no", "anchor", "heading", "label", "is_refs")] == [("S1", "Queens", "§1", False), ("S2", "SWARMING", "SWARMING", False), ("S3", "Works cited", "Works cited", True)]
     by = layout.byline(front)
-    assert by.first()["byline"] == "Jane Doe"
+    assert by.first()["byline"] == "Mira Okafor, T Lund, Ana Sousa"
     refs = citations.parse_references(sections, content)
-    assert [r[0] for r in rows(refs, "num")] == ["1", "2", "3"] and "On widgets" in rows(refs, "num", "text")[0][1]
+    assert [r[1:] for r in rows(refs, "ord", "num", "text")] == [("1", "K. Frisch. Dancing bees"), ("2", "L. Huber. The queen"), ("3", "E. Aristotle")]
     paragraphs = content.join(sections.select("doc_id", "section_no", F.col("anchor").alias("section_anchor"), "is_refs"), ["doc_id", "section_no"]).where("not is_refs").select("doc_id", "pos", "section_anchor", "text")
-    assert rows(citations.expand_citations(paragraphs, refs), "section_anchor", "target_anchor") == [("S1", "bib.bib1"), ("S1", "bib.bib2"), ("S1", "bib.bib3"), ("S2", "bib.bib1")]
-    html = citations.render_article(titles, by, sections, content, refs).first()["html"]
-    assert '<section class="ltx_section" id="S1">' in html and 'href="#bib.bib2"' in html and "Introduction" in html and 'id="bib.bib3"' in html
+    assert rows(citations.expand_citations(paragraphs, refs), "section_anchor", "target_anchor") == [("S1", "bib.bib2"), ("S1", "bib.bib3"), ("S2", "bib.bib2")]
+    extra = spark.createDataFrame([(1, 2, 90, 0, "table", None, [["a", "b<"], ["1", "2"]], None), (1, 2, 91, 0, "image", None, None, "p.png")], "doc_id long, section_no long, pos int, page int, kind string, text string, rows array<array<string>>, src string")
+    html = citations.render_article(titles, by, sections, content.unionByName(extra, allowMissingColumns=True), refs).first()["html"]
+    assert '<section class="ltx_section" id="S1"><h2 class="ltx_title"><span class="ltx_tag">1</span> Queens</h2>' in html and '[<a class="ltx_ref" href="#bib.bib3">3</a>]' in html and "[1–3; 9]" in html
+    assert "<tr><th>a</th><th>b&lt;</th></tr><tr><td>1</td><td>2</td></tr>" in html and '<img loading="lazy" src="p.png">' in html and 'id="bib.bib2"' in html
+
+
+def test_reference_lists_without_brackets(spark):
+    sections = spark.createDataFrame([(1, 1, True), (2, 1, True)], "doc_id long, section_no long, is_refs boolean")
+    content = spark.createDataFrame([(1, 1, 1, "text", "1. First one. 2. Second, 3rd ed. 10. Last"), (2, 1, 1, "text", "Adams, Bees"), (2, 1, 2, "text", "7] Brown, Hives"), (2, 1, 3, "text", " ")], "doc_id long, section_no long, pos int, kind string, text string")
+    assert [r for r in rows(citations.parse_references(sections, content), "doc_id", "ord", "num", "text")] == [(1, 0, "1", "First one."), (1, 1, "2", "Second, 3rd ed."), (1, 2, "10", "Last"), (2, 0, "1", "Adams, Bees"), (2, 1, "2", "Brown, Hives")]
 
 
 def test_layout_rules(spark):
-    assert layout.leading_name_of("Ashish Vaswani Google Brain a@b.c") == "Ashish Vaswani"
-    assert layout.leading_name_of("the lowercase start") == "" and layout.leading_name_of("") == ""
-    assert column(spark, ["Provided proper attribution, permission is granted", "Jane Doe"], layout.is_notice) == [True, False]
-    spans = spark.createDataFrame([(1, 0, 0, 0, 0, 0.0, "hyphen-", 10.04, False), (1, 0, 0, 1, 0, 0.0, " ated  word", 12.0, True), (1, 0, 0, 2, 0, 0.9, "stamp", 40.0, True)], "doc_id long, page int, block int, line int, span int, dir_y double, text string, size double, bold boolean")
+    assert column(spark, ["Ursula K. Ode Orbit Labs u@x.org", "von Thun", "", None, "A. B.", "Åsa Öst* Lindqvist† Bo Ek Moe"], layout.leading_name) == ["Ursula K Ode Orbit", "", "", "", "", "Åsa Öst Lindqvist Bo"]
+    assert column(spark, ["All rights kept", "T. Lund", "a b c d e f g h i j k l m."], layout.is_notice) == [True, False, True]
+    assert column(spark, ["3.1. Data sets", "3.1 Data", "3.", "3.x Data", "Data 3", " 3 Data"], layout.section_number) == ["3.1", "3.1", "", "", "", ""]
+    assert column(spark, [" BIBLIOGRAPHY ", "References to bees"], layout.is_reference_heading) == [True, False]
+    spans = spark.createDataFrame([(1, 0, 0, 0, 0, 0.0, "the bee-", 9.96, False), (1, 0, 0, 1, 0, 0.0, " keeper  sat", 11.0, True), (1, 0, 0, 2, 0, 0.9, "stamp", 40.0, True)], "doc_id long, page int, block int, line int, span int, dir_y double, text string, size double, bold boolean")
     r = layout.assemble_blocks(spans).first()
-    assert (r["text"], r["size"], r["bold"]) == ("hyphenated word", 12.0, True)
-    boxes = spark.createDataFrame([(1, 0, 0.0, 55.0, 400.0, 80.0)], "doc_id long, page int, x0 double, y0 double, x1 double, y1 double")
-    assert layout.drop_text_inside_tables(page(spark), boxes).count() == 11
+    assert (r["text"], r["size"], r["bold"]) == ("the beekeeper sat", 11.0, False)
+    boxes = spark.createDataFrame([(1, 0, 0.0, 75.0, 400.0, 95.0)], "doc_id long, page int, x0 double, y0 double, x1 double, y1 double")
+    assert layout.drop_text_inside_tables(page(spark), boxes).count() == len(REPORT) - 1
 
 
 def expand_plainly(run):
@@ -207,7 +240,7 @@ def test_label_rule_as_literally(spark, events):
 
 class Counting(generation.EchoProvider):
     def generate(self, system, prompt, max_tokens):
-        if "Lemma" in prompt.split("highlighted:")[-1]:
+        if "Lemma" in prompt.split("What the reader marked")[-1]:
             raise AssertionError("what is retrieved must not be sent")
         if "rare" in prompt:
             raise RuntimeError("HTTP 429 quota")
@@ -217,30 +250,30 @@ class Counting(generation.EchoProvider):
 def lemma_nodes(spark):
     data = "struct<excerpt_html:string,section_label:string,grounded:boolean,source:string,label_mathml:string,definition_status:string,sections:array<string>,macro_name:string,count:bigint>"
     return spark.createDataFrame(
-        [(1, 1, "theorem", "Lemma 2", "S3.thm2", "S3.thm2", "The map is Lipschitz.", (None, "§3", True, None, None, None, None, None, None)), (1, 2, "symbol", "d_k", "", "", "", (None, None, None, "math_scan", "", "unresolved", ["S2"], None, 3))],
+        [(1, 1, "theorem", "Lemma 9", "lag", "lag", "The lag grows.", (None, "§3", True, None, None, None, None, None, None)), (1, 2, "symbol", "h_0", "", "", "", (None, None, None, "math_scan", "", "unresolved", ["H"], None, 3))],
         f"doc_id long, node_ord long, kind string, label string, html_anchor string, definition_anchor string, excerpt string, data {data}",
     )
 
 
 def test_resolution_cascade(spark, elements):
-    docs = spark.createDataFrame([(1, "A Test Paper")], "doc_id long, title string")
-    asked = spark.createDataFrame([(1, 1, "lemma 2."), (2, 1, "softmax"), (3, 1, "abstain here"), (4, 1, "rare thing")], "request_id long, doc_id long, selection string").withColumns({"paragraph": F.lit("p"), "section": F.lit(""), "dependencies": F.array().cast("array<string>")})
+    docs = spark.createDataFrame([(1, "Tides")], "doc_id long, title string")
+    asked = spark.createDataFrame([(1, 1, "lemma 9."), (2, 1, "spring tide"), (3, 1, "abstain here"), (4, 1, "rare thing")], "request_id long, doc_id long, selection string").withColumns({"paragraph": F.lit("p"), "section": F.lit(""), "dependencies": F.array().cast("array<string>")})
     got = {r["request_id"]: r for r in generation.resolve(asked, lemma_nodes(spark), docs, Counting).collect()}
     assert [got[k]["mode"] for k in (1, 2, 3, 4)] == ["retrieved", "generated", "abstained", "error"]
-    assert (got[1]["anchor"], got[1]["section_label"]) == ("S3.thm2", "§3") and got[3]["content"] == generation.ABSTAIN_MESSAGE and "rate-limited" in got[4]["content"]
+    assert (got[1]["anchor"], got[1]["section_label"]) == ("lag", "§3") and got[3]["content"] == generation.ABSTAIN_MESSAGE and "rate-limited" in got[4]["content"]
     off = generation.resolve(asked, lemma_nodes(spark), docs, generation.Provider)
     assert {r[0] for r in rows(off.where("request_id > 1"), "mode")} == {"unconfigured"}
     defined = generation.define_symbols(lemma_nodes(spark), elements, docs, Counting)
     symbol = defined.where("kind = 'symbol'").first()
     # the equation stands outside any paragraph, so nothing grounds it
     assert symbol["data"]["definition_status"] == "undefined"
-    assert retrieval.section_text(spark.createDataFrame([(1, 1, "S1"), (2, 1, "none")], "request_id long, doc_id long, anchor string"), elements).orderBy("request_id").collect()[1]["text"] == ""
+    assert retrieval.section_text(spark.createDataFrame([(1, 1, "H"), (2, 1, "none")], "request_id long, doc_id long, anchor string"), elements).orderBy("request_id").collect()[1]["text"] == ""
 
 
 def test_checkpoints_and_streams(spark):
-    raw = spark.createDataFrame([(1, "POINT hit: one\nPOINT miss: two $\\alpha$\nFEEDBACK: good"), (2, "`point Partial : x\nnoise"), (3, "just text")], "reply_id long, raw string")
+    raw = spark.createDataFrame([(1, "POINT hit: one\nPOINT miss: two: $\\alpha$\nPOINT hit me: no\nFEEDBACK: good"), (2, "`point Partial : x\nnoise"), (3, "just text")], "reply_id long, raw string")
     points, feedback = generation.parse_checkpoints(raw)
-    assert rows(points, "reply_id", "status", "point") == [(1, "hit", "one"), (1, "miss", "two $\\alpha$"), (2, "partial", "x")]
+    assert rows(points, "reply_id", "status", "point") == [(1, "hit", "one"), (1, "miss", "two: $\\alpha$"), (2, "partial", "x")]
     assert rows(feedback, "reply_id", "feedback") == [(1, "good"), (2, ""), (3, "just text")]
 
 
@@ -261,20 +294,24 @@ def test_threads(spark):
     messages = spark.createDataFrame([(7, 1, "assistant", "hi "), (7, 0, "user", "hello")], "chat_id long, turn int, role string, content string").withColumn("ts", F.timestamp_seconds(F.col("turn")))
     history = threads.thread_history(messages)
     assert [m["role"] for m in history.first()["messages"]] == ["user", "assistant"]
-    assert threads.thread_summaries(chats, messages).first()["question_count"] == 1
-    assert threads.thread_prompts(chats, history, docs).first()["prompt"].endswith("Reader: hello\nAssistant: hi\nAssistant:")
+    summaries = threads.thread_summaries(chats, messages)
+    assert summaries.first()["question_count"] == 1
+    more = summaries.unionByName(summaries.withColumns({"chat_id": F.lit(9).cast("long"), "updated_at": F.timestamp_seconds(F.lit(5))})).unionByName(summaries.withColumns({"chat_id": F.lit(8).cast("long"), "updated_at": F.lit(None).cast("timestamp")}))
+    assert rows(threads.newest_threads(more), "place", "chat_id") == [(1, 9), (2, 7), (3, 8)]
+    assert threads.thread_prompts(chats, history, docs).first()["prompt"].endswith("> hello\nAssistant > hi\nAssistant >")
 
 
 def test_sources(spark, tmp_path):
     (tmp_path / "p1").mkdir()
     (tmp_path / "p1" / "main.tex").write_text("\\documentclass{a}\\begin{document}\\input{part}\\input{#1}\\end{document}")
-    (tmp_path / "p1" / "part.tex").write_text("PART")
+    (tmp_path / "p1" / "part.tex").write_text("PART\\include{ deep }")
+    (tmp_path / "p1" / "deep.tex").write_text("DEEP\\input{deep}")
     (tmp_path / "p1" / "x.bbl").write_text("BBL")
     (tmp_path / "meta.xml").write_text("<feed><entry><id>http://x/abs/1.2v1</id><title> A\n B </title><author><name> X </name></author><author><name>Y</name></author></entry></feed>")
     files = landed.read_corpus(spark, str(tmp_path), "tex").withColumnRenamed("doc_key", "doc_id")
     main = landed.pick_main_source(files)
     assert main.first()["path"] == "main.tex"
-    assert landed.inline_inputs(files, main).first()["tex"] == "\\documentclass{a}\\begin{document}\nPART\n\\input{#1}\\end{document}\nBBL"
+    assert landed.inline_inputs(files, main).first()["tex"] == "\\documentclass{a}\\begin{document}\nPART" + "\nDEEP" * 4 + "\\input{deep}" + "\n" * 5 + "\\input{#1}\\end{document}\nBBL"
     assert tuple(landed.read_metadata(spark, str(tmp_path / "meta.xml")).first()) == ("1.2", "A B", "X, Y")
 
 
@@ -293,12 +330,12 @@ def test_streaming_equals_batch(spark, tmp_path):
         jobs.stream_ingest(landing, str(tmp_path / "out"), str(tmp_path / "check"), build).awaitTermination()
     nodes = spark.read.parquet(str(tmp_path / "out/nodes"))
     assert rows(nodes.select("doc_id").distinct(), "doc_id") == [(1,), (2,)]
-    assert nodes.where("doc_id = 1").count() == 5 and spark.read.parquet(str(tmp_path / "out/edges")).count() == 4
+    assert nodes.where("doc_id = 1").count() == 6 and spark.read.parquet(str(tmp_path / "out/edges")).count() == 6
 
 
 def test_streamed_summaries_lie_in_the_shared_folder(spark, tmp_path):
-    from papergraph.llm.common import shared_dir
     from papergraph.plans import readers
+    from papergraph.sources.shared import shared_dir
 
     turns = [(c, t, "user" if t % 2 == 0 else "assistant", "x") for c in range(40) for t in range(c % 5 + 1)]
     data = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
