@@ -1,13 +1,12 @@
-"""What several operators share: table access, shared scratch tables, text rules."""
+"""What several operators share: table access, text rules, arrays as columns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papergraph.sources.shared import shared_dir, stored  # noqa: F401
+
 #: A word, everywhere in this subpackage: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -18,28 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the session names none, as in tests, a temporary one is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back.
-
-    This cuts the lineage and survives lost executors; the table stays as long
-    as the folder does, since results are read from it lazily.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def others(docs: DataFrame, *replaced: str) -> list[str]:
+    """The table's columns but those of these names (in any case): what an operator adds
+    under a name that is there already takes that column's place."""
+    gone = {c.lower() for c in replaced}
+    return [c for c in docs.columns if c.lower() not in gone]
 
 
 def remainder(doc_id: Column, n: int) -> Column:
