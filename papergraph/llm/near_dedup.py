@@ -15,8 +15,10 @@ whose tasks return links, not pairs.
 
 Defined cases: a null text or one without words is linked with nothing; a text
 with fewer words than a shingle is one shingle; equal rows fall in one class; a
-component of null ids alone has a null id and all its rows are kept; an empty
-table gives an empty result; columns that are not named are not read.
+component of null ids alone has a null id and all its rows are kept; very long texts
+are hashed whole; of equal sets the least id stands for all; an empty table gives an
+empty result; columns that are not named are not read, and ``drop_near_duplicates``
+keeps them as they are.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ COORDINATES, LEAST_MATCHES = 32, 15
 SKETCH_BITS = 16
 #: Lists up to this length are paired; longer ones go in blocks of this many documents.
 SHORT_LIST, BLOCK = 32, 256
-#: Buckets of the broadcast filter that spares texts a shuffle.
-BUCKETS = 1 << 20
+#: Up to so many keys a broadcast filter spares the other texts a shuffle; it has 16 buckets a key.
+MOST_SENT = 1 << 20
 
 _rng = np.random.default_rng(10)
 _SCALE = _rng.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -74,11 +76,19 @@ def unpacked(data: bytes) -> bytes:
 
 
 def signature(shingle_set: np.ndarray) -> np.ndarray:
-    """Minimum of each hash function, as 32-bit integers."""
+    """A 64-bit hash of each coordinate and its minimum.
+
+    A minimum of n hashes varies in its low bits alone, so all of it is hashed: unrelated
+    documents then share a coordinate-value pair with probability 2**-64 each, however
+    long they are.
+    """
     low = np.full(COORDINATES, 2**64 - 1, np.uint64)
     for at in range(0, len(shingle_set), 4096):
         low = np.minimum(low, (shingle_set[at : at + 4096, None] * _SCALE + _SHIFT).min(axis=0))
-    return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    low ^= _SHIFT
+    for shift, odd in ((30, _ODD), (27, _MIX[0])):
+        low = (low ^ (low >> np.uint64(shift))) * odd
+    return (low ^ (low >> np.uint64(31))).view(np.int64)
 
 
 def signed_documents(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -88,23 +98,22 @@ def signed_documents(docs: DataFrame, id_col: str, text_col: str, width: int) ->
         for batch in pieces_of(batches):
             sets = [shingles(t, width) for t in batch.column(2).to_pylist()]
             cls = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            sig = np.concatenate([signature(s) for s in sets]) if sets else np.zeros(0, np.int32)
+            sig = np.concatenate([signature(s) for s in sets]) if sets else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sig) + 1, COORDINATES), pa.int32()), pa.array(sig))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), pa.array(cls, pa.binary()), lists], ["doc_id", "mark", "n_shingles", "cls", "sig"])
 
     kind = dict(docs.dtypes)[id_col]
     marked = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), text_col)
-    return marked.mapInArrow(run, f"doc_id {kind}, mark long, n_shingles long, cls binary, sig array<int>")
+    return marked.mapInArrow(run, f"doc_id {kind}, mark long, n_shingles long, cls binary, sig array<long>")
 
 
 def _tokens(batch) -> np.ndarray:
     """Coordinate-value pairs of a batch's signatures: documents x coordinates."""
-    values = batch.column("sig").flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.int64)
-    return values.reshape(-1, COORDINATES) | (np.arange(COORDINATES, dtype=np.int64) << 32)
+    return batch.column("sig").flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDINATES)
 
 
 def _bucket(tokens: np.ndarray) -> np.ndarray:
-    return ((tokens.astype(np.uint64) * _ODD) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+    return (tokens.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def frequency_sketch(classes: DataFrame) -> np.ndarray:
@@ -135,7 +144,8 @@ def prefix_postings(classes: DataFrame, sketch: np.ndarray, least_matches: int)
         for batch in batches:
             if batch.num_rows:
                 tokens = _tokens(batch)
-                best = np.sort((rank[_bucket(tokens)] << 37) | tokens, axis=1)[:, :length] & ((1 << 37) - 1)
+                order = np.lexsort((tokens, rank[_bucket(tokens)]), axis=1)[:, :length]
+                best = np.take_along_axis(tokens, order, axis=1)
                 who = pa.array(np.repeat(np.arange(batch.num_rows), length))
                 yield pa.RecordBatch.from_arrays([pa.array(best.ravel()), batch.column("cls").take(who), batch.column("n_shingles").take(who)], ["token", "cls", "n_shingles"])
 
@@ -236,9 +246,15 @@ def _links_of(group: pa.Table, percent: int, width: int) -> tuple[list, list]:
 
 
 def _maybe_in(rows: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
-    """``rows`` whose key may be in ``wanted``: a broadcast set of at most BUCKETS numbers,
-    built without a shuffle of ``rows``, that keeps most others out of the join to come."""
-    bucket = F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")
+    """``rows`` whose key may be in ``wanted``: a broadcast set of bucket numbers, built
+    without a shuffle of ``rows``, keeps most others out of the join to come.
+
+    With more than MOST_SENT keys nothing is broadcast and all ``rows`` go on to that join.
+    """
+    n = wanted.count()
+    if n > MOST_SENT:
+        return rows
+    bucket = F.pmod(F.xxhash64(*key), F.lit(max(1024, 16 * n))).cast("int")
     some = wanted.select(bucket.alias("bucket")).distinct()
     return rows.withColumn("bucket", bucket).join(F.broadcast(some), "bucket", "left_semi").drop("bucket")
 
@@ -258,7 +274,7 @@ def class_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, least_matches: int = LEAST_MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id, kept.
+    """One row a document: doc_id, n_shingles, component_id, kept, mark (a hash of the text).
 
     Documents are linked if 100 * common shingles >= ``percent`` * all of both.
     ``least_matches`` of COORDINATES suits a percent of 80 and more: a pair at 80 is
@@ -273,7 +289,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, least_ma
 
     def texts_of(wanted: DataFrame, name: str) -> DataFrame:
         """Only classes of pairs that passed the count of matches, or of long lists, need a text."""
-        return stored(class_texts(docs, wanted.distinct().join(classes.select("cls", "doc_id", "mark"), "cls"), id_col, text_col), name)
+        keys = stored(wanted.distinct().join(classes.select("cls", "doc_id", "mark"), "cls"), f"{name}-keys")
+        return stored(class_texts(docs, keys, id_col, text_col), name)
 
     ends = lambda pairs: pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
     postings = prefix_postings(classes, frequency_sketch(classes), least_matches)
@@ -308,17 +325,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, least_ma
     grouped = stored(grouped, "grouped")
     least = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = grouped.join(least, "root").select("cls", "component_id")
-    out = signed.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
+    out = signed.select("doc_id", "mark", "n_shingles", "cls").join(named, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "mark")
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document (id) of each component; rows without an id stay."""
+    """``docs`` with one document (id) of each component; rows without an id stay.
+
+    Rows go by id and text, so an id that has two texts may keep one and lose the other.
+    """
     found = near_duplicates(docs, percent, width, id_col=id_col, text_col=text_col)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct()
+    return docs.join(gone, (docs[id_col] == gone["gone_id"]) & (F.xxhash64(docs[text_col]) == gone["gone_mark"]), "left_anti")
 
 
 def op10_minhash_postings(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=3)
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=3).drop("mark")
