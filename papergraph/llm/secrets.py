@@ -7,8 +7,10 @@ most ``reach`` code points away and in the same scope (a block without blank
 line). The interval join runs inside a document's row over sorted arrays, by
 binary search, so nothing is shuffled and no pairs are listed.
 
-Defined cases: a null text is empty; null ids, repeated rows and extra columns
-go through untouched; an empty table gives an empty result.
+Defined cases: a null text is empty (and stays null when masked); null ids, repeated rows
+and extra columns go through untouched, but for a column named ``secret_scan``, which
+``scan_secrets`` replaces; of spans that start together the kinds' order decides; very long texts
+cost time in step with their length and spans; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ SCOPE_END = r"\n[\x20\x09\r]*\n"
 
 #: Order of the kinds among spans that start together.
 KINDS = ("assign", "access", "hex", "name", "opaque", "short", "endpoint")
+#: ``redact``'s own column, which no table has.
+SCAN = "__secret_scan__"
 EMPTY = "array<struct<start:bigint,end:bigint,text:string,part:string>>"
 
 
@@ -59,7 +63,10 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", reach: int = 200) -> D
 
     Weak kinds are already reduced to those that a complementary part supports.
     """
-    out = "secret_scan"
+    return _scanned(docs, "secret_scan", text_col, reach)
+
+
+def _scanned(docs: DataFrame, out: str, text_col: str, reach: int) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = {
         "assign_all": matches(text, ASSIGN, 2),
@@ -70,9 +77,14 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", reach: int = 200) -> D
         "endpoint": matches(text, ENDPOINT),
     }
 
+    def split(p: Column) -> Column:
+        """Assignments by the length of their value; bound once, since every weak candidate looks at them."""
+        short = lambda x: F.length(x["part"]) < 6
+        rest = {k: p[k] for k in found if k != "assign_all"}
+        return record(assign=F.filter(p["assign_all"], lambda x: ~short(x)), short=F.filter(p["assign_all"], short), **rest)
+
     def linked(p: Column) -> Column:
-        assign = F.filter(p["assign_all"], lambda x: F.length(x["part"]) >= 6)
-        short = F.filter(p["assign_all"], lambda x: F.length(x["part"]) < 6)
+        assign, short = p["assign"], p["short"]
         sure = [assign, p["access"], p["hex"]]
         names, secrets, places = [p["access"], p["name"]], [assign, p["hex"], p["opaque"], short], [p["endpoint"]]
         complement = {"name": (p["name"], secrets), "opaque": (p["opaque"], names + places), "short": (short, names + places), "endpoint": (p["endpoint"], secrets)}
@@ -95,7 +107,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", reach: int = 200) -> D
         weak = F.when(weak_there, let(scopes, lambda s: record(**{k: supported(k, s) for k in complement}))).otherwise(record(**dict.fromkeys(complement, none)))
         return let(weak, lambda w: record(assign=assign, access=p["access"], hex=p["hex"], name=w["name"], opaque=w["opaque"], short=w["short"], endpoint=w["endpoint"]))
 
-    return docs.withColumn(out, let(record(**found), linked))
+    return docs.withColumn(out, let(let(record(**found), split), linked))
 
 
 def span_list(scan: Column, kinds: tuple[str, ...]) -> Column:
@@ -112,24 +124,42 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def slices(text: Column, block: int = 4096):
+    """A function (start, end) to that part of ``text``, by code points.
+
+    A substring is found from the text's start on, so many of them cost the text's length
+    each; here the text is cut into blocks once and a part costs what it takes from them.
+    """
+    of = lambda blocks, i: F.coalesce(F.get(blocks, i), F.lit(""))
+
+    def part(blocks: Column, start: Column, end: Column) -> Column:
+        i, j = (F.floor(x / block).cast("int") for x in (start, end))
+        at = (start % block).cast("int") + 1
+        across = F.concat(of(blocks, i).substr(at, F.lit(block)), F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), of(blocks, j).substr(F.lit(1), (end % block).cast("int")))
+        return F.when(i == j, of(blocks, i).substr(at, (end - start).cast("int"))).otherwise(across)
+
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0)), part
+
+
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", reach: int = 200) -> DataFrame:
     """``docs`` with every reported span replaced by ``mark``; overlapping spans get one."""
-    scanned = scan_secrets(docs, text_col, reach)
+    scanned = _scanned(docs, SCAN, text_col, reach)
     text = F.col(text_col)
+    whole, part = slices(text)
 
     def rebuilt(s: Column) -> Column:
         upto = running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b), F.lit(0))
 
-        def pieces(m: Column) -> Column:
-            before = lambda i: F.coalesce(F.get(m, i - 1), F.lit(0))
-            kept = F.transform(s, lambda x, i: F.when((i > 0) & (x["start"] < before(i)), "").otherwise(F.concat(text.substr((before(i) + 1).cast("int"), F.greatest(x["start"] - before(i), F.lit(0)).cast("int")), F.lit(mark))))
-            return F.concat(F.array_join(kept, ""), text.substr((F.element_at(m, -1) + 1).cast("int"), F.length(text)))
+        def pieces(m: Column, blocks: Column) -> Column:
+            before = lambda i: F.coalesce(F.get(m, i - 1), F.lit(0).cast("long"))
+            kept = F.transform(s, lambda x, i: F.when((i > 0) & (x["start"] < before(i)), "").otherwise(F.concat(part(blocks, before(i), x["start"]), F.lit(mark))))
+            return F.concat(F.array_join(kept, ""), part(blocks, F.element_at(m, -1), F.length(text).cast("long")))
 
-        return let(upto, pieces)
+        return let(upto, lambda m: let(whole, lambda blocks: pieces(m, blocks)))
 
-    spans = span_list(F.col("secret_scan"), KINDS)
+    spans = span_list(F.col(SCAN), KINDS)
     clean = let(spans, lambda s: F.when(F.size(s) == 0, text).otherwise(rebuilt(s)))
-    return scanned.withColumn(text_col, clean).drop("secret_scan")
+    return scanned.withColumn(text_col, clean).drop(SCAN)
 
 
 def op2_linked_secrets(spark, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ def _spans(kinds) -> str:
 
 OP2 = f"""WITH a AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 f AS (SELECT doc_id, {_matches(ASSIGN, 2)} AS assign_all, {_matches(ACCESS)} AS access, {_matches(HEX)} AS hex, {_matches(NAME)} AS name0,
-  list_filter({_matches(OPAQUE)}, lambda x: length(x.t) <= 64 AND regexp_matches(x.t, '[0-9]') AND regexp_matches(x.t, '[a-z]') AND regexp_matches(x.t, '[A-Z]')) AS opaque0,
+  list_filter({_matches(OPAQUE)}, lambda x: regexp_matches(x.t, '[0-9]') AND regexp_matches(x.t, '[a-z]') AND regexp_matches(x.t, '[A-Z]')) AS opaque0,
   {_matches(ENDPOINT)} AS endpoint0, {_matches(SCOPE_END)} AS scopes FROM a),
 p AS (SELECT *, list_filter(assign_all, lambda x: length(x.p) >= 6) AS assign, list_filter(assign_all, lambda x: length(x.p) < 6) AS short0 FROM f),
 l AS (SELECT doc_id, assign, access, hex, {_linked("name0", ["assign", "hex", "opaque0", "short0"])} AS name, {_linked("opaque0", ["access", "name0", "endpoint0"])} AS opaque,
