@@ -9,18 +9,20 @@ hidden states emit classes; a class gives its words by their training counts:
 Every round of Baum-Welch runs over all training texts, until one gains too
 little likelihood. Texts are cut into segments of SEGMENT words that advance
 together; a later segment starts from a distribution of its own, not from the
-state before it. Each task sums its expected counts, the sums over tasks give the
+state before it, so steps over segment edges are not counted in training. Each task sums its expected counts, the sums over tasks give the
 next parameters. Scoring is the scaled forward recursion over whole texts.
 
 Texts are read once and kept as units: some thousand texts with one sorted list
 of their distinct words. Each unit sends a distinct word once to be counted and
-gets one count back, so that no word is hot and the exchange grows in step with
-the input.
+gets one count back: counting is a grouped sum over words, a unit's counts meet it by
+the unit's number, and so every group is bounded by a unit or summed up before the
+shuffle, however large the corpus.
 
 Defined cases: a null or empty text is its end alone; null and repeated ids are
 texts of their own; without training texts all counts are 0 and the states stay
-even; an empty table gives an empty result; columns that are not named are not
-read.
+even; very long texts are scored whole, a unit being as large as its longest text; ties
+and clashing names don't occur, since columns that are not named are not read; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,16 +31,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces_of, remainder, stored, table
+from .hashing import RangeHash, mixed
 
 CLASS_BITS = 14
 CLASSES, STATES, SEGMENT = 1 << CLASS_BITS, 8, 128
 END = CLASSES - 1
+#: Words after which forward probabilities are scaled.
+SCALED = 4
 #: Expected counts travel as integers of this fraction, so that sums are exact.
 FRACTION = 1 << 12
 ADD = 0.1
@@ -60,27 +64,37 @@ def expand(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, n).T).view(kind).ravel()
 
 
-def token_of(word: bytes) -> int:
-    """50 bits of the word's hash, then its class."""
-    key = word if len(word) <= 5 else b"~" + word[-3:]
-    return (xxhash.xxh64_intdigest(word) >> CLASS_BITS << CLASS_BITS) | (xxhash.xxh64_intdigest(key, 7) % END)
+_letters = mixed(np.arange(256, dtype=np.uint64), 11)
+_whole, _ending = RangeHash(0x9E3779B97F4A7C15), RangeHash(0xD6E8FEB86659FD93)
+
+
+def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts, one after another, as 50 bits of their hash and then their
+    class; and the number of words of each text."""
+    raw = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
+    byte = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+    blank = (byte == 32) | ((byte >= 9) & (byte <= 13))
+    turn = np.flatnonzero(np.diff(blank, prepend=True))
+    start, end = turn[::2], turn[1::2]
+    bounds = np.cumsum([0, *(len(x) + 1 for x in raw)])
+    values = _letters[byte]
+    long = end - start > 5  # classes: short words by themselves, longer ones by their ending
+    key = _ending.of(values, np.where(long, end - 3, start), end) + long.astype(np.uint64)
+    word = _whole.of(values, start, end)
+    token = (word >> np.uint64(CLASS_BITS) << np.uint64(CLASS_BITS)) | (mixed(key, 7) % np.uint64(END))
+    return token, np.diff(np.searchsorted(start, bounds))
 
 
 def make_units(docs: DataFrame, id_col: str, text_col: str, held_col: str, rows: int = 2048, size: int = 8_000_000) -> DataFrame:
     """One row a unit; see UNIT_SCHEMA. ``ids`` is an Arrow stream, the others number arrays."""
 
     def run(batches):
-        count, known = 0, {}
+        count = 0
         for batch in pieces_of(batches, rows, size):
-            texts = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in batch.column(1).to_pylist()]
-            flat = [w for t in texts for w in t]
-            if len(known) > 300_000:
-                known.clear()
-            for w in set(flat):
-                if w not in known:
-                    known[w] = token_of(w)
-            tokens, at = np.unique(np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat)), return_inverse=True)
-            lengths = np.array([len(t) for t in texts], np.uint32)
+            # hashed some texts at a time, whose powers take little memory
+            parts = [tokens_of([t or "" for t in x.column(1).to_pylist()]) for x in pieces_of([batch], rows, 1_000_000)]
+            tokens, at = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+            lengths = np.concatenate([x for _, x in parts]).astype(np.uint32)
             held = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
             trained = np.bincount(at[np.repeat(held == 0, lengths)], minlength=len(tokens)).astype(np.uint32)
             sink = pa.BufferOutputStream()
@@ -96,56 +110,25 @@ def make_units(docs: DataFrame, id_col: str, text_col: str, held_col: str, rows:
     return docs.select(id_col, text_col, F.col(held_col)).mapInArrow(run, UNIT_SCHEMA)
 
 
-def count_words(units: DataFrame, buckets: int) -> DataFrame:
-    """unit, bucket, counts (of the unit's words in that range of tokens) and, in rows
-    without a unit, each class's distinct trained words (kinds) and their number."""
+def sent_words(units: DataFrame) -> DataFrame:
+    """token, unit, at, trained: a row for each distinct word of a unit and its place there."""
 
     def send(batches):
         for batch in batches:
             for unit, tokens, trained in zip(*(batch.column(c).to_pylist() for c in ("unit", "tokens", "trained")), strict=True):
                 tokens, trained = expand(tokens, np.uint64), expand(trained, np.uint32)
-                edge = np.searchsorted(tokens, np.array([(b << 64) // buckets for b in range(buckets)], np.uint64))
-                parts = [(b, lo, hi) for b, (lo, hi) in enumerate(zip(edge, [*edge[1:], len(tokens)], strict=True)) if hi > lo]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b for b, _, _ in parts], pa.int32()), pa.array([unit] * len(parts), pa.int64())]
-                    + [pa.array([f(x[lo:hi]) for _, lo, hi in parts], pa.binary()) for x, f in ((tokens, lambda v: v.tobytes()), (trained, squeeze))],
-                    ["bucket", "unit", "tokens", "trained"],
-                )
-
-    def count(group: pa.Table) -> pa.Table:
-        tokens = [np.frombuffer(x, np.uint64) for x in group.column("tokens").to_pylist()]
-        trained = [expand(x, np.uint32) for x in group.column("trained").to_pylist()]
-        distinct, at = np.unique(np.concatenate(tokens), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate(trained), minlength=len(distinct)).astype(np.uint64)
-        ends = np.cumsum([len(x) for x in tokens])
-        back = [squeeze(total[at[hi - len(x) : hi]]) for x, hi in zip(tokens, ends, strict=True)]
-        seen = distinct[total > 0] & np.uint64(CLASSES - 1)
-        kinds = np.bincount(seen.astype(np.int64), minlength=CLASSES).astype(np.uint32)
-        number = np.bincount(seen.astype(np.int64), weights=total[total > 0], minlength=CLASSES).astype(np.uint64)
-        bucket = group.column("bucket")[0].as_py()
-        return pa.table({
-            "unit": pa.array([*group.column("unit").to_pylist(), None], pa.int64()),
-            "bucket": pa.array([bucket] * (len(back) + 1), pa.int32()),
-            "counts": pa.array([*back, None], pa.binary()),
-            "kinds": pa.array([None] * len(back) + [squeeze(kinds)], pa.binary()),
-            "number": pa.array([None] * len(back) + [squeeze(number)], pa.binary()),
-        })
-
-    sent = units.select("unit", "tokens", "trained").mapInArrow(send, "bucket int, unit long, tokens binary, trained binary")
-    return sent.groupBy("bucket").applyInArrow(count, "unit long, bucket int, counts binary, kinds binary, number binary")
-
-
-def class_totals(counted: DataFrame, spark) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct trained words, and trained words, of each class."""
-
-    def unfold(batches):
-        for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                kinds, number = expand(a, np.uint32), expand(b, np.uint64)
-                some = np.flatnonzero(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(kinds[some].astype(np.int64)), pa.array(number[some].astype(np.int64))], ["class", "kinds", "n"])
+                for lo in range(0, len(tokens), 65_536):
+                    part = tokens[lo : lo + 65_536].view(np.int64)
+                    columns = [part, np.full(len(part), unit), np.arange(lo, lo + len(part), dtype=np.int32), trained[lo : lo + 65_536].astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["token", "unit", "at", "trained"])
+
+    return units.select("unit", "tokens", "trained").mapInArrow(send, "token long, unit long, at int, trained long")
 
-    rows = counted.where("unit is null").select("kinds", "number").mapInArrow(unfold, "class long, kinds long, n long").groupBy("class").agg(F.sum("kinds"), F.sum("n"))
+
+def class_totals(totals: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct trained words, and trained words, of each class; ``totals`` has token, n."""
+    cls = F.col("token").bitwiseAND(F.lit(CLASSES - 1))
+    rows = totals.where("n > 0").groupBy(cls.cast("int").alias("class")).agg(F.count("*"), F.sum("n"))
     kinds, number = np.zeros(CLASSES), np.zeros(CLASSES)
     for c, k, n in rows.toLocalIterator():
         kinds[c], number[c] = k, n
@@ -176,7 +159,10 @@ def unit_sequences(row: dict, train_only: bool) -> tuple[np.ndarray, np.ndarray]
 def expected_counts(seq: np.ndarray, lengths: np.ndarray, chain: Chain, segment: int = SEGMENT) -> dict[str, np.ndarray]:
     """Forward-backward over segments of at most ``segment`` words, all in step.
 
-    ``fit`` is the segments' log-likelihood under ``chain``."""
+    Emissions are taken relative to a class's mean over the states, which changes no
+    expected count and keeps products near 1, so that they are scaled every SCALED words.
+    ``fit`` is the segments' log-likelihood under ``chain``.
+    """
     k = len(chain.first)
     out = {"first": np.zeros(k), "inside": np.zeros(k), "step": np.zeros((k, k)), "emit": np.zeros((CLASSES, k)), "fit": np.zeros(1)}
     if not len(seq):
@@ -190,33 +176,43 @@ def expected_counts(seq: np.ndarray, lengths: np.ndarray, chain: Chain, segment:
     order = np.argsort(-size, kind="stable")
     start, size, head = start[order], size[order], nth[order] == 0
     live = np.searchsorted(-size, -np.arange(int(size[0])), side="left")
-    emit, step = chain.emit.astype(np.float32), chain.step.astype(np.float32)
-    alphas, norms = [], []
+    mean = np.maximum(chain.emit.mean(axis=1), 1e-300)
+    emit, step = (chain.emit / mean[:, None]).astype(np.float32), chain.step.astype(np.float32)
+    words = [seq[start[:n] + t] for t, n in enumerate(live)]
+    flat = np.concatenate(words)
+    alphas: list[np.ndarray] = []
+    given: list[np.ndarray] = []
+    norms: dict[int, np.ndarray] = {}
     a = np.where(head[:, None], chain.first, chain.inside).astype(np.float32)
     for t, n in enumerate(live):
-        a = (a if t == 0 else a[:n] @ step) * emit[seq[start[:n] + t]]
-        z = a.sum(axis=1, keepdims=True)
-        a = a / z
+        given.append(emit[words[t]])
+        a = (a if t == 0 else a[:n] @ step) * given[t]
+        if t % SCALED == SCALED - 1:
+            norms[t] = a.sum(axis=1, keepdims=True)
+            a = a / norms[t]
+            out["fit"] += np.log(norms[t], dtype=np.float64).sum()
         alphas.append(a)
-        norms.append(z)
-    out["fit"] += np.log(np.concatenate(norms), dtype=np.float64).sum()
+    out["fit"] += np.log(mean)[flat].sum()
     beta = np.ones((0, k), np.float32)
     for t in range(len(live) - 1, -1, -1):
         n, later = live[t], len(beta)
         if later:  # beta stands for the words after t
-            ahead = beta * emit[seq[start[:later] + t + 1]] / norms[t + 1]
+            ahead = beta * given[t + 1]
+            if t + 1 in norms:
+                ahead /= norms[t + 1]
             out["step"] += alphas[t][:later].T @ ahead
             beta = ahead @ step.T
-        beta = np.vstack([beta, np.ones((n - later, k), np.float32)])
-        gamma = alphas[t] * beta
-        alphas[t] = gamma / gamma.sum(axis=1, keepdims=True)
+        if later < n:  # segments that end here
+            last = alphas[t][later:].sum(axis=1, keepdims=True)
+            out["fit"] += np.log(last, dtype=np.float64).sum()
+            beta = np.concatenate([beta, np.repeat(1 / last, k, axis=1)])
+        alphas[t] = alphas[t] * beta
     out["step"] *= chain.step
     out["first"] += alphas[0][head].sum(axis=0)
     out["inside"] += alphas[0][~head].sum(axis=0)
-    flat = np.concatenate([seq[start[:n] + t] for t, n in enumerate(live)])
-    every = np.concatenate(alphas)
+    every = np.ascontiguousarray(np.concatenate(alphas).T)
     for s in range(k):
-        out["emit"][:, s] = np.bincount(flat, weights=every[:, s], minlength=CLASSES)
+        out["emit"][:, s] = np.bincount(flat, weights=every[s], minlength=CLASSES)
     return out
 
 
@@ -276,14 +272,22 @@ def log_likelihoods(seq: np.ndarray, lengths: np.ndarray, chain: Chain) -> np.nd
     """log10 of each sequence's probability: the scaled forward recursion, all in step."""
     order = np.argsort(-lengths, kind="stable")
     start, size = (np.cumsum(lengths) - lengths)[order], lengths[order]
+    mean = np.maximum(chain.emit.mean(axis=1), 1e-300)
+    emit, log_mean = chain.emit / mean[:, None], np.log10(mean)
     total = np.zeros(len(lengths))
     a = np.tile(chain.first, (len(lengths), 1))
     live = np.searchsorted(-size, -np.arange(int(size[0])), side="left") if len(size) else []
     for t, n in enumerate(live):
-        a = (a[:n] if t == 0 else a[:n] @ chain.step) * chain.emit[seq[start[:n] + t]]
-        z = a.sum(axis=1)
-        a /= z[:, None]
-        total[:n] += np.log10(z)
+        now = seq[start[:n] + t]
+        a = (a[:n] if t == 0 else a[:n] @ chain.step) * emit[now]
+        total[:n] += log_mean[now]
+        done = live[t + 1] if t + 1 < len(live) else 0  # texts from here on end with this word
+        if t % SCALED == SCALED - 1:
+            done = 0
+        if done < n:
+            z = a[done:].sum(axis=1)
+            a[done:] /= z[:, None]
+            total[done:n] += np.log10(z)
     out = np.zeros(len(lengths))
     out[order] = total
     return out
@@ -296,39 +300,37 @@ def score_units(units: DataFrame, counted: DataFrame, chain: Chain, kinds: np.nd
     below = np.log10(n + ADD * (v + 1))
     ends = float(number[END])
 
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                parts = sorted(row["parts"], key=lambda p: p["bucket"]) if row["parts"] else []
-                counts = np.concatenate([np.zeros(0), *(expand(p["counts"], np.uint64).astype(np.float64) for p in parts)])
-                words = expand(row["words"], np.uint32)
-                lengths = np.frombuffer(row["lengths"], np.uint32).astype(np.int64)
-                text = np.repeat(np.arange(len(lengths)), lengths)
-                sums = lambda x: np.bincount(text, weights=x[words], minlength=len(lengths))  # noqa: E731, B023
-                lift = np.log10(counts + ADD)
-                tokens = lengths + 1
-                base = sums(lift) + np.log10(ends + ADD) - tokens * below
-                classes = (expand(row["tokens"], np.uint64) & np.uint64(CLASSES - 1)).astype(np.int64)
-                inside = sums(lift - mass[classes]) + (np.log10(ends + ADD) - mass[END])
-                whole = inside + log_likelihoods(*unit_sequences(row, False), chain)
-                known = sums((counts > 0).astype(np.float64)) + (ends > 0)
-                ids = pa.ipc.open_stream(row["ids"]).read_all().combine_chunks().column(0).combine_chunks()
-                held = np.frombuffer(row["held"], np.uint8).astype(bool)
-                columns = [ids, pa.array(held), pa.array(tokens), pa.array(known.astype(np.int64)), pa.array(np.full(len(tokens), int(n))), pa.array(base), pa.array(whole)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    parts = counted.where("unit is not null").groupBy("unit").agg(F.collect_list(F.struct("bucket", "counts")).alias("parts"))
-    joined = units.select("unit", "ids", "held", "lengths", "words", "tokens").join(parts, "unit", "left").drop("unit")
-    return joined.mapInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def run(unit: pa.Table, found: pa.Table) -> pa.Table:
+        row = unit.to_pylist()[0]
+        classes = (expand(row["tokens"], np.uint64) & np.uint64(CLASSES - 1)).astype(np.int64)
+        counts = np.zeros(len(classes))
+        counts[found.column("at").to_numpy()] = found.column("n").to_numpy()
+        words = expand(row["words"], np.uint32)
+        lengths = np.frombuffer(row["lengths"], np.uint32).astype(np.int64)
+        text = np.repeat(np.arange(len(lengths)), lengths)
+        sums = lambda x: np.bincount(text, weights=x[words], minlength=len(lengths))
+        lift = np.log10(counts + ADD)
+        tokens = lengths + 1
+        base = sums(lift) + np.log10(ends + ADD) - tokens * below
+        inside = sums(lift - mass[classes]) + (np.log10(ends + ADD) - mass[END])
+        whole = inside + log_likelihoods(*unit_sequences(row, False), chain)
+        known = sums((counts > 0).astype(np.float64)) + (ends > 0)
+        ids = pa.ipc.open_stream(row["ids"]).read_all().column(0)
+        held = np.frombuffer(row["held"], np.uint8).astype(bool)
+        columns = [ids, pa.array(held), pa.array(tokens), pa.array(known.astype(np.int64)), pa.array(np.full(len(tokens), int(n))), pa.array(base), pa.array(whole)]
+        return pa.Table.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    whole = units.select("unit", "ids", "held", "lengths", "words", "tokens").groupBy("unit")
+    return whole.cogroup(counted.groupBy("unit")).applyInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def hidden_markov_scores(docs: DataFrame, held_col: str = "held_out", id_col: str = "doc_id", text_col: str = "text", **training) -> DataFrame:
     """Scores of all texts by a model of those whose ``held_col`` is false."""
-    spark = docs.sparkSession
     units = stored(make_units(docs, id_col, text_col, held_col), "units")
-    buckets = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    counted = stored(count_words(units, buckets), "word-counts")
-    kinds, number = class_totals(counted, spark)
+    sent = sent_words(units)
+    totals = stored(sent.groupBy("token").agg(F.sum("trained").alias("n")), "word-counts")
+    counted = sent.join(totals, "token").select("unit", "at", "n")
+    kinds, number = class_totals(totals)
 
     def trained_texts(batches):
         for batch in batches:
