@@ -7,16 +7,18 @@ accept more slack each round, and so on up a tree. No task holds more than
 them fewer, each closes what it has.
 
 Defined cases: a null text is empty, and an empty one is its end token alone;
-null and repeated ids are packed as they come; an empty table gives an empty
-result; columns that are not named are not read.
+null and repeated ids are packed as they come; a very long text is encoded whole
+and cut; pieces of one size are packed in the order in which they come; an empty table
+gives an empty result; columns that are not named are not read, so clashing names do
+not matter.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import unicodedata
 import zlib
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,44 +27,150 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces_of, stored, table
+from .hashing import RangeHash, mixed
 
-#: Characters whose case, normal form and class every Unicode version agrees on.
-_PLAIN = [chr(c) for c in (*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xA1, 0x130), *range(0x131, 0x250))]
+#: Longer chunks are not kept: their texts go to the library whole.
+MOST_BYTES = 64
+#: A word of letters that the vocabulary's file takes for one piece.
+PLAIN_WORD = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+BLANK, LETTER, SIGN, OTHER = 0, 1, 2, 3
+_KINDS = np.full(256, OTHER, np.uint8)
+_KINDS[[32, *range(9, 14)]] = BLANK
+_KINDS[[c for c in range(128) if chr(c).isalnum()]] = LETTER
+_KINDS[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = SIGN
 
 
-def _of(kind: str) -> str:
-    return "".join(re.escape(c) for c in _PLAIN if unicodedata.category(c)[0] == kind)
+def chunk_bounds(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of chunks: cut at blanks, and where a letter meets an ASCII sign.
 
-
-PLAIN_TEXT = re.compile(f"[{''.join(map(re.escape, _PLAIN))}]*")
-#: How the vocabulary's file splits lower-case text, for plain characters.
-SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_of('L')}]+|[{_of('N')}]|[^\\s{_of('L')}{_of('N')}]+")
+    The vocabulary's file cuts there too, whatever follows; an apostrophe, which can open
+    a shortened word, and letters beyond U+00FF stay with what they touch.
+    """
+    kind = _KINDS[byte]
+    lead = np.flatnonzero(byte[:-1] == 0xC3)  # U+00C0 to U+00FF, all letters but two
+    lead = lead[(byte[lead + 1] != 0x97) & (byte[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = LETTER
+    cut = kind[:-1] * kind[1:] == LETTER * SIGN
+    full = kind != BLANK
+    start = np.flatnonzero(full & np.append(True, cut | ~full[:-1]))
+    end = np.flatnonzero(full & np.append(cut | ~full[1:], True)) + 1
+    return start, end
 
 
 class WordIds:
-    """Token ids of texts, as little-endian 32-bit bytes, with a cache of words.
+    """Token ids of texts, as little-endian 32-bit bytes, with a table of chunks.
 
-    The vocabulary encodes each word by itself, so plain texts are put together
-    from words; the library encodes each new word and every other text.
+    A text's ids are those of its chunks, one after another. Chunks are found, hashed
+    (twice 64 bits) and looked up for many texts at once; the library encodes each new
+    chunk, and whole texts with a special token or a long chunk.
     """
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.model, self.most_words, self.words = Tokenizer.from_file(path), most_words, {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        self.model, self.most_words = Tokenizer.from_file(path), most_words
+        self.ends = np.zeros(self.model.get_vocab_size(), bool)
+        self.ends[[i for word, i in self.model.get_vocab().items() if word.endswith("</w>")]] = True
+        self.letters = mixed(np.arange(256, dtype=np.uint64), 9)
+        self.hashes = RangeHash(0x9E3779B97F4A7C15), RangeHash(0xD6E8FEB86659FD93)
+        self._clear(most_words)
+
+    def _clear(self, room: int) -> None:
+        self.room, self.slot_bits = room, (2 * room - 1).bit_length()
+        self.keys = np.zeros((2, 1 << self.slot_bits), np.uint64)
+        self.entry = np.zeros(1 << self.slot_bits, np.int32)
+        self.start, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        ids = [x.ids for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = [0, *accumulate(4 * len(x) for x in ids)]
+        flat = np.fromiter(chain.from_iterable(ids), "<u4", ends[-1] // 4).tobytes()
+        return [flat[lo:hi] for lo, hi in pairwise(ends)]
+
+    def _of_words(self, chunks: list[str], together: int = 64) -> list[bytes]:
+        """Ids of each chunk. Plain words go to the library many in a text, which costs it a
+        third; each is one piece, and a piece's last token is marked as a word's end."""
+        plain = [k for k, c in enumerate(chunks) if PLAIN_WORD.fullmatch(c)]
+        texts = [" ".join([chunks[k] for k in plain[lo : lo + together]]) for lo in range(0, len(plain), together)]
+        flat = np.frombuffer(b"".join(self._library(texts)), "<u4")
+        ends = [0, *(np.flatnonzero(self.ends[flat]) + 1).tolist()]
+        if len(ends) != len(plain) + 1:
+            plain, ends = [], [0]
+        out: list[bytes | None] = [None] * len(chunks)
+        data = flat.tobytes()
+        for k, lo, hi in zip(plain, ends, ends[1:], strict=False):
+            out[k] = data[4 * lo : 4 * hi]
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, x in zip(rest, self._library([chunks[k] for k in rest]), strict=True):
+            out[k] = x
+        return out
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Entries of hashed chunks (2 x n); -1 where there is none."""
+        out = np.full(h.shape[1], -1, np.int32)
+        todo, slot = np.arange(h.shape[1]), (h[0] >> np.uint64(64 - self.slot_bits)).astype(np.int64)
+        while len(todo):
+            here = self.keys[0][slot]
+            same = (here == h[0][todo]) & (self.keys[1][slot] == h[1][todo])
+            out[todo[same]] = self.entry[slot[same]]
+            on = ~same & (here != 0)
+            todo, slot = todo[on], (slot[on] + 1) % len(self.entry)
+        return out
+
+    def _learn(self, chunks: list[str], h: np.ndarray) -> None:
+        ids = self._of_words(chunks)
+        count = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        entry = len(self.start) + np.arange(len(ids), dtype=np.int32)
+        self.start = np.append(self.start, len(self.flat) + np.cumsum(count) - count)
+        self.count, self.flat = np.append(self.count, count), np.append(self.flat, np.frombuffer(b"".join(ids), "<u4"))
+        slot = (h[0] >> np.uint64(64 - self.slot_bits)).astype(np.int64)
+        while len(slot):  # each free slot takes one of those that want it, the others go on
+            free = np.flatnonzero(self.keys[0][slot] == 0)
+            take = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[:, slot[take]], self.entry[slot[take]] = h[:, take], entry[take]
+            left = np.ones(len(slot), bool)
+            left[take] = False
+            slot, h, entry = (slot[left] + 1) % len(self.entry), h[:, left], entry[left]
+
+    def _of_chunks(self, data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Entries of the chunks between these places; new ones are learned."""
+        values = self.letters[np.frombuffer(data, np.uint8)]
+        h = np.stack([x.of(values, start, end) for x in self.hashes])
+        h[0] |= np.uint64(1)  # 0 marks a free slot
+        found = self._find(h)
+        while (new := np.flatnonzero(found < 0)).size:
+            new = new[np.unique(h[0][new], return_index=True)[1]]
+            if len(self.start) + len(new) > self.room:
+                self._clear(max(self.most_words, 2 * len(np.unique(h[0]))))
+                found[:] = -1
+                continue
+            self._learn([data[a:b].decode() for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)], h[:, new])
+            found = self._find(h)
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [SPLIT.findall(t.lower()) if "<|" not in t and PLAIN_TEXT.fullmatch(t) else None for t in texts]
-        if len(self.words) > self.most_words:
-            self.words.clear()
-        new = list({w for words in split if words for w in words if w not in self.words})
-        self.words.update(zip(new, self._encode(new), strict=True))
-        rest = iter(self._encode([t for t, words in zip(texts, split, strict=True) if words is None]))
-        return [next(rest) if words is None else b"".join(map(self.words.__getitem__, words)) for words in split]
+        # the library lower-cases the rest; a special token is found before that
+        raw = [b"" if "<|" in t else t.encode().lower() for t in texts]
+        data = b"\n".join(raw) + b"\n"
+        byte = np.frombuffer(data, np.uint8)
+        start, end = chunk_bounds(byte)
+        text = np.searchsorted(np.cumsum([len(x) + 1 for x in raw]), start, side="right")
+        whole = np.zeros(len(texts), bool)
+        whole[text[end - start > MOST_BYTES]] = True
+        if whole.any():
+            here = ~whole[text]
+            start, end, text = start[here], end[here], text[here]
+        entry = self._of_chunks(data, start, end)
+        count = self.count[entry]
+        upto = np.cumsum(count)
+        ids = self.flat[np.repeat(self.start[entry] - upto + count, count) + np.arange(upto[-1] if len(upto) else 0)]
+        ends = np.cumsum(np.bincount(text, weights=count, minlength=len(texts)).astype(np.int64)) if len(texts) else []
+        flat, out = ids.tobytes(), []
+        for k, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends, strict=False)):
+            out.append(None if whole[k] or "<|" in texts[k] else flat[4 * lo : 4 * hi])
+        rest = iter(self._library([t for t, x in zip(texts, out, strict=True) if x is None]))
+        return [next(rest) if x is None else x for x in out]
 
 
 _encoders: dict[str, WordIds] = {}
@@ -87,7 +195,7 @@ def token_pieces(docs: DataFrame, size: int = 2048, end_id: int = 0, vocabulary:
             _encoders[path] = WordIds(path)
         encoder = _encoders[path]
         end = np.array([end_id], "<u4").tobytes()
-        for batch in pieces_of(batches):
+        for batch in pieces_of(batches, size=1_000_000):
             at, piece, start, length, crc = [], [], [], [], []
             for row, ids in enumerate(encoder.encode([t or "" for t in batch.column(1).to_pylist()])):
                 ids += end
