@@ -1,120 +1,233 @@
-"""Substring dedup by line hashing.
+"""Substring dedup by hashing lines and the sentences in them.
 
-Lines are normalised and hashed; equal digests are grouped over the whole
-corpus; of each group the occurrence of the earliest rank (id, then place) stays
-and the others are removed, told by their offsets in the original text.
+Texts are cut at line ends and, inside lines, after ``.``, ``!`` or ``?`` before a blank,
+so that a passage set into other prose is found too. Pieces are normalised and hashed;
+equal digests are grouped over the whole corpus; of each group the occurrence of the
+earliest rank (id, then place) stays and the others are removed, told by their offsets
+in the original text.
 
-Lines of fewer than ``least_words`` words join the same grouping in two ways. In a
-run of them, from each line the fewest lines that have ``least_words`` words are
-hashed, forwards and backwards, so that a repeated passage of short lines is found
-from its first line to its last. A run that has fewer words is hashed with the long
-line on either side of it, so that a repeated passage keeps no holes. Spans that
-overlap are joined.
+Pieces of ``least_words`` words and more are units by themselves. Shorter ones join the
+same grouping in two ways. In a run of them, from each piece the fewest pieces that have
+``least_words`` words are hashed, forwards and backwards, so that a repeated passage of
+short pieces is found from its first to its last. A run that has fewer words is hashed
+with the long piece on either side of it, so that a repeated passage keeps no holes.
+Spans that overlap, or that only a blank within a line parts, are joined.
+
+Documents that share a stock line share units too. ``repeats`` therefore asks for a run of repeated units of at least ``least_run``
+words: a passage of over 50 words can lose the sentences that its edges cut.
 
 Defined cases: a null text has no units; null ids rank first; rows equal in id
 and text are one document, whose units share their rank and so stay or go
-alike; a run of short lines with fewer than ``least_words`` words stays unless it
-lies between two long lines that are repeated with it; an empty table gives an
-empty result; columns that are not named are not read.
+alike; ties between equal units go to the lower id, then place; very long texts are
+handled whole, in memory proportional to the text; an empty table gives an empty result;
+columns that are not named are not read, and ``remove_units`` keeps them as they are,
+whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from .common import let, rank_of, record, running, stored, table, word_array
-
-
-def short_units(every: Column, least_words: int) -> Column:
-    """Units of lines (structs start, end, words) that have too few words alone.
-
-    Structs start, end, words, link; ``link`` marks a short run between long lines.
-    """
-    n = F.transform(every, lambda u: F.size(u["words"]).cast("bigint"))
-    add = lambda a, b: a + b
-
-    def joined(i: Column, j: Column, link: bool) -> Column:
-        words = F.flatten(F.transform(F.slice(every, i + 1, j - i + 1), lambda u: u["words"]))
-        return record(start=F.get(every, i)["start"], end=F.get(every, j)["end"], words=words, link=F.lit(link))
-
-    def found(n: Column, upto: Column, longs: Column) -> Column:
-        before = F.transform(upto, lambda c, i: c - F.get(n, i))
-        lines = F.sequence(F.lit(0), F.size(n) - 1)
-        short = lambda i: (F.get(n, i) > 0) & (F.get(n, i) < least_words)
-        inside = lambda i, j: (i >= 0) & (j < F.size(n)) & (F.get(longs, i) == F.get(longs, j)) & short(i)
-
-        def placed(before: Column) -> Column:
-            starts = F.filter(lines, short)
-            ahead = F.transform(starts, lambda i: record(i=i, j=rank_of(upto, lambda x: x, F.get(before, i) + (least_words - 1))))
-            back = F.transform(starts, lambda j: record(i=rank_of(before, lambda x: x, F.get(upto, j) - least_words) - 1, j=j))
-            runs = F.filter(F.array_distinct(F.concat(ahead, back)), lambda w: inside(w["i"], w["j"]))
-            long = F.filter(lines, lambda i: F.get(n, i) >= least_words)
-            gaps = let(long, lambda x: F.filter(F.transform(x, lambda i, k: record(i=i, j=F.get(x, k + 1))), lambda w: w["j"].isNotNull() & (F.get(before, w["j"]) - F.get(upto, w["i"])).between(1, least_words - 1)))
-            return F.concat(F.transform(runs, lambda w: joined(w["i"], w["j"], False)), F.transform(gaps, lambda w: joined(w["i"], w["j"], True)))
-
-        return let(before, placed)
-
-    longs = lambda n: running(F.transform(n, lambda x: F.when(x >= least_words, 1).otherwise(0).cast("bigint")), add, F.lit(0))
-    none = F.array().cast("array<struct<start:bigint,end:bigint,words:array<string>,link:boolean>>")
-    found_in = let(n, lambda n: let(running(n, add, F.lit(0)), lambda upto: let(longs(n), lambda x: found(n, upto, x))))
-    return F.when(F.exists(every, lambda u: F.size(u["words"]).between(1, least_words - 1)), found_in).otherwise(none)
-
-
-def units(text: Column, least_words: int) -> Column:
-    """Start, end (code points), digest of the normal form (two hashes) and link of every unit."""
-    lines = F.split(text, "\n", -1)
-
-    def placed(x: Column) -> Column:
-        ends = running(F.transform(x, lambda s: (F.length(s) + 1).cast("bigint")), lambda a, b: a + b, F.lit(0))
-        words = F.transform(x, lambda s: word_array(F.lower(s)))
-        every = let(ends, lambda e: let(words, lambda w: F.transform(x, lambda s, i: record(start=F.get(e, i) - 1 - F.length(s), end=F.get(e, i) - 1, words=F.get(w, i)))))
-        long = lambda v: F.transform(F.filter(v, lambda u: F.size(u["words"]) >= least_words), lambda u: record(start=u["start"], end=u["end"], words=u["words"], link=F.lit(False)))
-        both = let(every, lambda v: F.concat(long(v), short_units(v, least_words)))
-        return F.transform(both, lambda u: record(start=u["start"], end=u["end"], d1=F.xxhash64(u["words"]), d2=F.xxhash64(F.lit(5), u["words"]), link=u["link"]))
-
-    return let(lines, placed)
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-def without_overlaps(spans: Column) -> Column:
-    """Sorted spans (start, end) with those that overlap joined."""
+from .common import pieces_of, stored, table
+from .hashing import RangeHash, mixed
+
+UNIT = "start long, end long, first_word int, words int, link boolean, inline boolean, d1 long, d2 long"
+SPANS = "array<struct<start:bigint,end:bigint>>"
+
+_chars, _words = RangeHash(0x9E3779B97F4A7C15), (RangeHash(0xD6E8FEB86659FD93), RangeHash(0xA0761D6478BD642F))
+_lower: list[np.ndarray] = []
+
+
+def lower_points(points: np.ndarray) -> np.ndarray:
+    """Code points in lower case, one for one (others stay as they are)."""
+    if not _lower:
+        _lower.append(np.array([ord(x) if len(x := chr(c).lower()) == 1 else c for c in range(0x110000)], np.uint32))
+    return _lower[0][points]
+
+
+def word_hashes(points: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """A hash of each word in lower case, a block of the text at a time."""
+    out = [np.zeros(0, np.uint64)]
+    edges = np.searchsorted(start, np.arange(0, len(points) + block, block))
+    for a, b in pairwise(edges.tolist()):
+        if b > a:
+            lo, hi = int(start[a]), int(end[b - 1])
+            out.append(_chars.of(mixed(lower_points(points[lo:hi]), 3), start[a:b] - lo, end[a:b] - lo))
+    return np.concatenate(out)
+
+
+def text_units(texts: list[str], least_words: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """For each unit its text's number, and the columns of UNIT; all texts at once."""
+    points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.array([len(t) + 1 for t in texts])
+    text_end = np.cumsum(size)
+    blank = (points == 32) | ((points >= 9) & (points <= 13))
+    turn = np.flatnonzero(np.diff(blank, prepend=True))
+    w_start, w_end = turn[::2], turn[1::2]
+    word = word_hashes(points, w_start, w_end)
+
+    # a piece ends at a line's end, or at a blank after the end of a sentence
+    stops = (points == ord(".")) | (points == ord("!")) | (points == ord("?"))
+    cut = np.flatnonzero((points == 10) | ((points == 32) & np.append(False, stops[:-1])))
+    piece = np.searchsorted(cut, w_start)
+    piece, first, n = np.unique(piece, return_index=True, return_counts=True)
+    p_start, p_end = np.append(0, cut + 1)[piece], cut[piece]
+    text = np.searchsorted(text_end, p_start, side="right")
+
+    upto = np.cumsum(n)
+    before, long = upto - n, n >= least_words
+    longs = np.cumsum(long)
+    short = np.flatnonzero(~long)
+    alike = lambda i, j: (text[i] == text[j]) & (longs[i] == longs[j])
+    i, j = short, np.searchsorted(upto, before[short] + least_words)
+    here = j < len(n)
+    i, j = i[here], j[here]
+    x = alike(i, j)
+    runs = [i[x] * len(n) + j[x]]
+    i, j = np.searchsorted(before, upto[short] - least_words, side="right") - 1, short
+    here = (i >= 0) & (upto[short] >= least_words)
+    i, j = i[here], j[here]
+    x = alike(i, j) & ~long[i]
+    runs = np.stack(np.divmod(np.unique(np.concatenate([*runs, i[x] * len(n) + j[x]])), max(1, len(n))))
+    whole = np.flatnonzero(long)
+    i, j = whole[:-1], whole[1:]
+    gap = before[j] - upto[i]
+    x = (text[i] == text[j]) & (gap > 0) & (gap < least_words)
+    gaps = np.stack([i[x], j[x]])
+    i, j = np.concatenate([np.stack([whole, whole]), runs, gaps], axis=1)
+
+    lo, hi = first[i], first[j] + n[j]
+    text_start = text_end - size
+    base, word_base = text_start[text[i]], np.searchsorted(w_start, text_start)[text[i]]
+    d1, d2 = (h.of(v, lo, hi).view(np.int64) for h, v in zip(_words, (word, mixed(word, 5)), strict=True))
+    link = np.repeat([False, True], [len(whole) + runs.shape[1], gaps.shape[1]])
+    return text[i], {
+        "start": p_start[i] - base, "end": p_end[j] - base, "first_word": (lo - word_base).astype(np.int32), "words": (hi - lo).astype(np.int32),
+        "link": link, "inline": points[p_end[j]] != 10, "d1": d1, "d2": d2,
+    }
+
+
+def joined_spans(spans: list[tuple[int, int]], apart: set[int]) -> list[list[int]]:
+    """Spans in order, with those joined that overlap or that one of the places ``apart`` parts."""
+    out: list[list[int]] = []
+    for start, end in sorted(spans):
+        if out and (start < out[-1][1] or (start == out[-1][1] + 1 and out[-1][1] in apart)):
+            out[-1][1] = max(end, out[-1][1])
+        else:
+            out.append([start, end])
+    return out
+
+
+def longest_run(runs: list[tuple[int, int]]) -> int:
+    """Words in the longest stretch that ``runs`` (first word, words) cover without a gap."""
+    best = start = end = 0
+    for lo, n in sorted(runs):
+        if lo > end:
+            start = lo
+        end = max(end, lo + n) if lo <= end else lo + n
+        best = max(best, end - start)
+    return best
+
+
+def unit_rows(docs: DataFrame, least_words: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, same (a hash of the text), n_units, UNIT: a row a unit, and one a document
+    that has n_units (links left out) instead of a unit."""
+    names = [c.split()[0] for c in UNIT.split(", ")]
+    kinds = {"start": pa.int64(), "end": pa.int64(), "first_word": pa.int32(), "words": pa.int32(), "link": pa.bool_(), "inline": pa.bool_(), "d1": pa.int64(), "d2": pa.int64()}
+
+    def run(batches):
+        for batch in pieces_of(batches, 2048, 1_000_000):
+            texts = batch.column(2).to_pylist()
+            at, found = text_units(texts, least_words)
+            ids = pa.array(at)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(ids), batch.column(1).take(ids), pa.nulls(len(at), pa.int32()), *(pa.array(found[c], kinds[c]) for c in names)], ["doc_id", "same", "n_units", *names])
+            n = np.bincount(at[~found["link"]], minlength=len(texts)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), *(pa.nulls(len(texts), kinds[c]) for c in names)], ["doc_id", "same", "n_units", *names])
 
-    def merged(s: Column, upto: Column) -> Column:
-        heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["start"] >= F.get(upto, i - 1)))
-        return let(heads, lambda h: F.transform(h, lambda i, k: record(start=F.get(s, i)["start"], end=F.get(upto, F.coalesce(F.get(h, k + 1), F.size(s)) - 1))))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("same"), text.alias("text"))
+    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, same long, n_units int, {UNIT}")
 
-    joined = let(spans, lambda s: let(running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b), F.lit(0)), lambda upto: merged(s, upto)))
-    return F.when(F.size(spans) < 2, spans).otherwise(joined)
 
+def repeated_units(docs: DataFrame, least_words: int = 10, least_run: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: doc_id, n_units, n_removed, removed_chars, removed (start:end,
+    comma-joined), repeat_words, repeats.
 
-def repeated_units(docs: DataFrame, least_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_units, n_removed, removed_chars, removed (start:end, comma-joined).
+    n_units counts long pieces and units within short runs; n_removed counts spans.
+    repeat_words is the longest run of words in units that another document has as well,
+    first occurrences included; ``repeats`` tells whether it has ``least_run`` words.
 
-    n_units counts long lines and units within short runs; n_removed counts spans.
     The text is read once; only digests and places move. The earliest place of a
     digest is a minimum, summed up before the shuffle, so a very common line is
     no hot group; singles never meet their document again.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("same"), units(text, least_words).alias("units"))
-    rows = stored(d.select("doc_id", "same", F.posexplode_outer("units").alias("at", "u")).select("doc_id", "same", "at", "u.*"), "units")
-    place = F.struct("doc_id", "same", "start")
-    first = rows.where("d1 is not null").groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = rows.where("d1 is not null").join(first, ["d1", "d2"])
-    later = met.where(~place.eqNullSafe(F.col("first"))).select("doc_id", "same", "start", "end")
-    # counts ride on a document's first row; later units are added as rows of their own
-    own = rows.groupBy("doc_id", "same").agg(F.count_if(~F.col("link")).alias("n"), F.count_if(F.coalesce("at", F.lit(0)) == 0).alias("copies"))
-    gone = later.groupBy("doc_id", "same").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    gone = gone.withColumnsRenamed({"doc_id": "g_id", "same": "g_same"})
+    return _measured(docs, least_words, least_run, id_col, text_col).drop("same", "spans")
+
+
+def _measured(docs: DataFrame, least_words: int, least_run: int, id_col: str, text_col: str) -> DataFrame:
+    kind = dict(docs.dtypes)[id_col]
+    rows = stored(unit_rows(docs, least_words, id_col, text_col), "units")
+    unit = rows.where("d1 is not null")
+    owner, place = F.struct("doc_id", "same"), F.struct("doc_id", "same", "start")
+    first = unit.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(owner).alias("last"), F.count("*").alias("n")).where("n > 1")
+    shared = ~F.struct("first.doc_id", "first.same").eqNullSafe(F.col("last"))
+    # stored, so that the join is one of two plain tables: Spark can send a small one to all
+    # tasks, and splits the tasks of a very common unit where it can't
+    first = stored(first.select("d1", "d2", "first", shared.alias("shared")), "repeats")
+    met = unit.join(first, ["d1", "d2"]).withColumn("later", ~place.eqNullSafe(F.col("first"))).where("later or shared")
+    met = met.groupBy("doc_id", "same").agg(F.collect_set(F.struct("start", "end", "first_word", "words", "inline", "later", "shared")).alias("met"))
+
+    def measure(batches):
+        for batch in batches:
+            spans, runs = [], []
+            for met_ in batch.column("met").to_pylist():
+                gone = [(x["start"], x["end"]) for x in met_ if x["later"]]
+                spans.append([{"start": a, "end": b} for a, b in joined_spans(gone, {x["end"] for x in met_ if x["inline"]})])
+                runs.append(longest_run([(x["first_word"], x["words"]) for x in met_ if x["shared"]]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("same"), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(runs, pa.int64())], ["g_id", "g_same", "spans", "run"])
+
+    gone = met.mapInArrow(measure, f"g_id {kind}, g_same long, spans {SPANS}, run long")
+    own = rows.where("n_units is not null").groupBy("doc_id", "same").agg(F.first("n_units").cast("long").alias("n_units"), F.count("*").cast("int").alias("copies"))
     out = own.join(gone, own["same"].eqNullSafe(gone["g_same"]) & own["doc_id"].eqNullSafe(gone["g_id"]), "left")
-    spans = F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>"))
-    out = out.withColumn("spans", without_overlaps(spans)).select(
-        "doc_id", (F.col("n") / F.col("copies")).cast("long").alias("n_units"), F.size("spans").cast("long").alias("n_removed"),
+    out = out.withColumn("spans", F.coalesce("spans", F.array().cast(SPANS))).withColumn("run", F.coalesce("run", F.lit(0).cast("long")))
+    return out.select(
+        "doc_id", "n_units", F.size("spans").cast("long").alias("n_removed"),
         F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"]).alias("removed_chars"),
         F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("removed"),
-        F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"),
-    )
-    return out.drop("copy")
+        F.col("run").alias("repeat_words"), (F.col("run") >= least_run).alias("repeats"), "same", "spans",
+        F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy"),
+    ).drop("copy")
+
+
+def remove_units(docs: DataFrame, least_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the later occurrences of repeated units cut out of the texts.
+
+    Null texts and documents without such units stay as they are; no row goes. Only spans
+    are joined to the texts, by id and a hash of the text.
+    """
+    found = _measured(docs, least_words, 0, id_col, text_col).where("n_removed > 0").select("doc_id", "same", "spans").distinct()
+    found = found.select(F.col("doc_id").alias("_cut_id"), F.col("same").alias("_cut_same"), F.col("spans").alias("_cut_spans"))
+    same = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    joined = docs.join(found, docs[id_col].eqNullSafe(found["_cut_id"]) & (same == found["_cut_same"]), "left").drop("_cut_id", "_cut_same")
+    place = docs.columns.index(text_col)
+
+    def cut(batches):
+        for batch in pieces_of(batches):
+            texts = batch.column(place).to_pylist()
+            for k, spans in enumerate(batch.column(len(docs.columns)).to_pylist()):
+                if spans:
+                    edges = [0, *(x for s in spans for x in (s["start"], s["end"])), len(texts[k])]
+                    texts[k] = "".join(texts[k][a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+            columns = list(batch.columns[:-1])
+            columns[place] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+
+    return joined.mapInArrow(cut, docs.schema)
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
