@@ -9,8 +9,10 @@ Writing: a payload becomes a grey JPEG whose blocks hold nothing but a DC
 coefficient. With a quantiser of 8 the thumbnail is the payload, byte for byte.
 
 Defined cases: null media give null columns; what is no baseline JPEG gives
-nulls and a reason in ``media_error``; null text is empty text; ids, repeated
-rows and extra columns go through untouched; an empty table stays empty.
+nulls and a reason in ``media_error``; null text is empty text; a text too long for
+one image becomes several in one stored form; ids, repeated rows, ties and extra columns
+go through untouched, but for columns with the name of an added one, which are replaced;
+an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import others as others_of
 from .common import pieces_of, table
 
 # The standard's example table for luminance DC (lengths, symbols),
@@ -336,8 +339,9 @@ def describe(media: list[bytes | None]) -> list[dict]:
 
 
 def texts_to_jpeg(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without the text, with n_bytes, payload_bytes and media (the stored JPEG)."""
-    others = [c for c in docs.columns if c != text_col]
+    """``docs`` without the text, with n_bytes, payload_bytes and media (the stored JPEG),
+    which replace columns of these names."""
+    others = others_of(docs, text_col, "n_bytes", "payload_bytes", "media")
     out = docs.select(*others, F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("payload_bytes"), F.lit(b"").alias("media"))
 
     def run(batches):
@@ -351,9 +355,10 @@ def texts_to_jpeg(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def read_media(rows: DataFrame, media_col: str = "media") -> DataFrame:
-    """``rows`` with width, height, n_images, thumbnail, thumbnail_hash and media_error."""
+    """``rows`` with width, height, n_images, thumbnail, thumbnail_hash and media_error, which
+    replace columns of these names."""
     kinds = {"width": (pa.int32(), "int"), "height": (pa.int32(), "int"), "n_images": (pa.int32(), "int"), "thumbnail": (pa.binary(), "binary"), "thumbnail_hash": (pa.string(), "string"), "media_error": (pa.string(), "string")}
-    others = [c for c in rows.columns if c not in kinds]
+    others = others_of(rows, *kinds)
     out = rows.select(*others, *[F.lit(None).cast(t).alias(c) for c, (_, t) in kinds.items()])
 
     def run(batches):

@@ -7,8 +7,10 @@ prototype has the greatest cosine with its own vector.
 
 Defined cases: a null text and one without letters are ``und`` with score 0, as
 is every text if nothing could be learned; rows without a language are not
-learned from; ids, repeated rows and extra columns do not matter; an empty
-table gives an empty result; ties go to the language that sorts first.
+learned from; ids, repeated rows and extra columns do not matter, and an extra
+column with the name of an added one is replaced; a very long text is one text, its
+vector built a million pairs at a time; an empty table gives an empty result; ties
+go to the language that sorts first.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import others as others_of
 from .common import pieces_of, remainder, table
 
 #: Components of a vector; letters of an n-gram is fixed at 3.
@@ -110,8 +113,9 @@ def learn_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "l
 
 
 def predict_language(docs: DataFrame, names: list[str], prototypes: np.ndarray, text_col: str = "text", seed: int = 1) -> DataFrame:
-    """``docs`` without the text, with lang_pred and score (the cosine, at least 0)."""
-    others = [c for c in docs.columns if c != text_col]
+    """``docs`` without the text, with lang_pred and score (the cosine, at least 0), which
+    replace columns of these names."""
+    others = others_of(docs, text_col, "lang_pred", "score")
     out = docs.select(*others, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"))
     dimensions = prototypes.shape[1]
     lengths = np.linalg.norm(prototypes, axis=1, keepdims=True)

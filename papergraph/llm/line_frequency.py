@@ -7,7 +7,9 @@ per-text counts (repeated lines and word windows, symbols) give base rules.
 
 Defined cases: a null text has no words and fails the base rules; a null host is
 a host of its own; each row is a document, repeated rows and null ids included;
-an empty table gives an empty result; columns that are not named are not read.
+equal lines of one text count once for their document and all of them go; very long
+texts are split and counted whole; an empty table gives an empty result; columns that
+are not named are not read, so clashing names do not matter.
 """
 
 from __future__ import annotations
@@ -102,7 +104,9 @@ def line_frequency_rules(
     often = often.join(hosts, often["host"].eqNullSafe(hosts["h"])).where(F.col("n_docs") > F.col("host_docs") * F.lit(host_share))
     often = often.select(F.col("host").alias("o_host"), F.col("line").alias("o_line"))
 
-    marked = rows.join(often, rows["host"].eqNullSafe(often["o_host"]) & (rows["line"] == often["o_line"]), "left")
+    # rows without a line go by their text, so that they do not all meet in one task
+    key = F.coalesce(rows["line"], F.xxhash64("doc_id", "same"))
+    marked = rows.join(often, rows["host"].eqNullSafe(often["o_host"]) & (key == often["o_line"]) & rows["line"].isNotNull(), "left")
     removed = F.sum(F.when(F.col("o_line").isNotNull(), F.col("words")).otherwise(0))
     out = marked.groupBy("doc_id", "same").agg(F.first("counts", ignorenulls=True).alias("counts"), F.count("counts").alias("copies"), removed.alias("removed"))
     # repeated rows met in one group: they share it evenly and come out as often as they came in

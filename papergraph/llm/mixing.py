@@ -8,8 +8,11 @@ source, a power of the document's size.
 
 Defined cases: null text has size 0 and is never taken; a null source is a
 source of its own, sorted last; a null id is allowed; repeated rows have the
-same rank and are cut in any order, which leaves the same multiset; an empty
-table gives an empty result; columns that are not named are not read.
+same rank and are cut in any order, which leaves the same multiset; ties of rank go
+by the random number, then the id; a very long text has its full size, and if one
+document is larger than its source's target it may be left out; an empty table gives
+an empty result; columns that are not named are not read by ``mix_sources``, and
+``draw_documents`` keeps them as they are.
 """
 
 from __future__ import annotations
@@ -82,9 +85,30 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row a document: doc_id, size, source_size, target, taken, copies (and ``keep``).
+    """One row a document: doc_id, size, source_size, target, taken, copies."""
+    out = _mixed(docs, weights, most, power, seed, id_col, text_col, source_col)
+    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def draw_documents(
+    docs: DataFrame,
+    weights: tuple[int, ...] = (1, 2, 3),
+    most: float = 3.0,
+    power: float = 0.25,
+    seed: int = 8,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The mix itself: rows of ``docs``, each as often as it is taken, whatever its columns' names."""
+    out = _mixed(docs, weights, most, power, seed, id_col, text_col, source_col, docs.columns)
+    kept = out.where("copies > 0").select(F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"), *[f"keep_{k}" for k in range(len(docs.columns))])
+    return kept.select(*[F.col(f"keep_{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
+def _mixed(docs: DataFrame, weights: tuple[int, ...], most: float, power: float, seed: int, id_col: str, text_col: str, source_col: str, keep=()) -> DataFrame:
+    """What both return, with the columns ``keep`` by number.
 
     The text is read once, for sizes; all later steps use a narrow table. The
     hot source is never in one task: its documents are summed by bins of their
@@ -92,7 +116,7 @@ def mix_sources(
     """
     text = F.col(text_col)
     mark = uniform(F.lit(seed), F.col(id_col), F.col(source_col), F.md5(F.coalesce(text, F.lit(""))))
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), mark.alias("u"), *[F.col(c).alias(f"keep_{c}") for c in keep])
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), mark.alias("u"), *[F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)])
     sized = stored(sized.withColumn("level", F.floor(F.log2(F.col("size") + F.lit(1.0))).cast("int")), "mix-sizes")
 
     by_level = sized.groupBy("source", "level").agg(F.sum("size").cast("double").alias("words"))
@@ -130,8 +154,7 @@ def mix_sources(
     rest = ranked.where(~F.coalesce(inside, F.lit(False)))
     rest = rest.withColumn("hit", F.col("drawn") & (F.col("cut.bin").isNull() | (F.col("bin") < F.col("cut.bin"))))
     copies = (F.col("whole") + F.when(F.col("hit"), 1).otherwise(0)).cast("long")
-    out = edge.unionByName(rest).withColumn("copies", copies)
-    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("copies") * F.col("size")).alias("taken"), "copies", *[F.col(f"keep_{k}").alias(k) for k in keep])
+    return edge.unionByName(rest).withColumn("copies", copies)
 
 
 def op8_pareto_mix(spark, sf_dir: str) -> DataFrame:

@@ -7,12 +7,18 @@ penalised: the mention alone can then not move the score, which spares neutral
 texts about a group.
 
 The model is fitted on a bounded sample of labelled rows: ``most_toxic`` and
-``most_other`` rows at most, those with the smallest hash of the id.
+``most_other`` rows at most, those with the smallest hash of the id. So is its number
+of weights: ``most_keys`` features at most take part, those whose counts under the two
+labels differ most from chance (a feature must be seen LEAST_SEEN times and be stranger
+than LEAST_STRANGE); scoring reads whole texts and has no limit.
 
 Defined cases: a null or empty text is scored by the intercept alone; rows whose
 label or id is null are not learned from, an id with several labels counts as
-toxic if one says so; repeated rows and extra columns do not matter; without
-labelled rows every score is 0.5, with one class alone its smoothed share.
+toxic if one says so; repeated rows and extra columns do not matter, and a column
+with the name of an added one is replaced; a text of any length is one set of
+features; features of equal strangeness rank by their hash; an empty table gives an
+empty result; without labelled rows every score is 0.5, with one class alone its
+smoothed share.
 """
 
 from __future__ import annotations
@@ -20,6 +26,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import others as others_of
 from .common import pieces_of, remainder, stored, table
 
 #: Kinds of identity groups; a term is swapped for the next one of its kind.
@@ -55,9 +63,15 @@ def features(text: str | None) -> np.ndarray:
     return np.array(sorted(hashed), np.uint32)
 
 
+@lru_cache
+def swap_table(kinds: tuple) -> dict[str, str]:
+    """Each term and the next of its kind; a term of several kinds turns within the first."""
+    return {t: kind[(i + 1) % len(kind)] for kind in reversed(kinds) for i, t in enumerate(kind)}
+
+
 def swapped(text: str | None, kinds=IDENTITY_TERMS) -> str | None:
     """The text with each identity term replaced by the next of its kind; None if it has none."""
-    turn = {t: kind[(i + 1) % len(kind)] for kind in reversed(kinds) for i, t in enumerate(kind)}
+    turn = swap_table(kinds)
     out = LETTERS.sub(lambda m: turn.get(m[0].lower(), m[0]), text or "")
     return out if out != (text or "") else None
 
@@ -254,8 +268,8 @@ def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_other
 
 
 def score_texts(docs: DataFrame, model: Model, limit: float = 0.7, text_col: str = "text") -> DataFrame:
-    """``docs`` without the text, with score and predicted."""
-    others = [c for c in docs.columns if c != text_col]
+    """``docs`` without the text, with score and predicted, which replace columns of these names."""
+    others = others_of(docs, text_col, "score", "predicted")
     out = docs.select(*others, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
 
     def run(batches):

@@ -65,6 +65,27 @@ def test_long_keys_link_like_short_ones(spark):
     assert masked == {0: "[SECRET] [SECRET]", 1: f"{key} alone", 2: "[SECRET] [SECRET]"}
 
 
+def test_long_texts_are_masked_in_step_with_their_length(spark):
+    import time
+
+    line = "user=bob of the é team has token: abcdef0123 here "
+    took = []
+    for n in (2_500, 40_000):
+        df = spark.createDataFrame([(0, line * n)], "doc_id int, text string")
+        began = time.perf_counter()
+        got = secrets.redact(df).first()["text"]
+        took.append(time.perf_counter() - began)
+        assert got == "[SECRET] of the é team has [SECRET] here " * n
+    assert took[1] < 40 * took[0] + 30  # 16 times the text
+
+
+def test_masking_keeps_the_rest_at_block_edges(spark):
+    parts = [f"{'é' * k} password={'p' * 10}{k} " for k in (0, 1, 4070, 4080, 4090, 4096, 9000)]
+    df = spark.createDataFrame([(0, "".join(parts)), (1, None), (2, "x" * 4096)], "doc_id int, text string")
+    got = {r[0]: r[1] for r in secrets.redact(df).select("doc_id", "text").collect()}
+    assert got == {0: "".join(f"{'é' * k} [SECRET] " for k in (0, 1, 4070, 4080, 4090, 4096, 9000)), 1: None, 2: "x" * 4096}
+
+
 def test_line_frequency_counts(spark, texts):
     df = make(spark, texts)
     got = line_frequency.line_frequency_rules(df, least_docs=2).collect()
@@ -112,6 +133,20 @@ def test_near_duplicates_match_brute_force(spark, texts):
     assert got[None]["kept"] and got[None]["component_id"] is None
 
 
+def test_unrelated_texts_share_no_posting():
+    rng = np.random.default_rng(4)
+    tokens = np.concatenate([near_dedup.signature(rng.integers(0, 2**63, 3000, dtype=np.uint64)) for _ in range(1500)])
+    assert len(np.unique(tokens)) == len(tokens)
+    one = rng.integers(0, 2**63, 900, dtype=np.uint64)
+    assert (near_dedup.signature(one) == near_dedup.signature(one[::-1])).all()
+
+
+def test_an_id_with_two_texts_loses_the_copy_alone(spark):
+    df = spark.createDataFrame([(2, PROSE, 1), (5, PROSE, 2), (5, PROSE[::-1], 3), (None, PROSE, 4), (7, None, 5), (7, "", 6)], "doc_id long, text string, component_id int")
+    got = near_dedup.drop_near_duplicates(df)
+    assert got.columns == df.columns and sorted(r["component_id"] for r in got.collect()) == [1, 3, 4, 5, 6]
+
+
 def test_mixing_meets_targets(spark):
     rows = [(i, " ".join(["w"] * (i % 50)), "big" if i % 3 else None if i % 9 else "tiny") for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id int, text string, source string").withColumn("target", F.lit(7))
@@ -133,6 +168,38 @@ def test_mixing_meets_targets(spark):
         assert abs(taken[s] - target[s]) <= 50
 
 
+def test_pareto_order_as_plainly(spark):
+    """The draw itself: whole copies, then the order of random odds over inclusion odds."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(["w"] * int(rng.integers(1, 40))), f"s{i % 2 * (i % 3)}") for i in range(900)]
+    got = {r["doc_id"]: r for r in mixing.mix_sources(spark.createDataFrame(rows, "doc_id int, text string, source string")).collect()}
+    taken, sources = Counter(), sorted({s for _, _, s in rows})
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in sources}
+    for s in sources:
+        own = [(i, len(t.split()), t) for i, t, x in rows if x == s]
+        target = got[own[0][0]]["target"]
+        tilt = lambda n: 2 ** (math.floor(math.log2(n + 1)) * 0.25)
+        lo, hi = 0.0, 3.0
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(min(3.0, mid * tilt(n)) * n for _, n, _ in own) < target else (lo, mid)
+        left, drawn = target, []
+        for i, n, t in own:
+            expected = min(3.0, hi * tilt(n))
+            whole = math.floor(expected + 1e-9)
+            taken[i], left, part = whole, left - whole * n, max(expected - whole, 0.0)
+            if part > 1e-9:
+                mark = "\x1f".join(("8", str(i), s, hashlib.md5(t.encode()).hexdigest()))
+                u = (int(hashlib.md5(mark.encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                drawn.append((math.log(u) - math.log(1 - u) - math.log(part) + math.log(1 - part), i, n))
+        upto = 0
+        for _, i, n in sorted(drawn):
+            upto += n
+            taken[i] += upto - n / 2 <= left
+    assert sum(sizes.values()) == pytest.approx(sum({x: got[i]["target"] for i, _, x in rows}.values()))
+    assert {i: got[i]["copies"] for i in got} == dict(taken) and len(set(taken.values())) > 1
+
+
 def test_packing_is_gapless_and_tight(spark, texts):
     df = make(spark, texts)
     got = packing.pack_documents(df).collect()
@@ -205,14 +272,17 @@ def test_language_profiles(spark, texts):
     rows = [(i, (en if i % 2 else de) + f" {chr(97 + i)}", "en" if i % 2 else "de") for i in range(20)]
     names, prototypes = langid.learn_prototypes(spark.createDataFrame(rows, "doc_id int, text string, lang string"))
     assert names == ["de", "en"]
-    got = langid.predict_language(make(spark, [en, None, "", "123 !", de]).drop("score"), names, prototypes).collect()
+    got = langid.predict_language(make(spark, [en, None, "", "123 !", de]), names, prototypes).select("*").collect()
     assert sorted((r["doc_id"] is None, r["lang_pred"]) for r in got) == sorted([(False, "en"), (False, "und"), (False, "und"), (True, "und"), (False, "de"), (False, "en")])
     assert all(0 <= r["score"] <= 1 for r in got)
     table = langid.letters(langid.DIMENSIONS, 1)
     seq = table.places(en)
     direct = sum(np.roll(table.vectors[a], 2).astype(int) * np.roll(table.vectors[b], 1) * table.vectors[c] for a, b, c in zip(seq, seq[1:], seq[2:]))
     assert np.array_equal(direct, table.profile(en))
-    assert langid.predict_language(make(spark, [en]).drop("score"), [], np.zeros((0, 1024))).first()["lang_pred"] == "und"
+    assert langid.predict_language(make(spark, [en]), [], np.zeros((0, 1024))).first()["lang_pred"] == "und"
+    # what is learned from one half tells the other
+    held = langid.predict_language(spark.createDataFrame([(f"{en} {chr(97 + i)}", "en") if i % 2 else (f"die scheune und {chr(97 + i)} mit der katze", "de") for i in range(20)], "text string, lang string"), names, prototypes)
+    assert held.where("lang = lang_pred").count() == 20
 
 
 def test_counterfactual_penalty_spares_mentions():
@@ -229,11 +299,43 @@ def test_counterfactual_penalty_spares_mentions():
     assert 0 < toxicity.fit(rows[:3], np.ones(3), []).score(toxicity.features(None)) < 1
 
 
+def test_the_fit_is_at_the_penalised_optimum():
+    rng = np.random.default_rng(11)
+    rows = [np.unique(rng.integers(0, 12, 5)).astype(np.uint32) for _ in range(80)]
+    y = np.array([int(4 in r) if rng.random() < 0.9 else 1 for r in rows])
+    others = [(k, np.setdiff1d(np.append(r, 13 if 3 in r else 14), [3]).astype(np.uint32)) for k, r in enumerate(rows) if 3 in r or 5 in r]
+    keys = np.arange(15, dtype=np.uint32)
+    places = [toxicity._places(keys, r) for r in rows]
+    changes = [toxicity._change(keys, rows[k], x) for k, x in others]
+    l1, swap = 2e-3, 0.5
+    model = toxicity._solved(keys, toxicity.Rows.of(places), y.astype(float), toxicity.Rows.of([a for a, _ in changes]), toxicity.Rows.of([b for _, b in changes]), None, l1=l1, swap=swap, rounds=4000)
+    x = np.zeros((len(rows), 15))
+    for k, r in enumerate(rows):
+        x[k, r] = 1
+    d = np.zeros((len(others), 15))
+    for k, (a, b) in enumerate(changes):
+        d[k, a], d[k, b] = 1, -1
+
+    def value(w, b):
+        z = x @ w + b
+        return np.mean(np.logaddexp(0, z) - y * z) + l1 * np.abs(w).sum() + swap * np.mean((d @ w) ** 2)
+
+    w = np.zeros(15)
+    w[model.keys] = model.weights
+    best = value(w, model.intercept)
+    for k in range(15):
+        for step in (-1e-2, 1e-2):
+            moved = w.copy()
+            moved[k] += step
+            assert value(moved, model.intercept) >= best - 1e-7
+    assert value(w, model.intercept + 1e-2) >= best - 1e-7 and np.abs(w).sum() > 0
+
+
 def test_toxicity_rows(spark, texts):
     labels = spark.createDataFrame([(0, 0), (4, 1), (None, 1), (6, None)], "doc_id long, toxic int")
     docs = make(spark, texts)
     model = toxicity.learn(docs, labels)
-    assert toxicity.score_texts(docs.drop("score"), model).count() == len(texts) + 1
+    assert toxicity.score_texts(docs, model).select("score", "predicted").count() == len(texts) + 1
     assert toxicity.drop_toxic(docs, model).columns == docs.columns
 
 
@@ -272,6 +374,46 @@ def test_forward_recursion_sums_over_paths():
         before = likelihood
 
 
+def test_expected_counts_as_enumerated():
+    """Baum-Welch sums against all state paths, cut into segments of three words."""
+    rng = np.random.default_rng(8)
+    norm = lambda x: x / x.sum(axis=-1, keepdims=True)
+    emit = np.zeros((markov.CLASSES, 2))
+    emit[:5] = norm(rng.random((2, 5))).T
+    chain = markov.Chain(norm(rng.random(2)), norm(rng.random(2)), norm(rng.random((2, 2))), emit)
+    seq, lengths = rng.integers(0, 5, 11), np.array([5, 4, 2])
+    want = {k: np.zeros(x) for k, x in (("first", 2), ("inside", 2), ("step", (2, 2)), ("emit", (markov.CLASSES, 2)))}
+    fit = 0.0
+    for text, at in ((0, 0), (1, 5), (2, 9)):
+        for lo in range(at, at + lengths[text], 3):
+            part = seq[lo : min(lo + 3, at + lengths[text])]
+            start = chain.first if lo == at else chain.inside
+            paths = {p: start[p[0]] * math.prod(chain.step[a, b] for a, b in zip(p, p[1:])) * math.prod(emit[c, s] for c, s in zip(part, p)) for p in np.ndindex(*[2] * len(part))}
+            total = sum(paths.values())
+            fit += math.log(total)
+            for p, w in paths.items():
+                want["first" if lo == at else "inside"][p[0]] += w / total
+                for a, b in zip(p, p[1:]):
+                    want["step"][a, b] += w / total
+                for c, s in zip(part, p):
+                    want["emit"][c, s] += w / total
+    got = markov.expected_counts(seq, lengths, chain, segment=3)
+    assert all(np.allclose(got[k], want[k], atol=1e-4) for k in want) and got["fit"][0] == pytest.approx(fit, abs=1e-4)
+
+
+def test_the_trained_model_beats_the_base_on_held_out_texts(spark):
+    """Words come in runs from two kinds, which word counts alone can't tell."""
+    rng = np.random.default_rng(9)
+    kinds = [[f"{a}{b}{c}" for a in x for b in "aei" for c in "nst"] for x in ("bcdfgh", "klmpqr")]
+    rows = [(i, " ".join(rng.choice(kinds[(i + k // 20) % 2]) for k in range(60)), i % 5 == 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    one, other = (df.repartition(n, "doc_id").transform(markov.hidden_markov_scores).collect() for n in (1, 5))
+    held = [r for r in one if r["held_out"]]
+    assert len(held) == 40 and sum(r["score"] for r in held) > sum(r["base_score"] for r in held) + 0.2 * sum(r["n_tokens"] for r in held)
+    by_id = {r["doc_id"]: r["score"] for r in other}
+    assert all(by_id[r["doc_id"]] == pytest.approx(r["score"], abs=0.01) for r in one)
+
+
 def test_every_markov_round_reads_the_whole_training_part(spark):
     rng = np.random.default_rng(5)
     kinds = [[f"{a}{b}" for a in x for b in "aeiou"] for x in ("bcdfg", "klmnp")]
@@ -299,7 +441,7 @@ def test_empty_tables(spark):
     assert langid.learn_prototypes(empty)[0] == []
     assert markov.hidden_markov_scores(empty.withColumn("held_out", F.lit(False))).count() == 0
     labels = spark.createDataFrame([], "doc_id long, toxic int")
-    assert toxicity.score_texts(empty.drop("score"), toxicity.learn(empty, labels)).count() == 0
+    assert toxicity.score_texts(empty, toxicity.learn(empty, labels)).count() == 0
 
 
 def test_hash_is_of_the_payload():

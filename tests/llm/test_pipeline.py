@@ -125,3 +125,19 @@ def test_the_mix_is_packed_whole_and_reruns_agree(spark, tables, stages):
         assert r["offset"] == ends.get(r["sequence_id"], 0)
         ends[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(ends.values()) <= 2048
+
+
+def test_empty_tables_and_clashing_columns_pass_every_stage(spark, tables, tmp_path):
+    docs, labels = (spark.read.parquet(f"{tables}/{t}.parquet") for t in ("documents", "labels"))
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    # columns with the names of what the operators add, null everything, repeated rows
+    odd = spark.createDataFrame([(1, "a b c", None, None, 5, 0.5, "x", 1), (None, None, None, None, None, None, None, None), (1, "a b c", None, None, 5, 0.5, "x", 1)], "doc_id long, text string, lang string, source string, n_chars long, score double, secret_scan string, copies int")
+    for name, stage in corpus_pipeline.STAGES:
+        after = common.stored(stage(spark, odd, str(tmp_path)), f"odd-{name}")
+        if name != "packing":
+            assert after.columns == odd.columns and (name == "mixing" or after.count() == 3)
+            odd = after
+        else:
+            assert after.count() == odd.count() and after.count() > 0

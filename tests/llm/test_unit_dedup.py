@@ -1,6 +1,8 @@
 """Line dedup against a plain version."""
 
-from papergraph.llm.unit_dedup import repeated_units
+import random
+
+from papergraph.llm.unit_dedup import remove_units, repeated_units
 
 
 def test_lines_stay_where_they_rank_first(spark):
@@ -72,3 +74,45 @@ def test_short_runs_against_a_plain_version(spark):
                     gone.append([s, e])
         want.append([t[a:b] for a, b in gone])
     assert removed_texts(spark, texts) == want and sum(map(len, want)) > 20
+
+
+def prose(rng, n):
+    words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    return " ".join(w.capitalize() + "" if k % 12 == 0 else w + "." * (k % 12 == 11) for k, w in enumerate(words))
+
+
+def test_passages_inside_lines_are_found_and_clean_texts_are_not(spark):
+    rng = random.Random(7)
+    passage, stock = prose(rng, 72), "All rights of this text are with the ones who wrote it."
+    texts = [prose(rng, 200) for _ in range(8)]
+    texts[2] = f"{texts[2][:401]} cut here {passage} and on it goes {texts[2][401:]}"
+    texts[5] = f"{texts[5]}\n{passage.upper()} {prose(rng, 30)}"
+    texts[6] = f"{texts[6]}\n{stock}"
+    texts[7] = f"{stock}\n{texts[7]}"
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in repeated_units(df).collect()}
+    assert sorted(i for i in got if got[i]["repeats"]) == [2, 5]
+    assert got[2]["repeat_words"] >= 60 and got[2]["n_removed"] == 0
+    # the passage's first sentence is cut in the one text by the words before it
+    a, b = map(int, got[5]["removed"].split(":"))
+    assert texts[5][a:b] in passage.upper() and b - a > 0.75 * len(passage)
+    assert got[7]["n_removed"] == 1 and not got[7]["repeats"] and got[6]["n_removed"] == 0
+
+
+def test_removal_keeps_rows_columns_and_first_occurrences(spark):
+    line = "one two three four five six seven eight nine ten"
+    rows = [(1, f"{line}\nend", "a"), (2, f"{line}. Then more\n{line}", "b"), (2, None, "c"), (None, f"x\n{line}", "d"), (4, "", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = remove_units(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "\nend", "a"), (2, f"{line}. Then more\n", "b"), (2, None, "c"), (None, f"x\n{line}", "d"), (4, "", "e")], key=str)
+    assert remove_units(df.limit(0)).count() == 0
+
+
+def test_a_very_long_text_and_a_very_common_line(spark):
+    line = "a line of twelve words that very many of the texts here hold"
+    long = "\n".join(f"{k} words of a line that no other text has in it at all" for k in range(40_000))
+    df = spark.createDataFrame([(0, f"{line}\n{long}"), *((i, f"{line}\nown {i}") for i in range(1, 400))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in repeated_units(df).collect()}
+    assert got[0]["n_removed"] == 0 and got[0]["n_units"] == 40_001
+    assert all(r["removed"] == f"0:{len(line)}" for i, r in got.items() if i)
