@@ -2,7 +2,11 @@
 secrets are masked, sources are mixed to their targets, and the mix is packed.
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of
-``documents``.
+``documents``, and any others that the table has, under their names.
+
+In every stage rows of null or repeated ids are documents like others, a null text counts
+as an empty one, very long texts are read whole, and an empty table gives an empty result.
+What else a stage does with such cases, and with ties, its docstring says.
 """
 
 from __future__ import annotations
@@ -14,31 +18,49 @@ from papergraph.llm import common, mixing, near_dedup, packing, secrets, toxicit
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it learns as op4 does."""
+    """Documents that the classifier rejects go; it learns as op4 does.
+
+    Null and empty texts have the intercept's score and stay unless most labels are toxic;
+    a score of exactly the limit goes; repeated rows go or stay alike; without labels nothing
+    goes.
+    """
     labels = common.table(spark, sf_dir, "labels")
     model = toxicity.learn(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
     return toxicity.drop_toxic(docs, model)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (5-word shingles, 0.8) the smallest id stays."""
+    """Of each group of near copies (5-word shingles, 0.8) the smallest id stays.
+
+    Texts without words are near nothing and stay; rows equal in id and text stay together;
+    an id with two texts may lose one of them; rows without an id stay.
+    """
     return near_dedup.drop_near_duplicates(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every reported span is masked; no document goes."""
+    """Every reported span is masked and n_chars follows; no document goes.
+
+    Null texts stay null with a null n_chars; spans that overlap or tie share one mask.
+    """
     return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document comes out as often as the mix takes it."""
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    mixed = mixing.mix_sources(docs, keep=others)
-    return mixed.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*docs.columns)
+    """A document comes out as often as the mix takes it.
+
+    Texts without words have size 0 and are never taken; a null source is a source of its
+    own; equal rows have one rank, and of them as many come out as the mix takes.
+    """
+    return mixing.draw_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their place in sequences of 2048 tokens."""
+    """Pieces with their place in sequences of 2048 tokens.
+
+    An empty text is its end token; a longer one than a sequence is cut; repeated rows are
+    packed each.
+    """
     return packing.pack_documents(docs)
 
 
