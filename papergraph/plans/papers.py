@@ -277,6 +277,8 @@ SELECT kind, count(*) AS n, sum(d)::BIGINT AS ids FROM (SELECT * FROM w UNION AL
     "landed_papers": f"WITH {LINES} SELECT doc_id, {len(TEX_HEAD) + len(TEX_TAIL)} + sum(length({TEX_PART}))::BIGINT AS n_chars FROM l GROUP BY doc_id",
     "landed_metadata": "SELECT doc_id::VARCHAR AS doc_key, 'Title of ' || doc_id AS title, 'Ann ' || doc_id || ', Bo ' || doc_id AS authors FROM documents",
     "html_elements": N + """, t AS (SELECT doc_id, unnest([{'t': 'article', 'n': 1}, {'t': 'h1', 'n': 1}, {'t': 'section', 'n': n}, {'t': 'h2', 'n': n}, {'t': 'span', 'n': n}, {'t': 'p', 'n': n}, {'t': 'math', 'n': n}, {'t': 'a', 'n': n - 1}, {'t': 'img', 'n': (n + 3) // 4}]) AS x FROM n) SELECT doc_id, x.t AS tag, x.n AS n FROM t WHERE x.n > 0""",
+    "page_elements": r"""WITH s AS (SELECT page_id, regexp_extract(html, '(?s)^(.*)<article>(.*?)</article>', 1) AS head, regexp_extract(html, '(?s)^(.*)<article>(.*?)</article>', 2) AS body FROM pages)
+SELECT page_id AS doc_id, len(regexp_extract_all(body, '<a[ >]')) AS n_links, len(list_filter(string_split(body, '<p>')[2:], lambda x: trim(regexp_replace(string_split(x, '</p>')[1], '<[^>]*>', '', 'g')) <> '')) AS n_paragraphs, (len(regexp_extract_all(head || '<article>' || body, '<[a-zA-Z]')) - 1)::INT AS last_pos FROM s""",
     "cleaned_pages": "SELECT page_id AS doc_id, FALSE AS unsafe FROM pages",
     "annotated_papers": N + " SELECT doc_id, 2 * n - 1 AS n_stamps, (n + 3) // 4 AS n_images, 0::BIGINT AS n_handlers, 0::BIGINT AS n_scripts FROM n",
     "document_headers": "SELECT doc_id, 'Paper ' || doc_id AS title, 'A. Author' AS authors FROM documents WHERE text IS NOT NULL",

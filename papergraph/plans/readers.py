@@ -240,6 +240,16 @@ def streamed_ingest(spark, sf_dir):
     return nodes.join(edges, "doc_id", "left").select("doc_id", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
 
 
+def streamed_sections(spark, sf_dir):
+    """Sections finished by each reader, from a stream of events whose repeats are dropped."""
+    folder = _folder(spark, "sections")
+    events = _stream(spark, sf_dir, "events").select(F.col("user_id").alias("session"), (F.col("event_id") % 10).alias("doc_id"), F.col("event_type").alias("anchor"), F.col("ts").cast("timestamp").alias("ts"))
+    once = jobs.sections_finished(events)
+    query = once.writeStream.format("parquet").option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(once.schema).parquet(f"{folder}/table").select("session", "doc_id", "anchor").distinct()
+
+
 def finished_sections(spark, sf_dir):
     e = derived.table(spark, sf_dir, "events")
     events = e.select(F.col("user_id").alias("session"), (F.col("event_id") % 10).alias("doc_id"), F.col("event_type").alias("anchor"), "ts")
@@ -248,7 +258,7 @@ def finished_sections(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     retrieved_selections, resolved_requests, resolve_prompts, section_texts, selection_contexts, equation_contexts, symbol_paragraphs, notation, defined_symbols, object_equation_contexts, checkpoint_prompts, checkpoint_points, checkpoint_feedback,
-    decoded_streams, replies_postprocessed, thread_list, thread_histories, thread_prompt_texts, newest_thread_places, reopened_threads, streamed_thread_summaries, streamed_thread_history, streamed_ingest, finished_sections,
+    decoded_streams, replies_postprocessed, thread_list, thread_histories, thread_prompt_texts, newest_thread_places, reopened_threads, streamed_thread_summaries, streamed_thread_history, streamed_ingest, streamed_sections, finished_sections,
 )}
 
 Q = f"WITH {LINES}, r AS (SELECT *, doc_id || ':' || i AS request_id FROM l)"
@@ -294,5 +304,6 @@ SELECT conv_id AS chat_id, """ + _prompt("A reader's thread on the paper titled
     "reopened_threads": "WITH " + CHAT + """, k AS (SELECT conv_id, conv_id % 50 AS d, left(f, 40) AS s, conv_id % 5 AS a FROM c), e AS (SELECT * FROM k WHERE conv_id % 3 = 0)
 SELECT FALSE AS created, count(*) AS n FROM e WHERE d <> 7 HAVING count(*) > 0 UNION ALL SELECT TRUE, count(*) FROM (SELECT DISTINCT d, s, a FROM k WHERE d <> 7 EXCEPT SELECT d, s, a FROM e) HAVING count(*) > 0""",
     "streamed_thread_summaries": "SELECT conv_id AS chat_id, count(*) FILTER (role = 'user') AS question_count, max(1700000000 + turn * 60 + conv_id) AS updated_s FROM conversations GROUP BY conv_id",
+    "streamed_sections": "SELECT DISTINCT user_id AS session, event_id % 10 AS doc_id, event_type AS anchor FROM events",
     "finished_sections": "SELECT user_id AS session, event_id % 10 AS doc_id, event_type AS anchor, min(epoch_us(ts)) AS ts_us FROM events GROUP BY 1, 2, 3",
 }
