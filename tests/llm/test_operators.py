@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from papergraph.llm import jpeg, langid, line_frequency, markov, mixing, near_dedup, packing, secrets, toxicity
+from papergraph.llm import hashing, jpeg, langid, line_frequency, markov, mixing, near_dedup, packing, secrets, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, size int, cls string"
 PROSE = "the quick brown fox jumps over the lazy dog while seven wise owls watch from the old barn and count every leap it makes before dusk falls on the hill"
@@ -229,6 +229,31 @@ def test_plain_tokens_equal_the_library():
     assert encoder.encode(odd) == [np.array(e.ids, "<u4").tobytes() for e in encoder.model.encode_batch(odd, add_special_tokens=False)]
 
 
+def test_tokens_of_odd_texts_equal_the_library():
+    """Random texts of all kinds of characters, with a table too small for them."""
+    rng = np.random.default_rng(12)
+    pool = list("aB0'.,!é\u0301  \t\n\u0085 ßİΣς漢字😀<|>st\u200b-_²½\x1c\x00ǆ×÷ÀÿZ\xad’“")
+    odd = ["".join(rng.choice(pool, rng.integers(0, 50))) for _ in range(3000)] + ["x" * 100 + " y", "it's <|endoftext|> a", "don't'll 're''s (it's)."]
+    encoder = packing.WordIds(packing.default_vocabulary(), most_words=500)
+    for k in range(0, len(odd), 200):
+        part = odd[k : k + 200]
+        want = [np.array(e.ids, "<u4").tobytes() for e in encoder.model.encode_batch(part, add_special_tokens=False)]
+        assert encoder.encode(part) == want
+    assert encoder.encode([]) == []
+
+
+def test_range_hashes_tell_ranges_apart():
+    rng = np.random.default_rng(13)
+    values = rng.integers(0, 3, 4000).astype(np.uint64)
+    start = rng.integers(0, 3900, 5000)
+    end = start + rng.integers(0, 12, 5000)
+    got = hashing.RangeHash(0x9E3779B97F4A7C15).of(hashing.mixed(values, 1), start, end)
+    kinds = {}
+    for a, b, h in zip(start, end, got):
+        assert kinds.setdefault(tuple(values[a:b]), h) == h
+    assert len(set(kinds.values())) == len(kinds) > 1000
+
+
 def test_jpeg_round_trip_and_errors(spark, texts):
     df = make(spark, texts)
     got = jpeg.read_media(jpeg.texts_to_jpeg(df.select("doc_id", "text", "size"))).collect()
