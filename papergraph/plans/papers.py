@@ -122,6 +122,15 @@ def object_headers(spark, sf_dir):
     return html_graph.document_header(object_elements(spark, sf_dir), bylines)
 
 
+def symbol_places(spark, sf_dir):
+    """Sections in whose mathematics a scanned symbol stands: y_1 in those of y_1, y_13 and so on."""
+    dom = object_elements(spark, sf_dir)
+    none = spark.createDataFrame([], "doc_id long, ord int, name string, body string")
+    symbols = dom.where("tag = 'math'").groupBy("doc_id").agg(F.count("*").alias("count")).select("doc_id", F.lit("y_{1}").alias("token"), "count", F.lit(1).alias("ord"))
+    nodes = graph.symbol_nodes(none, symbols, html_graph.math_by_section(dom))
+    return nodes.select("doc_id", "label", F.array_join("data.sections", ",").alias("sections"), F.col("data.count").alias("n"))
+
+
 def object_edges(spark, sf_dir):
     """Edges between the objects of each paper, with the nodes' numbers."""
     dom = object_elements(spark, sf_dir)
@@ -232,7 +241,7 @@ def node_counts_at_volume(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    html_elements, page_elements, cleaned_pages, annotated_papers, document_headers, html_targets, html_occurrences, math_blobs, enclosing_sections, image_assets, object_targets, object_occurrences, object_assets, object_pages, object_headers, object_edges, tex_labels, tex_refs, tex_cite_keys,
+    html_elements, page_elements, cleaned_pages, annotated_papers, document_headers, html_targets, html_occurrences, math_blobs, enclosing_sections, image_assets, object_targets, object_occurrences, object_assets, object_pages, object_headers, symbol_places, object_edges, tex_labels, tex_refs, tex_cite_keys,
     tex_bibliography, tex_macros, tex_theorems, tex_section_titles, tex_symbols, graph_nodes, graph_edges, graph_counts, exported_graphs, written_graphs, landed_papers, landed_metadata, edges_at_volume, node_counts_at_volume,
 )}
 
@@ -270,6 +279,7 @@ SQL = {
     "object_assets": f"WITH {LINES} SELECT doc_id, 'f' || i || '.png' AS path, '/assets/f' || i || '.png' AS served_url FROM l WHERE i % 6 = 2",
     "object_pages": N + f""" SELECT doc_id, md5('<article><h1 class="ltx_title ltx_title_document">Objects of ' || doc_id || '</h1><div class="ltx_authors">By ' || doc_id || '</div>' || string_agg('<section id="S' || i || '" class="ltx_section"' || {_STAMP.format("'S' || i", "'section'")} || '><h2 class="ltx_title"><span class="ltx_tag">' || i || '</span> Part ' || i || '</h2><p class="ltx_p">' || {ESCAPED} || {_LINKS} || '</p>' || {_BODY} || '</section>', chr(10) ORDER BY i) || '<ul>{_ITEMS}</ul></article>') AS html_md5, NULL::VARCHAR AS error FROM l JOIN n USING (doc_id) GROUP BY doc_id""",
     "object_headers": "SELECT doc_id, 'Objects of ' || doc_id AS title, CASE WHEN doc_id % 2 = 0 THEN 'By ' ELSE 'Writer ' END || doc_id AS authors FROM documents WHERE text IS NOT NULL",
+    "symbol_places": f"WITH {LINES}, e AS (SELECT doc_id, i FROM l WHERE i % 6 = 1) SELECT doc_id, 'y_{{1}}' AS label, string_agg('S' || i, ',' ORDER BY 'S' || i) FILTER (starts_with('y_' || i, 'y_1')) AS sections, count(*) AS n FROM e GROUP BY doc_id",
     "object_edges": OBJECTS + " SELECT o.doc_id, CASE WHEN slot = 1 THEN 'cites' ELSE 'references' END AS kind, count(*) AS n, sum(s.ord)::BIGINT AS sources, sum(t.ord)::BIGINT AS targets FROM o JOIN t ON t.doc_id = o.doc_id AND t.anchor = o.anchor JOIN t s ON s.doc_id = o.doc_id AND s.anchor = 'S' || o.i GROUP BY ALL",
     "written_graphs": """WITH k AS (SELECT l_orderkey AS d, l_partkey AS k FROM lineitem UNION SELECT l_orderkey, l_suppkey FROM lineitem), n AS (SELECT * FROM k WHERE k % 10 <> 0),
 w AS (SELECT CASE WHEN d % 7 = 0 THEN 'replaced' WHEN k % 3 = 0 THEN 'citation' ELSE 'equation' END AS kind, d FROM n WHERE d % 7 <> 0 OR k % 2 = 0), e AS (SELECT l_orderkey AS d FROM lineitem WHERE l_orderkey % 7 <> 0 OR 'P' || l_partkey < 'P5' OR l_orderkey NOT IN (SELECT d FROM n WHERE k % 2 = 0 UNION SELECT l_orderkey FROM lineitem WHERE 'P' || l_partkey < 'P5'))
