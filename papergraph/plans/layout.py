@@ -8,6 +8,7 @@ from papergraph.functions import text as T
 from papergraph.operators import admission, citations, layout
 from papergraph.plans import derived
 from papergraph.sources import landed
+from papergraph.sources.shared import stored
 
 # --- shared SQL ------------------------------------------------------------
 LINES = r"""l AS (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL))"""
@@ -31,7 +32,8 @@ s AS (SELECT *, sum(heading::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS no,
 
 
 def _blocks(spark, sf_dir):
-    return layout.reading_order(derived.blocks(spark, sf_dir))
+    """Blocks in reading order, stored: titles, body sizes and sections each read them."""
+    return stored(layout.reading_order(derived.blocks(spark, sf_dir)), "blocks")
 
 
 def _titles(b):
