@@ -455,6 +455,32 @@ def test_every_markov_round_reads_the_whole_training_part(spark):
     units.unpersist()
 
 
+def test_very_long_texts_pass_every_operator(spark):
+    """A text of 300,000 words, and a copy of it but for its end."""
+    rng = np.random.default_rng(14)
+    long = " ".join(f"w{k}" for k in rng.integers(0, 50_000, 300_000))
+    df = spark.createDataFrame([(1, long, "en", "a"), (2, long + " end", "en", "a"), (3, PROSE, "en", "b")], "doc_id long, text string, lang string, source string")
+    near = {r["doc_id"]: r for r in near_dedup.near_duplicates(df).collect()}
+    assert near[2]["component_id"] == 1 and near[2]["n_shingles"] == near[1]["n_shingles"] + 1 > 299_000 and near[3]["kept"]
+    pieces = packing.pack_documents(df).collect()
+    ids = {i: [*packing.WordIds(packing.default_vocabulary()).model.encode(t, add_special_tokens=False).ids, 0] for i, t in ((1, long), (3, PROSE))}
+    for i, x in ids.items():
+        own = sorted((r["piece"], r["start"], r["length"]) for r in pieces if r["doc_id"] == i)
+        assert own == [(k, lo, len(x[lo : lo + 2048])) for k, lo in enumerate(range(0, len(x), 2048))]
+    scores = {r["doc_id"]: r for r in markov.hidden_markov_scores(df.withColumn("held_out", F.col("doc_id") == 2)).collect()}
+    assert scores[1]["n_tokens"] == 300_001 and scores[2]["n_known"] == 300_001 and scores[2]["score"] < scores[1]["score"] < 0
+    names, prototypes = langid.learn_prototypes(df)
+    assert {r["lang_pred"] for r in langid.predict_language(df, names, prototypes).collect()} == {"en"}
+    model = toxicity.learn(df, spark.createDataFrame([(1, 0), (3, 1)], "doc_id long, toxic int"))
+    assert toxicity.score_texts(df, model).count() == 3
+    media = jpeg.read_media(jpeg.texts_to_jpeg(df)).where("doc_id = 1").first()
+    assert bytes(media["thumbnail"]).rstrip(b"\0").decode() == long
+    rules = {r["doc_id"]: r for r in line_frequency.line_frequency_rules(df).collect()}
+    assert rules[1]["n_words"] == 300_000 and rules[1]["word_chars"] == len(long) - 299_999
+    mixed = {r["doc_id"]: r["size"] for r in mixing.mix_sources(df).collect()}
+    assert mixed == {1: 300_000, 2: 300_001, 3: len(PROSE.split())}
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert line_frequency.line_frequency_rules(empty).count() == 0
