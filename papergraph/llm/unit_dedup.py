@@ -214,18 +214,19 @@ def remove_units(docs: DataFrame, least_words: int = 10, id_col: str = "doc_id",
     found = found.select(F.col("doc_id").alias("_cut_id"), F.col("same").alias("_cut_same"), F.col("spans").alias("_cut_spans"))
     same = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
     joined = docs.join(found, docs[id_col].eqNullSafe(found["_cut_id"]) & (same == found["_cut_same"]), "left").drop("_cut_id", "_cut_same")
-    place = docs.columns.index(text_col)
+    names = docs.columns
+    place = names.index(text_col)
 
     def cut(batches):
         for batch in pieces_of(batches):
             texts = batch.column(place).to_pylist()
-            for k, spans in enumerate(batch.column(len(docs.columns)).to_pylist()):
+            for k, spans in enumerate(batch.column(len(names)).to_pylist()):
                 if spans:
                     edges = [0, *(x for s in spans for x in (s["start"], s["end"])), len(texts[k])]
                     texts[k] = "".join(texts[k][a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
             columns = list(batch.columns[:-1])
             columns[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return joined.mapInArrow(cut, docs.schema)
 
