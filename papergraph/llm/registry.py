@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jpeg, langid, line_frequency, markov, mixing, near_dedup, packing, secrets, toxicity, unit_dedup
+from . import fill_in_middle, jpeg, langid, line_frequency, markov, mixing, near_dedup, packing, secrets, toxicity, unit_dedup, zone_clusters
 from .sql import SQL
 
 
@@ -18,6 +18,8 @@ def queries() -> dict:
         "op8_pareto_mix": mixing.op8_pareto_mix,
         "op9_line_frequency": line_frequency.op9_line_frequency,
         "op10_minhash_postings": near_dedup.op10_minhash_postings,
+        "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+        "op12_zone_map_clusters": zone_clusters.op12_zone_map_clusters,
     }
 
 

@@ -70,4 +70,28 @@ c(a, m) AS (SELECT doc_id, doc_id FROM x UNION SELECT l.b, c.m FROM c JOIN l ON
 k AS (SELECT a, min(m) AS m FROM c GROUP BY a)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, m AS component_id, doc_id = m AS kept FROM x JOIN k ON k.a = x.doc_id"""
 
-SQL = {"op2_linked_secrets": OP2, "op9_line_frequency": OP9, "op10_minhash_postings": OP10}
+OP11 = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*{WORD}|[\x20\x09-\x0D]+') AS u, {", ".join(f"('0x' || substr(x, {8 * k + 1}, 8))::BIGINT AS h{k + 1}" for k in range(4))} FROM d),
+c AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS lo, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS hi,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(u[:lo], '') AS p, array_to_string(u[lo + 1:hi], '') AS m, array_to_string(u[hi + 1:], '') AS s FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+
+def _clusters(k: int = 8, rounds: int = 10) -> str:
+    """The rounds written out one after another; vectors as lists, sums as exact integers."""
+    least = "(SELECT vec_id, v, arg_min(c, (d, c)) AS cluster, min(d) AS distance FROM (SELECT r, vec_id, v, c, list_sum(list_transform(range(1, 65), lambda j: (v[j] - w[j]) * (v[j] - w[j]))) AS d FROM v, {c}) GROUP BY r, vec_id, v)"
+    steps = [
+        "WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        f"c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h, v) - 1)::INTEGER AS c, v AS w FROM (SELECT sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM v ORDER BY h, v LIMIT {k}))",
+    ]
+    for i in range(rounds):
+        sums = f"SELECT cluster, list(m ORDER BY j) AS w FROM (SELECT cluster, j, (s - ((s % n) + n) % n) // n AS m FROM (SELECT cluster, j, sum(v[j]) AS s, count(*) AS n FROM {least.format(c=f'c{i}')}, range(1, 65) AS x(j) GROUP BY ALL)) GROUP BY cluster"
+        steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c, coalesce(x.w, o.w)::BIGINT[] AS w FROM c{i} o LEFT JOIN ({sums}) x ON x.cluster = o.c)")
+    steps.append(f"a AS MATERIALIZED {least.format(c=f'c{rounds}')}")
+    return ", ".join(steps) + f""" SELECT vec_id, cluster, distance::BIGINT AS distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(w, ',')) AS centroid_sha256 FROM a JOIN c{rounds} ON c = cluster"""
+
+
+SQL = {"op2_linked_secrets": OP2, "op9_line_frequency": OP9, "op10_minhash_postings": OP10, "op11_fill_in_middle": OP11, "op12_zone_map_clusters": _clusters()}
