@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fill_in_middle, jpeg, langid, line_frequency, markov, mixing, near_dedup, packing, secrets, toxicity, unit_dedup, zone_clusters
+from . import fill_in_middle, jpeg, langid, line_frequency, markov, mixing, near_dedup, packing, personal_data, secrets, toxicity, unit_dedup, zone_clusters
 from .sql import SQL
 
 
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op10_minhash_postings": near_dedup.op10_minhash_postings,
         "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
         "op12_zone_map_clusters": zone_clusters.op12_zone_map_clusters,
+        "op13_boosted_candidates": personal_data.op13_boosted_candidates,
     }
 
 

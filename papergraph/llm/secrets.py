@@ -141,10 +141,9 @@ def slices(text: Column, block: int = 4096):
     return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0)), part
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", reach: int = 200) -> DataFrame:
-    """``docs`` with every reported span replaced by ``mark``; overlapping spans get one."""
-    scanned = _scanned(docs, SCAN, text_col, reach)
-    text = F.col(text_col)
+def masked(text: Column, spans: Column, mark: str) -> Column:
+    """``text`` with each of ``spans`` (sorted, start and end) replaced by ``mark``; those that
+    overlap get one."""
     whole, part = slices(text)
 
     def rebuilt(s: Column) -> Column:
@@ -157,9 +156,13 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", reac
 
         return let(upto, lambda m: let(whole, lambda blocks: pieces(m, blocks)))
 
-    spans = span_list(F.col(SCAN), KINDS)
-    clean = let(spans, lambda s: F.when(F.size(s) == 0, text).otherwise(rebuilt(s)))
-    return scanned.withColumn(text_col, clean).drop(SCAN)
+    return let(spans, lambda s: F.when(F.size(s) == 0, text).otherwise(rebuilt(s)))
+
+
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", reach: int = 200) -> DataFrame:
+    """``docs`` with every reported span replaced by ``mark``; overlapping spans get one."""
+    scanned = _scanned(docs, SCAN, text_col, reach)
+    return scanned.withColumn(text_col, masked(F.col(text_col), span_list(F.col(SCAN), KINDS), mark)).drop(SCAN)
 
 
 def op2_linked_secrets(spark, sf_dir: str) -> DataFrame:
