@@ -7,14 +7,17 @@ earliest rank (id, then place) stays and the others are removed, told by their o
 in the original text.
 
 Pieces of ``least_words`` words and more are units by themselves. Shorter ones join the
-same grouping in two ways. In a run of them, from each piece the fewest pieces that have
+same grouping in three ways. In a run of them, from each piece the fewest pieces that have
 ``least_words`` words are hashed, forwards and backwards, so that a repeated passage of
-short pieces is found from its first to its last. A run that has fewer words is hashed
-with the long piece on either side of it, so that a repeated passage keeps no holes.
+short pieces is found from its first to its last. A run that has fewer words is hashed with
+the long piece before it and again with the one after it, so that a repeated passage keeps
+neither holes nor frayed ends. A text that has fewer words in all is one unit.
+Digests are 128-bit hashes of a unit's normalised text itself.
 Spans that overlap, or that only a blank within a line parts, are joined.
 
-Documents that share a stock line share units too. ``repeats`` therefore asks for a run of repeated units of at least ``least_run``
-words: a passage of over 50 words can lose the sentences that its edges cut.
+``repeats`` is the verdict on a document. Documents that share a stock line share units too,
+and lose it (``n_removed``); ``repeats`` therefore asks for a run of repeated units of at least
+``least_run`` words: a passage of over 50 words can lose the sentences that its edges cut.
 
 Defined cases: a null text has no units; null ids rank first; rows equal in id
 and text are one document, whose units share their rank and so stay or go
@@ -26,20 +29,17 @@ whatever their names.
 
 from __future__ import annotations
 
-from itertools import pairwise
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces_of, stored, table
-from .hashing import RangeHash, mixed
 
 UNIT = "start long, end long, first_word int, words int, link boolean, inline boolean, d1 long, d2 long"
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
-_chars, _words = RangeHash(0x9E3779B97F4A7C15), (RangeHash(0xD6E8FEB86659FD93), RangeHash(0xA0761D6478BD642F))
 _lower: list[np.ndarray] = []
 
 
@@ -50,15 +50,15 @@ def lower_points(points: np.ndarray) -> np.ndarray:
     return _lower[0][points]
 
 
-def word_hashes(points: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 20) -> np.ndarray:
-    """A hash of each word in lower case, a block of the text at a time."""
-    out = [np.zeros(0, np.uint64)]
-    edges = np.searchsorted(start, np.arange(0, len(points) + block, block))
-    for a, b in pairwise(edges.tolist()):
-        if b > a:
-            lo, hi = int(start[a]), int(end[b - 1])
-            out.append(_chars.of(mixed(lower_points(points[lo:hi]), 3), start[a:b] - lo, end[a:b] - lo))
-    return np.concatenate(out)
+def digests(points: np.ndarray, blank: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit hashes (two longs) of parts of a text that begin and end with a word: in lower
+    case, with one blank for each run of white space."""
+    keep = ~blank
+    keep[1:] |= ~blank[:-1]
+    text = np.where(blank, np.uint32(32), lower_points(points))[keep].tobytes()
+    upto = np.cumsum(keep) * 4
+    spans = zip((upto[start] - 4).tolist(), upto[end - 1].tolist(), strict=True)
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(text[a:b]) for a, b in spans]), "<i8").reshape(-1, 2)
 
 
 def text_units(texts: list[str], least_words: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -69,7 +69,6 @@ def text_units(texts: list[str], least_words: int) -> tuple[np.ndarray, dict[str
     blank = (points == 32) | ((points >= 9) & (points <= 13))
     turn = np.flatnonzero(np.diff(blank, prepend=True))
     w_start, w_end = turn[::2], turn[1::2]
-    word = word_hashes(points, w_start, w_end)
 
     # a piece ends at a line's end, or at a blank after the end of a sentence
     stops = (points == ord(".")) | (points == ord("!")) | (points == ord("?"))
@@ -95,17 +94,24 @@ def text_units(texts: list[str], least_words: int) -> tuple[np.ndarray, dict[str
     x = alike(i, j) & ~long[i]
     runs = np.stack(np.divmod(np.unique(np.concatenate([*runs, i[x] * len(n) + j[x]])), max(1, len(n))))
     whole = np.flatnonzero(long)
-    i, j = whole[:-1], whole[1:]
-    gap = before[j] - upto[i]
-    x = (text[i] == text[j]) & (gap > 0) & (gap < least_words)
-    gaps = np.stack([i[x], j[x]])
-    i, j = np.concatenate([np.stack([whole, whole]), runs, gaps], axis=1)
+    # a short run beside a long piece: from the long piece before it (or the text's edge) to the next
+    head, tail = np.searchsorted(text, text[whole]), np.searchsorted(text, text[whole], side="right")
+    same = text[whole[1:]] == text[whole[:-1]]
+    left, right = head.copy(), tail.copy()
+    left[1:][same], right[:-1][same] = whole[:-1][same] + 1, whole[1:][same]
+    words_of = lambda i, j: np.append(0, upto)[j] - np.append(0, upto)[i]  # noqa: E731  of the pieces from i up to j
+    few = lambda x: (x > 0) & (x < least_words)
+    x, y = few(words_of(left, whole)), few(words_of(whole + 1, right))
+    links = np.concatenate([np.stack([left[x], whole[x]]), np.stack([whole[y], right[y] - 1])], axis=1)
+    head, tail = (np.unique(text, return_index=True)[1], np.append(np.flatnonzero(np.diff(text)), len(text) - 1)) if len(text) else (whole, whole)
+    tiny = few(words_of(head, tail + 1))
+    i, j = np.concatenate([np.stack([whole, whole]), runs, np.stack([head[tiny], tail[tiny]]), links], axis=1)
 
     lo, hi = first[i], first[j] + n[j]
     text_start = text_end - size
     base, word_base = text_start[text[i]], np.searchsorted(w_start, text_start)[text[i]]
-    d1, d2 = (h.of(v, lo, hi).view(np.int64) for h, v in zip(_words, (word, mixed(word, 5)), strict=True))
-    link = np.repeat([False, True], [len(whole) + runs.shape[1], gaps.shape[1]])
+    d1, d2 = digests(points, blank, w_start[lo], w_end[hi - 1]).T
+    link = np.repeat([False, True], [len(i) - links.shape[1], links.shape[1]])
     return text[i], {
         "start": p_start[i] - base, "end": p_end[j] - base, "first_word": (lo - word_base).astype(np.int32), "words": (hi - lo).astype(np.int32),
         "link": link, "inline": points[p_end[j]] != 10, "d1": d1, "d2": d2,
@@ -158,7 +164,7 @@ def repeated_units(docs: DataFrame, least_words: int = 10, least_run: int = 25,
     """One row a document: doc_id, n_units, n_removed, removed_chars, removed (start:end,
     comma-joined), repeat_words, repeats.
 
-    n_units counts long pieces and units within short runs; n_removed counts spans.
+    n_units counts long pieces, units within short runs and short texts; n_removed counts spans.
     repeat_words is the longest run of words in units that another document has as well,
     first occurrences included; ``repeats`` tells whether it has ``least_run`` words.
 
@@ -213,7 +219,7 @@ def remove_units(docs: DataFrame, least_words: int = 10, id_col: str = "doc_id",
     found = _measured(docs, least_words, 0, id_col, text_col).where("n_removed > 0").select("doc_id", "same", "spans").distinct()
     found = found.select(F.col("doc_id").alias("_cut_id"), F.col("same").alias("_cut_same"), F.col("spans").alias("_cut_spans"))
     same = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    joined = docs.join(found, docs[id_col].eqNullSafe(found["_cut_id"]) & (same == found["_cut_same"]), "left").drop("_cut_id", "_cut_same")
+    joined = docs.join(found, docs[id_col].eqNullSafe(found["_cut_id"]) & (same == found["_cut_same"]), "left").drop(found["_cut_id"], found["_cut_same"])
     names = docs.columns
     place = names.index(text_col)
 

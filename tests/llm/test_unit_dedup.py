@@ -7,7 +7,7 @@ from papergraph.llm.unit_dedup import remove_units, repeated_units
 
 def test_lines_stay_where_they_rank_first(spark):
     line = "one two three four five six seven eight nine ten"
-    texts = {4: f"é intro\n{line.upper()}\nshort", 2: f"{line}\nshort\n  {line}", 7: None, 9: "", 5: f"{line} eleven\n{line} eleven"}
+    texts = {4: f"é intro\n{line.upper()}\nother", 2: f"{line}\nshort\n  {line}", 7: None, 9: "", 5: f"{line} eleven\n{line} eleven"}
     df = spark.createDataFrame([*texts.items(), (4, texts[4])], "doc_id long, text string")
     got = repeated_units(df).collect()
     seen, want = set(), {}
@@ -38,7 +38,7 @@ def test_passages_of_short_lines_are_removed_whole(spark):
     long = [" ".join(f"{c}{k}" for k in range(12)) for c in "ab"]
     mixed = f"{long[0]}\nshort one\n{long[1]}"
     got = removed_texts(spark, [f"an intro\n{verse}\nan end", f"{long[0]}\n{verse}\nother end", mixed, f"start\n{mixed}\nend", "few\nwords", "few\nwords"])
-    assert got == [[], [verse], [long[0]], [mixed], [], []]
+    assert got == [[], [verse], [long[0]], [mixed], [], ["few\nwords"]]
 
 
 def test_short_runs_against_a_plain_version(spark):
@@ -55,10 +55,14 @@ def test_short_runs_against_a_plain_version(spark):
             for b in range(a, len(lines)):
                 n, part = sum(map(len, w[a : b + 1])), range(a, b + 1)
                 all_short = all(len(w[k]) < 10 for k in part) and w[a] and w[b] and n >= 10
-                link = b > a and min(len(w[a]), len(w[b])) >= 10 and 0 < n - len(w[a]) - len(w[b]) < 10 and all(len(w[k]) < 10 for k in part[1:-1])
+                ends = [k for k in (a, b) if len(w[k]) >= 10]
+                edge = lambda ks: next((len(w[k]) >= 10 for k in ks if w[k]), True)  # noqa: E731  the next piece is long, or there is none
+                whole_run = b > a and len(ends) == 1 and (edge(range(b + 1, len(w))) if ends == [a] else edge(range(a - 1, -1, -1)))  # noqa: B023
+                link = whole_run and w[a] and w[b] and n - len(w[ends[0]]) < 10 and all(len(w[k]) < 10 for k in part[1:-1])
+                tiny = n == sum(map(len, w)) < 10 and w[a] and w[b]
                 # the fewest lines from a on, or the fewest up to b
                 fewest = n - len(w[b]) < 10 or n - len(w[a]) < 10
-                if (all_short and fewest) or (a == b and n >= 10) or link:
+                if (all_short and fewest) or (a == b and n >= 10) or link or tiny:
                     mine.add((place[a], place[b] + len(lines[b]), tuple(x for k in part for x in w[k])))
         units.append(mine)
         for s, _, key in sorted(mine):
@@ -109,6 +113,31 @@ def test_removal_keeps_rows_columns_and_first_occurrences(spark):
     assert remove_units(df.limit(0)).count() == 0
 
 
+def test_ends_of_a_passage_and_short_copies_go_too(spark):
+    long = [" ".join(f"{c}{k}" for k in range(16)) for c in "ab"]
+    passage = f"Short heading here\n{long[0]}\nmiddle part\n{long[1]}\nclosing words"
+    got = removed_texts(spark, [passage, f"{passage}", "tiny exact copy", "Tiny  exact\tCOPY", "tiny exact", ""])
+    assert got == [[], [passage], [], ["Tiny  exact\tCOPY"], [], []]
+
+
+def test_texts_that_fool_a_polynomial_have_digests_of_their_own(spark):
+    bits = [bin(k).count("1") % 2 for k in range(4096)]
+    texts = [" ".join("ab"[x] for x in bits), " ".join("ba"[x] for x in bits), "".join("ab"[x] for x in bits) + " x" * 12, "".join("ba"[x] for x in bits) + " x" * 12]
+    assert removed_texts(spark, texts) == [[], [], [], []]
+    assert removed_texts(spark, texts[:1] * 2) == [[], [texts[0]]]
+
+
+def test_removal_keeps_columns_of_its_own_names(spark):
+    df = spark.createDataFrame([(1, "few words", "a", "b"), (2, "few words", "c", "d")], "doc_id long, text string, _cut_id string, _cut_same string")
+    assert sorted(map(tuple, remove_units(df).collect())) == [(1, "few words", "a", "b"), (2, "", "c", "d")]
+
+
+def test_a_very_long_run_of_short_pieces(spark):
+    song = "\n".join(f"v{k} la" for k in range(100_000))
+    got = {r["doc_id"]: r for r in repeated_units(spark.createDataFrame([(1, song), (2, f"own start\n{song}")], "doc_id long, text string")).collect()}
+    assert got[1]["n_removed"] == 0 and got[2]["removed"] == f"10:{10 + len(song)}" and got[1]["repeats"] and got[2]["repeats"]
+
+
 def test_a_very_long_text_and_a_very_common_line(spark):
     line = "a line of twelve words that very many of the texts here hold"
     long = "\n".join(f"{k} words of a line that no other text has in it at all" for k in range(40_000))
