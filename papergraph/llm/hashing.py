@@ -1,8 +1,15 @@
-"""Hashes of many ranges of an array at once, by prefix sums of a polynomial modulo 2**64."""
+"""Hashes of many ranges of an array at once, by prefix sums of a polynomial modulo 2**64.
+
+Such a polynomial has equal values on certain pairs of long ranges (from 1,024 elements on,
+whatever the base), so ranges of LONG elements and more are hashed one by one.
+"""
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
+
+LONG = 256
 
 
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -32,4 +39,7 @@ class RangeHash:
         self._upto(len(values) + 1)
         sums = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values * self.powers[0][: len(values)], out=sums[1:])
-        return mixed((sums[end] - sums[start]) * self.powers[1][start], 1) + (end - start).astype(np.uint64)
+        out = mixed((sums[end] - sums[start]) * self.powers[1][start], 1) + (end - start).astype(np.uint64)
+        for k in np.flatnonzero(end - start >= LONG):
+            out[k] = xxhash.xxh64_intdigest(values[start[k] : end[k]].tobytes(), int(self.bases[0]))
+        return out
