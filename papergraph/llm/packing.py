@@ -252,8 +252,11 @@ def _packed(rows: pa.Table, bins: np.ndarray, offsets: np.ndarray, used: np.ndar
 
 
 def _first_number(level: int) -> int:
-    """Where a task's sequence numbers start: level, task, then 2**36 of its own."""
-    return (level << 57) | (TaskContext.get().partitionId() << 36)
+    """Where a task's sequence numbers start: level, task, then 2**32 of its own."""
+    task = TaskContext.get().partitionId()
+    if task >= 1 << 25:
+        raise ValueError(f"task {task}: sequence numbers reach to 2**25 tasks a round")
+    return (level << 57) | (task << 32)
 
 
 def pack_locally(pieces: DataFrame, room: int, slack: int, most_items: int) -> DataFrame:
@@ -310,7 +313,7 @@ def pack(pieces: DataFrame, room: int = 2048, slack: int = 4, widening: int = 8,
         done.append(now.where(~F.col("open")))
         rest = now.where("open")
         # open bins, and the tasks they come from
-        n, sources = rest.agg(F.count_if(F.col("offset") == 0), F.countDistinct(F.shiftright("sequence_id", 36))).first()
+        n, sources = rest.agg(F.count_if(F.col("offset") == 0), F.countDistinct(F.shiftright("sequence_id", 32))).first()
         if n == 0:
             break
         level, slack = level + 1, slack * widening
