@@ -7,16 +7,15 @@ penalised: the mention alone can then not move the score, which spares neutral
 texts about a group.
 
 The model is fitted on a bounded sample of labelled rows: ``most_toxic`` and
-``most_other`` rows at most, those with the smallest hash of the id. So is its number
-of weights: ``most_keys`` features at most take part, those whose counts under the two
-labels differ most from chance (a feature must be seen LEAST_SEEN times and be stranger
-than LEAST_STRANGE); scoring reads whole texts and has no limit.
+``most_other`` rows at most, those with the smallest hash of the id. Of their features those
+take part that are seen LEAST_SEEN times and whose counts under the two labels differ from
+chance by LEAST_STRANGE; scoring reads whole texts and has no limit.
 
 Defined cases: a null or empty text is scored by the intercept alone; rows whose
 label or id is null are not learned from, an id with several labels counts as
 toxic if one says so; repeated rows and extra columns do not matter, and a column
 with the name of an added one is replaced; a text of any length is one set of
-features; features of equal strangeness rank by their hash; an empty table gives an
+features; an empty table gives an
 empty result; without labelled rows every score is 0.5, with one class alone its
 smoothed share.
 """
@@ -141,7 +140,6 @@ def _strangeness(seen, toxic, share: float):
 
 #: A feature takes part if seen as often as this, and as strange as this.
 LEAST_SEEN, LEAST_STRANGE = 3, 4
-MOST_KEYS = 20_000
 
 
 def _places(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -165,16 +163,14 @@ def _one_class(y_sum: int, n: int) -> Model:
     return Model(np.zeros(0, np.uint32), np.zeros(0), float(np.log(p / (1 - p))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, others: list[tuple[int, np.ndarray]], share: float | None = None, most_keys: int = MOST_KEYS, **options) -> Model:
+def fit(rows: list[np.ndarray], labels: np.ndarray, others: list[tuple[int, np.ndarray]], share: float | None = None, **options) -> Model:
     """Fit on feature arrays; ``others`` has (row, features of the swapped text)."""
     y, n = labels.astype(np.float64), len(rows)
     if n == 0 or y.min() == y.max():
         return _one_class(y.sum(), n)
     keys, seen, toxic = _class_counts(rows, labels)
     strange = _strangeness(seen, toxic, y.mean())
-    strange[seen < LEAST_SEEN] = 0
-    keep = np.sort(np.argsort(-strange, kind="stable")[:most_keys])
-    keys = keys[keep[strange[keep] > LEAST_STRANGE]]
+    keys = keys[(seen >= LEAST_SEEN) & (strange > LEAST_STRANGE)]
     changes = [_change(keys, rows[k], x) for k, x in others]
     return _solved(keys, Rows.of([_places(keys, r) for r in rows]), y, Rows.of([x for x, _ in changes]), Rows.of([x for _, x in changes]), share, **options)
 
@@ -216,7 +212,7 @@ def _solved(keys: np.ndarray, rows: Rows, y: np.ndarray, gained: Rows, lost: Row
     return Model(keys[used], w[used], float(b))
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_other: int = 8000, label_col: str = "toxic", text_col: str = "text", kinds=IDENTITY_TERMS, most_keys: int = MOST_KEYS, **options) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_other: int = 8000, label_col: str = "toxic", text_col: str = "text", kinds=IDENTITY_TERMS, **options) -> Model:
     """A model from the texts whose ids ``labels`` (doc_id, ``label_col``) marks.
 
     Features are found, counted and chosen on the executors; to the driver come
@@ -250,7 +246,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_other
         return _one_class(ones, n)
     tallied = found.mapInArrow(count, "key long, seen long, toxic long").groupBy("key").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic"))
     strange = tallied.where(F.col("seen") >= LEAST_SEEN).select("key", _strangeness(F.col("seen"), F.col("toxic"), ones / n).alias("strange"))
-    best = strange.where(F.col("strange") > LEAST_STRANGE).orderBy(F.desc("strange"), "key").limit(most_keys).select("key")
+    best = strange.where(F.col("strange") > LEAST_STRANGE).select("key")
     keys = np.sort(best.toArrow().column("key").to_numpy().astype(np.uint32))
 
     def code(batches):
