@@ -11,7 +11,7 @@ from papergraph.operators import graph, html_graph, latex
 from papergraph.plans import derived
 from papergraph.plans.derived import TEX_HEAD, TEX_PART, TEX_TAIL
 from papergraph.plans.layout import LINES
-from papergraph.sources import landed
+from papergraph.sources import landed, store
 from papergraph.sources.shared import shared_dir, stored
 
 
@@ -203,15 +203,41 @@ def written_graphs(spark, sf_dir):
     """Graphs written, then every seventh document replaced whole; nodes and edges as read back."""
     path = f"{shared_dir(spark)}/graphs/{uuid.uuid4().hex}"
     found, nodes = derived.edge_tables(spark, sf_dir)
-    landed.write_graph(nodes, found, path)
+    store.write_graph(nodes, found, path)
     some = F.col("doc_id") % 7 == 0
-    landed.write_graph(nodes.where(some & (F.col("node_ord") % 2 == 0)).withColumn("kind", F.lit("replaced")), found.where(some & (F.col("target_anchor") < "P5")), path)
-    read = lambda name: spark.read.parquet(f"{path}/{name}")
-    n = read("nodes").groupBy("kind").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
-    e = read("edges").groupBy(F.concat(F.lit("edge:"), "kind").alias("kind")).agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+    store.write_graph(nodes.where(some & (F.col("node_ord") % 2 == 0)).withColumn("kind", F.lit("replaced")), found.where(some & (F.col("target_anchor") < "P5")), path)
+    back = store.read_graph(spark, path)
+    n = back.nodes.groupBy("kind").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+    e = back.edges.groupBy(F.concat(F.lit("edge:"), "kind").alias("kind")).agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
     return n.unionByName(e)
 
 
+def versioned_graphs(spark, sf_dir):
+    """Three overlapping commits and a deletion, with a compaction between and one after them;
+    what each document has in the end. A third reading, from before, must still see the old state."""
+    path = f"{shared_dir(spark)}/graphs/{uuid.uuid4().hex}"
+    found, nodes = derived.edge_tables(spark, sf_dir)
+    docs = found.select("doc_id", F.concat(F.lit("order-"), "doc_id").alias("doc_key")).distinct()
+
+    def put(tag, by, of_nodes, of_edges, number):
+        mine = F.col("doc_id") % by == 0
+        store.write_graph(nodes.where(mine).where(of_nodes).withColumn("kind", F.lit(tag)), found.where(mine).where(of_edges), path, docs.where(mine), "orders", number)
+
+    put("first", 1, "true", "true", 0)
+    put("second", 2, "node_ord % 2 = 0", "target_anchor < 'P5'", 1)
+    before = store.read_graph(spark, path)
+    store.compact_graph(spark, path)
+    put("third", 3, "node_ord % 3 = 0", "target_anchor >= 'P5'", 2)
+    put("third", 1, "false", "false", 2)  # a commit that comes again is skipped
+    store.delete_from_graph(docs.where("doc_id % 5 = 0"), path)
+    store.compact_graph(spark, path)
+    now = store.read_graph(spark, path)
+    count = lambda rows, name: rows.groupBy("doc_id").agg(F.count("*").alias(name))
+    kinds = now.nodes.groupBy("doc_id").agg(F.max("kind").alias("kind"), F.count("*").alias("n_nodes"))
+    out = now.documents.select("doc_id", "doc_key").join(kinds, "doc_id", "left").join(count(now.edges, "n_edges"), "doc_id", "left").join(count(before.nodes, "n_before"), "doc_id", "left")
+    return out.select("doc_id", "doc_key", "kind", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_nodes", "n_edges", "n_before")])
+
+
 def landed_papers(spark, sf_dir):
     """Papers landed as JSON and read back."""
     path = f"{shared_dir(spark)}/landed/{uuid.uuid4().hex}"
@@ -242,7 +268,7 @@ def node_counts_at_volume(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     html_elements, page_elements, cleaned_pages, annotated_papers, document_headers, html_targets, html_occurrences, math_blobs, enclosing_sections, image_assets, object_targets, object_occurrences, object_assets, object_pages, object_headers, symbol_places, object_edges, tex_labels, tex_refs, tex_cite_keys,
-    tex_bibliography, tex_macros, tex_theorems, tex_section_titles, tex_symbols, graph_nodes, graph_edges, graph_counts, exported_graphs, written_graphs, landed_papers, landed_metadata, edges_at_volume, node_counts_at_volume,
+    tex_bibliography, tex_macros, tex_theorems, tex_section_titles, tex_symbols, graph_nodes, graph_edges, graph_counts, exported_graphs, written_graphs, versioned_graphs, landed_papers, landed_metadata, edges_at_volume, node_counts_at_volume,
 )}
 
 N = f"WITH {LINES}, n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id)"
@@ -284,6 +310,10 @@ SQL = {
     "written_graphs": """WITH k AS (SELECT l_orderkey AS d, l_partkey AS k FROM lineitem UNION SELECT l_orderkey, l_suppkey FROM lineitem), n AS (SELECT * FROM k WHERE k % 10 <> 0),
 w AS (SELECT CASE WHEN d % 7 = 0 THEN 'replaced' WHEN k % 3 = 0 THEN 'citation' ELSE 'equation' END AS kind, d FROM n WHERE d % 7 <> 0 OR k % 2 = 0), e AS (SELECT l_orderkey AS d FROM lineitem WHERE l_orderkey % 7 <> 0 OR 'P' || l_partkey < 'P5' OR l_orderkey NOT IN (SELECT d FROM n WHERE k % 2 = 0 UNION SELECT l_orderkey FROM lineitem WHERE 'P' || l_partkey < 'P5'))
 SELECT kind, count(*) AS n, sum(d)::BIGINT AS ids FROM (SELECT * FROM w UNION ALL SELECT CASE WHEN k % 3 = 0 THEN 'citation' ELSE 'equation' END, d FROM n WHERE d % 7 = 0 AND d NOT IN (SELECT d FROM n WHERE k % 2 = 0 UNION SELECT l_orderkey FROM lineitem WHERE 'P' || l_partkey < 'P5')) GROUP BY kind UNION ALL SELECT 'edge:references', count(*), sum(d)::BIGINT FROM e""",
+    "versioned_graphs": """WITH k AS (SELECT l_orderkey AS d, l_partkey AS k FROM lineitem UNION SELECT l_orderkey, l_suppkey FROM lineitem), g AS (SELECT d, count(*) AS n1, count(*) FILTER (k % 2 = 0) AS n2, count(*) FILTER (k % 3 = 0) AS n3 FROM k WHERE k % 10 <> 0 GROUP BY d),
+e AS (SELECT l_orderkey AS d, count(*) AS e1, count(*) FILTER ('P' || l_partkey < 'P5') AS e2, count(*) FILTER ('P' || l_partkey >= 'P5') AS e3 FROM lineitem GROUP BY 1),
+w AS (SELECT d, CASE WHEN d % 3 = 0 THEN 'third' WHEN d % 2 = 0 THEN 'second' ELSE 'first' END AS kind, coalesce(CASE WHEN d % 3 = 0 THEN n3 WHEN d % 2 = 0 THEN n2 ELSE n1 END, 0) AS n_nodes, CASE WHEN d % 3 = 0 THEN e3 WHEN d % 2 = 0 THEN e2 ELSE e1 END AS n_edges, coalesce(CASE WHEN d % 2 = 0 THEN n2 ELSE n1 END, 0) AS n_before FROM e LEFT JOIN g USING (d) WHERE d % 5 <> 0)
+SELECT d AS doc_id, 'order-' || d AS doc_key, CASE WHEN n_nodes > 0 THEN kind END AS kind, n_nodes, n_edges, n_before FROM w""",
     "landed_papers": f"WITH {LINES} SELECT doc_id, {len(TEX_HEAD) + len(TEX_TAIL)} + sum(length({TEX_PART}))::BIGINT AS n_chars FROM l GROUP BY doc_id",
     "landed_metadata": "SELECT doc_id::VARCHAR AS doc_key, 'Title of ' || doc_id AS title, 'Ann ' || doc_id || ', Bo ' || doc_id AS authors FROM documents",
     "html_elements": N + """, t AS (SELECT doc_id, unnest([{'t': 'article', 'n': 1}, {'t': 'h1', 'n': 1}, {'t': 'section', 'n': n}, {'t': 'h2', 'n': n}, {'t': 'span', 'n': n}, {'t': 'p', 'n': n}, {'t': 'math', 'n': n}, {'t': 'a', 'n': n - 1}, {'t': 'img', 'n': (n + 3) // 4}]) AS x FROM n) SELECT doc_id, x.t AS tag, x.n AS n FROM t WHERE x.n > 0""",

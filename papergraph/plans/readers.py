@@ -11,6 +11,7 @@ from papergraph.operators import generation, graph, html_graph, retrieval, threa
 from papergraph.plans import derived
 from papergraph.plans.layout import LINES
 from papergraph.plans.papers import N, OBJECT_PARA, PARA, elements, object_elements
+from papergraph.sources import store
 from papergraph.sources.shared import shared_dir, stored
 from papergraph.streaming import jobs
 
@@ -196,15 +197,8 @@ def _messages(spark, sf_dir):
 def streamed_thread_summaries(spark, sf_dir):
     """Thread counters kept by a streaming aggregation over the conversations."""
     folder = _folder(spark, "threads")
-    summaries = jobs.stream_thread_summaries(_messages(spark, sf_dir).select("chat_id", "role", "ts"))
-    spark.createDataFrame([], summaries.schema).write.parquet(f"{folder}/table")  # stays if no batch comes
-
-    def batch(rows, number):
-        rows.write.mode("overwrite").parquet(f"{folder}/table")
-
-    query = summaries.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(summaries.schema).parquet(f"{folder}/table").select("chat_id", "question_count", F.unix_timestamp("updated_at").alias("updated_s"))
+    jobs.stream_thread_table(_messages(spark, sf_dir).select("chat_id", "role", "ts"), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return jobs.thread_table(spark, f"{folder}/table").select("chat_id", "question_count", F.unix_timestamp("updated_at").alias("updated_s"))
 
 
 def streamed_thread_history(spark, sf_dir):
@@ -222,7 +216,8 @@ def streamed_thread_history(spark, sf_dir):
 
 
 def streamed_ingest(spark, sf_dir):
-    """Documents ingested as they come, twice; the second run finds every key ready. Nodes by document."""
+    """Documents ingested as they come: by one stream two of three, by a second with a checkpoint
+    of its own all, of which it finds those ready. Nodes and edges by document."""
     folder = _folder(spark, "ingest")
 
     def build(papers):
@@ -233,11 +228,13 @@ def streamed_ingest(spark, sf_dir):
         return nodes, graph.resolve_edges(html_graph.occurrences(dom, found), nodes)
 
     for run in range(2):
-        landing = _stream(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.concat(F.lit("key-"), "doc_id").alias("doc_key"), "text")
+        some = "text is not null" if run else "text is not null and doc_id % 3 != 0"
+        landing = _stream(spark, sf_dir, "documents").where(some).select("doc_id", F.concat(F.lit("key-"), "doc_id").alias("doc_key"), "text")
         jobs.stream_ingest(landing, folder, f"{folder}/checkpoint-{run}", build).awaitTermination()
-    nodes = spark.read.parquet(f"{folder}/nodes").groupBy("doc_id").agg(F.count("*").alias("n_nodes"))
-    edges = spark.read.parquet(f"{folder}/edges").groupBy("doc_id").agg(F.count("*").alias("n_edges"))
-    return nodes.join(edges, "doc_id", "left").select("doc_id", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
+    back = store.read_graph(spark, folder)
+    nodes = back.nodes.groupBy("doc_id").agg(F.count("*").alias("n_nodes"))
+    edges = back.edges.groupBy("doc_id").agg(F.count("*").alias("n_edges"))
+    return back.documents.select("doc_id").join(nodes, "doc_id", "left").join(edges, "doc_id", "left").select("doc_id", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
 
 
 def streamed_sections(spark, sf_dir):

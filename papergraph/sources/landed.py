@@ -1,4 +1,4 @@
-"""Landed papers: readers, source selection and input inlining, and graph writers."""
+"""Landed papers: readers, source selection, input inlining and the JSON export of graphs."""
 
 from __future__ import annotations
 
@@ -74,31 +74,6 @@ def inline_inputs(files: DataFrame, main: DataFrame, depth: int = 5) -> DataFram
     return every.join(bbl, "doc_id", "left").select("doc_id", F.when(F.col("bbl").isNull(), F.col("tex")).otherwise(F.concat("tex", F.lit("\n"), "bbl")).alias("tex"))
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, path: str, buckets: int = 64) -> None:
-    """Replace whole documents: the bucket of every document given is rewritten with the
-    other documents' rows kept."""
-    spark = nodes.sparkSession
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
-    ids = nodes.select("doc_id").unionByName(edges.select("doc_id")).distinct().persist()
-    touched = ids.select(bucket.alias("doc_bucket")).distinct()
-    for name, new in (("nodes", nodes), ("edges", edges)):
-        target, old = f"{path}/{name}", None
-        try:
-            old = spark.read.parquet(target)
-        except Exception as e:  # a first write has nothing to keep
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        rows = new.withColumn("doc_bucket", bucket)
-        if old is not None:
-            kept = old.join(F.broadcast(touched), "doc_bucket", "left_semi").join(ids, "doc_id", "left_anti")
-            rows = rows.unionByName(kept.select(*rows.columns), allowMissingColumns=True)
-        # the rows kept are read from the folder that is rewritten, so they are staged first
-        rows.write.mode("overwrite").parquet(f"{path}/_staged_{name}")
-        staged = spark.read.parquet(f"{path}/_staged_{name}").repartition("doc_bucket")
-        staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_bucket").parquet(target)
-    ids.unpersist()
-
-
 def export_graph_json(docs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """doc_id, json: one object a document with its node and edge lists in order."""
     node_cols = [c for c in nodes.columns if c != "doc_id"]

@@ -2,41 +2,47 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from papergraph.operators.admission import plan_ingest
-from papergraph.sources.landed import first_per_key, write_graph
+from papergraph.sources.landed import first_per_key
+from papergraph.sources.store import commit, is_committed, read_graph, snapshot, write_graph
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the stream that a checkpoint belongs to. It outlives restarts; a new checkpoint,
+    even at an old place, has another. Batches are told apart by it and their number."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
 def stream_ingest(landing: DataFrame, path: str, checkpoint: str, build: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> StreamingQuery:
-    """Continuous ingestion of papers (doc_id, doc_key, ...) into ``path``.
+    """Continuous ingestion of papers (doc_id, doc_key, ...) into the graph store ``path``.
 
-    Each batch skips keys that are ready, builds the graph of the others with
-    ``build`` (papers to nodes and edges) and replaces their documents whole;
-    the key list is written last, so that a repeated batch does no harm.
+    Each batch skips keys that are ready there, builds the graph of the others with ``build``
+    (papers to nodes and edges) and commits documents, nodes and edges as one version. A batch
+    that was stopped leaves nothing visible; one that comes again after its commit is skipped.
     """
 
     def batch(papers: DataFrame, number: int) -> None:
         spark = papers.sparkSession
-        try:
-            known = spark.read.schema("doc_key string, status string").parquet(f"{path}/documents")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = spark.createDataFrame([], "doc_key string, status string")
+        run = run_id(spark, checkpoint)
+        if is_committed(spark, path, run, number):
+            return
+        known = read_graph(spark, path).documents
+        known = spark.createDataFrame([], "doc_key string, status string") if known is None else known.select("doc_key", "status")
         papers = papers.persist()
         wanted = plan_ingest(papers.select("doc_key", F.lit(False).alias("force")), known)
         todo = first_per_key(papers.join(wanted.select("doc_key"), "doc_key", "left_semi"), ["doc_key"], [F.col("doc_id")]).persist()
         if not todo.isEmpty():
-            write_graph(*build(todo), path)
-            todo.select("doc_key", F.lit("ready").alias("status")).write.mode("overwrite").parquet(f"{path}/documents/batch={number}")
+            write_graph(*build(todo), path, todo, run, number)
         todo.unpersist()
         papers.unpersist()
 
@@ -48,6 +54,28 @@ def stream_thread_summaries(messages: DataFrame) -> DataFrame:
     return messages.groupBy("chat_id").agg(F.count_if(F.col("role") == "user").alias("question_count"), F.max("ts").alias("updated_at"))
 
 
+def stream_thread_table(messages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Thread summaries kept in the store ``path``: a batch writes the threads that it touched,
+    and one that comes again after its commit writes nothing."""
+
+    def batch(changed: DataFrame, number: int) -> None:
+        commit(changed.sparkSession, path, {"summaries": changed}, run_id(changed.sparkSession, checkpoint), number)
+
+    return stream_thread_summaries(messages).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def thread_table(spark: SparkSession, path: str) -> DataFrame:
+    """The newest summary of each thread."""
+    found = snapshot(spark, path).latest("summaries", "chat_id")
+    return spark.createDataFrame([], "chat_id long, question_count long, updated_at timestamp") if found is None else found
+
+
+def compact_thread_table(spark: SparkSession, path: str) -> int | None:
+    """One segment with the newest summaries in place of all."""
+    now = snapshot(spark, path)
+    return commit(spark, path, {"summaries": now.latest("summaries", "chat_id")}, replaces=[s for s, _ in now.segments]) if len(now.segments) > 1 else None
+
+
 class ThreadHistory(StatefulProcessor):
     """A thread's turns in order: counters in state, and each message out with its number."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from papergraph.functions import text as T
 from papergraph.operators import admission, citations, dom, generation, graph, html_graph, latex, layout, retrieval, threads
-from papergraph.sources import landed
+from papergraph.sources import landed, store
 from papergraph.streaming import jobs
 
 #: A short paper on tides, with each kind of object once.
@@ -328,24 +328,9 @@ def test_streaming_equals_batch(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing to do
         landing = spark.readStream.schema(papers.schema).parquet(str(tmp_path / "in"))
         jobs.stream_ingest(landing, str(tmp_path / "out"), str(tmp_path / "check"), build).awaitTermination()
-    nodes = spark.read.parquet(str(tmp_path / "out/nodes"))
-    assert rows(nodes.select("doc_id").distinct(), "doc_id") == [(1,), (2,)]
-    assert nodes.where("doc_id = 1").count() == 6 and spark.read.parquet(str(tmp_path / "out/edges")).count() == 6
-
-
-def test_streamed_summaries_lie_in_the_shared_folder(spark, tmp_path):
-    from papergraph.plans import readers
-    from papergraph.sources.shared import shared_dir
-
-    turns = [(c, t, "user" if t % 2 == 0 else "assistant", "x") for c in range(40) for t in range(c % 5 + 1)]
-    data = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
-    for name, part, want in (("some", data, [(c, c % 5 // 2 + 1, 1_700_000_000 + c % 5 * 60 + c) for c in range(40)]), ("none", data.limit(0), [])):
-        part.repartition(3).write.parquet(str(tmp_path / name / "conversations.parquet"))
-        got = readers.streamed_thread_summaries(spark, str(tmp_path / name))
-        assert sorted(map(tuple, got.collect())) == want
-        files = got.inputFiles()
-        assert files and all(f.replace("file:///", "/").startswith(shared_dir(spark).replace("file://", "") + "/streams/") for f in files)
-        assert spark.read.text(files[0].rsplit("/table/", 1)[0] + "/checkpoint/offsets").count() > 0
+    back = store.read_graph(spark, str(tmp_path / "out"))
+    assert rows(back.nodes.select("doc_id").distinct(), "doc_id") == [(1,), (2,)]
+    assert back.nodes.where("doc_id = 1").count() == 6 and back.edges.count() == 6
 
 
 def test_entry_imports():
