@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from papergraph.functions.text import norm_math
 from papergraph.operators.latex import structured_body
+from papergraph.operators.matching import contained
 
 #: ``sections``: null means unknown, which is not the same as none.
 DATA = "struct<excerpt_html:string,section_label:string,grounded:boolean,source:string,label_mathml:string,definition_status:string,sections:array<string>,macro_name:string,count:bigint>"
@@ -50,8 +51,7 @@ def symbol_nodes(macros: DataFrame, symbols: DataFrame, math: DataFrame, after:
 
 def symbol_sections(symbols: DataFrame, math: DataFrame) -> DataFrame:
     """doc_id, label, sections: where the normal form of a symbol stands in the mathematics."""
-    keyed = symbols.withColumn("key", norm_math(F.col("label"))).where("key != ''")
-    hits = keyed.join(math, "doc_id").where(F.col("blob").contains(F.col("key")))
+    hits = contained(symbols.select("doc_id", "label", norm_math(F.col("label")).alias("key")), math, "section_anchor")
     return hits.groupBy("doc_id", "label").agg(F.array_sort(F.collect_set("section_anchor")).alias("sections"))
 
 

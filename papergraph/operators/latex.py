@@ -8,9 +8,10 @@ from collections import Counter, defaultdict
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from papergraph.functions.text import clean_text, or_empty, strip, strip_comments
+from papergraph.operators import tex_scan
 
 # Theorem-like kinds, names of Greek letters, tokens that are no notation, commands
 # that refer, display environments, commands that mark structure in a macro's body.
@@ -33,13 +34,11 @@ def command(*names: str, starred: bool = True, options: str = "") -> str:
 
 
 LABEL = command("label", starred=False)
-#: Mathematics between these, as Java patterns; the first two need at least one character.
-REGIONS = (*((q, "(.+?)", q) for q in (r"\$\$", r"\$")), *((rf"\Q{a}\E", "(.*?)", rf"\Q{b}\E") for a, b in ((r"\[", r"\]"), (r"\(", r"\)"))))
-_display = "|".join(rf"{d}\*?" for d in DISPLAYS)
-REGION = "(?s)" + "|".join("".join(r) for r in (*REGIONS, (rf"\\begin\{{(?:{_display})\}}", "(.*?)", rf"\\end\{{(?:{_display})\}}")))
-#: A letter or a Greek name, then a subscript and a superscript of up to twelve characters.
-SYMBOL = "(?:[a-zA-Z]|" + "|".join(rf"\\{g}" for g in GREEK) + ")" + "".join(rf"(?:{mark}\{{?[\\a-zA-Z0-9]{{1,12}}\}}?)?" for mark in ("_", r"\^"))
-GROUPS = ArrayType(StructType([StructField(c, StringType()) for c in ("name", "body", "tail")]))
+def _array_of(**fields) -> ArrayType:
+    return ArrayType(StructType([StructField(c, t) for c, t in fields.items()]))
+
+
+GROUPS = _array_of(name=StringType(), body=StringType(), tail=StringType())
 
 
 def all_of(text: Column, pattern: str, group: int) -> Column:
@@ -51,7 +50,7 @@ def sources(files: DataFrame, text_col: str = "tex") -> DataFrame:
     return files.select("doc_id", strip_comments(F.col(text_col)).alias("tex"))
 
 
-LABELS = ArrayType(StructType([StructField(c, StringType()) for c in ("label", "kind")]))
+LABELS = _array_of(label=StringType(), kind=StringType())
 _EVENT = re.compile(r"\\(?:(?P<turn>begin|end)\{(?P<env>[a-zA-Z*]+)\}|label\{(?P<label>[^}]+)\})")
 
 
@@ -113,22 +112,20 @@ def bibliography(tex: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "key").agg(F.max_by("text", "ord").alias("text"), F.min("ord").alias("ord"))
 
 
-_BRACE = re.compile(r"(?<!\\)[{}]")
-#: What may stand between a macro's command and the brace that opens its body.
-_DEFINED = re.compile(r"\\(?:re)?newcommand\*?\s*(\{?)\\([a-zA-Z]+)(\}?)\s*(?:\[\d+\]\s*)?(?=\{)")
+#: Commands that define a macro.
+DEFINING = ("newcommand", "renewcommand")
 _HEADING = re.compile(r"\\((?:sub){0,2}section)\*?(?=\{)")
 
 
-def brace_pairs(text: str) -> dict[int, int]:
-    """The place of each opening brace that is closed, and where; escaped braces don't count."""
-    pairs: dict[int, int] = {}
-    waiting: list[int] = []
-    for m in _BRACE.finditer(text):
-        if m[0] == "{":
-            waiting.append(m.start())
-        elif waiting:
-            pairs[waiting.pop()] = m.start()
-    return pairs
+def scanner(kind: ArrayType, scan):
+    """A column function: each text to the tuples that ``scan`` finds in it."""
+    names = kind.elementType.names
+
+    @F.pandas_udf(kind)
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [dict(zip(names, x, strict=True)) for x in scan(t or "")])
+
+    return run
 
 
 def groups_after(opener: re.Pattern, name: int, most: int = 2000):
@@ -137,7 +134,7 @@ def groups_after(opener: re.Pattern, name: int, most: int = 2000):
 
     def groups(text: str | None) -> list[dict]:
         found = list(opener.finditer(text or ""))
-        pairs = brace_pairs(text) if found else {}
+        pairs = tex_scan.brace_pairs(text) if found else {}
         ends = ((m, pairs.get(m.end())) for m in found)
         return [{"name": m[name], "body": text[m.end() + 1 : end], "tail": text[m.end() + 1 : m.end() + 201]} for m, end in ends if end is not None and end - m.end() < most]
 
@@ -150,7 +147,8 @@ def groups_after(opener: re.Pattern, name: int, most: int = 2000):
 
 def macros(tex: DataFrame) -> DataFrame:
     """doc_id, ord, name, body: the last definition counts, operators over commands."""
-    commands = tex.select("doc_id", F.posexplode(groups_after(_DEFINED, 2)("tex")).alias("at", "m")).select("doc_id", F.lit(0).alias("pass"), "at", "m.name", strip(F.col("m.body")).alias("body"))
+    found = scanner(_array_of(name=StringType(), body=StringType()), lambda t: tex_scan.definitions(t, DEFINING))
+    commands = tex.select("doc_id", F.posexplode(found("tex")).alias("at", "m")).select("doc_id", F.lit(0).alias("pass"), "at", "m.name", strip(F.col("m.body")).alias("body"))
     operator = r"\\DeclareMathOperator\*?" + r"\{\\([a-zA-Z]+)\}" + ARGUMENT.replace("+", "*")
     pairs = F.arrays_zip(all_of(F.col("tex"), operator, 1).alias("name"), all_of(F.col("tex"), operator, 2).alias("body"))
     operators = tex.select("doc_id", F.posexplode(pairs).alias("at", "m")).select("doc_id", F.lit(1).alias("pass"), "at", "m.name", "m.body")
@@ -161,22 +159,12 @@ def macros(tex: DataFrame) -> DataFrame:
 
 
 def theorems(tex: DataFrame) -> DataFrame:
-    """doc_id, ord, kind, title, label, statement of theorem-like environments, declared ones too."""
-    declared = command("newtheorem") + f"(?:{OPTION})?" + ARGUMENT
-    shown = F.lower(strip(F.col("d.shown")))
-    kind = F.coalesce(*[F.when(shown.contains(k), F.lit(k)) for k in THEOREM_KINDS])
-    pairs = F.arrays_zip(all_of(F.col("tex"), declared, 1).alias("env"), all_of(F.col("tex"), declared, 2).alias("shown"))
-    own = tex.select("doc_id", "tex", F.posexplode(pairs).alias("at", "d")).select("doc_id", "tex", (F.col("at") + 100).alias("at"), strip(F.col("d.env")).alias("env"), kind.alias("kind")).where("kind is not null")
-    standard = F.array(*[F.struct(F.lit(k).alias("at"), F.lit(n).alias("env")) for k, n in enumerate(THEOREM_KINDS)])
-    usual = tex.select("doc_id", "tex", F.explode(standard).alias("s")).select("doc_id", "tex", "s.at", "s.env", F.col("s.env").alias("kind"))
-    envs = usual.unionByName(own).where(F.col("tex").contains(F.concat(F.lit(r"\begin{"), "env", F.lit("}"))))
-    envs = envs.groupBy("doc_id", "env").agg(F.max_by(F.struct("at", "kind", "tex"), "at").alias("e")).select("doc_id", "env", "e.*")
-    pattern = F.concat(F.lit(r"(?s)\\begin\{\Q"), "env", F.lit(r"\E\}(?:\[([^\]]*)\])?(.*?)\\end\{\Q"), "env", F.lit(r"\E\}"))
-    found = F.arrays_zip(F.regexp_extract_all("tex", pattern, F.lit(1)).alias("title"), F.regexp_extract_all("tex", pattern, F.lit(2)).alias("body"))
-    rows = envs.select("doc_id", "at", "kind", F.posexplode(found).alias("nth", "t"))
-    order = Window.partitionBy("doc_id").orderBy("at", "nth")
+    """doc_id, ord, kind, title, label, statement, depth of theorem-like environments, declared
+    ones too: one pass over a paper's own row, no shuffle."""
+    kind = _array_of(kind=StringType(), title=StringType(), body=StringType(), depth=IntegerType())
+    rows = tex.select("doc_id", F.posexplode(scanner(kind, lambda t: tex_scan.statements(t, THEOREM_KINDS))("tex")).alias("nth", "t"))
     statement = clean_text(F.regexp_replace("t.body", LABEL, ""))
-    return rows.select("doc_id", F.row_number().over(order).alias("ord"), "kind", strip(F.col("t.title")).alias("title"), strip(F.regexp_extract("t.body", LABEL, 1)).alias("label"), F.substring(statement, 1, 1200).alias("statement"))
+    return rows.select("doc_id", (F.col("nth") + 1).alias("ord"), "t.kind", strip(F.col("t.title")).alias("title"), strip(F.regexp_extract("t.body", LABEL, 1)).alias("label"), F.substring(statement, 1, 1200).alias("statement"), "t.depth")
 
 
 def tex_sections(tex: DataFrame) -> DataFrame:
@@ -186,16 +174,11 @@ def tex_sections(tex: DataFrame) -> DataFrame:
 
 
 def symbols(tex: DataFrame, least: int = 3, most: int = 40) -> DataFrame:
-    """doc_id, token, count, ord: the commonest notation of a paper's math regions; ties by first sight."""
-    regions = all_of(F.col("tex"), REGION, 1)
-    for group in range(2, 6):
-        regions = F.zip_with(regions, all_of(F.col("tex"), REGION, group), lambda a, b: F.concat(a, b))
-    tokens = F.flatten(F.transform(regions, lambda r: F.transform(F.regexp_extract_all(r, F.lit(SYMBOL), F.lit(0)), lambda t: F.regexp_replace(t, r"[{}]", ""))))
-    structured = lambda t: t.contains("_") | t.contains("^") | t.startswith("\\") | t.rlike("^[A-Z]$")
-    kept = F.filter(F.transform(tokens, lambda t, i: F.struct(t.alias("token"), i.alias("at"))), lambda x: structured(x["token"]) & ~x["token"].isin(*NO_NOTATION))
-    each = tex.select("doc_id", F.explode(kept).alias("x")).groupBy("doc_id", F.col("x.token").alias("token")).agg(F.count("*").alias("count"), F.min("x.at").alias("first"))
-    order = Window.partitionBy("doc_id").orderBy(F.col("count").desc(), "first")
-    return each.withColumn("ord", F.row_number().over(order)).where((F.col("ord") <= most) & (F.col("count") >= least)).drop("first")
+    """doc_id, token, count, ord: the commonest notation of a paper's mathematics; ties by first
+    sight. Counted in the paper's own row."""
+    kind = _array_of(token=StringType(), count=LongType())
+    found = scanner(kind, lambda t: tex_scan.commonest_notation(t, DISPLAYS, GREEK, NO_NOTATION, least, most))
+    return tex.select("doc_id", F.posexplode(found("tex")).alias("at", "x")).select("doc_id", "x.token", "x.count", (F.col("at") + 1).alias("ord"))
 
 
 def structured_body(body: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papergraph.functions.text import collapse, norm_math, norm_text, or_empty
+from papergraph.operators.matching import contained
 
 
 def retrieve_selections(requests: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -27,9 +28,9 @@ def retrieve_selections(requests: DataFrame, nodes: DataFrame) -> DataFrame:
 def symbol_excerpts(symbols: DataFrame, dom: DataFrame, most: int = 4) -> DataFrame:
     """doc_id, label, excerpts: the first paragraphs in which a symbol's normal form occurs."""
     shown = dom.where("not hidden and error is null")
-    math = shown.where("tag = 'math' and alttext != '' and para_pos is not null").select("doc_id", "pos", "para_pos", norm_math(F.col("alttext")).alias("blob"))
-    keyed = symbols.select("doc_id", "label", norm_math(F.col("label")).alias("key")).where("key != ''")
-    hits = keyed.join(math, "doc_id").where(F.col("blob").contains(F.col("key"))).groupBy("doc_id", "label", "para_pos").agg(F.min("pos").alias("pos"))
+    math = shown.where("tag = 'math' and alttext != '' and para_pos is not null").select("doc_id", F.struct("para_pos", "pos").alias("at"), norm_math(F.col("alttext")).alias("blob"))
+    keyed = symbols.select("doc_id", "label", norm_math(F.col("label")).alias("key"))
+    hits = contained(keyed, math, "at").groupBy("doc_id", "label", "at.para_pos").agg(F.min("at.pos").alias("pos"))
     paragraphs = shown.select("doc_id", F.col("pos").alias("para_pos"), "text").where("text != ''")
     found = hits.join(paragraphs, ["doc_id", "para_pos"]).withColumn("start", F.substring("text", 1, 80))
     once = Window.partitionBy("doc_id", "label", "start").orderBy("pos")

@@ -9,11 +9,11 @@ from papergraph.functions.text import escape_html
 
 
 #: Around the sections of the derived sources; @ stands for a letter that goes by the document.
-TEX_HEAD = "\\documentclass{report}\n\\newcommand{\\set@}{\\mathcal{@}}\n\\renewcommand*{\\pair}[2]{\\hat{#1}, {#2}}\n\\DeclareMathOperator*{\\best}{best}\n\\newtheorem{lem}{Lemma}\n\\begin{document}\n"
+TEX_HEAD = "\\documentclass{report}\n\\newcommand{\\set@}{\\mathcal{@}}\n\\renewcommand*{\\pair}[2]{\\hat{#1}, {#2}}\n\\DeclareMathOperator*{\\best}{best}\n\\newtheorem{lem}{Lemma}\n\\newtheorem*{obs}[lem]{Key Remark}\n\\begin{document}\n"
 TEX_TAIL = "\\begin{thebibliography}{9}\n" + "".join(f"\\bibitem{{k{k}}} Entry {k}. \\emph{{Journal}} {k}.\n" for k in range(7)) + "\\end{thebibliography}\n\\end{document}\n"
 #: The part of one line in those sources, as SQL.
-TEX_PART = r"""'\section{Part ' || i || '}' || chr(10) || '\label{sec:' || i || '}' || chr(10) || regexp_replace(line, '[^A-Za-z ]', '', 'g') || ' % a note with \cite{ignored}' || chr(10) || '\begin{equation}\label{eq:' || i || '} x_{' || i || '} = \alpha \end{equation} \cite{k' || (i % 7) || ', k7}, \ref{eq:' || i || '}' || chr(10)
- || CASE WHEN i % 5 = 0 THEN '\begin{lem}[T' || i || ']\label{lem:' || i || '} Claim ' || i || ' holds.\end{lem}' || chr(10) ELSE '' END"""
+TEX_PART = r"""'\section{Part ' || i || '}' || chr(10) || '\label{sec:' || i || '}' || chr(10) || regexp_replace(line, '[^A-Za-z ]', '', 'g') || ' % a note with \cite{ignored}' || chr(10) || '\begin{equation}\label{eq:' || i || '} x_{' || i || '} = \alpha \end{equation} \cite{k' || (i % 7) || ', k7}, \ref{eq:' || i || '} $\beta_{b} + Q^' || (i % 3) || '$' || chr(10)
+ || CASE WHEN i % 5 = 2 THEN '\begin{obs}[O' || i || ']\label{obs:' || i || '} Outer ' || i || ' \begin{claim} Inner ' || i || '. \end{claim} rest.\end{obs}' || chr(10) WHEN i % 5 = 0 THEN '\begin{lem}[T' || i || ']\label{lem:' || i || '} Claim ' || i || ' holds.\end{lem}' || chr(10) ELSE '' END"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,11 +106,14 @@ def object_html(spark, sf_dir) -> DataFrame:
 def tex(spark, sf_dir) -> DataFrame:
     """doc_id, tex: a section a line, with labels, an equation, citations and comments."""
     i = F.col("i").cast("string")
-    lemma = F.when(F.col("i") % 5 == 0, F.concat(F.lit("\\begin{lem}[T"), i, F.lit("]\\label{lem:"), i, F.lit("} Claim "), i, F.lit(" holds.\\end{lem}\n"))).otherwise("")
+    lemma = (
+        F.when(F.col("i") % 5 == 0, F.concat(F.lit("\\begin{lem}[T"), i, F.lit("]\\label{lem:"), i, F.lit("} Claim "), i, F.lit(" holds.\\end{lem}\n")))
+        .when(F.col("i") % 5 == 2, F.concat(F.lit("\\begin{obs}[O"), i, F.lit("]\\label{obs:"), i, F.lit("} Outer "), i, F.lit(" \\begin{claim} Inner "), i, F.lit(". \\end{claim} rest.\\end{obs}\n"))).otherwise("")
+    )
     part = F.concat(
         F.lit("\\section{Part "), i, F.lit("}\n\\label{sec:"), i, F.lit("}\n"), F.regexp_replace("line", "[^A-Za-z ]", ""),
         F.lit(" % a note with \\cite{ignored}\n\\begin{equation}\\label{eq:"), i, F.lit("} x_{"), i, F.lit("} = \\alpha \\end{equation} \\cite{k"),
-        (F.col("i") % 7).cast("string"), F.lit(", k7}, \\ref{eq:"), i, F.lit("}\n"), lemma,
+        (F.col("i") % 7).cast("string"), F.lit(", k7}, \\ref{eq:"), i, F.lit("} $\\beta_{b} + Q^"), (F.col("i") % 3).cast("string"), F.lit("$\n"), lemma,
     )
     parts = _by_document(lines(spark, sf_dir).select("doc_id", "i", part.alias("part")))
     joined = parts.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("i", "part")))["part"], "").alias("body"))

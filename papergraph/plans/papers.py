@@ -164,7 +164,7 @@ def tex_macros(spark, sf_dir):
 
 
 def tex_theorems(spark, sf_dir):
-    return latex.theorems(scans(spark, sf_dir)).select("doc_id", F.col("ord").cast("long").alias("ord"), "kind", "title", "label", "statement")
+    return latex.theorems(scans(spark, sf_dir)).select("doc_id", F.col("ord").cast("long").alias("ord"), "kind", "title", "label", "statement", "depth")
 
 
 def tex_section_titles(spark, sf_dir):
@@ -273,6 +273,8 @@ QUERIES = {f.__name__: f for f in (
 
 N = f"WITH {LINES}, n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id)"
 PARA = r"trim(regexp_replace(line || CASE WHEN i > 0 THEN ' see' ELSE '' END, '\s+', ' ', 'g'))"
+#: y: the symbols of the derived sources; equal counts go by first sight.
+SYMBOLS = r", y AS (SELECT doc_id, token, k AS n, ord FROM (SELECT doc_id, unnest(['\alpha', '\beta_b', 'Q^0', 'Q^1', 'Q^2']) AS token, unnest([n, n, (n + 2) // 3, (n + 1) // 3, n // 3]) AS k, unnest(range(1, 6)) AS ord FROM n) WHERE k >= 3)"
 LETTER = "substr('CDEFGHKLMNPQ', (doc_id % 12 + 1)::INT, 1)"
 FLAT = r"trim(regexp_replace(line, '\s+', ' ', 'g'))"
 _above, _cited = "(CASE WHEN i > 0 AND i % 6 <> 1 THEN ' above' ELSE '' END)", "(CASE WHEN i % 4 <> 0 THEN ' cited' ELSE '' END)"
@@ -327,19 +329,21 @@ SELECT page_id AS doc_id, len(regexp_extract_all(body, '<a[ >]')) AS n_links, le
     "math_blobs": f"WITH {LINES} SELECT doc_id, 'S' || i AS section_anchor, 'x_' || i AS blob FROM l",
     "enclosing_sections": "SELECT doc_id, 0::BIGINT AS n_different FROM documents WHERE text IS NOT NULL",
     "image_assets": f"WITH {LINES} SELECT doc_id, 'x' || i || '.png' AS path, '/assets/x' || i || '.png' AS served_url FROM l WHERE i % 4 = 0",
-    "tex_labels": f"WITH {LINES} SELECT doc_id, 'sec:' || i AS label, 'document' AS kind FROM l UNION ALL SELECT doc_id, 'eq:' || i, 'equation' FROM l UNION ALL SELECT doc_id, 'lem:' || i, 'lem' FROM l WHERE i % 5 = 0",
+    "tex_labels": f"WITH {LINES} SELECT doc_id, 'sec:' || i AS label, 'document' AS kind FROM l UNION ALL SELECT doc_id, 'eq:' || i, 'equation' FROM l UNION ALL SELECT doc_id, 'lem:' || i, 'lem' FROM l WHERE i % 5 = 0 UNION ALL SELECT doc_id, 'obs:' || i, 'obs' FROM l WHERE i % 5 = 2",
     "tex_refs": f"WITH {LINES} SELECT doc_id, i AS ord, 'eq:' || i AS ref FROM l",
     "tex_cite_keys": f"WITH {LINES} SELECT doc_id, key, count(*) AS n FROM (SELECT doc_id, unnest(['k' || (i % 7), 'k7']) AS key FROM l) GROUP BY ALL",
     "tex_bibliography": "SELECT doc_id, 'k' || k AS key, 'Entry ' || k || '. Journal ' || k || '.' AS text FROM documents, range(7) t(k) WHERE text IS NOT NULL",
     "tex_macros": r"SELECT doc_id, unnest([1, 2, 3])::BIGINT AS ord, unnest(['set' || x, 'pair', 'best']) AS name, unnest(['\mathcal{' || x || '}', '\hat{#1}, {#2}', 'best']) AS body FROM (SELECT doc_id, "
     + LETTER + " AS x FROM documents WHERE text IS NOT NULL)",
-    "tex_theorems": f"WITH {LINES} SELECT doc_id, i // 5 + 1 AS ord, 'lemma' AS kind, 'T' || i AS title, 'lem:' || i AS label, 'Claim ' || i || ' holds.' AS statement FROM l WHERE i % 5 = 0",
+    "tex_theorems": f"""WITH {LINES}, t AS (SELECT doc_id, i, 1 AS rank, 'claim' AS kind, '' AS title, '' AS label, 'Inner ' || i || '.' AS statement, 1 AS depth FROM l WHERE i % 5 = 2
+ UNION ALL SELECT doc_id, i, 2, 'lemma', 'T' || i, 'lem:' || i, 'Claim ' || i || ' holds.', 0 FROM l WHERE i % 5 = 0 UNION ALL SELECT doc_id, i, 3, 'remark', 'O' || i, 'obs:' || i, 'Outer ' || i || ' claim Inner ' || i || '. claim rest.', 0 FROM l WHERE i % 5 = 2)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rank, i) AS ord, kind, title, label, statement, depth FROM t""",
     "tex_section_titles": f"WITH {LINES} SELECT doc_id, i AS ord, 'section' AS level, 'Part ' || i AS title, 'sec:' || i AS label FROM l",
-    "tex_symbols": N + r" SELECT doc_id, '\alpha' AS token, n, 1::BIGINT AS ord FROM n WHERE n >= 3",
-    "graph_nodes": N + r""" SELECT doc_id, i + 1 AS node_ord, 'section' AS kind, '§' || i AS label, 'S' || i AS html_anchor, '' AS status, '' AS sections FROM l UNION ALL SELECT doc_id, n + 1, 'symbol', '\mathcal{' || """ + LETTER + r""" || '}', '', 'unresolved', '' FROM n UNION ALL SELECT doc_id, n + 2, 'symbol', '\alpha', '', 'unresolved', '' FROM n WHERE n >= 3""",
+    "tex_symbols": N + SYMBOLS + " SELECT * FROM y",
+    "graph_nodes": N + SYMBOLS + r""" SELECT doc_id, i + 1 AS node_ord, 'section' AS kind, '§' || i AS label, 'S' || i AS html_anchor, '' AS status, '' AS sections FROM l UNION ALL SELECT doc_id, n + 1, 'symbol', '\mathcal{' || """ + LETTER + r""" || '}', '', 'unresolved', '' FROM n UNION ALL SELECT doc_id, n.n + 1 + ord, 'symbol', token, '', 'unresolved', '' FROM y JOIN n USING (doc_id)""",
     "graph_edges": f"WITH {LINES} SELECT doc_id, 'S' || i AS source_anchor, 'S' || (i - 1) AS target_anchor, 'references' AS kind, i + 1 AS source_node_ord, i AS target_node_ord FROM l WHERE i > 0",
-    "graph_counts": N + """, t AS (SELECT doc_id, unnest([{'w': 'node:section', 'n': n}, {'w': 'edges', 'n': n - 1}, {'w': 'node:symbol', 'n': CASE WHEN n >= 3 THEN 2 ELSE 1 END}]) AS x FROM n), d AS (SELECT doc_id, x.w AS what, x.n AS n FROM t WHERE x.n > 0) SELECT * FROM d UNION ALL SELECT NULL, what, sum(n)::BIGINT FROM d GROUP BY what""",
-    "exported_graphs": N + " SELECT doc_id, source, coalesce(n + CASE WHEN n >= 3 THEN 2 ELSE 1 END, 0)::INT AS n_nodes, coalesce(n - 1, 0)::INT AS n_edges FROM documents LEFT JOIN n USING (doc_id)",
+    "graph_counts": N + SYMBOLS + """, t AS (SELECT doc_id, unnest([{'w': 'node:section', 'n': n}, {'w': 'edges', 'n': n - 1}, {'w': 'node:symbol', 'n': 1 + coalesce(ny, 0)}]) AS x FROM n LEFT JOIN (SELECT doc_id, count(*) AS ny FROM y GROUP BY doc_id) USING (doc_id)), d AS (SELECT doc_id, x.w AS what, x.n AS n FROM t WHERE x.n > 0) SELECT * FROM d UNION ALL SELECT NULL, what, sum(n)::BIGINT FROM d GROUP BY what""",
+    "exported_graphs": N + SYMBOLS + " SELECT doc_id, source, coalesce(n + 1 + coalesce(ny, 0), 0)::INT AS n_nodes, coalesce(n - 1, 0)::INT AS n_edges FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS ny FROM y GROUP BY doc_id) USING (doc_id)",
     "edges_at_volume": """WITH k AS (SELECT l_orderkey AS d, l_partkey AS k FROM lineitem UNION SELECT l_orderkey, l_suppkey FROM lineitem), g AS (SELECT * FROM k WHERE k % 10 <> 0)
 SELECT l_orderkey AS doc_id, count(*) AS n, sum(CASE WHEN l_linenumber = 1 OR g.k IS NULL THEN l_partkey ELSE g.k END)::BIGINT AS sources, sum(l_partkey)::BIGINT AS targets FROM lineitem LEFT JOIN g ON g.d = l_orderkey AND g.k = l_suppkey WHERE l_partkey % 10 <> 0 GROUP BY 1""",
     "node_counts_at_volume": """WITH k AS (SELECT l_orderkey AS d, l_partkey AS k FROM lineitem UNION SELECT l_orderkey, l_suppkey FROM lineitem)

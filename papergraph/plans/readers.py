@@ -17,10 +17,12 @@ from papergraph.streaming import jobs
 
 
 def _papers(spark, sf_dir):
-    """Elements and section nodes of the derived papers, with one symbol each; parsed once."""
+    """Elements and section nodes of the derived papers, with three symbols each; parsed once."""
     dom = elements(spark, sf_dir)
     nodes = graph.target_nodes(html_graph.targets(dom))
-    symbols = dom.where("tag = 'math'").groupBy("doc_id").agg(F.count("*").alias("count")).select("doc_id", F.lit("x_0").alias("token"), "count", F.lit(1).alias("ord"))
+    n = dom.where("tag = 'math'").groupBy("doc_id").agg(F.count("*").alias("n"))
+    one = lambda k, token, count: F.struct(F.lit(token).alias("token"), count.alias("count"), F.lit(k).alias("ord"))
+    symbols = n.select("doc_id", F.explode(F.array(one(1, "x_0", F.col("n")), one(2, "x_1", F.col("n")), one(3, "x", F.col("n") * 2))).alias("s")).select("doc_id", "s.*")
     none = spark.createDataFrame([], "doc_id long, ord int, name string, body string")
     return dom, nodes, nodes.unionByName(graph.symbol_nodes(none, symbols, html_graph.math_by_section(dom), nodes))
 
@@ -43,6 +45,15 @@ def retrieved_selections(spark, sf_dir):
     return retrieval.retrieve_selections(_requests(spark, sf_dir), nodes).select("request_id", "label", "anchor", "section_label")
 
 
+def retrieved_symbols(spark, sf_dir):
+    """Selections that are a symbol, answered by its definition; one that is defined by nothing is not."""
+    dom, _, nodes = _papers(spark, sf_dir)
+    defined = generation.define_symbols(nodes, dom, _titles(spark, sf_dir), generation.EchoProvider)
+    asked = F.explode(F.array(*[F.lit(x) for x in ("  X_0. ", "(x_1)", "x_2", "§0")])).alias("selection")
+    requests = derived.table(spark, sf_dir, "documents").select("doc_id", asked).select(F.concat_ws("|", "doc_id", "selection").alias("request_id"), "doc_id", "selection")
+    return retrieval.retrieve_selections(requests, defined).select("request_id", "label", F.md5("content").alias("content_md5"), "anchor")
+
+
 def resolved_requests(spark, sf_dir):
     """The cascade with a stand-in provider: what the graph knows is never sent."""
     _, nodes, _ = _papers(spark, sf_dir)
@@ -108,7 +119,7 @@ def defined_symbols(spark, sf_dir):
     """Symbols with the stand-in provider's definitions."""
     dom, _, nodes = _papers(spark, sf_dir)
     out = generation.define_symbols(nodes, dom, _titles(spark, sf_dir), generation.EchoProvider)
-    return out.where("kind = 'symbol'").select("doc_id", F.col("data.definition_status").alias("status"), "excerpt")
+    return out.where("kind = 'symbol'").select("doc_id", "label", F.col("data.definition_status").alias("status"), "excerpt")
 
 
 def _replies(spark, sf_dir):
@@ -254,7 +265,7 @@ def finished_sections(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    retrieved_selections, resolved_requests, resolve_prompts, section_texts, selection_contexts, equation_contexts, symbol_paragraphs, notation, defined_symbols, object_equation_contexts, checkpoint_prompts, checkpoint_points, checkpoint_feedback,
+    retrieved_selections, retrieved_symbols, resolved_requests, resolve_prompts, section_texts, selection_contexts, equation_contexts, symbol_paragraphs, notation, defined_symbols, object_equation_contexts, checkpoint_prompts, checkpoint_points, checkpoint_feedback,
     decoded_streams, replies_postprocessed, thread_list, thread_histories, thread_prompt_texts, newest_thread_places, reopened_threads, streamed_thread_summaries, streamed_thread_history, streamed_ingest, streamed_sections, finished_sections,
 )}
 
@@ -275,6 +286,7 @@ CHAT = """c AS (SELECT conv_id, arg_min(text, turn) AS f FROM conversations GROU
 STRIP = r"regexp_replace(regexp_replace({0}, '^\s+', ''), '\s+$', '')"
 SQL = {
     "retrieved_selections": f"{Q} SELECT request_id, '§' || i AS label, 'S' || i AS anchor, '§' || i AS section_label FROM r WHERE i % 2 = 0",
+    "retrieved_symbols": f"WITH {LINES}, k AS (SELECT doc_id, unnest(['x_0', 'x_1']) AS s, unnest(['  X_0. ', '(x_1)']) AS q FROM documents), h AS (SELECT k.doc_id, s, q FROM k JOIN l USING (doc_id) GROUP BY ALL HAVING max((starts_with('x_' || i, s) AND {PARA} <> '')::INT) = 1) SELECT doc_id || '|' || q AS request_id, s AS label, md5('Task: say what this symbol stands for: ' || s) AS content_md5, '' AS anchor FROM h UNION ALL SELECT doc_id || '|§0', '§0', md5(i || ' Part ' || i || ' — ' || left({PARA}, 300)), 'S0' FROM l WHERE i = 0",
     "resolved_requests": f"{Q} SELECT CASE WHEN i % 2 = 0 THEN 'retrieved' ELSE 'generated' END AS mode, count(*) AS n FROM r GROUP BY 1",
     "resolve_prompts": Q + " SELECT request_id, " + _prompt(*HEAD, f"Paragraph:{OPEN}A paragraph.{END}It belongs to section: not knownNLObjects near it:NL- §1NLNLWhat the reader marked:{OPEN}", "{CASE WHEN i % 2 = 0 THEN '(§' || i || ').' ELSE 'phrase ' || i END}", f"{END}Task: say what the marked span means here.") + " AS prompt_md5, 400 AS max_tokens FROM r",
     "checkpoint_prompts": Q + " SELECT request_id, " + _prompt(*HEAD, f"Section:{OPEN}", "{" + SECTION_TEXT + "}", f"{END}It is headed: §", "{i}", f"NLNLWhat the reader recalls:{OPEN}", "{CASE WHEN i % 2 = 0 THEN '(nothing; show the points)' ELSE 'phrase ' || i END}", f"{END}Task: compare the two.") + " AS prompt_md5, 600 AS max_tokens FROM r",
@@ -282,11 +294,11 @@ SQL = {
     + " SELECT request_id, 'y_{' || i || '} = z' AS latex, md5(context) AS context_md5, 'y,=' AS symbols, " + _prompt(*HEAD, f"LaTeX of an equation:{OPEN}y_{{", "{i}", f"}} = z{END}Text around it:{OPEN}", "{trim(context)}", f"{END}Its symbols:NL- yNL- =NLNLTask: say what the equation states.") + " AS prompt_md5 FROM c",
     "symbol_paragraphs": f"WITH {LINES}, h AS (SELECT doc_id, i, {PARA} AS t FROM l WHERE starts_with('x_' || i, 'x_1')), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, left(t, 80) ORDER BY i) AS n FROM h), k AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM o WHERE n = 1 AND t <> ''),"
     + " g AS (SELECT doc_id, count(*)::INT AS n, string_agg(left(t, 400), chr(10) ORDER BY n) AS x FROM k WHERE n <= 4 GROUP BY doc_id) SELECT doc_id, n, " + _prompt(*HEAD, f"Places where the symbol stands:{OPEN}", "{x}", f"{END}Task: say what this symbol stands for: x_1") + " AS prompt_md5 FROM g",
-    "defined_symbols": f"WITH {LINES}, h AS (SELECT doc_id, max(({PARA} <> '')::INT) AS found FROM l WHERE starts_with('x_' || i, 'x_0') GROUP BY doc_id) SELECT doc_id, CASE WHEN found = 1 THEN 'grounded' ELSE 'undefined' END AS status, CASE WHEN found = 1 THEN 'Task: say what this symbol stands for: x_0' ELSE '' END AS excerpt FROM h",
+    "defined_symbols": f"WITH {LINES}, k AS (SELECT doc_id, unnest(['x_0', 'x_1', 'x']) AS s FROM documents WHERE text IS NOT NULL), h AS (SELECT k.doc_id, s, max((starts_with('x_' || i, s) AND {PARA} <> '')::INT) AS found FROM k JOIN l USING (doc_id) GROUP BY k.doc_id, s) SELECT doc_id, s AS label, CASE WHEN found = 1 THEN 'grounded' ELSE 'undefined' END AS status, CASE WHEN found = 1 THEN 'Task: say what this symbol stands for: ' || s ELSE '' END AS excerpt FROM h",
     "section_texts": f"{Q} SELECT request_id, md5({SECTION_TEXT}) AS text_md5 FROM r",
     "selection_contexts": f"{Q}, e AS (SELECT doc_id, i, '§' || i || ': ' || left(i || ' Part ' || i || ' — ' || left({PARA}, 300), 120) AS e FROM l) SELECT request_id, '§' || r.i AS section, md5(CASE WHEN b.e IS NULL THEN '' ELSE b.e || '|' END || a.e) AS dependencies_md5 FROM r JOIN e a USING (doc_id, i) LEFT JOIN e b ON b.doc_id = r.doc_id AND b.i = r.i - 1",
     "equation_contexts": f"{Q} SELECT request_id, 'x_{{' || i || '}}' AS latex FROM r",
-    "notation": N + " SELECT doc_id, 'x_0' AS label, 1::BIGINT AS place, n FROM n",
+    "notation": N + " SELECT doc_id, unnest(['x', 'x_0']) AS label, unnest([1, 2])::BIGINT AS place, unnest([2 * n, n]) AS n FROM n",
     "checkpoint_points": f"WITH {LINES} SELECT doc_id AS reply_id, i AS ord, ['hit', 'partial', 'miss'][i % 3 + 1] AS status, {CLEAN} AS point FROM l WHERE i % 4 <> 3 AND {CLEAN} <> ''",
     "checkpoint_feedback": f"WITH {LINES}, t AS (SELECT doc_id, arg_max(CASE WHEN i % 4 = 3 AND {CLEAN} <> '' THEN {CLEAN} END, i) AS f, count(*) FILTER (i % 4 <> 3 AND {CLEAN} <> '') AS n, string_agg('noise', chr(10)) AS raw FROM l GROUP BY doc_id) SELECT doc_id AS reply_id, CASE WHEN f IS NULL AND n = 0 THEN left(raw, 400) ELSE coalesce(f, '') END AS feedback FROM t",
     "decoded_streams": f"WITH {LINES} SELECT doc_id AS reply_id, md5(string_agg(line, '' ORDER BY i)) AS reply_md5 FROM l GROUP BY doc_id",
