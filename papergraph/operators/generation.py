@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+import time
+import uuid
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papergraph.functions.text import collapse, filled, or_empty, strip
 from papergraph.operators.retrieval import retrieve_selections, symbol_excerpts
+from papergraph.sources.shared import shared_dir
+from papergraph.sources.store import commit, snapshot
 
 # The reply that means "can't tell", the marks of a point, and the output limits by kind.
 ABSTAIN = "NEEDS_MORE_CONTEXT"
@@ -76,30 +82,69 @@ class EchoProvider(Provider):
         return " ".join(prompt.strip().splitlines()[-1].split()[:max_tokens])
 
 
-def generate(prompts: DataFrame, provider: type[Provider], tasks: int | None = None) -> DataFrame:
-    """``prompts`` with reply and error. Equal prompts are sent once; ``tasks`` bounds the calls at a time."""
-    asked = prompts.select("system", "prompt", "max_tokens").distinct()
+#: Fixed value: what an error of a rate limit says.
+RATE_LIMITED = "429|resource_exhausted|retryinfo|quota|rate limit"
+
+
+def prompt_key(system: Column, prompt: Column, max_tokens: Column) -> Column:
+    """Content address of a request: the lengths keep apart what is system and what is prompt."""
+    return F.sha2(F.concat_ws("|", F.length(system), max_tokens, system, prompt), 256)
+
+
+def stored_replies(spark: SparkSession, store: str) -> DataFrame | None:
+    """key, reply: the replies that a store holds, one a key; failures are not among them."""
+    rows = snapshot(spark, store).table("replies")
+    return None if rows is None else rows.where("error is null").groupBy("key").agg(F.min_by("reply", "version").alias("reply"))
+
+
+def generate(prompts: DataFrame, provider: type[Provider], tasks: int | None = None, store: str | None = None, attempts: int = 3, wait: float = 1.0) -> DataFrame:
+    """``prompts`` with reply and error.
+
+    Replies lie in ``store``, a folder, by the content address of system, prompt and limit.
+    Only what it lacks is sent, once a distinct request, and written there before anything is
+    returned: however often the result is read, and by whatever later call, no stored request
+    is sent again. Without ``store`` the replies are kept for this result alone. Failures are
+    reported, but asked again by the next call.
+
+    ``tasks`` bounds the calls at a time. A call that meets a rate limit is made again,
+    ``attempts`` times in all, after ``wait`` seconds and then twice as long each time. A lost
+    task repeats its own calls alone: the finished ones have written theirs.
+    """
+    spark = prompts.sparkSession
+    store = store or f"{shared_dir(spark)}/replies/{uuid.uuid4().hex}"
+    keyed = prompts.withColumn("key", prompt_key(F.col("system"), F.col("prompt"), F.col("max_tokens")))
+    asked = keyed.groupBy("key").agg(*[F.first(c).alias(c) for c in ("system", "prompt", "max_tokens")])
+    known = stored_replies(spark, store)
+    asked = asked if known is None else asked.join(known.select("key"), "key", "left_anti")
     asked = asked.repartition(tasks) if tasks else asked
 
+    def said(model: Provider, row) -> tuple[str | None, str | None]:
+        for nth in range(attempts):
+            try:
+                return model.generate(row.system, row.prompt, int(row.max_tokens)), None
+            except Exception as e:  # one bad call must not end the batch
+                error = str(e) or type(e).__name__
+            if nth + 1 == attempts or not re.search(RATE_LIMITED, error.lower()):
+                break
+            time.sleep(wait * 2**nth)
+        return None, error
+
     def run(frames):
         model = provider()
         for f in frames:
-            replies, errors = [], []
-            for row in f.itertuples(index=False):
-                try:
-                    replies.append(model.generate(row.system, row.prompt, int(row.max_tokens)))
-                    errors.append(None)
-                except Exception as e:  # one bad call must not end the batch
-                    replies.append(None)
-                    errors.append(str(e))
-            yield f.assign(reply=pd.Series(replies, dtype=object, index=f.index), error=pd.Series(errors, dtype=object, index=f.index))
+            out = [said(model, row) for row in f.itertuples(index=False)]
+            yield pd.DataFrame({"key": f["key"], "reply": pd.Series([x for x, _ in out], dtype=object, index=f.index), "error": pd.Series([e for _, e in out], dtype=object, index=f.index)})
 
-    answers = asked.mapInPandas(run, "system string, prompt string, max_tokens int, reply string, error string")
-    return prompts.join(answers, ["system", "prompt", "max_tokens"])
+    version = commit(spark, store, {"replies": asked.mapInPandas(run, "key string, reply string, error string")})
+    answers = snapshot(spark, store).table("replies")
+    # a failure counts only if it is this call's
+    mine = answers.where(F.col("error").isNull() | (F.col("version") == version))
+    best = mine.groupBy("key").agg(F.min_by(F.struct("reply", "error"), F.struct(F.col("error").isNotNull(), "version")).alias("answer"))
+    return keyed.join(best, "key").select(*prompts.columns, "answer.reply", "answer.error")
 
 
 def friendly_error(error: Column) -> Column:
-    return F.when(F.lower(error).rlike("429|resource_exhausted|retryinfo|quota|rate limit"), RATE_MESSAGE).otherwise(ERROR_MESSAGE)
+    return F.when(F.lower(error).rlike(RATE_LIMITED), RATE_MESSAGE).otherwise(ERROR_MESSAGE)
 
 
 def without_thoughts(reply: Column) -> Column:
@@ -119,9 +164,9 @@ def postprocess_reply(rows: DataFrame) -> DataFrame:
     return rows.withColumn("mode", mode).withColumn("content", content)
 
 
-def resolve(requests: DataFrame, nodes: DataFrame, docs: DataFrame, provider: type[Provider], tasks: int | None = None) -> DataFrame:
+def resolve(requests: DataFrame, nodes: DataFrame, docs: DataFrame, provider: type[Provider], tasks: int | None = None, store: str | None = None) -> DataFrame:
     """request_id, mode, content, label, anchor, section_label: from the graph where it can be,
-    else from the provider; what is retrieved never reaches it."""
+    else from the provider (or ``store``, see ``generate``); what is retrieved never reaches it."""
     found = retrieve_selections(requests, nodes)
     rest = requests.join(found.select("request_id"), "request_id", "left_anti")
     blank = [F.lit("").alias(c) for c in ("label", "anchor", "section_label")]
@@ -129,11 +174,11 @@ def resolve(requests: DataFrame, nodes: DataFrame, docs: DataFrame, provider: ty
         made = rest.select("request_id", F.lit("unconfigured").alias("mode"), F.lit("").alias("content"), *blank)
     else:
         prompts = build_prompts(rest.join(docs.select("doc_id", "title"), "doc_id"), "resolve")
-        made = postprocess_reply(generate(prompts, provider, tasks)).select("request_id", "mode", "content", *blank)
+        made = postprocess_reply(generate(prompts, provider, tasks, store)).select("request_id", "mode", "content", *blank)
     return found.select("request_id", F.lit("retrieved").alias("mode"), "content", "label", "anchor", "section_label").unionByName(made)
 
 
-def define_symbols(nodes: DataFrame, dom: DataFrame, docs: DataFrame, provider: type[Provider], tasks: int | None = None) -> DataFrame:
+def define_symbols(nodes: DataFrame, dom: DataFrame, docs: DataFrame, provider: type[Provider], tasks: int | None = None, store: str | None = None) -> DataFrame:
     """``nodes`` with definitions of still open symbols; settled ones are not asked again.
 
     A reply that abstains, by sentinel or in words, leaves the symbol undefined.
@@ -142,7 +187,7 @@ def define_symbols(nodes: DataFrame, dom: DataFrame, docs: DataFrame, provider:
         return nodes
     open_ = nodes.where("kind = 'symbol'").where(~F.coalesce("data.definition_status", F.lit("")).isin("grounded", "inferred", "undefined"))
     asked = open_.select("doc_id", "node_ord", "label").join(symbol_excerpts(open_.select("doc_id", "label").distinct(), dom), ["doc_id", "label"], "left")
-    replies = generate(build_prompts(asked.where("excerpts is not null").join(docs.select("doc_id", "title"), "doc_id"), "symbol"), provider, tasks)
+    replies = generate(build_prompts(asked.where("excerpts is not null").join(docs.select("doc_id", "title"), "doc_id"), "symbol"), provider, tasks, store)
     text = without_thoughts(F.col("reply"))
     none = (text == "") | is_abstention(text) | F.lower(text).contains("not explicitly defined")
     known = replies.where("error is null").select("doc_id", "node_ord", F.when(none, "undefined").otherwise("grounded").alias("new"), F.when(none, "").otherwise(text).alias("meaning"))
