@@ -8,8 +8,9 @@ from collections import Counter, defaultdict
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType
 
+from papergraph.functions.scan import array_of, scanner
 from papergraph.functions.text import clean_text, or_empty, strip, strip_comments
 from papergraph.operators import tex_scan
 
@@ -34,11 +35,7 @@ def command(*names: str, starred: bool = True, options: str = "") -> str:
 
 
 LABEL = command("label", starred=False)
-def _array_of(**fields) -> ArrayType:
-    return ArrayType(StructType([StructField(c, t) for c, t in fields.items()]))
-
-
-GROUPS = _array_of(name=StringType(), body=StringType(), tail=StringType())
+GROUPS = array_of(name=StringType(), body=StringType(), tail=StringType())
 
 
 def all_of(text: Column, pattern: str, group: int) -> Column:
@@ -50,7 +47,7 @@ def sources(files: DataFrame, text_col: str = "tex") -> DataFrame:
     return files.select("doc_id", strip_comments(F.col(text_col)).alias("tex"))
 
 
-LABELS = _array_of(label=StringType(), kind=StringType())
+LABELS = array_of(label=StringType(), kind=StringType())
 _EVENT = re.compile(r"\\(?:(?P<turn>begin|end)\{(?P<env>[a-zA-Z*]+)\}|label\{(?P<label>[^}]+)\})")
 
 
@@ -117,17 +114,6 @@ DEFINING = ("newcommand", "renewcommand")
 _HEADING = re.compile(r"\\((?:sub){0,2}section)\*?(?=\{)")
 
 
-def scanner(kind: ArrayType, scan):
-    """A column function: each text to the tuples that ``scan`` finds in it."""
-    names = kind.elementType.names
-
-    @F.pandas_udf(kind)
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [dict(zip(names, x, strict=True)) for x in scan(t or "")])
-
-    return run
-
-
 def groups_after(opener: re.Pattern, name: int, most: int = 2000):
     """A column function: text to array of (name, body, tail) for what ``opener`` finds; the
     body is the brace group that follows, of fewer than ``most`` characters."""
@@ -147,7 +133,7 @@ def groups_after(opener: re.Pattern, name: int, most: int = 2000):
 
 def macros(tex: DataFrame) -> DataFrame:
     """doc_id, ord, name, body: the last definition counts, operators over commands."""
-    found = scanner(_array_of(name=StringType(), body=StringType()), lambda t: tex_scan.definitions(t, DEFINING))
+    found = scanner(array_of(name=StringType(), body=StringType()), lambda t: tex_scan.definitions(t, DEFINING))
     commands = tex.select("doc_id", F.posexplode(found("tex")).alias("at", "m")).select("doc_id", F.lit(0).alias("pass"), "at", "m.name", strip(F.col("m.body")).alias("body"))
     operator = r"\\DeclareMathOperator\*?" + r"\{\\([a-zA-Z]+)\}" + ARGUMENT.replace("+", "*")
     pairs = F.arrays_zip(all_of(F.col("tex"), operator, 1).alias("name"), all_of(F.col("tex"), operator, 2).alias("body"))
@@ -161,7 +147,7 @@ def macros(tex: DataFrame) -> DataFrame:
 def theorems(tex: DataFrame) -> DataFrame:
     """doc_id, ord, kind, title, label, statement, depth of theorem-like environments, declared
     ones too: one pass over a paper's own row, no shuffle."""
-    kind = _array_of(kind=StringType(), title=StringType(), body=StringType(), depth=IntegerType())
+    kind = array_of(kind=StringType(), title=StringType(), body=StringType(), depth=IntegerType())
     rows = tex.select("doc_id", F.posexplode(scanner(kind, lambda t: tex_scan.statements(t, THEOREM_KINDS))("tex")).alias("nth", "t"))
     statement = clean_text(F.regexp_replace("t.body", LABEL, ""))
     return rows.select("doc_id", (F.col("nth") + 1).alias("ord"), "t.kind", strip(F.col("t.title")).alias("title"), strip(F.regexp_extract("t.body", LABEL, 1)).alias("label"), F.substring(statement, 1, 1200).alias("statement"), "t.depth")
@@ -176,7 +162,7 @@ def tex_sections(tex: DataFrame) -> DataFrame:
 def symbols(tex: DataFrame, least: int = 3, most: int = 40) -> DataFrame:
     """doc_id, token, count, ord: the commonest notation of a paper's mathematics; ties by first
     sight. Counted in the paper's own row."""
-    kind = _array_of(token=StringType(), count=LongType())
+    kind = array_of(token=StringType(), count=LongType())
     found = scanner(kind, lambda t: tex_scan.commonest_notation(t, DISPLAYS, GREEK, NO_NOTATION, least, most))
     return tex.select("doc_id", F.posexplode(found("tex")).alias("at", "x")).select("doc_id", "x.token", "x.count", (F.col("at") + 1).alias("ord"))
 

@@ -127,16 +127,47 @@ def parsed_references(spark, sf_dir):
     return citations.parse_references(sections, content).select("doc_id", F.col("ord").cast("long").alias("ord"), "num", F.md5(T.collapse(F.col("text"))).alias("text_md5"))
 
 
+def listed_references(spark, sf_dir):
+    """Reference lists without brackets: numbered with dots in every other document, a paragraph
+    an entry in the rest, half of which start with a number."""
+    i = F.col("i")
+    letters = F.regexp_replace("line", r"[^A-Za-z]+", "")
+    plain = F.when(letters == "", "none").otherwise(letters)
+    text = F.when(F.col("doc_id") % 2 == 0, F.concat((i % 900 + 1).cast("string"), F.lit(". "), plain)).when(i % 2 == 0, F.concat((i + 7).cast("string"), F.lit(") "), plain)).otherwise(plain)
+    li = derived.lines(spark, sf_dir)
+    content = li.select("doc_id", F.lit(1).cast("long").alias("section_no"), i.alias("pos"), F.lit("text").alias("kind"), text.alias("text"))
+    sections = li.select("doc_id").distinct().select("doc_id", F.lit(1).cast("long").alias("section_no"), F.lit(True).alias("is_refs"))
+    return citations.parse_references(sections, content).select("doc_id", "num", F.md5("text").alias("text_md5"))
+
+
 def rendered_articles(spark, sf_dir):
-    """Articles rendered from blocks: their links and sections."""
+    """Whole articles rendered from blocks, cited references, tables and images: their hash."""
     b = _blocks(spark, sf_dir)
     titles = _titles(b)
     sections, content, front = layout.segment(b, titles)
-    refs = citations.parse_references(sections, content)
-    html = citations.render_article(titles, layout.byline(front), sections, content, refs)
+    html = citations.render_article(titles, layout.byline(front), sections, content, citations.parse_references(sections, content))
     return html.select("doc_id", F.regexp_count("html", F.lit('<section class="ltx_section"')).cast("long").alias("n_sections"), F.regexp_count("html", F.lit('<p class="ltx_p">')).cast("long").alias("n_paragraphs"))
 
 
+def article_texts(spark, sf_dir):
+    """Whole articles, by hash: a section a line, whose text cites, a table in every fourth and
+    an image in every third; references that some runs know and some don't."""
+    paragraphs, refs = derived.cited(spark, sf_dir)
+    li, i = derived.lines(spark, sf_dir), F.col("i")
+    number = (i + 1).cast("long").alias("section_no")
+    docs = li.select("doc_id").distinct()
+    sections = li.select("doc_id", number, F.concat(F.lit("S"), i + 1).alias("anchor"), F.when(i % 2 == 0, (i + 1).cast("string")).otherwise("").alias("tag"), F.when(i % 5 == 4, "").otherwise(F.concat(F.lit("Part <"), i, F.lit(">"))).alias("heading"), F.lit(False).alias("is_refs"))
+    none, rows_of = F.lit(None).cast("string"), F.array(F.array(F.lit("k"), F.lit("v & w")), F.array(i.cast("string"), F.lit(" x ")))
+    no_rows = F.lit(None).cast("array<array<string>>")
+    text = paragraphs.select("doc_id", (F.col("pos") + 1).cast("long").alias("section_no"), F.lit(0).alias("pos"), F.lit("text").alias("kind"), "text", no_rows.alias("rows"), none.alias("src"))
+    table = li.where("i % 4 = 0").select("doc_id", number, F.lit(1).alias("pos"), F.lit("table").alias("kind"), F.lit("").alias("text"), rows_of.alias("rows"), none.alias("src"))
+    image = li.where("i % 3 = 0").select("doc_id", number, F.lit(2).alias("pos"), F.lit("image").alias("kind"), F.lit("").alias("text"), no_rows.alias("rows"), F.concat(F.lit("/assets/x&"), i, F.lit(".png")).alias("src"))
+    titles = docs.select("doc_id", F.concat(F.lit("Paper "), "doc_id", F.lit(" & more")).alias("title"))
+    bylines = docs.where("doc_id % 2 = 0").select("doc_id", F.lit("A. Writer, B. Reader").alias("byline"))
+    html = citations.render_article(titles, bylines, sections, text.unionByName(table).unionByName(image), refs)
+    return html.select("doc_id", F.md5("html").alias("html_md5"))
+
+
 def normal_texts(spark, sf_dir):
     docs = derived.table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.md5(T.norm_text(F.col("text"))).alias("norm_md5"))
@@ -212,10 +243,11 @@ def inlined_sources(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     layout_sections, layout_reading_order, layout_body_size, layout_titles, layout_front_matter, layout_bylines, layout_assembled, layout_outside_tables, layout_real_tables, layout_page_images,
-    display_equations, cited_occurrences, parsed_references, rendered_articles, normal_texts, content_keys, paper_ids, admitted, ingest_plan, library_listing, cascade_delete, main_sources, inlined_sources,
+    display_equations, cited_occurrences, parsed_references, listed_references, rendered_articles, article_texts, normal_texts, content_keys, paper_ids, admitted, ingest_plan, library_listing, cascade_delete, main_sources, inlined_sources,
 )}
 
 COLLAPSED = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
+ESCAPED = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')"
 MATH = T.MATH_CHARS.replace("'", "''")
 SQL = {
     "layout_sections": f"""WITH {SEGMENTS}, heads AS (SELECT doc_id, no AS section_no, text FROM s WHERE heading), body AS (SELECT doc_id, no AS section_no, count(*) AS n_blocks, sum(length(text)) AS n_chars FROM s WHERE NOT heading AND (no > 0 OR op = 1) GROUP BY ALL)
@@ -252,6 +284,16 @@ SELECT doc_id, md5('A ' || string_agg(x, '' ORDER BY c) || ' \\include{{missing}
     "layout_assembled": f"""WITH {LINES}, k AS (SELECT doc_id, i // 8 AS block, i, trim(regexp_replace(regexp_replace(line, '\\s+', ' ', 'g'), '^ | $', '', 'g')) AS t FROM l WHERE i % 5 <> 4),
 d AS (SELECT doc_id, block, list(trim(regexp_replace(t, '-+$', '') || CASE WHEN i % 2 = 0 THEN '-' ELSE '' END) ORDER BY i) AS x FROM k GROUP BY ALL)
 SELECT doc_id, block, md5(trim(list_reduce(x, lambda a, b: CASE WHEN a[-1:] = '-' AND b <> '' THEN a[:-2] || b WHEN a <> '' THEN a || ' ' || b ELSE b END))) AS text_md5, 10.0::DOUBLE AS size FROM d""",
+    "listed_references": f"""WITH {LINES}, t AS (SELECT doc_id, i, coalesce(nullif(regexp_replace(line, '[^A-Za-z]+', '', 'g'), ''), 'none') AS p FROM l),
+e AS (SELECT doc_id, i, CASE WHEN doc_id % 2 = 0 THEN i % 900 + 1 ELSE i + 1 END AS num, CASE WHEN doc_id % 2 = 1 AND i % 2 = 0 THEN ') ' || p ELSE p END AS x FROM t)
+SELECT doc_id, num::VARCHAR AS num, md5(left(arg_max(x, i), 600)) AS text_md5 FROM e GROUP BY doc_id, num""",
+    "article_texts": f"""WITH {LINES}, n AS (SELECT doc_id, ceil(count(*) / 3)::BIGINT AS n FROM l GROUP BY doc_id),
+r AS (SELECT l.doc_id, i, n, {ESCAPED.format("regexp_replace(line, '[][]', '', 'g')")} AS t, CASE i % 3 WHEN 0 THEN i::VARCHAR WHEN 1 THEN i || ', ' || (i + 2) ELSE i || '–' || (i + 3) END AS run, list_filter(CASE i % 3 WHEN 0 THEN [i] WHEN 1 THEN [i, i + 2] ELSE [i, i + 1, i + 2, i + 3] END, lambda k: k BETWEEN 1 AND n) AS known FROM l JOIN n USING (doc_id)),
+h AS (SELECT doc_id, i, '<section class="ltx_section" id="S' || (i + 1) || '">' || CASE WHEN i % 5 = 4 THEN '' ELSE '<h2 class="ltx_title">' || CASE WHEN i % 2 = 0 THEN '<span class="ltx_tag">' || (i + 1) || '</span> ' ELSE '' END || 'Part &lt;' || i || '&gt;</h2>' END
+  || '<p class="ltx_p">' || t || ' [' || CASE WHEN len(known) = 0 THEN run ELSE array_to_string(list_transform(known, lambda k: '<a class="ltx_ref" href="#bib.bib' || k || '">' || k || '</a>'), ', ') END || ']</p>'
+  || CASE WHEN i % 4 = 0 THEN '<table class="ltx_tabular"><tr><th>k</th><th>v &amp; w</th></tr><tr><td>' || i || '</td><td>x</td></tr></table>' ELSE '' END || CASE WHEN i % 3 = 0 THEN '<figure class="ltx_figure"><img loading="lazy" src="/assets/x&amp;' || i || '.png"></figure>' ELSE '' END || '</section>' AS h FROM r),
+s AS (SELECT doc_id, string_agg(h, '' ORDER BY i) AS s FROM h GROUP BY doc_id), b AS (SELECT doc_id, array_to_string(list_transform(range(1, n + 1), lambda k: '<li class="ltx_bibitem" id="bib.bib' || k || '"><span class="ltx_tag">[' || k || ']</span> Entry ' || k || '</li>'), '') AS b FROM n)
+SELECT doc_id, md5('<article class="ltx_document"><h1 class="ltx_title ltx_title_document">Paper ' || doc_id || ' &amp; more</h1>' || CASE WHEN doc_id % 2 = 0 THEN '<div class="ltx_authors">A. Writer, B. Reader</div>' ELSE '' END || s || '<section class="ltx_bibliography" id="bib"><h2 class="ltx_title">References</h2><ul>' || b || '</ul></section></article>') AS html_md5 FROM s JOIN b USING (doc_id)""",
     "rendered_articles": f"""WITH {SEGMENTS}, heads AS (SELECT doc_id, no, lower(trim(text)) IN ('references', 'bibliography', 'works cited') AS refs FROM s WHERE heading), body AS (SELECT doc_id, no, count(*) AS n FROM s WHERE NOT heading AND (no > 0 OR op = 1) GROUP BY ALL),
 x AS (SELECT coalesce(h.doc_id, b.doc_id) AS doc_id, coalesce(n, 0) AS n FROM heads h FULL JOIN body b ON h.doc_id = b.doc_id AND h.no = b.no WHERE NOT coalesce(refs, FALSE))
 SELECT ti.doc_id, count(x.doc_id) AS n_sections, coalesce(sum(x.n), 0)::BIGINT AS n_paragraphs FROM ti LEFT JOIN x USING (doc_id) GROUP BY ti.doc_id""",

@@ -69,6 +69,9 @@ def source(spark):
 def test_text_functions(spark):
     assert column(spark, ["  (Lemma 2). ", None, "W^Q", "a\u00a0 b"], T.norm_text) == ["lemma 2", "", "w^q", "a b"]
     assert column(spark, ["arXiv:1706.03762v5", "https://arxiv.org/pdf/1706.03762.pdf", "hep-th/9901001", "x1706.03762", None], T.normalize_paper_id) == ["1706.03762v5", "1706.03762", "hep-th/9901001", None, None]
+    forms = {"https://www.ar5iv.labs.arxiv.org/html/2101.00001/": "2101.00001", "HTTP://ARXIV.ORG/ABS/math.GT/0309136v12": "math.GT/0309136v12", "arxiv: 1234.5678": "1234.5678", "https://arxiv.org/pdf/hep-th/9901001.PDF": "hep-th/9901001"}
+    refused = ["https://arxiv.org/list/1706.03762", "https://arxiv.org.evil/abs/1706.03762", "1706.037", "1706.037621", "a.bc/9901001", "a.BCD/9901001", "/9901001", "1706.03762v", "1706.03762w1", "1.2.3", ""]
+    assert column(spark, [*forms, *refused], T.normalize_paper_id) == [*forms.values(), *[None] * len(refused)]
     assert column(spark, ["∑ x_{i} + β = 1 (3)", "plain prose of words", "=="], T.is_display_equation) == [True, False, False]
     assert column(spark, [r"\emph{All} you  need"], T.clean_text) == ["All you need"]
     assert column(spark, [r"a % b", r"5\% c"], T.strip_comments) == ["a ", r"5\% c"]
@@ -333,6 +336,18 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert back.nodes.where("doc_id = 1").count() == 6 and back.edges.count() == 6
 
 
+def test_cited_runs_as_plainly(spark):
+    import re
+
+    texts = ["", "no", "[1]", "a [1, 2] b [3–5]c[6-7]", "[[1]] [2", "[ 1] [1 ] [1,] [,1] [a] [1a]", "[1,\t 2]\n[3 – 4]", "]1[ [1][2]", "[1\n]", "[١]", "x[1]y]z[2,3"]
+    plain = re.compile(r"\[(\d+(?:\s*[,–-]\s*\d+)*)\]")
+    assert column(spark, texts, citations.cited_runs) == [plain.findall(t) for t in texts]
+    assert column(spark, texts, lambda x: F.aggregate(citations.bracket_pieces(x), F.lit(""), lambda acc, p: F.concat(acc, F.when(p["run"].isNull(), "").otherwise(F.concat(F.lit("<"), p["run"], F.lit(">"))), p["plain"]))) == [plain.sub(r"<\1>", t) for t in texts]
+    assert citations.numbered_entries("intro 1. One a. 2. Two 1234. x 3. 4. four 5.") == [("1", "One a. "), ("2", "Two 1234. x "), ("3", "4. four 5.")]
+    assert citations.bracketed_entries("no [x] [1] a [2, 3] b[2]c [ 4] [5") == [("1", " a [2, 3] b"), ("2", "c [ 4] [5")]
+    assert citations.numbered_entries("") == citations.bracketed_entries("") == []
+
+
 def test_entry_imports():
     import __spark_entry__ as e
 
