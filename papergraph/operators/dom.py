@@ -8,6 +8,7 @@ one input row, so nothing is shuffled.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import escape
 from html.parser import HTMLParser
 
@@ -67,6 +68,7 @@ class Tree(HTMLParser):
         self.nodes: list[Node] = []
         self.root = Node(-1, None, "", [])
         self.stack = [self.root]
+        self.open: Counter[str] = Counter()  # how many of each tag are on the stack
         self.feed(html)
         self.close()
         while len(self.stack) > 1:
@@ -74,6 +76,7 @@ class Tree(HTMLParser):
 
     def _pop(self):
         node = self.stack.pop()
+        self.open[node.tag] -= 1
         node.end = self.nodes[-1].pos if self.nodes else node.pos
 
     def handle_starttag(self, tag, attrs):
@@ -92,6 +95,7 @@ class Tree(HTMLParser):
         self.stack[-1].children.append(node)
         if tag not in VOID:
             self.stack.append(node)
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -99,7 +103,7 @@ class Tree(HTMLParser):
             self._pop()
 
     def handle_endtag(self, tag):
-        if any(n.tag == tag for n in self.stack[1:]):
+        if self.open[tag] > 0:
             while self.stack[-1].tag != tag:
                 self._pop()
             self._pop()

@@ -213,11 +213,17 @@ def parse_checkpoints(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
     return points, out.select("reply_id", feedback.alias("feedback"))
 
 
+def reply_pieces(lines: DataFrame) -> DataFrame:
+    """Server-sent lines (reply_id, pos, line) as reply_id, pos, piece (what the line adds, or
+    null), is_end. Blank, foreign and broken lines add nothing."""
+    body = F.when(F.col("line").startswith("data:"), strip(F.substring("line", 6, 1 << 30)))
+    return lines.select("reply_id", "pos", F.get_json_object(body, "$.choices[0].delta.content").alias("piece"), F.coalesce(body == "[DONE]", F.lit(False)).alias("is_end"))
+
+
 def decode_reply_stream(lines: DataFrame) -> DataFrame:
     """reply_id, reply: the pieces of server-sent lines (reply_id, pos, line) up to the end mark."""
-    data = lines.where(F.col("line").startswith("data:")).withColumn("body", strip(F.substring("line", 6, 1 << 30)))
-    ends = data.where("body = '[DONE]'").groupBy("reply_id").agg(F.min("pos").alias("end"))
-    piece = F.get_json_object("body", "$.choices[0].delta.content")
-    live = data.join(ends, "reply_id", "left").where("end is null or pos < end").select("reply_id", "pos", piece.alias("piece")).where("piece is not null")
+    data = reply_pieces(lines)
+    ends = data.where("is_end").groupBy("reply_id").agg(F.min("pos").alias("end"))
+    live = data.where("piece is not null").join(ends, "reply_id", "left").where("end is null or pos < end")
     joined = live.groupBy("reply_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "piece")))["piece"], "").alias("reply"))
     return lines.select("reply_id").distinct().join(joined, "reply_id", "left").withColumn("reply", or_empty(F.col("reply")))

@@ -238,6 +238,19 @@ def versioned_graphs(spark, sf_dir):
     return out.select("doc_id", "doc_key", "kind", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_nodes", "n_edges", "n_before")])
 
 
+def served_assets(spark, sf_dir):
+    """Images of every paper joined with landed files, one of four of which is missing and whose
+    contents repeat: what is served, by type, and what is missing."""
+    manifest = html_graph.asset_manifest(elements(spark, sf_dir), "/assets").select("doc_id", "path")
+    n = F.regexp_extract("path", "([0-9]+)", 1).cast("int")
+    lead = F.element_at(F.array(F.lit("89504E470D0A1A0A"), F.lit("FFD8FFE0"), F.lit("00")), (F.col("doc_id") % 3 + 1).cast("int"))
+    files = manifest.where(n % 16 != 4).select("doc_id", "path", F.unhex(F.concat(lead, F.hex((n % 5).cast("string")))).alias("content"))
+    assets, payloads, missing = landed.stored_assets(manifest, files)
+    served = landed.assets_with_data(assets, payloads).select("doc_id", "path", "content_type", F.md5("data").alias("data_md5"))
+    gone = missing.select("doc_id", "path", F.lit("missing").alias("content_type"), F.lit(None).cast("string").alias("data_md5"))
+    return served.unionByName(gone)
+
+
 def landed_papers(spark, sf_dir):
     """Papers landed as JSON and read back."""
     path = f"{shared_dir(spark)}/landed/{uuid.uuid4().hex}"
@@ -268,7 +281,7 @@ def node_counts_at_volume(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     html_elements, page_elements, cleaned_pages, annotated_papers, document_headers, html_targets, html_occurrences, math_blobs, enclosing_sections, image_assets, object_targets, object_occurrences, object_assets, object_pages, object_headers, symbol_places, object_edges, tex_labels, tex_refs, tex_cite_keys,
-    tex_bibliography, tex_macros, tex_theorems, tex_section_titles, tex_symbols, graph_nodes, graph_edges, graph_counts, exported_graphs, written_graphs, versioned_graphs, landed_papers, landed_metadata, edges_at_volume, node_counts_at_volume,
+    tex_bibliography, tex_macros, tex_theorems, tex_section_titles, tex_symbols, graph_nodes, graph_edges, graph_counts, exported_graphs, written_graphs, versioned_graphs, served_assets, landed_papers, landed_metadata, edges_at_volume, node_counts_at_volume,
 )}
 
 N = f"WITH {LINES}, n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id)"
@@ -316,6 +329,7 @@ SELECT kind, count(*) AS n, sum(d)::BIGINT AS ids FROM (SELECT * FROM w UNION AL
 e AS (SELECT l_orderkey AS d, count(*) AS e1, count(*) FILTER ('P' || l_partkey < 'P5') AS e2, count(*) FILTER ('P' || l_partkey >= 'P5') AS e3 FROM lineitem GROUP BY 1),
 w AS (SELECT d, CASE WHEN d % 3 = 0 THEN 'third' WHEN d % 2 = 0 THEN 'second' ELSE 'first' END AS kind, coalesce(CASE WHEN d % 3 = 0 THEN n3 WHEN d % 2 = 0 THEN n2 ELSE n1 END, 0) AS n_nodes, CASE WHEN d % 3 = 0 THEN e3 WHEN d % 2 = 0 THEN e2 ELSE e1 END AS n_edges, coalesce(CASE WHEN d % 2 = 0 THEN n2 ELSE n1 END, 0) AS n_before FROM e LEFT JOIN g USING (d) WHERE d % 5 <> 0)
 SELECT d AS doc_id, 'order-' || d AS doc_key, CASE WHEN n_nodes > 0 THEN kind END AS kind, n_nodes, n_edges, n_before FROM w""",
+    "served_assets": f"WITH {LINES}, m AS (SELECT doc_id, i, 'x' || i || '.png' AS path, ['image/png', 'image/jpeg', 'application/octet-stream'][doc_id % 3 + 1] AS kind, ['89504E470D0A1A0A', 'FFD8FFE0', '00'][doc_id % 3 + 1] || hex((i % 5)::VARCHAR) AS x FROM l WHERE i % 4 = 0) SELECT doc_id, path, CASE WHEN i % 16 = 4 THEN 'missing' ELSE kind END AS content_type, CASE WHEN i % 16 <> 4 THEN md5(unhex(x)) END AS data_md5 FROM m",
     "landed_papers": f"WITH {LINES} SELECT doc_id, {len(TEX_HEAD) + len(TEX_TAIL)} + sum(length({TEX_PART}))::BIGINT AS n_chars FROM l GROUP BY doc_id",
     "landed_metadata": "SELECT doc_id::VARCHAR AS doc_key, 'Title of ' || doc_id AS title, 'Ann ' || doc_id || ', Bo ' || doc_id AS authors FROM documents",
     "html_elements": N + """, t AS (SELECT doc_id, unnest([{'t': 'article', 'n': 1}, {'t': 'h1', 'n': 1}, {'t': 'section', 'n': n}, {'t': 'h2', 'n': n}, {'t': 'span', 'n': n}, {'t': 'p', 'n': n}, {'t': 'math', 'n': n}, {'t': 'a', 'n': n - 1}, {'t': 'img', 'n': (n + 3) // 4}]) AS x FROM n) SELECT doc_id, x.t AS tag, x.n AS n FROM t WHERE x.n > 0""",

@@ -212,18 +212,48 @@ def streamed_thread_summaries(spark, sf_dir):
     return jobs.thread_table(spark, f"{folder}/table").select("chat_id", "question_count", F.unix_timestamp("updated_at").alias("updated_s"))
 
 
-def streamed_thread_history(spark, sf_dir):
-    """Every turn with its number and the questions so far, kept by a stateful operator."""
-    folder, key = _folder(spark, "history"), "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, jobs.STATE_STORE)  # the operator needs it; a query keeps what it starts with
+def _run_stateful(spark, rows, folder):
+    """A stateful stream's whole output. A query keeps the settings that it starts with; these
+    are put back (or unset) after: the state store that it needs, and no batches without data,
+    which timers would ask for without end."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": jobs.STATE_STORE, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {key: spark.sql(f"SET {key}").first()["value"] for key in wanted}
     try:
-        turns = jobs.stream_thread_history(_messages(spark, sf_dir))
-        query = turns.writeStream.format("parquet").option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        query = rows.writeStream.format("parquet").option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(key, before)
-    return spark.read.schema(turns.schema).parquet(f"{folder}/table").select("chat_id", "turn", "role", F.md5("content").alias("content_md5"), "question_count")
+        for key, value in before.items():
+            spark.conf.unset(key) if value == "<undefined>" else spark.conf.set(key, value)
+    return spark.read.schema(rows.schema).parquet(f"{folder}/table")
+
+
+def streamed_thread_history(spark, sf_dir):
+    """Every turn with its number and the questions so far, kept by a stateful operator."""
+    turns = _run_stateful(spark, jobs.stream_thread_history(_messages(spark, sf_dir)), _folder(spark, "history"))
+    return turns.select("chat_id", "turn", "role", F.md5("content").alias("content_md5"), "question_count")
+
+
+def streamed_replies(spark, sf_dir):
+    """Every turn of the conversations as a reply streamed a word a line, with comments between
+    and an end mark, put together by a stateful operator."""
+    words = F.split("text", " ", -1)
+    body = lambda w: F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(w.alias("content")).alias("delta"))).alias("choices"))))
+    lines = F.concat(F.flatten(F.transform(words, lambda w: F.array(body(F.concat(w, F.lit("|"))), F.lit(": a comment")))), F.array(F.lit("data: [DONE]"), F.lit('data: {"choices": [{"delta": {"content": "late"}}]}')))
+    sent = _stream(spark, sf_dir, "conversations").where("text is not null").select(F.concat_ws("-", "conv_id", "turn").alias("reply_id"), F.posexplode(lines).alias("pos", "line"))
+    out = _run_stateful(spark, jobs.stream_replies(sent), _folder(spark, "replies"))
+    return out.select("reply_id", F.md5("reply").alias("reply_md5"), "finished")
+
+
+def streamed_threads(spark, sf_dir):
+    """Threads that streamed requests create: two requests a thread, of which a third is there."""
+    chats, _, docs = derived.chats(spark, sf_dir)
+    turns = _stream(spark, sf_dir, "conversations").where("turn < 2")
+    asked = turns.select((F.col("conv_id") * 2 + F.col("turn")).alias("request_id"), (F.col("conv_id") % 50).alias("doc_id"), F.concat(F.lit("passage "), F.col("conv_id") % 60).alias("selection"), F.concat(F.lit("S"), F.col("conv_id") % 5).alias("section_anchor"))
+    old = chats.where("chat_id % 3 = 0").select("doc_id", F.concat(F.lit("passage "), F.col("chat_id") % 60).alias("selection"), "section_anchor")
+    out = _run_stateful(spark, jobs.stream_open_threads(asked, docs.where("doc_id != 7"), old), _folder(spark, "opened"))
+    return out.select("request_id", "doc_id", "selection", "section_anchor")
 
 
 def streamed_ingest(spark, sf_dir):
@@ -266,7 +296,7 @@ def finished_sections(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     retrieved_selections, retrieved_symbols, resolved_requests, resolve_prompts, section_texts, selection_contexts, equation_contexts, symbol_paragraphs, notation, defined_symbols, object_equation_contexts, checkpoint_prompts, checkpoint_points, checkpoint_feedback,
-    decoded_streams, replies_postprocessed, thread_list, thread_histories, thread_prompt_texts, newest_thread_places, reopened_threads, streamed_thread_summaries, streamed_thread_history, streamed_ingest, streamed_sections, finished_sections,
+    decoded_streams, replies_postprocessed, thread_list, thread_histories, thread_prompt_texts, newest_thread_places, reopened_threads, streamed_thread_summaries, streamed_thread_history, streamed_replies, streamed_threads, streamed_ingest, streamed_sections, finished_sections,
 )}
 
 Q = f"WITH {LINES}, r AS (SELECT *, doc_id || ':' || i AS request_id FROM l)"
@@ -309,6 +339,8 @@ SQL = {
 SELECT conv_id AS chat_id, """ + _prompt("A reader's thread on the paper titled Paper ", "{(conv_id % 50)}", ", section §", "{(conv_id % 5)}", f".NLNLParagraph:{OPEN}", "{" + STRIP.format("left(f, 200)") + "}", END, "{CASE WHEN " + STRIP.format("left(f, 40)") + " = '' THEN '' ELSE 'What the reader marked first:' || chr(10) || '<<<' || chr(10) || " + STRIP.format("left(f, 40)") + " || chr(10) || '>>>' || chr(10) || chr(10) END}", f"Objects near it:{OPEN}- Eq. (1)NL- [2]{END}Turns (the reader's start with >):NL", "{x}", "Assistant >") + " AS prompt_md5 FROM c JOIN t USING (conv_id)",
     "newest_thread_places": "WITH s AS (SELECT conv_id, max(1700000000 + turn * 60 + conv_id) AS u FROM conversations GROUP BY conv_id) SELECT conv_id % 50 AS doc_id, conv_id AS chat_id, row_number() OVER (PARTITION BY conv_id % 50 ORDER BY u DESC, conv_id DESC) AS place FROM s",
     "streamed_thread_history": "WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations) SELECT conv_id AS chat_id, n AS turn, role, md5(text) AS content_md5, (sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS question_count FROM t",
+    "streamed_replies": "SELECT conv_id || '-' || turn AS reply_id, md5(replace(text, ' ', '|') || '|') AS reply_md5, TRUE AS finished FROM conversations WHERE text IS NOT NULL",
+    "streamed_threads": "WITH a AS (SELECT conv_id * 2 + turn AS request_id, conv_id % 50 AS doc_id, 'passage ' || (conv_id % 60) AS selection, 'S' || (conv_id % 5) AS section_anchor FROM conversations WHERE turn < 2), o AS (SELECT DISTINCT conv_id % 50 AS doc_id, 'passage ' || (conv_id % 60) AS selection, 'S' || (conv_id % 5) AS section_anchor FROM conversations WHERE conv_id % 3 = 0) SELECT min(request_id) AS request_id, doc_id, selection, section_anchor FROM a ANTI JOIN o USING (doc_id, selection, section_anchor) WHERE doc_id <> 7 GROUP BY ALL",
     "streamed_ingest": N + " SELECT doc_id, n AS n_nodes, n - 1 AS n_edges FROM n",
     "reopened_threads": "WITH " + CHAT + """, k AS (SELECT conv_id, conv_id % 50 AS d, left(f, 40) AS s, conv_id % 5 AS a FROM c), e AS (SELECT * FROM k WHERE conv_id % 3 = 0)
 SELECT FALSE AS created, count(*) AS n FROM e WHERE d <> 7 HAVING count(*) > 0 UNION ALL SELECT TRUE, count(*) FROM (SELECT DISTINCT d, s, a FROM k WHERE d <> 7 EXCEPT SELECT d, s, a FROM e) HAVING count(*) > 0""",

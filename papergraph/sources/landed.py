@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papergraph.functions.text import collapse, filled, strip
@@ -74,6 +74,47 @@ def inline_inputs(files: DataFrame, main: DataFrame, depth: int = 5) -> DataFram
     return every.join(bbl, "doc_id", "left").select("doc_id", F.when(F.col("bbl").isNull(), F.col("tex")).otherwise(F.concat("tex", F.lit("\n"), "bbl")).alias("tex"))
 
 
+# What the types of images and papers begin with, as hex.
+LEADING = {
+    "image/png": "89504E470D0A1A0A", "image/jpeg": "FFD8FF", "image/gif": "47494638", "image/webp": "52494646", "image/bmp": "424D", "image/tiff": "49492A00",
+    "application/pdf": "255044462D", "image/svg+xml": "3C737667",
+}
+
+
+def content_type(data: Column) -> Column:
+    """The type that a file's leading bytes tell; octets if none."""
+    head = F.hex(F.substring(data, 1, 16))
+    text = F.lower(F.substring(F.decode(F.substring(data, 1, 512), "ISO-8859-1"), 1, 512))
+    svg = F.ltrim(text).startswith("<?xml") & text.contains("<svg")
+    found = F.lit("application/octet-stream")
+    for kind, lead in LEADING.items():
+        found = F.when(head.startswith(lead), kind).otherwise(found)
+    return F.when(svg, "image/svg+xml").when(head.startswith("52494646") & (F.substring(head, 17, 8) != "57454250"), "application/octet-stream").otherwise(found)
+
+
+def stored_assets(manifest: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Assets (doc_id, path, content_type, content_hash, n_bytes), payloads (content_hash,
+    data: one a content) and what is missing (doc_id, path).
+
+    ``manifest``: doc_id, path; ``files``: doc_id, path, content; null and empty contents count
+    as missing, of equal paths in a document the least content counts. Only hashes are
+    grouped; a payload that very many documents share moves once a task at most.
+    """
+    there = files.where(F.length("content") > 0).select("doc_id", "path", "content").withColumn("content_hash", F.sha2("content", 256))
+    marks = there.select("doc_id", "path", "content_hash", content_type(F.col("content")).alias("content_type"), F.length("content").cast("long").alias("n_bytes"))
+    best = marks.groupBy("doc_id", "path").agg(F.min(F.struct("content_hash", "content_type", "n_bytes")).alias("file"))
+    listed = manifest.select("doc_id", "path").distinct().join(best, ["doc_id", "path"], "left")
+    assets = listed.where("file is not null").select("doc_id", "path", "file.content_type", "file.content_hash", "file.n_bytes")
+    wanted = assets.select("content_hash").distinct()
+    payloads = there.select("content_hash", F.col("content").alias("data")).join(wanted, "content_hash", "left_semi").dropDuplicates(["content_hash"])
+    return assets, payloads, listed.where("file is null").select("doc_id", "path")
+
+
+def assets_with_data(assets: DataFrame, payloads: DataFrame) -> DataFrame:
+    """doc_id, path, content_type, data: what a reader is served."""
+    return assets.join(payloads, "content_hash").select("doc_id", "path", "content_type", "data")
+
+
 def export_graph_json(docs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """doc_id, json: one object a document with its node and edge lists in order."""
     node_cols = [c for c in nodes.columns if c != "doc_id"]

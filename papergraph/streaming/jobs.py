@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from papergraph.operators.admission import plan_ingest
+from papergraph.operators.generation import reply_pieces
+from papergraph.operators.retrieval import retrieve_selections
+from papergraph.operators.threads import KEY
 from papergraph.sources.landed import first_per_key
 from papergraph.sources.store import commit, is_committed, read_graph, snapshot, write_graph
 
@@ -101,6 +104,126 @@ def stream_thread_history(messages: DataFrame) -> DataFrame:
     return messages.groupBy("chat_id").transformWithStateInPandas(ThreadHistory(), "chat_id long, turn long, role string, content string, question_count long", "Append", "None")
 
 
+class ReplyDecoder(StatefulProcessor):
+    """Lines of a reply in state until the end mark and all before it are there, or none came
+    for ``timeout_ms``; then the message goes out once, and later lines are ignored.
+
+    Positions count from 0 without gaps, in any order and any number of batches; a line that
+    comes twice counts once. What tells that a reply is out is forgotten after ``kept_ms``.
+    """
+
+    def __init__(self, timeout_ms: int, kept_ms: int):
+        self.timeout_ms, self.kept_ms = timeout_ms, kept_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        # one value a reply: a call to the store costs far more than a line
+        self.held = handle.getValueState("held", "pieces string, end long, last long")
+        self.out = handle.getValueState("out", "finished boolean", self.kept_ms)
+
+    def _message(self, key, pieces: dict[int, str | None], end: int | None, finished: bool) -> pd.DataFrame:
+        self.out.update((finished,))
+        text = "".join(pieces[pos] or "" for pos in sorted(pieces) if end is None or pos < end)
+        return pd.DataFrame({"reply_id": [key[0]], "reply": [text], "finished": [finished]})
+
+    def _held(self) -> tuple[dict[int, str | None], int | None, int | None]:
+        text, end, last = self.held.get() if self.held.exists() else ("{}", None, None)
+        return {int(k): v for k, v in json.loads(text).items()}, end, last
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frames = [f for f in rows if len(f)]
+        if self.out.exists() or not frames:
+            return
+        pieces, end, last = self._held()
+        for f in frames:
+            for pos, piece, is_end in zip(f["pos"].tolist(), f["piece"].tolist(), f["is_end"].tolist(), strict=True):
+                if is_end:
+                    end = pos if end is None else min(end, pos)
+                else:
+                    pieces[pos] = piece if isinstance(piece, str) else None
+        if end is not None and sum(pos < end for pos in pieces) == end:
+            if last is not None:
+                self.held.clear()
+            yield self._message(key, pieces, end, True)
+        else:
+            now = timerValues.getCurrentProcessingTimeInMs()
+            self.held.update((json.dumps(pieces), end, now))
+            self.handle.registerTimer(now + self.timeout_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        pieces, end, last = self._held()
+        if last is not None and expiredTimerInfo.getExpiryTimeInMs() >= last + self.timeout_ms:  # else another line came since
+            self.held.clear()
+            yield self._message(key, pieces, end, False)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_replies(lines: DataFrame, timeout_ms: int = 120_000, kept_ms: int = 86_400_000) -> DataFrame:
+    """Server-sent lines (reply_id, pos, line) as they come, to one row a reply: reply_id, reply,
+    finished (false if it was cut off). Needs STATE_STORE."""
+    kind = dict(lines.dtypes)["reply_id"]
+    pieces = reply_pieces(lines.withColumn("pos", F.col("pos").cast("long")))
+    return pieces.groupBy("reply_id").transformWithStateInPandas(ReplyDecoder(timeout_ms, kept_ms), f"reply_id {kind}, reply string, finished boolean", "Append", "ProcessingTime")
+
+
+class ThreadOpener(StatefulProcessor):
+    """Whether a thread is there, and for a new one its first request out."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.there = handle.getValueState("there", "created boolean")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.there.update((False,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frames = [f for f in rows if len(f)]
+        if frames and not self.there.exists():
+            self.there.update((True,))
+            yield pd.concat(frames).sort_values("request_id", kind="stable").head(1)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_open_threads(requests: DataFrame, documents: DataFrame, chats: DataFrame | None = None) -> DataFrame:
+    """Requests (request_id, doc_id, selection, section_anchor, ...) as they come, to one row a
+    thread that they create: the request's columns and chat_id. Needs STATE_STORE.
+
+    A thread is created once, by the first request that arrives (of one batch, the least
+    request_id); those of ``chats`` are there when the stream first starts. Requests for
+    documents that are not known when their batch runs go.
+    """
+    known = requests.join(documents.select("doc_id").distinct(), "doc_id", "left_semi").select(*requests.columns)
+    old = None if chats is None else chats.select(*KEY).distinct().groupBy(*KEY)
+    made = known.groupBy(*KEY).transformWithStateInPandas(ThreadOpener(), known.schema, "Append", "None", initialState=old)
+    return made.withColumn("chat_id", F.xxhash64(*KEY))
+
+
+def stream_retrieval(requests: DataFrame, graph: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Selections (as ``retrieve_selections`` takes them) answered as they come.
+
+    Every batch reads the graph store as it is when the batch begins, so that what was ingested
+    or deleted since the last one counts, and commits its answers to the store ``out``; request
+    ids without an answer are there with a null label.
+    """
+
+    def batch(asked: DataFrame, number: int) -> None:
+        spark = asked.sparkSession
+        nodes = read_graph(spark, graph).nodes
+        run = run_id(spark, checkpoint)
+        asked = asked.persist()
+        if nodes is None:
+            found = asked.select("request_id", *[F.lit(None).cast("string").alias(c) for c in ("content", "label", "anchor", "section_label")])
+        else:
+            found = asked.select("request_id").join(retrieve_selections(asked, nodes), "request_id", "left")
+        commit(spark, out, {"answers": found}, run, number)
+        asked.unpersist()
+
+    return requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def sections_finished(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """One row a reader session and section; repeats within the delay are ignored.
 
