@@ -497,3 +497,21 @@ def test_empty_tables(spark):
 
 def test_hash_is_of_the_payload():
     assert hashlib.sha256(jpeg.describe(jpeg.encode([b"a" * 64]))[0]["thumbnail"]).hexdigest() == hashlib.sha256(b"a" * 64).hexdigest()
+
+
+def test_language_prototypes_and_cosines_by_their_definition(spark):
+    rows = [("the barn and the owl watch the hill", "en"), ("the fox jumps over the fence", "en"), ("die scheune und der fuchs am zaun", "de"), (None, "de"), ("123", "de"), ("ohne sprache", None)]
+    names, prototypes = langid.learn_prototypes(spark.createDataFrame(rows * 3, "text string, lang string").repartition(4))
+    table = langid.letters(langid.DIMENSIONS, 1)
+    want = {}
+    for text, lang in rows * 3:
+        v = table.profile(text) if lang else None
+        if v is not None:
+            want[lang] = want.get(lang, 0) + np.rint(v * (langid.UNIT / np.linalg.norm(v))).astype(np.int64)
+    assert names == ["de", "en"] and all((prototypes[k] == want[n]).all() for k, n in enumerate(names))
+    asked = ["the owl", "der zaun am fluss", "fox und hill", "x" * 5000]
+    got = langid.predict_language(spark.createDataFrame([(t,) for t in asked], "text string"), names, prototypes).collect()
+    for text, r in zip(asked, got, strict=True):
+        v = table.profile(text)
+        cosines = [float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) for p in prototypes]
+        assert r["lang_pred"] == names[int(np.argmax(cosines))] and abs(r["score"] - min(1, max(0, max(cosines)))) < 1e-9
