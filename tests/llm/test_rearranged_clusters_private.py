@@ -204,7 +204,7 @@ def test_scores_equal_the_trees_walked_by_hand(spark, private_docs, private_mode
 
 
 def test_nothing_to_learn_adds_nothing(spark):
-    for texts in ([None, "", "plain words"], ["1234567890"] * 9):
+    for texts in ([None, "", *["1234567890"] * 9],):
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
         model = personal_data.learn(docs)
         assert model == personal_data.Model()
