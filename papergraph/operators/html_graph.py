@@ -113,10 +113,24 @@ def asset_manifest(dom: DataFrame, prefix: str) -> DataFrame:
     return images.select("doc_id", F.col("src").alias("path")).dropDuplicates(["doc_id", "path"]).withColumn("served_url", F.concat(F.lit(prefix + "/"), "path"))
 
 
-def enclosing_sections_by_join(dom: DataFrame) -> DataFrame:
-    """doc_id, pos, section_anchor by an interval join: the check on the parser's stack."""
+def enclosing_sections_by_sweep(dom: DataFrame) -> DataFrame:
+    """doc_id, pos, section_anchor by a sweep over each document: the check on the parser's stack.
+
+    Elements, section starts and section ends go by in order of place. Sections nest, so those
+    at one depth don't overlap: the innermost one open at an element is the last that started
+    at the depth then reached. One shuffle by doc_id serves both windows.
+    """
     joined = F.array_join("classes", " ")
-    s = dom.where((F.col("id") != "") & (joined.contains("ltx_section") | joined.contains("ltx_subsection") | joined.contains("ltx_appendix"))).select("doc_id", F.col("pos").alias("s_pos"), F.col("end_pos").alias("s_end"), F.col("id").alias("s_id"))
-    d = dom.select("doc_id", "pos")
-    hits = d.join(s, "doc_id", "left").withColumn("in", (F.col("s_pos") < F.col("pos")) & (F.col("pos") <= F.col("s_end")))
-    return hits.groupBy("doc_id", "pos").agg(or_empty(F.max_by("s_id", F.when(F.col("in"), F.col("s_pos")))).alias("section_anchor"))
+    sections = dom.where((F.col("id") != "") & (joined.contains("ltx_section") | joined.contains("ltx_subsection") | joined.contains("ltx_appendix")))
+    place = lambda at, turn, step, sid: F.struct(F.col(at).cast("long").alias("at"), F.lit(turn).alias("turn"), F.lit(step).alias("step"), sid.alias("id"))
+    none = F.lit(None).cast("string")
+    # an element is not inside the section that it starts, and the last one of a section is
+    turns = dom.select("doc_id", place("pos", 0, 0, none).alias("e")).unionByName(
+        sections.select("doc_id", F.explode(F.array(place("pos", 1, 1, F.col("id")), place("end_pos", 2, -1, none))).alias("e"))
+    )
+    upto = Window.partitionBy("doc_id").orderBy("e.at", "e.turn").rowsBetween(Window.unboundedPreceding, 0)
+    deep = turns.withColumn("depth", F.sum("e.step").over(upto))
+    same = Window.partitionBy("doc_id", "depth").orderBy("e.at", "e.turn").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last("e.id", ignorenulls=True).over(same)
+    found = deep.withColumn("section_anchor", F.when(F.col("depth") > 0, last).otherwise("")).where("e.turn = 0")
+    return found.select("doc_id", F.col("e.at").alias("pos"), "section_anchor")

@@ -87,9 +87,9 @@ def math_blobs(spark, sf_dir):
 
 
 def enclosing_sections(spark, sf_dir):
-    """Elements whose section the parser's stack and the interval join name alike."""
+    """Elements whose section the parser's stack and the sweep name alike."""
     dom = elements(spark, sf_dir)
-    both = dom.select("doc_id", "pos", "section_anchor").join(html_graph.enclosing_sections_by_join(dom).withColumnRenamed("section_anchor", "joined"), ["doc_id", "pos"])
+    both = dom.select("doc_id", "pos", "section_anchor").join(html_graph.enclosing_sections_by_sweep(dom).withColumnRenamed("section_anchor", "joined"), ["doc_id", "pos"])
     return both.groupBy("doc_id").agg(F.count_if(F.col("section_anchor") != F.col("joined")).alias("n_different"))
 
 

@@ -94,7 +94,7 @@ def test_html_graph(spark, elements):
     assert sorted(r[1:] for r in rows(html_graph.occurrences(elements, found), "section_anchor", "target_anchor", "kind")) == [("H.E4", "references"), ("bib.darwin", "cites"), ("lag", "references")]
     assert rows(html_graph.math_by_section(elements), "section_anchor", "blob") == [("F", r"\tau_s"), ("H", r"h_0=\fracgc")]
     assert rows(html_graph.asset_manifest(elements, "/a"), "path", "served_url") == [("map.svg", "/a/map.svg")]
-    both = elements.select("pos", "section_anchor").join(html_graph.enclosing_sections_by_join(elements).withColumnRenamed("section_anchor", "j"), "pos")
+    both = elements.select("pos", "section_anchor").join(html_graph.enclosing_sections_by_sweep(elements).withColumnRenamed("section_anchor", "j"), "pos")
     assert both.where("section_anchor != j").count() == 0
     asked = spark.createDataFrame([(1, 1, "H.E4"), (2, 1, "none")], "request_id long, doc_id long, anchor string")
     context = retrieval.equation_context(asked, elements).collect()
