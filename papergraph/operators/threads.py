@@ -29,6 +29,40 @@ def thread_history(messages: DataFrame) -> DataFrame:
     return messages.groupBy("chat_id").agg(F.transform(ordered, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
 
 
+def deal_turns(messages: DataFrame) -> DataFrame:
+    """Messages (chat_id, ts, turn, role, content) with ``piece`` and ``tie``: sorted over ranges,
+    so that a chat of any size is dealt to as many tasks as it takes, and its pieces are in
+    order. Ties of (ts, turn) go by a hash of role and content; nulls come last, and rows
+    without a chat go. Write the result before use: what is read twice must be the same.
+    """
+    rows = messages.where("chat_id is not null").select("chat_id", "ts", "turn", "role", "content")
+    rows = rows.withColumn("tie", F.struct(F.xxhash64("role", "content").alias("text"), F.monotonically_increasing_id().alias("row")))
+    return rows.repartitionByRange("chat_id", F.asc_nulls_last("ts"), F.asc_nulls_last("turn"), "tie").withColumn("piece", F.spark_partition_id())
+
+
+def number_turns(dealt: DataFrame, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Turns (chat_id, turn, role, content, question_count) numbered from 0 in a chat, and the
+    counters (chat_id, n, questions) of the chats met. ``before`` are counters to go on from.
+
+    Pieces are numbered in tasks of their own; only their counts, a row a piece, are summed up
+    along a chat.
+    """
+    asked = F.when(F.col("role") == "user", 1).otherwise(0)
+    pieces = dealt.groupBy("chat_id", "piece").agg(F.count("*").alias("n"), F.sum(asked).alias("questions"))
+    along = Window.partitionBy("chat_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, 0)
+    sums = pieces.select("chat_id", "piece", "n", "questions", F.sum("n").over(along).alias("n_upto"), F.sum("questions").over(along).alias("questions_upto"))
+    if before is not None:
+        old = before.select("chat_id", F.col("n").alias("n_old"), F.col("questions").alias("questions_old"))
+        sums = sums.join(old, "chat_id", "left")
+        for c in ("n", "questions"):
+            sums = sums.withColumn(f"{c}_upto", F.col(f"{c}_upto") + F.coalesce(f"{c}_old", F.lit(0)))
+    own = Window.partitionBy("chat_id", "piece").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("turn"), "tie").rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.select("chat_id", "piece", "role", "content", F.row_number().over(own).alias("nth"), F.sum(asked).over(own).alias("asked"))
+    starts = sums.select("chat_id", "piece", (F.col("n_upto") - F.col("n")).alias("n0"), (F.col("questions_upto") - F.col("questions")).alias("q0"))
+    turns = placed.join(starts, ["chat_id", "piece"]).select("chat_id", (F.col("n0") + F.col("nth") - 1).alias("turn"), "role", "content", (F.col("q0") + F.col("asked")).alias("question_count"))
+    return turns, sums.groupBy("chat_id").agg(F.max("n_upto").alias("n"), F.max("questions_upto").alias("questions"))
+
+
 def thread_summaries(chats: DataFrame, messages: DataFrame) -> DataFrame:
     """``chats`` with question_count and updated_at (the last append, else created_at)."""
     m = messages.groupBy("chat_id").agg(F.count_if(F.col("role") == "user").alias("question_count"), F.max("ts").alias("last"))

@@ -235,6 +235,15 @@ def streamed_thread_history(spark, sf_dir):
     return turns.select("chat_id", "turn", "role", F.md5("content").alias("content_md5"), "question_count")
 
 
+def appended_thread_turns(spark, sf_dir):
+    """Every turn with its number and the questions so far, appended to a store: the first three
+    turns by one stream, the others by a second that goes on from the counters."""
+    folder = _folder(spark, "turns")
+    for run, some in enumerate(("turn < 3", "turn >= 3")):
+        jobs.stream_thread_turns(_messages(spark, sf_dir).where(some), f"{folder}/table", f"{folder}/checkpoint-{run}").awaitTermination()
+    return jobs.thread_turns(spark, f"{folder}/table").select("chat_id", "turn", "role", F.md5("content").alias("content_md5"), "question_count")
+
+
 def streamed_replies(spark, sf_dir):
     """Every turn of the conversations as a reply streamed a word a line, with comments between
     and an end mark, put together by a stateful operator."""
@@ -296,7 +305,7 @@ def finished_sections(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     retrieved_selections, retrieved_symbols, resolved_requests, resolve_prompts, section_texts, selection_contexts, equation_contexts, symbol_paragraphs, notation, defined_symbols, object_equation_contexts, checkpoint_prompts, checkpoint_points, checkpoint_feedback,
-    decoded_streams, replies_postprocessed, thread_list, thread_histories, thread_prompt_texts, newest_thread_places, reopened_threads, streamed_thread_summaries, streamed_thread_history, streamed_replies, streamed_threads, streamed_ingest, streamed_sections, finished_sections,
+    decoded_streams, replies_postprocessed, thread_list, thread_histories, thread_prompt_texts, newest_thread_places, reopened_threads, streamed_thread_summaries, streamed_thread_history, appended_thread_turns, streamed_replies, streamed_threads, streamed_ingest, streamed_sections, finished_sections,
 )}
 
 Q = f"WITH {LINES}, r AS (SELECT *, doc_id || ':' || i AS request_id FROM l)"
@@ -339,6 +348,7 @@ SQL = {
 SELECT conv_id AS chat_id, """ + _prompt("A reader's thread on the paper titled Paper ", "{(conv_id % 50)}", ", section §", "{(conv_id % 5)}", f".NLNLParagraph:{OPEN}", "{" + STRIP.format("left(f, 200)") + "}", END, "{CASE WHEN " + STRIP.format("left(f, 40)") + " = '' THEN '' ELSE 'What the reader marked first:' || chr(10) || '<<<' || chr(10) || " + STRIP.format("left(f, 40)") + " || chr(10) || '>>>' || chr(10) || chr(10) END}", f"Objects near it:{OPEN}- Eq. (1)NL- [2]{END}Turns (the reader's start with >):NL", "{x}", "Assistant >") + " AS prompt_md5 FROM c JOIN t USING (conv_id)",
     "newest_thread_places": "WITH s AS (SELECT conv_id, max(1700000000 + turn * 60 + conv_id) AS u FROM conversations GROUP BY conv_id) SELECT conv_id % 50 AS doc_id, conv_id AS chat_id, row_number() OVER (PARTITION BY conv_id % 50 ORDER BY u DESC, conv_id DESC) AS place FROM s",
     "streamed_thread_history": "WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations) SELECT conv_id AS chat_id, n AS turn, role, md5(text) AS content_md5, (sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS question_count FROM t",
+    "appended_thread_turns": "WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations) SELECT conv_id AS chat_id, n AS turn, role, md5(text) AS content_md5, (sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS question_count FROM t",
     "streamed_replies": "SELECT conv_id || '-' || turn AS reply_id, md5(replace(text, ' ', '|') || '|') AS reply_md5, TRUE AS finished FROM conversations WHERE text IS NOT NULL",
     "streamed_threads": "WITH a AS (SELECT conv_id * 2 + turn AS request_id, conv_id % 50 AS doc_id, 'passage ' || (conv_id % 60) AS selection, 'S' || (conv_id % 5) AS section_anchor FROM conversations WHERE turn < 2), o AS (SELECT DISTINCT conv_id % 50 AS doc_id, 'passage ' || (conv_id % 60) AS selection, 'S' || (conv_id % 5) AS section_anchor FROM conversations WHERE conv_id % 3 = 0) SELECT min(request_id) AS request_id, doc_id, selection, section_anchor FROM a ANTI JOIN o USING (doc_id, selection, section_anchor) WHERE doc_id <> 7 GROUP BY ALL",
     "streamed_ingest": N + " SELECT doc_id, n AS n_nodes, n - 1 AS n_edges FROM n",

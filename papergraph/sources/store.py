@@ -86,8 +86,12 @@ def commit(spark: SparkSession, path: str, tables: dict[str, DataFrame], run: st
 def vacuum(spark: SparkSession, path: str) -> None:
     """Delete replaced segments. Snapshots from before the compaction can't be read afterwards."""
     for row in _log(spark, path).select(F.explode("replaces").alias("segment")).distinct().toLocalIterator():
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/segments/{row['segment']}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        delete_folder(spark, f"{path}/segments/{row['segment']}")
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 @dataclass(frozen=True)

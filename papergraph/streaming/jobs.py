@@ -13,9 +13,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from papergraph.operators.admission import plan_ingest
 from papergraph.operators.generation import reply_pieces
 from papergraph.operators.retrieval import retrieve_selections
-from papergraph.operators.threads import KEY
+from papergraph.operators.threads import KEY, deal_turns, number_turns
 from papergraph.sources.landed import first_per_key
-from papergraph.sources.store import commit, is_committed, read_graph, snapshot, write_graph
+from papergraph.sources.store import commit, delete_folder, is_committed, read_graph, snapshot, write_graph
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -79,8 +79,37 @@ def compact_thread_table(spark: SparkSession, path: str) -> int | None:
     return commit(spark, path, {"summaries": now.latest("summaries", "chat_id")}, replaces=[s for s, _ in now.segments]) if len(now.segments) > 1 else None
 
 
+def stream_thread_turns(messages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Durable append of turns to the store ``path``, however many of them one thread has.
+
+    A batch sorts its messages over ranges, numbers the pieces on from the threads' counters
+    and commits turns and counters as one version; one that comes again after its commit
+    writes nothing. One stream at a time writes a store.
+    """
+
+    def batch(new: DataFrame, number: int) -> None:
+        spark, run = new.sparkSession, run_id(new.sparkSession, checkpoint)
+        if is_committed(spark, path, run, number):
+            return
+        scratch = f"{path}/dealt/{run}-{number}"
+        dealt = deal_turns(new)
+        dealt.write.mode("overwrite").parquet(scratch)
+        turns, counters = number_turns(spark.read.schema(dealt.schema).parquet(scratch), snapshot(spark, path).latest("counters", "chat_id"))
+        commit(spark, path, {"turns": turns, "counters": counters}, run, number)
+        delete_folder(spark, scratch)
+
+    return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def thread_turns(spark: SparkSession, path: str) -> DataFrame | None:
+    """chat_id, turn, role, content, question_count: all turns appended, or None."""
+    turns = snapshot(spark, path).table("turns")
+    return None if turns is None else turns.drop("version")
+
+
 class ThreadHistory(StatefulProcessor):
-    """A thread's turns in order: counters in state, and each message out with its number."""
+    """A thread's turns in order: counters in state, and each message out with its number. A
+    thread's new messages of one batch are sorted in one task (``stream_thread_turns`` deals them)."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.count = handle.getValueState("count", "n long, questions long")

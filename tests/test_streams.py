@@ -3,6 +3,7 @@
 import json
 import random
 import time
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +76,47 @@ def test_threads_are_created_once(spark, tmp_path, no_idle_batches):
     assert all(first[r["doc_id"], r["selection"], r["section_anchor"]] == r["request_id"] for r in got.collect()) and len(want) == 16
 
 
+def test_turns_are_numbered_over_batches(spark, tmp_path):
+    kind = "chat_id long, turn long, role string, content string, ts timestamp"
+    rng = random.Random(3)
+    stamp = lambda m: datetime(2026, 1, 1) + timedelta(minutes=m) if m is not None else None
+    # one chat holds most rows, some of them the same; stamps tie, and some are unknown
+    made = [(rng.choice([1, 1, 1, 2, 3]), rng.choice([0, 1, None]), rng.choice(["user", "assistant", None]), rng.choice(["a", "b", None]), rng.choice([None, *range(5)])) for _ in range(400)]
+    made += [(1, 0, "user", "same", 2)] * 100 + [(None, 0, "user", "lost", 1)]
+    rng.shuffle(made)
+    cuts, seen, want = [0, 250, 251, len(made)], {}, []
+    last = lambda v: (v is None, v or 0)
+    for a, b in zip(cuts, cuts[1:]):
+        rows = [(c, t, r, x, stamp(m)) for c, t, r, x, m in made[a:b]]
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        jobs.stream_thread_turns(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "check")).awaitTermination()
+        for c, t, _, _, m in sorted((x for x in made[a:b] if x[0]), key=lambda x: (x[0], last(x[4]), last(x[1]))):
+            want.append((c, seen.setdefault(c, 0)))
+            seen[c] += 1
+    got = jobs.thread_turns(spark, str(tmp_path / "store")).collect()
+    assert sorted((r["chat_id"], r["turn"]) for r in got) == sorted(want)
+    assert sorted((r["chat_id"], str(r["role"]), str(r["content"])) for r in got) == sorted((c, str(r), str(x)) for c, _, r, x, _ in made if c)
+    asked = {}
+    for r in sorted(got, key=lambda r: (r["chat_id"], r["turn"])):
+        asked[r["chat_id"]] = asked.get(r["chat_id"], 0) + (r["role"] == "user")
+        assert r["question_count"] == asked[r["chat_id"]]
+    # the batch again changes nothing, and the large chat stands in several pieces
+    commits = spark.read.parquet(str(tmp_path / "store/log")).count()
+    jobs.stream_thread_turns(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "check")).awaitTermination()
+    assert commits == spark.read.parquet(str(tmp_path / "store/log")).count() == 3
+    dealt = threads.deal_turns(spark.createDataFrame([(1, 0, "user", "same", None)] * 1000, kind).repartition(3))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt.write.parquet(str(tmp_path / "dealt"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    kept = spark.read.parquet(str(tmp_path / "dealt"))
+    assert kept.select("piece").distinct().count() > 1
+    turns, counters = threads.number_turns(kept)
+    assert sorted(r["turn"] for r in turns.collect()) == list(range(1000)) and tuple(counters.first()) == (1, 1000, 1000)
+    assert threads.number_turns(kept.limit(0))[0].count() == 0 and jobs.thread_turns(spark, str(tmp_path / "none")) is None
+
+
 def test_requests_meet_the_graph_of_their_batch(spark, tmp_path):
     from papergraph.operators.graph import DATA
 
