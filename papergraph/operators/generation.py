@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from papergraph.functions.text import collapse, filled, or_empty, strip
 from papergraph.operators.retrieval import retrieve_selections, symbol_excerpts
 from papergraph.sources.shared import shared_dir
-from papergraph.sources.store import commit, snapshot
+from papergraph.sources.store import commit, compact, snapshot
 
 # The reply that means "can't tell", the marks of a point, and the output limits by kind.
 ABSTAIN = "NEEDS_MORE_CONTEXT"
@@ -97,6 +97,17 @@ def stored_replies(spark: SparkSession, store: str) -> DataFrame | None:
     return None if rows is None else rows.where("error is null").groupBy("key").agg(F.min_by("reply", "version").alias("reply"))
 
 
+def compact_replies(spark: SparkSession, store: str) -> int | None:
+    """One segment in place of all that a store of replies has: a reply a key; failures go."""
+
+    def current(now) -> dict[str, DataFrame | None]:
+        rows = now.table("replies")
+        best = F.min_by(F.struct("reply", "error", "version"), "version").alias("kept")
+        return {"replies": rows if rows is None else rows.where("error is null").groupBy("key").agg(best).select("key", "kept.*")}
+
+    return compact(spark, store, current)
+
+
 def generate(prompts: DataFrame, provider: type[Provider], tasks: int | None = None, store: str | None = None, attempts: int = 3, wait: float = 1.0) -> DataFrame:
     """``prompts`` with reply and error.
 

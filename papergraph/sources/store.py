@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -47,12 +48,12 @@ class Snapshot:
         return self.spark.read.option("mergeSchema", "true").parquet(*folders) if folders else None
 
     def latest(self, name: str, *keys: str) -> DataFrame | None:
-        """One row a key: the newest."""
+        """One row a key: the newest, with its ``version``."""
         rows = self.table(name)
         if rows is None:
             return None
         others = [c for c in rows.columns if c not in (*keys, "version")]
-        return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "version").alias("newest")).select(*keys, "newest.*")
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "version").alias("newest"), F.max("version").alias("version")).select(*keys, "newest.*", "version")
 
 
 def snapshot(spark: SparkSession, path: str) -> Snapshot:
@@ -83,6 +84,18 @@ def commit(spark: SparkSession, path: str, tables: dict[str, DataFrame], run: st
     return version
 
 
+def compact(spark: SparkSession, path: str, current: Callable[[Snapshot], dict[str, DataFrame | None]]) -> int | None:
+    """One segment with the ``current`` rows of a snapshot's tables in place of all that it has.
+    The rows must bring their versions, so that commits which come meanwhile still count after."""
+    now = snapshot(spark, path)
+    if len(now.segments) < 2:
+        return None
+    tables = {name: rows for name, rows in current(now).items() if rows is not None}
+    if bare := [name for name, rows in tables.items() if "version" not in rows.columns]:
+        raise ValueError(f"rows without a version: {', '.join(bare)}")
+    return commit(spark, path, tables, replaces=[segment for segment, _ in now.segments])
+
+
 def vacuum(spark: SparkSession, path: str) -> None:
     """Delete replaced segments. Snapshots from before the compaction can't be read afterwards."""
     for row in _log(spark, path).select(F.explode("replaces").alias("segment")).distinct().toLocalIterator():
@@ -158,12 +171,14 @@ def delete_from_graph(ids: DataFrame, path: str, run: str | None = None, batch:
 def compact_graph(spark: SparkSession, path: str) -> int | None:
     """One segment in the order of documents in place of all; old versions, deleted documents
     and their tombstones go. Rows keep their versions."""
-    graph = read_graph(spark, path)
-    if len(graph.at.segments) < 2:
-        return None
     dealt = lambda rows, *by: rows.repartitionByRange(*by).sortWithinPartitions(*by)
-    tables = {"documents": dealt(graph.documents, "doc_id")}
-    for name, rows, also in (("nodes", graph.nodes, "node_ord"), ("edges", graph.edges, "target_anchor")):
-        if rows is not None:
-            tables[name] = dealt(rows, "doc_id", *[c for c in (also,) if c in rows.columns])
-    return commit(spark, path, tables, replaces=[segment for segment, _ in graph.at.segments])
+
+    def current(now: Snapshot) -> dict[str, DataFrame | None]:
+        graph = Graph(now)
+        tables = {"documents": dealt(graph.documents, "doc_id")}
+        for name, rows, also in (("nodes", graph.nodes, "node_ord"), ("edges", graph.edges, "target_anchor")):
+            if rows is not None:
+                tables[name] = dealt(rows, "doc_id", *[c for c in (also,) if c in rows.columns])
+        return tables
+
+    return compact(spark, path, current)

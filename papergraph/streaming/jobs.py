@@ -15,7 +15,7 @@ from papergraph.operators.generation import reply_pieces
 from papergraph.operators.retrieval import retrieve_selections
 from papergraph.operators.threads import KEY, deal_turns, number_turns
 from papergraph.sources.landed import first_per_key
-from papergraph.sources.store import commit, delete_folder, is_committed, read_graph, snapshot, write_graph
+from papergraph.sources.store import commit, compact, delete_folder, is_committed, read_graph, snapshot, write_graph
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -70,13 +70,12 @@ def stream_thread_table(messages: DataFrame, path: str, checkpoint: str) -> Stre
 def thread_table(spark: SparkSession, path: str) -> DataFrame:
     """The newest summary of each thread."""
     found = snapshot(spark, path).latest("summaries", "chat_id")
-    return spark.createDataFrame([], "chat_id long, question_count long, updated_at timestamp") if found is None else found
+    return spark.createDataFrame([], "chat_id long, question_count long, updated_at timestamp") if found is None else found.drop("version")
 
 
 def compact_thread_table(spark: SparkSession, path: str) -> int | None:
     """One segment with the newest summaries in place of all."""
-    now = snapshot(spark, path)
-    return commit(spark, path, {"summaries": now.latest("summaries", "chat_id")}, replaces=[s for s, _ in now.segments]) if len(now.segments) > 1 else None
+    return compact(spark, path, lambda now: {"summaries": now.latest("summaries", "chat_id")})
 
 
 def stream_thread_turns(messages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -107,6 +106,17 @@ def thread_turns(spark: SparkSession, path: str) -> DataFrame | None:
     return None if turns is None else turns.drop("version")
 
 
+def compact_thread_turns(spark: SparkSession, path: str) -> int | None:
+    """One segment with all turns, by thread and number, and the newest counters in place of all."""
+
+    def current(now) -> dict[str, DataFrame | None]:
+        turns = now.table("turns")
+        by = ("chat_id", "turn")
+        return {"turns": turns if turns is None else turns.repartitionByRange(*by).sortWithinPartitions(*by), "counters": now.latest("counters", "chat_id")}
+
+    return compact(spark, path, current)
+
+
 class ThreadHistory(StatefulProcessor):
     """A thread's turns in order: counters in state, and each message out with its number. A
     thread's new messages of one batch are sorted in one task (``stream_thread_turns`` deals them)."""

@@ -46,6 +46,10 @@ def test_a_request_is_sent_once_however_often_it_is_read(spark, tmp_path):
     before = calls(str(seen))
     more = prompts.where("id < 3").unionByName(spark.createDataFrame([(50, "s", "new", 9)], ASKED))
     assert generation.generate(more, provider, store=store).count() == 4
+    held, sent = sorted(map(str, generation.stored_replies(spark, store).collect())), len(calls(seen))
+    assert generation.compact_replies(spark, store) and generation.compact_replies(spark, store) is None
+    assert sorted(map(str, generation.stored_replies(spark, store).collect())) == held
+    assert generation.generate(more, provider, store=store).count() == 4 and len(calls(seen)) == sent
     assert calls(str(seen)) - before == Counter({"new": 1})
 
 

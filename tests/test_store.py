@@ -98,6 +98,27 @@ def test_later_columns_and_latest_rows(spark, tmp_path):
     assert sorted(map(tuple, store.snapshot(spark, path).latest("t", "k").select("k", "x", "y").collect())) == [(1, "c", 9), (2, "b", None)]
 
 
+def test_what_comes_during_a_compaction_stays_the_newest(spark, tmp_path):
+    path, kind = str(tmp_path), "chat_id long, question_count long, updated_at timestamp"
+    put = lambda k, chat, n: store.commit(spark, path, {"summaries": spark.createDataFrame([(chat, n, None)], kind)}, "r", k)
+    put(0, 1, 1)
+    put(1, 2, 1)
+
+    def current(now):
+        put(2, 1, 5)  # another writer, after the snapshot and before the compaction's commit
+        return {"summaries": now.latest("summaries", "chat_id"), "none": now.table("none")}
+
+    assert store.compact(spark, path, current)
+    found = lambda: sorted((r["chat_id"], r["question_count"]) for r in jobs.thread_table(spark, path).collect())
+    assert found() == [(1, 5), (2, 1)] and rows_written(spark, path) == [{"summaries": 1}, {"summaries": 2}]
+    jobs.compact_thread_table(spark, path)
+    assert found() == [(1, 5), (2, 1)] and rows_written(spark, path) == [{"summaries": 2}] and jobs.compact_thread_table(spark, path) is None
+    with pytest.raises(ValueError, match="version"):
+        put(3, 9, 9)
+        store.compact(spark, path, lambda now: {"summaries": now.table("summaries").drop("version")})
+    assert found() == [(1, 5), (2, 1), (9, 9)]
+
+
 def test_two_streams_keep_all_keys(spark, tmp_path):
     path = str(tmp_path / "store")
 

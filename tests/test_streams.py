@@ -104,6 +104,11 @@ def test_turns_are_numbered_over_batches(spark, tmp_path):
     commits = spark.read.parquet(str(tmp_path / "store/log")).count()
     jobs.stream_thread_turns(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "check")).awaitTermination()
     assert commits == spark.read.parquet(str(tmp_path / "store/log")).count() == 3
+    jobs.compact_thread_turns(spark, str(tmp_path / "store"))
+    assert sorted(map(str, jobs.thread_turns(spark, str(tmp_path / "store")).collect())) == sorted(map(str, got))
+    spark.createDataFrame([(1, 0, "user", "after", None)], kind).write.mode("append").parquet(str(tmp_path / "in"))
+    jobs.stream_thread_turns(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "check")).awaitTermination()
+    assert jobs.thread_turns(spark, str(tmp_path / "store")).where("content = 'after'").first()["turn"] == seen[1]
     dealt = threads.deal_turns(spark.createDataFrame([(1, 0, "user", "same", None)] * 1000, kind).repartition(3))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
