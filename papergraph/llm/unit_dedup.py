@@ -1,6 +1,6 @@
-"""Substring dedup by hashing lines and the sentences in them.
+"""Substring dedup by hashing lines and the sentences and clauses in them.
 
-Texts are cut at line ends and, inside lines, after ``.``, ``!`` or ``?`` before a blank,
+Texts are cut at line ends and, inside lines, after a mark of ``.!?,;:`` before a blank,
 so that a passage set into other prose is found too. Pieces are normalised and hashed;
 equal digests are grouped over the whole corpus; of each group the occurrence of the
 earliest rank (id, then place) stays and the others are removed, told by their offsets
@@ -17,7 +17,8 @@ Spans that overlap, or that only a blank within a line parts, are joined.
 
 ``repeats`` is the verdict on a document. Documents that share a stock line share units too,
 and lose it (``n_removed``); ``repeats`` therefore asks for a run of repeated units of at least
-``least_run`` words: a passage of over 50 words can lose the sentences that its edges cut.
+``least_run`` words: a passage of over 50 words can lose, at either end, a clause that its
+edge cuts.
 
 Defined cases: a null text has no units; null ids rank first; rows equal in id
 and text are one document, whose units share their rank and so stay or go
@@ -38,6 +39,7 @@ from pyspark.sql import functions as F
 from .common import pieces_of, stored, table
 
 UNIT = "start long, end long, first_word int, words int, link boolean, inline boolean, d1 long, d2 long"
+STOPS = np.array([ord(c) for c in ".!?,;:"], np.uint32)
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
 _lower: list[np.ndarray] = []
@@ -70,8 +72,8 @@ def text_units(texts: list[str], least_words: int) -> tuple[np.ndarray, dict[str
     turn = np.flatnonzero(np.diff(blank, prepend=True))
     w_start, w_end = turn[::2], turn[1::2]
 
-    # a piece ends at a line's end, or at a blank after the end of a sentence
-    stops = (points == ord(".")) | (points == ord("!")) | (points == ord("?"))
+    # a piece ends at a line's end, or at a blank after the end of a sentence or clause
+    stops = np.isin(points, STOPS)
     cut = np.flatnonzero((points == 10) | ((points == 32) & np.append(False, stops[:-1])))
     piece = np.searchsorted(cut, w_start)
     piece, first, n = np.unique(piece, return_index=True, return_counts=True)
@@ -160,7 +162,7 @@ def unit_rows(docs: DataFrame, least_words: int, id_col: str, text_col: str) ->
     return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, same long, n_units int, {UNIT}")
 
 
-def repeated_units(docs: DataFrame, least_words: int = 10, least_run: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_units(docs: DataFrame, least_words: int = 10, least_run: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_units, n_removed, removed_chars, removed (start:end,
     comma-joined), repeat_words, repeats.
 

@@ -103,6 +103,19 @@ def test_passages_inside_lines_are_found_and_clean_texts_are_not(spark):
     assert got[7]["n_removed"] == 1 and not got[7]["repeats"] and got[6]["n_removed"] == 0
 
 
+def test_passages_that_start_and_end_amid_sentences_repeat(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    clauses = lambda ws: " ".join(w + (",;:."[k // 6 % 4] if k % 6 == 5 else "") for k, w in enumerate(ws))
+    texts = [clauses(words[:100]).split(), clauses(words[100:200]).split()]
+    passage = texts[0][20:72]
+    texts = [" ".join(texts[0]), " ".join([*texts[1][:27], *passage, *texts[1][27:]]), " ".join([*clauses(words[200:]).split()[:50], *passage[:20]])]
+    got = {r["doc_id"]: r for r in repeated_units(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    assert sorted(i for i in got if got[i]["repeats"]) == [0, 1] and got[2]["repeat_words"] < 20
+    a, b = map(int, got[1]["removed"].split(":"))
+    assert texts[1][a:b] in " ".join(passage) and len(texts[1][a:b].split()) >= 40
+
+
 def test_removal_keeps_rows_columns_and_first_occurrences(spark):
     line = "one two three four five six seven eight nine ten"
     rows = [(1, f"{line}\nend", "a"), (2, f"{line}. Then more\n{line}", "b"), (2, None, "c"), (None, f"x\n{line}", "d"), (4, "", "e")]
