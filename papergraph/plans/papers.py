@@ -191,12 +191,14 @@ def graph_counts(spark, sf_dir):
 
 
 def exported_graphs(spark, sf_dir):
-    """Sizes of the lists in each document's JSON object."""
+    """Each document's JSON object as a reader of it finds it: its nodes' labels in order, its edges' ends."""
     _, nodes, edges = paper_graph(spark, sf_dir)
     docs = derived.table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    j = landed.export_graph_json(docs, nodes, edges)
-    size = lambda path: F.coalesce(F.json_array_length(F.get_json_object("json", path)), F.lit(0))
-    return j.select("doc_id", F.get_json_object("json", "$.source").alias("source"), size("$.nodes").alias("n_nodes"), size("$.edges").alias("n_edges"))
+    read = F.from_json("json", "source string, nodes array<struct<label string>>, edges array<struct<source_anchor string, target_anchor string>>")
+    j = landed.export_graph_json(docs, nodes, edges).select("doc_id", read.alias("g"))
+    ends = F.array_sort(F.transform("g.edges", lambda e: F.concat_ws(">", e["source_anchor"], e["target_anchor"])))
+    digest = lambda c: F.md5(F.array_join(c, "|"))
+    return j.select("doc_id", "g.source", F.size("g.nodes").alias("n_nodes"), F.size("g.edges").alias("n_edges"), digest(F.col("g.nodes")["label"]).alias("labels_md5"), digest(ends).alias("edges_md5"))
 
 
 def written_graphs(spark, sf_dir):
@@ -357,7 +359,9 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rank, i) AS ord,
     "graph_nodes": N + SYMBOLS + r""" SELECT doc_id, i + 1 AS node_ord, 'section' AS kind, '§' || i AS label, 'S' || i AS html_anchor, '' AS status, '' AS sections FROM l UNION ALL SELECT doc_id, n + 1, 'symbol', '\mathcal{' || """ + LETTER + r""" || '}', '', 'unresolved', '' FROM n UNION ALL SELECT doc_id, n.n + 1 + ord, 'symbol', token, '', 'unresolved', '' FROM y JOIN n USING (doc_id)""",
     "graph_edges": f"WITH {LINES} SELECT doc_id, 'S' || i AS source_anchor, 'S' || (i - 1) AS target_anchor, 'references' AS kind, i + 1 AS source_node_ord, i AS target_node_ord FROM l WHERE i > 0",
     "graph_counts": N + SYMBOLS + """, t AS (SELECT doc_id, unnest([{'w': 'node:section', 'n': n}, {'w': 'edges', 'n': n - 1}, {'w': 'node:symbol', 'n': 1 + coalesce(ny, 0)}]) AS x FROM n LEFT JOIN (SELECT doc_id, count(*) AS ny FROM y GROUP BY doc_id) USING (doc_id)), d AS (SELECT doc_id, x.w AS what, x.n AS n FROM t WHERE x.n > 0) SELECT * FROM d UNION ALL SELECT NULL, what, sum(n)::BIGINT FROM d GROUP BY what""",
-    "exported_graphs": N + SYMBOLS + " SELECT doc_id, source, coalesce(n + 1 + coalesce(ny, 0), 0)::INT AS n_nodes, coalesce(n - 1, 0)::INT AS n_edges FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS ny FROM y GROUP BY doc_id) USING (doc_id)",
+    "exported_graphs": N + SYMBOLS + r""", g AS (SELECT doc_id, i AS nth, '§' || i AS label FROM l UNION ALL SELECT doc_id, n, '\mathcal{' || """ + LETTER + r""" || '}' FROM n UNION ALL SELECT doc_id, n.n + ord, token FROM y JOIN n USING (doc_id)),
+a AS (SELECT doc_id, count(*)::INT AS c, string_agg(label, '|' ORDER BY nth) AS x FROM g GROUP BY doc_id), e AS (SELECT doc_id, count(*)::INT AS c, string_agg(x, '|' ORDER BY x) AS x FROM (SELECT doc_id, 'S' || i || '>S' || (i - 1) AS x FROM l WHERE i > 0) GROUP BY doc_id)
+SELECT doc_id, source, coalesce(a.c, 0) AS n_nodes, coalesce(e.c, 0) AS n_edges, md5(coalesce(a.x, '')) AS labels_md5, md5(coalesce(e.x, '')) AS edges_md5 FROM documents LEFT JOIN a USING (doc_id) LEFT JOIN e USING (doc_id)""",
     "edges_at_volume": """WITH k AS (SELECT l_orderkey AS d, l_partkey AS k FROM lineitem UNION SELECT l_orderkey, l_suppkey FROM lineitem), g AS (SELECT * FROM k WHERE k % 10 <> 0)
 SELECT l_orderkey AS doc_id, count(*) AS n, sum(CASE WHEN l_linenumber = 1 OR g.k IS NULL THEN l_partkey ELSE g.k END)::BIGINT AS sources, sum(l_partkey)::BIGINT AS targets FROM lineitem LEFT JOIN g ON g.d = l_orderkey AND g.k = l_suppkey WHERE l_partkey % 10 <> 0 GROUP BY 1""",
     "node_counts_at_volume": """WITH k AS (SELECT l_orderkey AS d, l_partkey AS k FROM lineitem UNION SELECT l_orderkey, l_suppkey FROM lineitem)

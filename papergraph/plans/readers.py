@@ -58,7 +58,7 @@ def resolved_requests(spark, sf_dir):
     """The cascade with a stand-in provider: what the graph knows is never sent."""
     _, nodes, _ = _papers(spark, sf_dir)
     out = generation.resolve(_requests(spark, sf_dir), nodes, _titles(spark, sf_dir), generation.EchoProvider)
-    return out.groupBy("mode").agg(F.count("*").alias("n"))
+    return out.select("request_id", "mode", F.md5("content").alias("content_md5"), "label", "anchor", "section_label")
 
 
 def resolve_prompts(spark, sf_dir):
@@ -154,7 +154,7 @@ def replies_postprocessed(spark, sf_dir):
     d, k = derived.table(spark, sf_dir, "documents"), F.col("doc_id") % 5
     reply = F.when(k == 0, " needs_more_context.").when(k == 1, F.concat(F.lit("<think>a\nb</think> "), "lang")).otherwise(F.col("lang"))
     error = F.when(k == 3, "HTTP 429").when(k == 4, "boom")
-    return generation.postprocess_reply(d.select("doc_id", reply.alias("reply"), error.alias("error"))).groupBy("mode").agg(F.count("*").alias("n"), F.countDistinct("content").alias("n_contents"))
+    return generation.postprocess_reply(d.select("doc_id", reply.alias("reply"), error.alias("error"))).select("doc_id", "mode", "content")
 
 
 def thread_list(spark, sf_dir):
@@ -184,7 +184,8 @@ def reopened_threads(spark, sf_dir):
     chats, _, docs = derived.chats(spark, sf_dir)
     asked = chats.select((F.col("chat_id") * 2).alias("request_id"), *threads.KEY).unionByName(chats.select((F.col("chat_id") * 2 + 1).alias("request_id"), *threads.KEY))
     out = threads.open_threads(asked, chats.where("chat_id % 3 = 0"), docs.where("doc_id != 7"))
-    return out.groupBy("created").agg(F.count("*").alias("n"))
+    old = F.when(~F.col("created"), F.col("chat_id"))
+    return out.select(old.alias("old_chat_id"), "doc_id", F.md5("selection").alias("selection_md5"), "section_anchor", "created")
 
 
 def _stream(spark, sf_dir, name):
@@ -326,7 +327,7 @@ STRIP = r"regexp_replace(regexp_replace({0}, '^\s+', ''), '\s+$', '')"
 SQL = {
     "retrieved_selections": f"{Q} SELECT request_id, '§' || i AS label, 'S' || i AS anchor, '§' || i AS section_label FROM r WHERE i % 2 = 0",
     "retrieved_symbols": f"WITH {LINES}, k AS (SELECT doc_id, unnest(['x_0', 'x_1']) AS s, unnest(['  X_0. ', '(x_1)']) AS q FROM documents), h AS (SELECT k.doc_id, s, q FROM k JOIN l USING (doc_id) GROUP BY ALL HAVING max((starts_with('x_' || i, s) AND {PARA} <> '')::INT) = 1) SELECT doc_id || '|' || q AS request_id, s AS label, md5('Task: say what this symbol stands for: ' || s) AS content_md5, '' AS anchor FROM h UNION ALL SELECT doc_id || '|§0', '§0', md5(i || ' Part ' || i || ' — ' || left({PARA}, 300)), 'S0' FROM l WHERE i = 0",
-    "resolved_requests": f"{Q} SELECT CASE WHEN i % 2 = 0 THEN 'retrieved' ELSE 'generated' END AS mode, count(*) AS n FROM r GROUP BY 1",
+    "resolved_requests": f"{Q} SELECT request_id, 'retrieved' AS mode, md5(i || ' Part ' || i || ' — ' || left({PARA}, 300)) AS content_md5, '§' || i AS label, 'S' || i AS anchor, '§' || i AS section_label FROM r WHERE i % 2 = 0 UNION ALL SELECT request_id, 'generated', md5('Task: say what the marked span means here.'), '', '', '' FROM r WHERE i % 2 = 1",
     "resolve_prompts": Q + " SELECT request_id, " + _prompt(*HEAD, f"Paragraph:{OPEN}A paragraph.{END}It belongs to section: not knownNLObjects near it:NL- §1NLNLWhat the reader marked:{OPEN}", "{CASE WHEN i % 2 = 0 THEN '(§' || i || ').' ELSE 'phrase ' || i END}", f"{END}Task: say what the marked span means here.") + " AS prompt_md5, 400 AS max_tokens FROM r",
     "checkpoint_prompts": Q + " SELECT request_id, " + _prompt(*HEAD, f"Section:{OPEN}", "{" + SECTION_TEXT + "}", f"{END}It is headed: §", "{i}", f"NLNLWhat the reader recalls:{OPEN}", "{CASE WHEN i % 2 = 0 THEN '(nothing; show the points)' ELSE 'phrase ' || i END}", f"{END}Task: compare the two.") + " AS prompt_md5, 600 AS max_tokens FROM r",
     "object_equation_contexts": f"WITH {LINES}, c AS (SELECT *, doc_id || ':' || i AS request_id, left(i || ' Part ' || i || ' ' || {OBJECT_PARA} || ' y = y (' || i || ')', 1500) AS context FROM l WHERE i % 6 = 1)"
@@ -341,7 +342,7 @@ SQL = {
     "checkpoint_points": f"WITH {LINES} SELECT doc_id AS reply_id, i AS ord, ['hit', 'partial', 'miss'][i % 3 + 1] AS status, {CLEAN} AS point FROM l WHERE i % 4 <> 3 AND {CLEAN} <> ''",
     "checkpoint_feedback": f"WITH {LINES}, t AS (SELECT doc_id, arg_max(CASE WHEN i % 4 = 3 AND {CLEAN} <> '' THEN {CLEAN} END, i) AS f, count(*) FILTER (i % 4 <> 3 AND {CLEAN} <> '') AS n, string_agg('noise', chr(10)) AS raw FROM l GROUP BY doc_id) SELECT doc_id AS reply_id, CASE WHEN f IS NULL AND n = 0 THEN left(raw, 400) ELSE coalesce(f, '') END AS feedback FROM t",
     "decoded_streams": f"WITH {LINES} SELECT doc_id AS reply_id, md5(string_agg(line, '' ORDER BY i)) AS reply_md5 FROM l GROUP BY doc_id",
-    "replies_postprocessed": "SELECT CASE WHEN doc_id % 5 >= 3 THEN 'error' WHEN doc_id % 5 = 0 THEN 'abstained' ELSE 'generated' END AS mode, count(*) AS n, count(DISTINCT CASE WHEN doc_id % 5 >= 3 THEN (doc_id % 5)::VARCHAR WHEN doc_id % 5 = 0 THEN '' ELSE lang END) AS n_contents FROM documents GROUP BY 1",
+    "replies_postprocessed": f"SELECT doc_id, ['abstained', 'generated', 'generated', 'error', 'error'][doc_id % 5 + 1] AS mode, ['{generation.ABSTAIN_MESSAGE}', coalesce(trim(lang), ''), coalesce(trim(lang), ''), '{generation.RATE_MESSAGE}', '{generation.ERROR_MESSAGE}'][doc_id % 5 + 1] AS content FROM documents",
     "thread_list": "SELECT conv_id AS chat_id, conv_id % 50 AS doc_id, '§' || (conv_id % 5) AS section_label, count(*) FILTER (role = 'user') AS question_count, max(1700000000 + turn * 60 + conv_id) AS updated_s FROM conversations GROUP BY conv_id",
     "thread_histories": "SELECT conv_id AS chat_id, md5(string_agg(role || ':' || text, '|' ORDER BY turn, role, text)) AS history_md5 FROM conversations GROUP BY conv_id",
     "thread_prompt_texts": "WITH " + CHAT + f""", t AS (SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN '> ' ELSE 'Assistant > ' END || {STRIP.format("text")} || chr(10), '' ORDER BY turn, role, text) AS x FROM conversations GROUP BY conv_id)
@@ -353,7 +354,7 @@ SELECT conv_id AS chat_id, """ + _prompt("A reader's thread on the paper titled
     "streamed_threads": "WITH a AS (SELECT conv_id * 2 + turn AS request_id, conv_id % 50 AS doc_id, 'passage ' || (conv_id % 60) AS selection, 'S' || (conv_id % 5) AS section_anchor FROM conversations WHERE turn < 2), o AS (SELECT DISTINCT conv_id % 50 AS doc_id, 'passage ' || (conv_id % 60) AS selection, 'S' || (conv_id % 5) AS section_anchor FROM conversations WHERE conv_id % 3 = 0) SELECT min(request_id) AS request_id, doc_id, selection, section_anchor FROM a ANTI JOIN o USING (doc_id, selection, section_anchor) WHERE doc_id <> 7 GROUP BY ALL",
     "streamed_ingest": N + " SELECT doc_id, n AS n_nodes, n - 1 AS n_edges FROM n",
     "reopened_threads": "WITH " + CHAT + """, k AS (SELECT conv_id, conv_id % 50 AS d, left(f, 40) AS s, conv_id % 5 AS a FROM c), e AS (SELECT * FROM k WHERE conv_id % 3 = 0)
-SELECT FALSE AS created, count(*) AS n FROM e WHERE d <> 7 HAVING count(*) > 0 UNION ALL SELECT TRUE, count(*) FROM (SELECT DISTINCT d, s, a FROM k WHERE d <> 7 EXCEPT SELECT d, s, a FROM e) HAVING count(*) > 0""",
+SELECT conv_id AS old_chat_id, d AS doc_id, md5(s) AS selection_md5, 'S' || a AS section_anchor, FALSE AS created FROM e WHERE d <> 7 UNION ALL SELECT NULL, d, md5(s), 'S' || a, TRUE FROM (SELECT DISTINCT d, s, a FROM k WHERE d <> 7 EXCEPT SELECT d, s, a FROM e)""",
     "streamed_thread_summaries": "SELECT conv_id AS chat_id, count(*) FILTER (role = 'user') AS question_count, max(1700000000 + turn * 60 + conv_id) AS updated_s FROM conversations GROUP BY conv_id",
     "streamed_sections": "SELECT DISTINCT user_id AS session, event_id % 10 AS doc_id, event_type AS anchor FROM events",
     "finished_sections": "SELECT user_id AS session, event_id % 10 AS doc_id, event_type AS anchor, min(epoch_us(ts)) AS ts_us FROM events GROUP BY 1, 2, 3",
