@@ -31,7 +31,7 @@ def scans(spark, sf_dir):
 def paper_graph(spark, sf_dir):
     """Nodes and edges of the derived papers: targets, then symbols."""
     dom = elements(spark, sf_dir)
-    found = html_graph.targets(dom)
+    found = stored(html_graph.targets(dom), "targets")
     nodes = graph.target_nodes(found)
     tex = scans(spark, sf_dir)
     symbols = graph.symbol_nodes(latex.macros(tex), latex.symbols(tex), html_graph.math_by_section(dom), nodes.select("doc_id", "node_ord"))
