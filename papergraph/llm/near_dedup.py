@@ -11,7 +11,9 @@ Large lists are never paired out. Equal sets are one class. Each list is first
 joined to its smallest member alone; lists whose members are by then in one
 component are skipped, and in the others only members of different components
 are compared: short lists pair by pair, long ones in blocks of bounded size
-whose tasks return links, not pairs.
+whose tasks return links, not pairs. In long lists signatures meet first, without
+texts; only classes that agree in enough coordinates with another of their list
+form families, whose texts then meet in blocks.
 
 Defined cases: a null text or one without words is linked with nothing; a text
 with fewer words than a shingle is one shingle; equal rows fall in one class; a
@@ -37,6 +39,8 @@ COORDINATES, LEAST_MATCHES = 32, 15
 SKETCH_BITS = 16
 #: Lists up to this length are paired; longer ones go in blocks of this many documents.
 SHORT_LIST, BLOCK = 32, 256
+#: Signatures are small, so that their blocks are larger.
+SIGNATURE_BLOCK = 512
 #: Up to so many keys a broadcast filter spares the other texts a shuffle; it has 16 buckets a key.
 MOST_SENT = 1 << 20
 
@@ -152,9 +156,17 @@ def prefix_postings(classes: DataFrame, sketch: np.ndarray, least_matches: int)
     return classes.select("cls", "n_shingles", "sig").mapInArrow(run, "token long, cls binary, n_shingles long")
 
 
+def _short_signatures(classes: DataFrame) -> DataFrame:
+    """cls, sig of 16 bits a coordinate: a quarter of the bytes, and what agrees still does.
+
+    Other values agree once in 2**16, which adds a candidate at most.
+    """
+    return classes.select("cls", F.transform("sig", lambda x: F.shiftright(x, 48).cast("smallint")).alias("sig"))
+
+
 def enough_matches(pairs: DataFrame, classes: DataFrame, least_matches: int) -> DataFrame:
     """The pairs (a, b) whose signatures agree in enough coordinates."""
-    sig = classes.select("cls", "sig")
+    sig = _short_signatures(classes)
     both = pairs.join(sig.withColumnsRenamed({"cls": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"cls": "b", "sig": "sb"}), "b")
     same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
     return both.where(same >= least_matches).select("a", "b")
@@ -183,6 +195,53 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
     return with_b.join(texts.withColumnsRenamed({"cls": "a", "text": "ta"}), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
+def _block_pairs(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """Rows of a key, dealt into its ``blocks``, once for each pair (i, j) of blocks."""
+    block = F.pmod(F.xxhash64("cls", F.lit(3)), F.col("blocks")).cast("int")
+    cut = rows.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return cut.select(key, F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", *columns)
+
+
+def list_candidates(long: DataFrame, classes: DataFrame, percent: int, least_matches: int) -> DataFrame:
+    """Candidates (a, b) in long lists (token, cls, root, n_shingles, n): members of different
+    roots and like sizes whose signatures agree in enough coordinates, as a spanning set of
+    each pair of blocks. Whatever candidates there are, their ends are connected by these.
+    """
+    rows = long.withColumn("blocks", F.ceil(F.col("n") / SIGNATURE_BLOCK).cast("int")).join(_short_signatures(classes), "cls")
+    cut = _block_pairs(rows, "token", "cls", "root", "n_shingles", "sig")
+
+    def run(group: pa.Table) -> pa.Table:
+        a, b = _candidates_of(group, percent, least_matches)
+        cls = group.column("cls")
+        return pa.table({"a": cls.take(pa.array(a, pa.int64())), "b": cls.take(pa.array(b, pa.int64()))})
+
+    return cut.groupBy("token", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
+
+
+def _candidates_of(group: pa.Table, percent: int, least_matches: int) -> tuple[list, list]:
+    """Places of a spanning set of the candidates in one pair of blocks."""
+    out: tuple[list, list] = ([], [])
+    root = np.unique(np.array(group.column("root").to_pylist(), object), return_inverse=True)[1]
+    sig = group.column("sig").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDINATES)
+    size, block = group.column("n_shingles").to_numpy(), group.column("block").to_numpy()
+    left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    same = np.zeros((len(left), len(right)), np.int8)
+    for k in range(COORDINATES):
+        same += sig[left, k][:, None] == sig[right, k][None, :]
+    n, m = size[left][:, None], size[right][None, :]
+    fit = (same >= least_matches) & (root[left][:, None] != root[right][None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    label = np.arange(len(size))
+    for p, some in zip(left, fit, strict=True):
+        if some.any():
+            near = right[some]
+            for x, at in zip(*np.unique(label[near], return_index=True), strict=True):
+                if x != label[p]:
+                    out[0].append(p)
+                    out[1].append(near[at])
+                    label[label == x] = label[p]
+    return out
+
+
 def block_links(members: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
     """Links (a, b) between members (family, cls, root) of one family but different roots.
 
@@ -190,10 +249,7 @@ def block_links(members: DataFrame, texts: DataFrame, percent: int, width: int)
     group, in which intersections come from products of membership matrices.
     """
     sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    cut = members.join(sizes, "family").join(texts, "cls")
-    block = F.pmod(F.xxhash64("cls", F.lit(3)), F.col("blocks")).cast("int")
-    cut = cut.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("family", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "cls", "root", "text")
+    cut = _block_pairs(members.join(sizes, "family").join(texts, "cls"), "family", "cls", "root", "text")
 
     def run(group: pa.Table) -> pa.Table:
         a, b = _links_of(group, percent, width)
@@ -313,7 +369,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, least_ma
     pairs = stored(enough_matches(pairs, classes, least_matches), "pairs")
 
     long = open_.where(F.col("n") > SHORT_LIST)
-    families = components(long.select(F.col("hub").alias("a"), F.col("cls").alias("b")), "families").withColumnsRenamed({"node": "cls", "root": "family"})
+    families = components(list_candidates(long, classes, percent, least_matches), "families").withColumnsRenamed({"node": "cls", "root": "family"})
     members = stored(long.select("cls", "root").distinct().join(families, "cls"), "members")
 
     texts = texts_of(ends(pairs).unionByName(members.select("cls")), "other-texts")
