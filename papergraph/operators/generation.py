@@ -47,7 +47,10 @@ def _text(*parts) -> Column:
 
 
 def build_prompts(rows: DataFrame, kind: str) -> DataFrame:
-    """``rows`` with kind, system, prompt and max_tokens."""
+    """``rows`` with kind, system, prompt and max_tokens.
+
+    A checkpoint's ``text`` stands as ``section_text`` gives it, with the blank at which its cut may end.
+    """
     c, head = F.col, ("From the paper titled ", F.col("title"), ".\n\n")
     if kind == "resolve":
         prompt = _text(*head, quoted("Paragraph"), strip(c("paragraph")), END, "It belongs to section: ", filled(c("section"), F.lit("not known")), "\nObjects near it:\n", bullet_lines(c("dependencies")), "\n\n", quoted("What the reader marked"), strip(c("selection")), END, "Task: say what the marked span means here.")
@@ -56,7 +59,7 @@ def build_prompts(rows: DataFrame, kind: str) -> DataFrame:
     elif kind == "symbol":
         prompt = _text(*head, quoted("Places where the symbol stands"), F.array_join("excerpts", "\n"), END, "Task: say what this symbol stands for: ", c("label"))
     elif kind == "checkpoint":
-        prompt = _text(*head, quoted("Section"), strip(c("text")), END, "It is headed: ", c("section_label"), "\n\n", quoted("What the reader recalls"), filled(strip(c("answer")), F.lit("(nothing; show the points)")), END, "Task: compare the two.")
+        prompt = _text(*head, quoted("Section"), c("text"), END, "It is headed: ", c("section_label"), "\n\n", quoted("What the reader recalls"), filled(strip(c("answer")), F.lit("(nothing; show the points)")), END, "Task: compare the two.")
     else:
         raise ValueError(f"no prompt kind {kind}")
     return rows.withColumns({"kind": F.lit(kind), "system": F.lit(SYSTEM[kind]), "prompt": prompt, "max_tokens": F.lit(LIMITS[kind])})
