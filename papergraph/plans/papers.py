@@ -15,13 +15,17 @@ from papergraph.sources import landed, store
 from papergraph.sources.shared import shared_dir, stored
 
 
-def elements(spark, sf_dir):
-    """Elements of the derived papers, parsed once and stored."""
-    return stored(D.dom_flatten(derived.html(spark, sf_dir)), "elements")
+#: The elements that targets and occurrences are read from.
+TARGETS = ("named", "link")
 
 
-def object_elements(spark, sf_dir):
-    return stored(D.dom_flatten(derived.object_html(spark, sf_dir)), "elements")
+def elements(spark, sf_dir, *only):
+    """Elements of the derived papers (of these roles only, if any), parsed once and stored."""
+    return stored(D.dom_flatten(derived.html(spark, sf_dir), only=only), "elements")
+
+
+def object_elements(spark, sf_dir, *only):
+    return stored(D.dom_flatten(derived.object_html(spark, sf_dir), only=only), "elements")
 
 
 def scans(spark, sf_dir):
@@ -30,7 +34,7 @@ def scans(spark, sf_dir):
 
 def paper_graph(spark, sf_dir):
     """Nodes and edges of the derived papers: targets, then symbols."""
-    dom = elements(spark, sf_dir)
+    dom = elements(spark, sf_dir, *TARGETS, "math")
     found = stored(html_graph.targets(dom), "targets")
     nodes = graph.target_nodes(found)
     tex = scans(spark, sf_dir)
@@ -62,28 +66,28 @@ def cleaned_pages(spark, sf_dir):
 def annotated_papers(spark, sf_dir):
     """Stamped links and sections, rewritten images of the cleaned papers."""
     papers = derived.html(spark, sf_dir)
-    found = html_graph.targets(D.dom_flatten(papers))
+    found = html_graph.targets(D.dom_flatten(papers, only=TARGETS))
     out = D.annotate_html(papers, found)
     n = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
     return out.select("doc_id", n('data-anchor="S').alias("n_stamps"), n('loading="lazy"').alias("n_images"), n("onclick").alias("n_handlers"), n("<script").alias("n_scripts"))
 
 
 def document_headers(spark, sf_dir):
-    return html_graph.document_header(elements(spark, sf_dir))
+    return html_graph.document_header(elements(spark, sf_dir, "header"))
 
 
 def html_targets(spark, sf_dir):
-    t = html_graph.targets(elements(spark, sf_dir))
+    t = html_graph.targets(elements(spark, sf_dir, *TARGETS))
     return t.select("doc_id", F.col("ord").cast("long").alias("ord"), "anchor", "kind", "label", F.md5("excerpt").alias("excerpt_md5"), "section_label")
 
 
 def html_occurrences(spark, sf_dir):
-    dom = elements(spark, sf_dir)
+    dom = elements(spark, sf_dir, *TARGETS)
     return html_graph.occurrences(dom, html_graph.targets(dom)).select("doc_id", "section_anchor", "target_anchor", "kind")
 
 
 def math_blobs(spark, sf_dir):
-    return html_graph.math_by_section(elements(spark, sf_dir))
+    return html_graph.math_by_section(elements(spark, sf_dir, "math"))
 
 
 def enclosing_sections(spark, sf_dir):
@@ -95,36 +99,36 @@ def enclosing_sections(spark, sf_dir):
 
 def object_targets(spark, sf_dir):
     """Equations, figures, tables, theorems, footnotes, references and sections as targets."""
-    t = html_graph.targets(object_elements(spark, sf_dir))
+    t = html_graph.targets(object_elements(spark, sf_dir, *TARGETS))
     return t.select("doc_id", F.col("ord").cast("long").alias("ord"), "anchor", "kind", "label", F.md5("excerpt").alias("excerpt_md5"), F.md5("excerpt_html").alias("html_md5"), "section_label")
 
 
 def object_occurrences(spark, sf_dir):
-    dom = object_elements(spark, sf_dir)
+    dom = object_elements(spark, sf_dir, *TARGETS)
     return html_graph.occurrences(dom, html_graph.targets(dom)).select("doc_id", "section_anchor", "target_anchor", "kind")
 
 
 def object_assets(spark, sf_dir):
     """Local images of the papers with objects; absolute addresses are left out."""
-    return html_graph.asset_manifest(object_elements(spark, sf_dir), "/assets")
+    return html_graph.asset_manifest(object_elements(spark, sf_dir, "image"), "/assets")
 
 
 def object_pages(spark, sf_dir):
     """The whole cleaned page of every paper with objects, with its byline."""
     papers = stored(derived.object_html(spark, sf_dir).withColumn("byline", F.concat(F.lit("By "), "doc_id")), "papers")
-    out = D.annotate_html(papers, html_graph.targets(D.dom_flatten(papers)))
+    out = D.annotate_html(papers, html_graph.targets(D.dom_flatten(papers, only=TARGETS)))
     return out.select("doc_id", F.md5("html").alias("html_md5"), "error")
 
 
 def object_headers(spark, sf_dir):
     """Titles and authors, every second paper with a byline from elsewhere."""
     bylines = derived.table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", F.concat(F.lit("By "), "doc_id").alias("byline"))
-    return html_graph.document_header(object_elements(spark, sf_dir), bylines)
+    return html_graph.document_header(object_elements(spark, sf_dir, "header"), bylines)
 
 
 def symbol_places(spark, sf_dir):
     """Sections in whose mathematics a scanned symbol stands: y_1 in those of y_1, y_13 and so on."""
-    dom = object_elements(spark, sf_dir)
+    dom = object_elements(spark, sf_dir, "math")
     none = spark.createDataFrame([], "doc_id long, ord int, name string, body string")
     symbols = dom.where("tag = 'math'").groupBy("doc_id").agg(F.count("*").alias("count")).select("doc_id", F.lit("y_{1}").alias("token"), "count", F.lit(1).alias("ord"))
     nodes = graph.symbol_nodes(none, symbols, html_graph.math_by_section(dom))
@@ -133,14 +137,14 @@ def symbol_places(spark, sf_dir):
 
 def object_edges(spark, sf_dir):
     """Edges between the objects of each paper, with the nodes' numbers."""
-    dom = object_elements(spark, sf_dir)
+    dom = object_elements(spark, sf_dir, *TARGETS)
     found = html_graph.targets(dom)
     e = graph.resolve_edges(html_graph.occurrences(dom, found), graph.target_nodes(found))
     return e.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum("source_node_ord").alias("sources"), F.sum("target_node_ord").alias("targets"))
 
 
 def image_assets(spark, sf_dir):
-    return html_graph.asset_manifest(elements(spark, sf_dir), "/assets")
+    return html_graph.asset_manifest(elements(spark, sf_dir, "image"), "/assets")
 
 
 def tex_labels(spark, sf_dir):
@@ -243,7 +247,7 @@ def versioned_graphs(spark, sf_dir):
 def served_assets(spark, sf_dir):
     """Images of every paper joined with landed files, one of four of which is missing and whose
     contents repeat: what is served, by type, and what is missing."""
-    manifest = html_graph.asset_manifest(elements(spark, sf_dir), "/assets").select("doc_id", "path")
+    manifest = html_graph.asset_manifest(elements(spark, sf_dir, "image"), "/assets").select("doc_id", "path")
     n = F.regexp_extract("path", "([0-9]+)", 1).cast("int")
     lead = F.element_at(F.array(F.lit("89504E470D0A1A0A"), F.lit("FFD8FFE0"), F.lit("00")), (F.col("doc_id") % 3 + 1).cast("int"))
     files = manifest.where(n % 16 != 4).select("doc_id", "path", F.unhex(F.concat(lead, F.hex((n % 5).cast("string")))).alias("content"))

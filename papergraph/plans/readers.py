@@ -10,15 +10,16 @@ from papergraph.operators import dom as D
 from papergraph.operators import generation, graph, html_graph, retrieval, threads
 from papergraph.plans import derived
 from papergraph.plans.layout import LINES
-from papergraph.plans.papers import N, OBJECT_PARA, PARA, elements, object_elements
+from papergraph.plans.papers import N, OBJECT_PARA, PARA, TARGETS, elements, object_elements
 from papergraph.sources import store
 from papergraph.sources.shared import shared_dir, stored
 from papergraph.streaming import jobs
 
 
-def _papers(spark, sf_dir):
-    """Elements and section nodes of the derived papers, with three symbols each; parsed once."""
-    dom = elements(spark, sf_dir)
+def _papers(spark, sf_dir, *more):
+    """Elements and section nodes of the derived papers, with three symbols each; parsed once.
+    ``more``: the roles of the elements that the caller reads besides those that make targets."""
+    dom = elements(spark, sf_dir, *TARGETS, *more)
     nodes = graph.target_nodes(html_graph.targets(dom))
     n = dom.where("tag = 'math'").groupBy("doc_id").agg(F.count("*").alias("n"))
     one = lambda k, token, count: F.struct(F.lit(token).alias("token"), count.alias("count"), F.lit(k).alias("ord"))
@@ -47,7 +48,7 @@ def retrieved_selections(spark, sf_dir):
 
 def retrieved_symbols(spark, sf_dir):
     """Selections that are a symbol, answered by its definition; one that is defined by nothing is not."""
-    dom, _, nodes = _papers(spark, sf_dir)
+    dom, _, nodes = _papers(spark, sf_dir, "math", "paragraph")
     defined = generation.define_symbols(nodes, dom, _titles(spark, sf_dir), generation.EchoProvider)
     asked = F.explode(F.array(*[F.lit(x) for x in ("  X_0. ", "(x_1)", "x_2", "§0")])).alias("selection")
     requests = derived.table(spark, sf_dir, "documents").select("doc_id", asked).select(F.concat_ws("|", "doc_id", "selection").alias("request_id"), "doc_id", "selection")
@@ -67,7 +68,7 @@ def resolve_prompts(spark, sf_dir):
 
 
 def section_texts(spark, sf_dir):
-    dom, _, _ = _papers(spark, sf_dir)
+    dom = elements(spark, sf_dir, "named")
     return retrieval.section_text(_requests(spark, sf_dir).select("request_id", "doc_id", "anchor"), dom).select("request_id", F.md5("text").alias("text_md5"))
 
 
@@ -79,13 +80,13 @@ def selection_contexts(spark, sf_dir):
 
 
 def equation_contexts(spark, sf_dir):
-    dom, _, _ = _papers(spark, sf_dir)
+    dom = elements(spark, sf_dir, "named")
     return retrieval.equation_context(_requests(spark, sf_dir).select("request_id", "doc_id", "anchor"), dom).select("request_id", "latex")
 
 
 def object_equation_contexts(spark, sf_dir):
     """Every equation's LaTeX, section text and symbols, and the prompt made of them."""
-    dom = object_elements(spark, sf_dir)
+    dom = object_elements(spark, sf_dir, "named")
     asked = derived.lines(spark, sf_dir).where("i % 6 = 1").select(F.concat_ws(":", "doc_id", "i").alias("request_id"), "doc_id", F.concat(F.lit("S"), "i", F.lit(".E1")).alias("anchor"))
     found = retrieval.equation_context(asked, dom)
     prompts = generation.build_prompts(found.join(_titles(spark, sf_dir), "doc_id"), "equation")
@@ -94,7 +95,7 @@ def object_equation_contexts(spark, sf_dir):
 
 def symbol_paragraphs(spark, sf_dir):
     """Paragraphs in which x_1 stands: x_1, x_10 to x_19 and so on, four at most, and the prompt made of them."""
-    dom, _, _ = _papers(spark, sf_dir)
+    dom, _, _ = _papers(spark, sf_dir, "math", "paragraph")
     asked = dom.select("doc_id").distinct().select("doc_id", F.lit("x_1").alias("label"))
     found = retrieval.symbol_excerpts(asked, dom)
     prompts = generation.build_prompts(found.join(_titles(spark, sf_dir), "doc_id"), "symbol")
@@ -103,21 +104,21 @@ def symbol_paragraphs(spark, sf_dir):
 
 def checkpoint_prompts(spark, sf_dir):
     """Prompts about every section, with a recall for every second one."""
-    dom, _, _ = _papers(spark, sf_dir)
+    dom = elements(spark, sf_dir, "named")
     asked = _requests(spark, sf_dir).withColumn("section_label", F.concat(F.lit("§"), F.substring("anchor", 2, 9))).withColumn("answer", F.when(F.col("selection").startswith("phrase"), F.col("selection")).otherwise(F.lit(" ")))
     rows = retrieval.section_text(asked.select("request_id", "doc_id", "anchor", "section_label", "answer"), dom)
     return generation.build_prompts(rows.join(_titles(spark, sf_dir), "doc_id"), "checkpoint").select("request_id", F.md5("prompt").alias("prompt_md5"), "max_tokens")
 
 
 def notation(spark, sf_dir):
-    _, _, nodes = _papers(spark, sf_dir)
+    _, _, nodes = _papers(spark, sf_dir, "math")
     seen = _titles(spark, sf_dir).select("doc_id", F.array(F.lit("S0")).alias("sections"))
     return retrieval.notation_sheet(nodes, seen).select("doc_id", "label", F.col("place").cast("long").alias("place"), F.col("data.count").alias("n"))
 
 
 def defined_symbols(spark, sf_dir):
     """Symbols with the stand-in provider's definitions."""
-    dom, _, nodes = _papers(spark, sf_dir)
+    dom, _, nodes = _papers(spark, sf_dir, "math", "paragraph")
     out = generation.define_symbols(nodes, dom, _titles(spark, sf_dir), generation.EchoProvider)
     return out.where("kind = 'symbol'").select("doc_id", "label", F.col("data.definition_status").alias("status"), "excerpt")
 
@@ -272,8 +273,7 @@ def streamed_ingest(spark, sf_dir):
     folder = _folder(spark, "ingest")
 
     def build(papers):
-        li = papers.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
-        dom = stored(D.dom_flatten(derived.html_of(li)), "ingested")
+        dom = stored(D.dom_flatten(derived.html_of(papers.select("doc_id", "text")), only=TARGETS), "ingested")
         found = html_graph.targets(dom)
         nodes = graph.target_nodes(found)
         return nodes, graph.resolve_edges(html_graph.occurrences(dom, found), nodes)
