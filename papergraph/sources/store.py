@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LOG = "version long, run string, batch long, segment string, tables array<string>, replaces array<string>"
@@ -117,18 +117,15 @@ class Graph:
     def _marked(self) -> DataFrame | None:
         """Every version of every document, with the newest one's number."""
         rows = self.at.table("documents")
-        if rows is None:
-            return None
-        newest = rows.groupBy("doc_id").agg(F.max("version").alias("newest"))
-        return rows.join(newest, "doc_id")
+        return None if rows is None else rows.withColumn("newest", F.max("version").over(Window.partitionBy("doc_id")))
 
     def _current(self, name: str) -> DataFrame | None:
         rows = self.at.table(name)
         if rows is None:
             return None
-        # few documents are written again between compactions, so the large side need not move
+        # sorted ids take next to no bytes in a file: by its size Spark would send millions of them through the driver
         old = self._marked.where("version < newest").select("doc_id", "version")
-        return rows.join(old, ["doc_id", "version"], "left_anti")
+        return rows.join(old.hint("merge"), ["doc_id", "version"], "left_anti")
 
     @property
     def documents(self) -> DataFrame | None:
@@ -164,7 +161,7 @@ def delete_from_graph(ids: DataFrame, path: str, run: str | None = None, batch:
     known = read_graph(spark, path).documents
     if known is None:
         return None
-    gone = known.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "doc_key", F.lit("deleted").alias("status"))
+    gone = known.join(ids.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select("doc_id", "doc_key", F.lit("deleted").alias("status"))
     return commit(spark, path, {"documents": gone}, run, batch)
 
 
