@@ -232,10 +232,10 @@ def main_sources(spark, sf_dir):
 
 def inlined_sources(spark, sf_dir):
     """Trees whose main file inputs every fourth line's file, and each file the next line's."""
-    li = derived.lines(spark, sf_dir).withColumn("line", F.regexp_replace("line", r"[^A-Za-z ]", ""))
+    li = derived.lines(spark, sf_dir).withColumn("line", F.regexp_replace("line", derived.NO_LETTERS, ""))
     n = li.groupBy("doc_id").agg(F.max("i").alias("n"))
     more = F.when((F.col("i") < F.col("n")) & (F.col("i") % 4 < 3), F.concat(F.lit("\\input{f"), F.col("i") + 1, F.lit("}"))).otherwise("")
-    files = li.join(n, "doc_id").select("doc_id", F.concat(F.lit("f"), "i", F.lit(".tex")).alias("path"), F.concat("line", more).alias("text"))
+    files = stored(li.join(n, "doc_id").select("doc_id", F.concat(F.lit("f"), "i", F.lit(".tex")).alias("path"), F.concat("line", more).alias("text")), "files")
     starts = F.transform(F.sequence(F.lit(0), F.col("n"), F.lit(4)), lambda k: F.concat(F.lit("\\input{f"), k, F.lit("}")))
     main = n.select("doc_id", F.lit("main.tex").alias("path"), F.concat(F.lit("A "), F.array_join(starts, ""), F.lit(" \\include{missing} B")).alias("text"))
     return landed.inline_inputs(files, main).select("doc_id", F.md5("tex").alias("tex_md5"))

@@ -59,9 +59,9 @@ def inline_inputs(files: DataFrame, main: DataFrame, depth: int = 5) -> DataFram
         live = now.where(again)
         if turn and live.isEmpty():
             break
-        gaps, whole, names = F.split("tex", command, -1), F.regexp_extract_all("tex", F.lit(command), F.lit(0)), F.regexp_extract_all("tex", F.lit(command), F.lit(1))
-        pieces = F.transform(gaps, lambda g, i: F.struct(g.alias("gap"), F.get(whole, i).alias("typed"), strip(F.get(names, i)).alias("name")))  # noqa: B023
-        rows = live.select("doc_id", F.posexplode(pieces).alias("at", "p")).select("doc_id", "at", "p.*")
+        gaps, whole = F.split("tex", command, -1), F.regexp_extract_all("tex", F.lit(command), F.lit(0))
+        rows = live.select("doc_id", F.posexplode(F.arrays_zip(gaps.alias("gap"), whole.alias("typed"))).alias("at", "p")).select("doc_id", "at", "p.*")
+        rows = rows.withColumn("name", strip(F.regexp_extract("typed", command, 1)))
         asked = F.when((F.col("name") == "") | F.col("name").startswith("#"), F.lit(None)).when(F.col("name").rlike(r"\.[A-Za-z]+$"), F.col("name")).otherwise(F.concat("name", F.lit(".tex")))
         found = rows.withColumn("name", asked).join(named, ["doc_id", "name"], "left")
         piece = F.concat("gap", F.coalesce("insert", "typed", F.lit("")))
