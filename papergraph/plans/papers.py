@@ -15,7 +15,8 @@ from papergraph.sources import landed, store
 from papergraph.sources.shared import shared_dir, stored
 
 
-#: The elements that targets and occurrences are read from.
+#: The elements that targets are read from, and those that occurrences are too.
+NAMED = ("named",)
 TARGETS = ("named", "link")
 
 
@@ -66,7 +67,7 @@ def cleaned_pages(spark, sf_dir):
 def annotated_papers(spark, sf_dir):
     """Stamped links and sections, rewritten images of the cleaned papers."""
     papers = derived.html(spark, sf_dir)
-    found = html_graph.targets(D.dom_flatten(papers, only=TARGETS))
+    found = html_graph.targets(D.dom_flatten(papers, only=NAMED))
     out = D.annotate_html(papers, found)
     n = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
     return out.select("doc_id", n('data-anchor="S').alias("n_stamps"), n('loading="lazy"').alias("n_images"), n("onclick").alias("n_handlers"), n("<script").alias("n_scripts"))
@@ -77,7 +78,7 @@ def document_headers(spark, sf_dir):
 
 
 def html_targets(spark, sf_dir):
-    t = html_graph.targets(elements(spark, sf_dir, *TARGETS))
+    t = html_graph.targets(D.dom_flatten(derived.html(spark, sf_dir), only=NAMED))
     return t.select("doc_id", F.col("ord").cast("long").alias("ord"), "anchor", "kind", "label", F.md5("excerpt").alias("excerpt_md5"), "section_label")
 
 
@@ -99,7 +100,7 @@ def enclosing_sections(spark, sf_dir):
 
 def object_targets(spark, sf_dir):
     """Equations, figures, tables, theorems, footnotes, references and sections as targets."""
-    t = html_graph.targets(object_elements(spark, sf_dir, *TARGETS))
+    t = html_graph.targets(D.dom_flatten(derived.object_html(spark, sf_dir), only=NAMED))
     return t.select("doc_id", F.col("ord").cast("long").alias("ord"), "anchor", "kind", "label", F.md5("excerpt").alias("excerpt_md5"), F.md5("excerpt_html").alias("html_md5"), "section_label")
 
 
@@ -115,8 +116,8 @@ def object_assets(spark, sf_dir):
 
 def object_pages(spark, sf_dir):
     """The whole cleaned page of every paper with objects, with its byline."""
-    papers = stored(derived.object_html(spark, sf_dir).withColumn("byline", F.concat(F.lit("By "), "doc_id")), "papers")
-    out = D.annotate_html(papers, html_graph.targets(D.dom_flatten(papers, only=TARGETS)))
+    papers = derived.object_html(spark, sf_dir).withColumn("byline", F.concat(F.lit("By "), "doc_id"))
+    out = D.annotate_html(papers, html_graph.targets(D.dom_flatten(papers, only=NAMED)))
     return out.select("doc_id", F.md5("html").alias("html_md5"), "error")
 
 

@@ -10,7 +10,7 @@ from papergraph.operators import dom as D
 from papergraph.operators import generation, graph, html_graph, retrieval, threads
 from papergraph.plans import derived
 from papergraph.plans.layout import LINES
-from papergraph.plans.papers import N, OBJECT_PARA, PARA, TARGETS, elements, object_elements
+from papergraph.plans.papers import N, NAMED, OBJECT_PARA, PARA, TARGETS, elements, object_elements
 from papergraph.sources import store
 from papergraph.sources.shared import shared_dir, stored
 from papergraph.streaming import jobs
@@ -19,7 +19,7 @@ from papergraph.streaming import jobs
 def _papers(spark, sf_dir, *more):
     """Elements and section nodes of the derived papers, with three symbols each; parsed once.
     ``more``: the roles of the elements that the caller reads besides those that make targets."""
-    dom = elements(spark, sf_dir, *TARGETS, *more)
+    dom = elements(spark, sf_dir, *NAMED, *more)
     nodes = graph.target_nodes(html_graph.targets(dom))
     n = dom.where("tag = 'math'").groupBy("doc_id").agg(F.count("*").alias("n"))
     one = lambda k, token, count: F.struct(F.lit(token).alias("token"), count.alias("count"), F.lit(k).alias("ord"))
