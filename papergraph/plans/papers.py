@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from papergraph.operators import dom as D
 from papergraph.operators import graph, html_graph, latex
+from papergraph.operators.html_graph import LINK_COLUMNS, MATH_COLUMNS, TARGET_COLUMNS
 from papergraph.plans import derived
 from papergraph.plans.derived import TEX_HEAD, TEX_PART, TEX_TAIL
 from papergraph.plans.layout import LINES
@@ -20,13 +21,18 @@ NAMED = ("named",)
 TARGETS = ("named", "link")
 
 
-def elements(spark, sf_dir, *only):
-    """Elements of the derived papers (of these roles only, if any), parsed once and stored."""
-    return stored(D.dom_flatten(derived.html(spark, sf_dir), only=only), "elements")
+def elements(spark, sf_dir, *only, columns=()):
+    """Elements of the derived papers (of these roles and columns only, if any), parsed once and stored."""
+    return stored(D.dom_flatten(derived.html(spark, sf_dir), only=only, columns=columns), "elements")
 
 
-def object_elements(spark, sf_dir, *only):
-    return stored(D.dom_flatten(derived.object_html(spark, sf_dir), only=only), "elements")
+def object_elements(spark, sf_dir, *only, columns=()):
+    return stored(D.dom_flatten(derived.object_html(spark, sf_dir), only=only, columns=columns), "elements")
+
+
+def found_targets(papers):
+    """Targets of papers that are read once, so that nothing is stored."""
+    return html_graph.targets(D.dom_flatten(papers, only=NAMED, columns=TARGET_COLUMNS))
 
 
 def scans(spark, sf_dir):
@@ -35,7 +41,7 @@ def scans(spark, sf_dir):
 
 def paper_graph(spark, sf_dir):
     """Nodes and edges of the derived papers: targets, then symbols."""
-    dom = elements(spark, sf_dir, *TARGETS, "math")
+    dom = elements(spark, sf_dir, *TARGETS, "math", columns=(*TARGET_COLUMNS, *LINK_COLUMNS, *MATH_COLUMNS))
     found = stored(html_graph.targets(dom), "targets")
     nodes = graph.target_nodes(found)
     tex = scans(spark, sf_dir)
@@ -67,7 +73,7 @@ def cleaned_pages(spark, sf_dir):
 def annotated_papers(spark, sf_dir):
     """Stamped links and sections, rewritten images of the cleaned papers."""
     papers = derived.html(spark, sf_dir)
-    found = html_graph.targets(D.dom_flatten(papers, only=NAMED))
+    found = found_targets(papers)
     out = D.annotate_html(papers, found)
     n = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
     return out.select("doc_id", n('data-anchor="S').alias("n_stamps"), n('loading="lazy"').alias("n_images"), n("onclick").alias("n_handlers"), n("<script").alias("n_scripts"))
@@ -78,12 +84,12 @@ def document_headers(spark, sf_dir):
 
 
 def html_targets(spark, sf_dir):
-    t = html_graph.targets(D.dom_flatten(derived.html(spark, sf_dir), only=NAMED))
+    t = found_targets(derived.html(spark, sf_dir))
     return t.select("doc_id", F.col("ord").cast("long").alias("ord"), "anchor", "kind", "label", F.md5("excerpt").alias("excerpt_md5"), "section_label")
 
 
 def html_occurrences(spark, sf_dir):
-    dom = elements(spark, sf_dir, *TARGETS)
+    dom = elements(spark, sf_dir, *TARGETS, columns=(*TARGET_COLUMNS, *LINK_COLUMNS))
     return html_graph.occurrences(dom, html_graph.targets(dom)).select("doc_id", "section_anchor", "target_anchor", "kind")
 
 
@@ -93,31 +99,32 @@ def math_blobs(spark, sf_dir):
 
 def enclosing_sections(spark, sf_dir):
     """Elements whose section the parser's stack and the sweep name alike."""
-    dom = elements(spark, sf_dir)
+    dom = elements(spark, sf_dir, columns=("pos", "end_pos", "id", "classes", "section_anchor"))
     both = dom.select("doc_id", "pos", "section_anchor").join(html_graph.enclosing_sections_by_sweep(dom).withColumnRenamed("section_anchor", "joined"), ["doc_id", "pos"])
     return both.groupBy("doc_id").agg(F.count_if(F.col("section_anchor") != F.col("joined")).alias("n_different"))
 
 
 def object_targets(spark, sf_dir):
     """Equations, figures, tables, theorems, footnotes, references and sections as targets."""
-    t = html_graph.targets(D.dom_flatten(derived.object_html(spark, sf_dir), only=NAMED))
+    t = found_targets(derived.object_html(spark, sf_dir))
     return t.select("doc_id", F.col("ord").cast("long").alias("ord"), "anchor", "kind", "label", F.md5("excerpt").alias("excerpt_md5"), F.md5("excerpt_html").alias("html_md5"), "section_label")
 
 
 def object_occurrences(spark, sf_dir):
-    dom = object_elements(spark, sf_dir, *TARGETS)
+    dom = object_elements(spark, sf_dir, *TARGETS, columns=(*TARGET_COLUMNS, *LINK_COLUMNS))
     return html_graph.occurrences(dom, html_graph.targets(dom)).select("doc_id", "section_anchor", "target_anchor", "kind")
 
 
 def object_assets(spark, sf_dir):
     """Local images of the papers with objects; absolute addresses are left out."""
-    return html_graph.asset_manifest(object_elements(spark, sf_dir, "image"), "/assets")
+    images = D.dom_flatten(derived.object_html(spark, sf_dir), only=("image",), columns=("tag", "src", "hidden"))
+    return html_graph.asset_manifest(images, "/assets")
 
 
 def object_pages(spark, sf_dir):
     """The whole cleaned page of every paper with objects, with its byline."""
     papers = derived.object_html(spark, sf_dir).withColumn("byline", F.concat(F.lit("By "), "doc_id"))
-    out = D.annotate_html(papers, html_graph.targets(D.dom_flatten(papers, only=NAMED)))
+    out = D.annotate_html(papers, found_targets(papers))
     return out.select("doc_id", F.md5("html").alias("html_md5"), "error")
 
 
@@ -138,7 +145,7 @@ def symbol_places(spark, sf_dir):
 
 def object_edges(spark, sf_dir):
     """Edges between the objects of each paper, with the nodes' numbers."""
-    dom = object_elements(spark, sf_dir, *TARGETS)
+    dom = object_elements(spark, sf_dir, *TARGETS, columns=(*TARGET_COLUMNS, *LINK_COLUMNS))
     found = html_graph.targets(dom)
     e = graph.resolve_edges(html_graph.occurrences(dom, found), graph.target_nodes(found))
     return e.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum("source_node_ord").alias("sources"), F.sum("target_node_ord").alias("targets"))

@@ -80,13 +80,13 @@ def selection_contexts(spark, sf_dir):
 
 
 def equation_contexts(spark, sf_dir):
-    dom = elements(spark, sf_dir, "named")
+    dom = elements(spark, sf_dir, "named", columns=retrieval.EQUATION_COLUMNS)
     return retrieval.equation_context(_requests(spark, sf_dir).select("request_id", "doc_id", "anchor"), dom).select("request_id", "latex")
 
 
 def object_equation_contexts(spark, sf_dir):
     """Every equation's LaTeX, section text and symbols, and the prompt made of them."""
-    dom = object_elements(spark, sf_dir, "named")
+    dom = object_elements(spark, sf_dir, "named", columns=retrieval.EQUATION_COLUMNS)
     asked = derived.lines(spark, sf_dir).where("i % 6 = 1").select(F.concat_ws(":", "doc_id", "i").alias("request_id"), "doc_id", F.concat(F.lit("S"), "i", F.lit(".E1")).alias("anchor"))
     found = retrieval.equation_context(asked, dom)
     prompts = generation.build_prompts(found.join(_titles(spark, sf_dir), "doc_id"), "equation")
