@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from papergraph.functions.text import collapse, filled, or_empty, strip
 from papergraph.operators.retrieval import retrieve_selections, symbol_excerpts
-from papergraph.sources.shared import shared_dir
+from papergraph.sources.shared import shared_dir, stored
 from papergraph.sources.store import commit, compact, snapshot
 
 # The reply that means "can't tell", the marks of a point, and the output limits by kind.
@@ -199,16 +199,21 @@ def define_symbols(nodes: DataFrame, dom: DataFrame, docs: DataFrame, provider:
     """
     if not provider().is_configured():
         return nodes
-    open_ = nodes.where("kind = 'symbol'").where(~F.coalesce("data.definition_status", F.lit("")).isin("grounded", "inferred", "undefined"))
+    settled = F.coalesce("data.definition_status", F.lit("")).isin("grounded", "inferred", "undefined")
+    # what is read several times is stored: the symbols, and the open ones with their excerpts
+    symbols = stored(nodes.where("kind = 'symbol'"), "symbols")
+    open_ = symbols.where(~settled)
     asked = open_.select("doc_id", "node_ord", "label").join(symbol_excerpts(open_.select("doc_id", "label").distinct(), dom), ["doc_id", "label"], "left")
+    asked = stored(asked, "symbol_excerpts")
     replies = generate(build_prompts(asked.where("excerpts is not null").join(docs.select("doc_id", "title"), "doc_id"), "symbol"), provider, tasks, store)
     text = without_thoughts(F.col("reply"))
     none = (text == "") | is_abstention(text) | F.lower(text).contains("not explicitly defined")
     known = replies.where("error is null").select("doc_id", "node_ord", F.when(none, "undefined").otherwise("grounded").alias("new"), F.when(none, "").otherwise(text).alias("meaning"))
     silent = asked.where("excerpts is null").select("doc_id", "node_ord", F.lit("undefined").alias("new"), F.lit("").alias("meaning"))
-    out = nodes.join(known.unionByName(silent), ["doc_id", "node_ord"], "left")
+    out = open_.join(known.unionByName(silent), ["doc_id", "node_ord"], "left")
     status = F.coalesce("new", "data.definition_status")
-    return out.withColumn("excerpt", F.when(F.col("new") == "grounded", F.col("meaning")).otherwise(F.col("excerpt"))).withColumn("data", F.col("data").withField("definition_status", status)).select(*nodes.columns)
+    out = out.withColumn("excerpt", F.when(F.col("new") == "grounded", F.col("meaning")).otherwise(F.col("excerpt"))).withColumn("data", F.col("data").withField("definition_status", status)).select(*nodes.columns)
+    return nodes.where("kind is null or kind != 'symbol'").unionByName(symbols.where(settled)).unionByName(out)
 
 
 def parse_checkpoints(replies: DataFrame) -> tuple[DataFrame, DataFrame]:

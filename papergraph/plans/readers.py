@@ -8,24 +8,31 @@ from pyspark.sql import functions as F
 
 from papergraph.operators import dom as D
 from papergraph.operators import generation, graph, html_graph, retrieval, threads
+from papergraph.operators.html_graph import MATH_COLUMNS, TARGET_COLUMNS
 from papergraph.plans import derived
 from papergraph.plans.layout import LINES
-from papergraph.plans.papers import N, NAMED, OBJECT_PARA, PARA, TARGETS, elements, object_elements
+from papergraph.plans.papers import N, NAMED, OBJECT_PARA, PARA, TARGETS, elements, found_targets, object_elements
 from papergraph.sources import store
 from papergraph.sources.shared import shared_dir, stored
 from papergraph.streaming import jobs
 
 
+def _section_nodes(spark, sf_dir):
+    """Section nodes of the derived papers, for callers that read them once."""
+    return graph.target_nodes(found_targets(derived.html(spark, sf_dir)))
+
+
 def _papers(spark, sf_dir, *more):
     """Elements and section nodes of the derived papers, with three symbols each; parsed once.
-    ``more``: the roles of the elements that the caller reads besides those that make targets."""
-    dom = elements(spark, sf_dir, *NAMED, *more)
+    ``more``: the roles of the elements that the caller reads besides mathematics and those that make targets."""
+    columns = (*TARGET_COLUMNS, *MATH_COLUMNS, *(retrieval.EXCERPT_COLUMNS if "paragraph" in more else ()))
+    dom = elements(spark, sf_dir, *NAMED, "math", *more, columns=columns)
     nodes = graph.target_nodes(html_graph.targets(dom))
     n = dom.where("tag = 'math'").groupBy("doc_id").agg(F.count("*").alias("n"))
     one = lambda k, token, count: F.struct(F.lit(token).alias("token"), count.alias("count"), F.lit(k).alias("ord"))
     symbols = n.select("doc_id", F.explode(F.array(one(1, "x_0", F.col("n")), one(2, "x_1", F.col("n")), one(3, "x", F.col("n") * 2))).alias("s")).select("doc_id", "s.*")
     none = spark.createDataFrame([], "doc_id long, ord int, name string, body string")
-    return dom, nodes, nodes.unionByName(graph.symbol_nodes(none, symbols, html_graph.math_by_section(dom), nodes))
+    return dom, nodes.unionByName(graph.symbol_nodes(none, symbols, html_graph.math_by_section(dom), nodes))
 
 
 def _requests(spark, sf_dir):
@@ -42,13 +49,13 @@ def _titles(spark, sf_dir):
 
 
 def retrieved_selections(spark, sf_dir):
-    _, nodes, _ = _papers(spark, sf_dir)
+    nodes = _section_nodes(spark, sf_dir)
     return retrieval.retrieve_selections(_requests(spark, sf_dir), nodes).select("request_id", "label", "anchor", "section_label")
 
 
 def retrieved_symbols(spark, sf_dir):
     """Selections that are a symbol, answered by its definition; one that is defined by nothing is not."""
-    dom, _, nodes = _papers(spark, sf_dir, "math", "paragraph")
+    dom, nodes = _papers(spark, sf_dir, "paragraph")
     defined = generation.define_symbols(nodes, dom, _titles(spark, sf_dir), generation.EchoProvider)
     asked = F.explode(F.array(*[F.lit(x) for x in ("  X_0. ", "(x_1)", "x_2", "§0")])).alias("selection")
     requests = derived.table(spark, sf_dir, "documents").select("doc_id", asked).select(F.concat_ws("|", "doc_id", "selection").alias("request_id"), "doc_id", "selection")
@@ -57,7 +64,7 @@ def retrieved_symbols(spark, sf_dir):
 
 def resolved_requests(spark, sf_dir):
     """The cascade with a stand-in provider: what the graph knows is never sent."""
-    _, nodes, _ = _papers(spark, sf_dir)
+    nodes = graph.target_nodes(stored(found_targets(derived.html(spark, sf_dir)), "targets"))
     out = generation.resolve(_requests(spark, sf_dir), nodes, _titles(spark, sf_dir), generation.EchoProvider)
     return out.select("request_id", "mode", F.md5("content").alias("content_md5"), "label", "anchor", "section_label")
 
@@ -73,7 +80,7 @@ def section_texts(spark, sf_dir):
 
 
 def selection_contexts(spark, sf_dir):
-    _, nodes, _ = _papers(spark, sf_dir)
+    nodes = _section_nodes(spark, sf_dir)
     i = F.regexp_extract("anchor", r"(\d+)", 1).cast("int")
     asked = _requests(spark, sf_dir).select("request_id", "doc_id", "selection", "paragraph", F.col("anchor").alias("section_anchor"), F.array(F.concat(F.lit("S"), i - 1), F.col("anchor"), F.lit("nowhere")).alias("anchors"))
     return retrieval.selection_context(asked, nodes).select("request_id", "section", F.md5(F.array_join("dependencies", "|")).alias("dependencies_md5"))
@@ -95,7 +102,7 @@ def object_equation_contexts(spark, sf_dir):
 
 def symbol_paragraphs(spark, sf_dir):
     """Paragraphs in which x_1 stands: x_1, x_10 to x_19 and so on, four at most, and the prompt made of them."""
-    dom, _, _ = _papers(spark, sf_dir, "math", "paragraph")
+    dom = elements(spark, sf_dir, "math", "paragraph", columns=(*MATH_COLUMNS, *retrieval.EXCERPT_COLUMNS))
     asked = dom.select("doc_id").distinct().select("doc_id", F.lit("x_1").alias("label"))
     found = retrieval.symbol_excerpts(asked, dom)
     prompts = generation.build_prompts(found.join(_titles(spark, sf_dir), "doc_id"), "symbol")
@@ -111,14 +118,14 @@ def checkpoint_prompts(spark, sf_dir):
 
 
 def notation(spark, sf_dir):
-    _, _, nodes = _papers(spark, sf_dir, "math")
+    _, nodes = _papers(spark, sf_dir)
     seen = _titles(spark, sf_dir).select("doc_id", F.array(F.lit("S0")).alias("sections"))
     return retrieval.notation_sheet(nodes, seen).select("doc_id", "label", F.col("place").cast("long").alias("place"), F.col("data.count").alias("n"))
 
 
 def defined_symbols(spark, sf_dir):
     """Symbols with the stand-in provider's definitions."""
-    dom, _, nodes = _papers(spark, sf_dir, "math", "paragraph")
+    dom, nodes = _papers(spark, sf_dir, "paragraph")
     out = generation.define_symbols(nodes, dom, _titles(spark, sf_dir), generation.EchoProvider)
     return out.where("kind = 'symbol'").select("doc_id", "label", F.col("data.definition_status").alias("status"), "excerpt")
 
