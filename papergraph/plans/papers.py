@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from papergraph.operators import dom as D
 from papergraph.operators import graph, html_graph, latex
-from papergraph.operators.html_graph import LINK_COLUMNS, MATH_COLUMNS, TARGET_COLUMNS
+from papergraph.operators.html_graph import EDGE_COLUMNS, LINK_COLUMNS, MATH_COLUMNS, TARGET_COLUMNS
 from papergraph.plans import derived
 from papergraph.plans.derived import TEX_HEAD, TEX_PART, TEX_TAIL
 from papergraph.plans.layout import LINES
@@ -35,19 +35,27 @@ def found_targets(papers):
     return html_graph.targets(D.dom_flatten(papers, only=NAMED, columns=TARGET_COLUMNS))
 
 
+def found_occurrences(papers):
+    return html_graph.occurrences(D.dom_flatten(papers, only=("link",), columns=LINK_COLUMNS))
+
+
+def found_edges(papers):
+    return html_graph.edges(D.dom_flatten(papers, only=TARGETS, columns=EDGE_COLUMNS))
+
+
 def scans(spark, sf_dir):
     return latex.sources(derived.tex(spark, sf_dir), "text")
 
 
 def paper_graph(spark, sf_dir):
     """Nodes and edges of the derived papers: targets, then symbols."""
-    dom = elements(spark, sf_dir, *TARGETS, "math", columns=(*TARGET_COLUMNS, *LINK_COLUMNS, *MATH_COLUMNS))
+    dom = elements(spark, sf_dir, *TARGETS, "math", columns=(*TARGET_COLUMNS, *EDGE_COLUMNS, *MATH_COLUMNS))
     found = stored(html_graph.targets(dom), "targets")
     nodes = graph.target_nodes(found)
     tex = scans(spark, sf_dir)
     symbols = graph.symbol_nodes(latex.macros(tex), latex.symbols(tex), html_graph.math_by_section(dom), nodes.select("doc_id", "node_ord"))
     nodes = nodes.unionByName(symbols)
-    return dom, nodes, graph.resolve_edges(html_graph.occurrences(dom, found), nodes)
+    return dom, nodes, html_graph.edges(dom)
 
 
 def html_elements(spark, sf_dir):
@@ -89,8 +97,7 @@ def html_targets(spark, sf_dir):
 
 
 def html_occurrences(spark, sf_dir):
-    dom = elements(spark, sf_dir, *TARGETS, columns=(*TARGET_COLUMNS, *LINK_COLUMNS))
-    return html_graph.occurrences(dom, html_graph.targets(dom)).select("doc_id", "section_anchor", "target_anchor", "kind")
+    return found_occurrences(derived.html(spark, sf_dir)).select("doc_id", "section_anchor", "target_anchor", "kind")
 
 
 def math_blobs(spark, sf_dir):
@@ -111,8 +118,7 @@ def object_targets(spark, sf_dir):
 
 
 def object_occurrences(spark, sf_dir):
-    dom = object_elements(spark, sf_dir, *TARGETS, columns=(*TARGET_COLUMNS, *LINK_COLUMNS))
-    return html_graph.occurrences(dom, html_graph.targets(dom)).select("doc_id", "section_anchor", "target_anchor", "kind")
+    return found_occurrences(derived.object_html(spark, sf_dir)).select("doc_id", "section_anchor", "target_anchor", "kind")
 
 
 def object_assets(spark, sf_dir):
@@ -145,9 +151,7 @@ def symbol_places(spark, sf_dir):
 
 def object_edges(spark, sf_dir):
     """Edges between the objects of each paper, with the nodes' numbers."""
-    dom = object_elements(spark, sf_dir, *TARGETS, columns=(*TARGET_COLUMNS, *LINK_COLUMNS))
-    found = html_graph.targets(dom)
-    e = graph.resolve_edges(html_graph.occurrences(dom, found), graph.target_nodes(found))
+    e = found_edges(derived.object_html(spark, sf_dir))
     return e.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum("source_node_ord").alias("sources"), F.sum("target_node_ord").alias("targets"))
 
 
@@ -194,7 +198,7 @@ def graph_nodes(spark, sf_dir):
 
 
 def graph_edges(spark, sf_dir):
-    return paper_graph(spark, sf_dir)[2].select("doc_id", "source_anchor", "target_anchor", "kind", "source_node_ord", "target_node_ord")
+    return found_edges(derived.html(spark, sf_dir)).select("doc_id", "source_anchor", "target_anchor", "kind", "source_node_ord", "target_node_ord")
 
 
 def graph_counts(spark, sf_dir):
