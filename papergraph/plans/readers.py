@@ -11,7 +11,7 @@ from papergraph.operators import generation, graph, html_graph, retrieval, threa
 from papergraph.operators.html_graph import MATH_COLUMNS, TARGET_COLUMNS
 from papergraph.plans import derived
 from papergraph.plans.layout import LINES
-from papergraph.plans.papers import N, NAMED, OBJECT_PARA, PARA, TARGETS, elements, found_targets, object_elements
+from papergraph.plans.papers import N, NAMED, OBJECT_PARA, PARA, TARGETS, elements, found_targets
 from papergraph.sources import store
 from papergraph.sources.shared import shared_dir, stored
 from papergraph.streaming import jobs
@@ -87,16 +87,17 @@ def selection_contexts(spark, sf_dir):
 
 
 def equation_contexts(spark, sf_dir):
-    dom = elements(spark, sf_dir, "named", columns=retrieval.EQUATION_COLUMNS)
+    dom = D.dom_flatten(derived.html(spark, sf_dir), only=NAMED, columns=retrieval.EQUATION_COLUMNS)
     return retrieval.equation_context(_requests(spark, sf_dir).select("request_id", "doc_id", "anchor"), dom).select("request_id", "latex")
 
 
 def object_equation_contexts(spark, sf_dir):
     """Every equation's LaTeX, section text and symbols, and the prompt made of them."""
-    dom = object_elements(spark, sf_dir, "named", columns=retrieval.EQUATION_COLUMNS)
+    dom = D.dom_flatten(derived.object_html(spark, sf_dir), only=("equation",), columns=retrieval.EQUATION_COLUMNS)
     asked = derived.lines(spark, sf_dir).where("i % 6 = 1").select(F.concat_ws(":", "doc_id", "i").alias("request_id"), "doc_id", F.concat(F.lit("S"), "i", F.lit(".E1")).alias("anchor"))
-    found = retrieval.equation_context(asked, dom)
-    prompts = generation.build_prompts(found.join(_titles(spark, sf_dir), "doc_id"), "equation")
+    # the titles come first, so that the texts are shuffled once
+    found = retrieval.equation_context(asked.join(_titles(spark, sf_dir), "doc_id"), dom)
+    prompts = generation.build_prompts(found, "equation")
     return prompts.select("request_id", "latex", F.md5("context").alias("context_md5"), F.array_join("symbols", ",").alias("symbols"), F.md5("prompt").alias("prompt_md5"))
 
 
@@ -281,9 +282,7 @@ def streamed_ingest(spark, sf_dir):
 
     def build(papers):
         dom = stored(D.dom_flatten(derived.html_of(papers.select("doc_id", "text")), only=TARGETS), "ingested")
-        found = html_graph.targets(dom)
-        nodes = graph.target_nodes(found)
-        return nodes, graph.resolve_edges(html_graph.occurrences(dom, found), nodes)
+        return graph.target_nodes(html_graph.targets(dom)), html_graph.edges(dom)
 
     for run in range(2):
         some = "text is not null" if run else "text is not null and doc_id % 3 != 0"
